@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import lines, mixing, sharding
+from spanloom.llm import jaccard, lines, mixing, sharding
 from spanloom.llm.shared import table
 
 
@@ -19,6 +19,10 @@ def op8_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_ngram_jaccard(spark, sf_dir):
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
