@@ -25,7 +25,9 @@ TOKENS = WORDS.copy()  # none, letters and digits and what is not ASCII, other s
 TOKENS[[b for b in range(128) if WORDS[b] and not chr(b).isalnum()]] = 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SAME = np.arange(256, dtype=np.uint8)
+SHAPES = np.arange(256, dtype=np.uint8)  # upper-case letters, other letters and digits as one each; other signs as they are
+SHAPES[65:91] = 65
+SHAPES[[*range(48, 58), *range(97, 123), *range(128, 256)]] = 97
 
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from spanloom.llm import jaccard, lines, mixing, sharding
+from pyspark.sql import functions as F
+
+from spanloom.llm import jaccard, lines, mixing, quality, sharding
 from spanloom.llm.shared import table
 
 
@@ -14,6 +16,13 @@ def op5_line_dedup(spark, sf_dir):
     return lines.dedup_lines(table(spark, sf_dir, "pages"))
 
 
+def op7_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", quality.held_out("doc_id", 4, 2))
+    labels = table(spark, sf_dir, "labels").filter(~quality.held_out("doc_id", 4, 2))
+    scored = quality.score(docs, quality.fit(docs, labels), keep=["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
