@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import jaccard, lines, mixing, quality, sharding
+from spanloom.llm import decontam, jaccard, lines, mixing, quality, sharding
 from spanloom.llm.shared import table
 
 
@@ -16,6 +16,10 @@ def op5_line_dedup(spark, sf_dir):
     return lines.dedup_lines(table(spark, sf_dir, "pages"))
 
 
+def op6_decontamination(spark, sf_dir):
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", quality.held_out("doc_id", 4, 2))
     labels = table(spark, sf_dir, "labels").filter(~quality.held_out("doc_id", 4, 2))
