@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, jaccard, lines, mixing, quality, sharding
+from spanloom.llm import decontam, jaccard, lines, mixing, quality, sharding, warc
 from spanloom.llm.shared import table
 
 
@@ -32,6 +32,10 @@ def op8_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_warc(spark, sf_dir):
+    return warc.read_back(warc.archive(table(spark, sf_dir, "pages"), warc.archive_folder(spark)))
+
+
 def op10_ngram_jaccard(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,4 +45,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_line_dedup": lines.ORACLE}
+    return {"op5_line_dedup": lines.ORACLE, "op9_warc": warc.ORACLE}
