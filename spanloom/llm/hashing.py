@@ -50,8 +50,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _piece(b: np.ndarray, breaks: np.ndarray, classes: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the words in b; no word goes past a break."""
+def _piece(b: np.ndarray, breaks: np.ndarray, classes: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words in b; no word goes past a break."""
     kind = classes[b]
     edge = np.empty(len(b) + 1, bool)
     edge[0] = edge[-1] = True
@@ -65,7 +65,7 @@ def _piece(b: np.ndarray, breaks: np.ndarray, classes: np.ndarray, fold: np.ndar
     sums = np.zeros(len(b) + 1, U)
     np.cumsum((fold[b].astype(U) + U(1)) * up[: len(b)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93)), starts
+    return mix(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93)), starts, ends
 
 
 def _cut(b: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -97,8 +97,9 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds
 
 
-def words(column: pa.Array, classes: np.ndarray = WORDS, fold: np.ndarray = LOWER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For runs of rows: the first row's number, the words' hashes, and the bounds of each row's words among them."""
+def spans(column: pa.Array, classes: np.ndarray = WORDS, fold: np.ndarray = LOWER) -> Iterator[tuple]:
+    """For runs of rows, or pieces of one long row: the first row's number, the bytes, the words' hashes, starts and
+    ends in the bytes, and the bounds of each row's words among them."""
     data, bounds = texts(column)
     row, rows = 0, len(bounds) - 1
     while row < rows:
@@ -106,17 +107,30 @@ def words(column: pa.Array, classes: np.ndarray = WORDS, fold: np.ndarray = LOWE
         b = data[bounds[row] : bounds[to]]
         if len(b) <= PIECE:
             inner = bounds[row : to + 1] - bounds[row]
-            if len(b):
-                h, starts = _piece(b, inner, classes, fold)
-            else:
-                h, starts = np.zeros(0, U), np.zeros(0, np.int64)
-            yield row, h, np.searchsorted(starts, inner)
+            h, starts, ends = _piece(b, inner, classes, fold) if len(b) else (np.zeros(0, U), *[np.zeros(0, np.int64)] * 2)
+            yield row, b, h, starts, ends, np.searchsorted(starts, inner)
         else:
-            h = np.concatenate([_piece(b[i:j], np.zeros(1, np.int64), classes, fold)[0] for i, j in _cut(b)])
-            yield row, h, np.array([0, len(h)])
+            for i, j in _cut(b):
+                h, starts, ends = _piece(b[i:j], np.zeros(1, np.int64), classes, fold)
+                yield row, b[i:j], h, starts, ends, np.array([0, len(h)])
         row = to
 
 
+def words(column: pa.Array, classes: np.ndarray = WORDS, fold: np.ndarray = LOWER) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For runs of whole rows: the first row's number, the words' hashes, and the bounds of each row's words among them."""
+    held: list[tuple[int, np.ndarray]] = []
+    for row, _, h, _, _, bounds in spans(column, classes, fold):
+        if held and held[-1][0] != row:
+            yield held[0][0], (all_ := np.concatenate([x for _, x in held])), np.array([0, len(all_)])
+            held = []
+        if len(bounds) == 2:  # perhaps a piece of a row
+            held.append((row, h))
+        else:
+            yield row, h, bounds
+    if held:
+        yield held[0][0], (all_ := np.concatenate([x for _, x in held])), np.array([0, len(all_)])
+
+
 def shingles(h: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the runs of `width` words that start at each word."""
     out = np.zeros(max(len(h) - width + 1, 0), U)

@@ -4,14 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, jaccard, lines, mixing, quality, sharding, warc
+from spanloom.llm import decontam, embeddings, jaccard, langid, lines, mixing, quality, sharding, warc
 from spanloom.llm.shared import table
 
 
+def vocabulary(name):
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark, sf_dir):
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", quality.held_out("doc_id", 3, 1))
+    path = vocabulary("piece_bpe_32k.model")
+    langs, prob = langid.fit(docs.filter(~F.col("held_out")), path)
+    return langid.predict(docs, langs, prob, path, keep=["doc_id", "held_out"])
+
+
 def op5_line_dedup(spark, sf_dir):
     return lines.dedup_lines(table(spark, sf_dir, "pages"))
 
