@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import hashing
@@ -360,3 +360,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     out = sets.select("doc_id", "n_shingles", "f1", "f2").join(labels, same, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("__comp")), F.col("doc_id")))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs that are the first, by doc_id, of their group of near-duplicates, with docs' columns.
+
+    Rows with null doc_id stay. Of several rows with one doc_id the one with the least text and source stays;
+    that costs a sort only where doc_ids repeat.
+    """
+    groups = stored(near_duplicates(docs, width, num, den), "near-groups")
+    late = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("__late")).distinct()
+    out = docs.join(late, docs["doc_id"] == late["__late"], "left_anti")
+    repeats = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if repeats.isEmpty():
+        return out
+    names = out.columns
+    number = F.row_number().over(Window.partitionBy("__id").orderBy(*[f"`{c}`" for c in ("text", "source") if c in names]))
+    return out.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.uuid())).withColumn("__n", number).filter("__n = 1").select(*names)
