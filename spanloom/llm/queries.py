@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, embeddings, jaccard, langid, lines, mixing, quality, sharding, warc
+from spanloom.llm import decontam, embeddings, jaccard, langid, lines, mixing, quality, sharding, tokenfiles, warc
 from spanloom.llm.shared import table
 
 
@@ -19,6 +19,11 @@ def op1_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark, sf_dir):
+    files = tokenfiles.write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), tokenfiles.ids_folder(spark))
+    return tokenfiles.read(files)
+
+
 def op3_embedding_dedup(spark, sf_dir):
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
