@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from spanloom.llm import hashing
 from spanloom.llm.decontam import LETTERS
-from spanloom.llm.shared import ship
+from spanloom.llm.shared import least, ship
 
 #: Most documents of a language, and most distinct words of them, that a model is fitted on.
 SAMPLE, SAMPLE_WORDS = 2000, 150_000
@@ -148,8 +148,7 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE) -> tuple[list[str], np
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    chosen = rows.withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= sample).drop("__r")
+    chosen = least(rows, "lang", F.col("text"), sample).select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

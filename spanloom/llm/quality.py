@@ -7,13 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from spanloom.llm import hashing
 from spanloom.llm.hashing import U, mix
-from spanloom.llm.shared import ship
+from spanloom.llm.shared import least, ship
 
 #: Most labelled documents of each label that a model is fitted on: those with the least hash.
 SAMPLE = 6000
@@ -83,14 +83,13 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), sample:
     """Weights learned from at most `sample` documents of each label (`text` of docs, `quality` of labels by doc_id).
 
     The sample is bounded, so its feature lists fit the driver; only they are sent there. The rows of a label
-    are those whose doc_id has the least hash, cut in each partition before the shuffle. Rows with null text,
+    are those whose doc_id has the least hash. Rows with null text,
     doc_id or label are left out; without rows, or with one label only, all weights but the bias are 0.
     """
     spark = docs.sparkSession
     ship(spark)
     marks = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__label")).filter("__id IS NOT NULL AND __label IN (0, 1)")
-    first = Window.partitionBy("__label").orderBy(F.xxhash64("__id"), "__id")
-    marks = marks.withColumn("__rank", F.row_number().over(first)).filter(F.col("__rank") <= sample)
+    marks = least(marks, "__label", F.col("__id"), sample)
     text = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     chosen = text.join(F.broadcast(marks), text["doc_id"] == marks["__id"]).select("__id", "__rank", "__label", "text")
     schema = pa.schema([("id", pa.int64()), ("rank", pa.int64()), ("label", pa.float64()), ("ids", pa.binary()), ("vals", pa.binary())])

@@ -9,7 +9,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -69,3 +70,17 @@ def ship(spark: SparkSession) -> None:
     Path(to).write_bytes(raw.getvalue())
     spark.sparkContext.addPyFile(to)
     _shipped.add(app)
+
+
+def least(rows: DataFrame, group: str, key: Column, most: int) -> DataFrame:
+    """Of each group the `most` rows with the least hash of key, for a bounded sample that depends on the rows alone.
+
+    Groups are counted first; rows whose hash is beyond about twice the wanted share are left out before the one
+    that ranks, so what meets in a task is bounded however large a group is.
+    """
+    counts = rows.groupBy(F.col(group).alias("__group")).agg(F.count(F.lit(1)).alias("__size"))
+    h = F.xxhash64(key, F.lit(11))
+    share = F.pmod(h, F.lit(1 << 40)) / float(1 << 40)
+    near = rows.join(counts, F.col(group) == F.col("__group")).filter(share * F.col("__size") < 2 * most + 100)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(h, key))
+    return near.withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("__group", "__size")
