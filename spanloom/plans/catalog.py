@@ -1,9 +1,613 @@
-"""Registry of the queries of the core library with their SQL twins."""
+"""Registry of the queries of the core library with their SQL twins.
+
+Structs and arrays are flattened and ratios rounded, so that results compare by value.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spanloom.functions import text as T
+from spanloom.operators import align, bio, events, extract, features, metrics, scoring, stats, windows
+from spanloom.plans import synth
+from spanloom.plans.synth import SQL_EVENTS, SQL_FIXED, SQL_TOKENS, sql_spans, table
+
+_QUERIES: dict = {}
+_SQL: dict = {}
+
+#: Outcome rules with stems that occur in the driver's texts.
+RULES = events.OutcomeRules(bodies=("(^| )the( |$)",), approved=("tion", "ción"), rejected=("ing", "ment"))
+#: A word list that occurs in the driver's texts.
+LEXICON = {"article": ("the", "a", "la", "le", "der", "el"), "preposition": ("of", "in", "de", "von", "on"), "conjunction": ("and", "et", "und", "y")}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+def _events(spark, sf_dir):
+    """Segments with the events of both sides."""
+    rows = synth.repaired(spark, sf_dir)
+    return rows.select("seg", events.construct(F.col("tokens"), F.col("gold"), RULES).alias("gold_event"), events.construct(F.col("tokens"), F.col("fixed"), RULES).alias("pred_event"))
+
+
+def _joined(people, other):
+    return F.array_join(F.transform(people, lambda p: F.concat_ws("@", p["text"], p[other])), "|")
+
+
+def _words(spark, sf_dir):
+    """doc_id, pos and word of every token."""
+    docs = synth.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.tokens(F.col("text")).alias("ts"))
+    return docs.select("doc_id", F.posexplode("ts").alias("pos", "word"))
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+# labels and spans
+
+
+@query(f"WITH {SQL_FIXED} SELECT seg, string_agg(fixed, ' ' ORDER BY p) AS labels FROM fix GROUP BY seg")
+def bio_repair(spark, sf_dir):
+    return synth.repaired(spark, sf_dir).select("seg", F.array_join("fixed", " ").alias("labels"))
+
+
+@query(f"WITH {SQL_FIXED} SELECT seg, count(*) FILTER (pred <> fixed) AS violations FROM fix GROUP BY seg")
+def bio_violations(spark, sf_dir):
+    return synth.segments(spark, sf_dir).select("seg", bio.violations(F.col("pred")).alias("violations"))
+
+
+@query(f"WITH {SQL_FIXED} SELECT seg, p, fixed FROM fix WHERE pred <> fixed")
+def bio_repair_rows(spark, sf_dir):
+    rows = synth.segments(spark, sf_dir).select("seg", F.posexplode("pred").alias("p", "pred"))
+    return bio.repair_rows(rows, "seg", "p", "pred").filter("pred <> fixed").select("seg", F.col("p").cast("long").alias("p"), "fixed")
+
+
+def _span_rows(rows, label, mode):
+    got = rows.select("seg", "tokens", F.explode(bio.spans(F.col(label), mode)).alias("s"))
+    return got.select("seg", "s.type", F.col("s.start").cast("long").alias("start_pos"), F.col("s.end").cast("long").alias("end_pos"), bio.span_text(F.col("tokens"), F.col("s")).alias("text"))
+
+
+@query(f"WITH {SQL_FIXED}{sql_spans('ps', 'fixed', 'fix')} SELECT seg, type, st AS start_pos, en AS end_pos, txt AS text FROM ps")
+def spans_strict(spark, sf_dir):
+    return _span_rows(synth.repaired(spark, sf_dir), "fixed", "strict")
+
+
+@query(f"WITH {SQL_TOKENS}{sql_spans('ps', 'pred', 'lab', True)} SELECT seg, type, st AS start_pos, en AS end_pos, txt AS text FROM ps")
+def spans_lenient(spark, sf_dir):
+    return _span_rows(synth.segments(spark, sf_dir), "pred", "lenient")
+
+
+# events
+
+
+@query(f"WITH {SQL_EVENTS} SELECT seg, g AS gold_event, p AS pred_event FROM ev")
+def has_event(spark, sf_dir):
+    rows = synth.segments(spark, sf_dir)
+    return rows.select("seg", events.has_event(F.col("gold")).alias("gold_event"), events.has_event(bio.repair(F.col("pred"))).alias("pred_event"))
+
+
+@query(f"WITH {SQL_EVENTS} SELECT seg, subject FROM pe WHERE subject IS NOT NULL")
+def subject_first(spark, sf_dir):
+    rows = synth.repaired(spark, sf_dir)
+    return rows.select("seg", events.subject(F.col("tokens"), bio.spans(F.col("fixed"))).alias("subject")).filter("subject IS NOT NULL")
+
+
+@query(f"WITH {SQL_EVENTS} SELECT seg, unnest(participants).text AS text, unnest(participants).position AS position FROM pe")
+def participants(spark, sf_dir):
+    rows = synth.repaired(spark, sf_dir)
+    return rows.select("seg", F.inline(events.participants(F.col("tokens"), bio.spans(F.col("fixed")))))
+
+
+@query(f"WITH {SQL_EVENTS} SELECT seg, unnest(counting).text AS text, unnest(counting).type AS type FROM pe")
+def counting(spark, sf_dir):
+    rows = synth.repaired(spark, sf_dir)
+    return rows.select("seg", F.inline(events.counting(F.col("tokens"), bio.spans(F.col("fixed")))))
+
+
+@query(f"WITH {SQL_EVENTS} SELECT seg, array_to_string(voting, '|') AS expressions FROM pe WHERE len(voting) > 0")
+def voting_expressions(spark, sf_dir):
+    rows = synth.repaired(spark, sf_dir).select("seg", events.expressions(F.col("tokens"), bio.spans(F.col("fixed"))).alias("e"))
+    return rows.filter(F.size("e") > 0).select("seg", F.array_join("e", "|").alias("expressions"))
+
+
+_OUTCOME = """
+  CASE WHEN len(list_filter(ppart, lambda x: x.position = 'Favor' AND regexp_matches(lower(x.text), '(^| )the( |$)'))) > 0 THEN 'Approved'
+    WHEN len(list_filter(pvot, lambda x: regexp_matches(lower(x), 'ing|ment|tion|ción'))) > 0
+      THEN CASE WHEN regexp_matches(lower(list_filter(pvot, lambda x: regexp_matches(lower(x), 'ing|ment|tion|ción'))[1]), 'ing|ment') THEN 'Rejected' ELSE 'Approved' END
+    WHEN len(list_filter(pcnt, lambda x: lower(x.type) = 'unanimity')) > 0 THEN 'Approved'
+    WHEN len(list_filter(ppart, lambda x: x.position = 'Favor')) > len(list_filter(ppart, lambda x: x.position = 'Against')) THEN 'Approved'
+    WHEN len(list_filter(ppart, lambda x: x.position = 'Favor')) < len(list_filter(ppart, lambda x: x.position = 'Against')) THEN 'Rejected' END AS outcome"""
+_EVENT = (
+    "array_to_string(list_transform(ppart, lambda x: x.text || '@' || x.position), '|') AS participants, "
+    "array_to_string(list_transform(pcnt, lambda x: x.text || '@' || x.type), '|') AS counting, array_to_string(pvot, '|') AS voting"
+)
+
+
+@query(f"WITH {SQL_EVENTS} SELECT seg, psub AS subject, {_EVENT}, {_OUTCOME} FROM ev WHERE p")
+def events_built(spark, sf_dir):
+    e = F.col("pred_event")
+    rows = _events(spark, sf_dir).filter("pred_event IS NOT NULL")
+    return rows.select("seg", e["subject"].alias("subject"), _joined(e["participants"], "position").alias("participants"), _joined(e["counting"], "type").alias("counting"), F.array_join(e["voting_expressions"], "|").alias("voting"), e["outcome"].alias("outcome"))
+
+
+@query(f"WITH {SQL_EVENTS}, oc AS (SELECT {_OUTCOME} FROM ev WHERE p) SELECT coalesce(outcome, 'none') AS outcome, count(*) AS n FROM oc GROUP BY 1")
+def outcome(spark, sf_dir):
+    rows = _events(spark, sf_dir).filter("pred_event IS NOT NULL")
+    return rows.groupBy(F.coalesce("pred_event.outcome", F.lit("none")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# entity metrics
+
+_PRF = "round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1"
+_HITS = f"""WITH {SQL_TOKENS}{sql_spans("gs", "gold", "lab", True)}{sql_spans("ps", "pred", "lab", True)},
+ht AS (SELECT coalesce(g.type, q.type) AS type, g.seg IS NOT NULL AS ing, q.seg IS NOT NULL AS inp FROM gs g FULL JOIN ps q ON g.seg = q.seg AND g.type = q.type AND g.st = q.st AND g.en = q.en),
+ct AS (SELECT {{}} count(*) FILTER (ing AND inp) AS tp, count(*) FILTER (inp AND NOT ing) AS fp, count(*) FILTER (ing AND NOT inp) AS fn FROM ht {{}})"""
+
+
+@query(_HITS.format("", "") + f" SELECT tp, fp, fn, {_PRF} FROM ct")
+def entity_micro(spark, sf_dir):
+    return metrics.entity_micro(synth.segments(spark, sf_dir))
+
+
+@query(_HITS.format("type,", "GROUP BY type") + f" SELECT type, {_PRF}, tp + fn AS support FROM ct")
+def entity_per_type(spark, sf_dir):
+    return metrics.entity_per_type(synth.segments(spark, sf_dir))
+
+
+@query(f"WITH {SQL_TOKENS} SELECT count(*) AS tokens, round(avg(CAST(gold = pred AS INT)), 6) AS accuracy FROM lab")
+def token_accuracy(spark, sf_dir):
+    return metrics.token_accuracy(synth.segments(spark, sf_dir))
+
+
+# event metrics
+
+
+def _confusion(tp, fp, fn, where="true"):
+    return f"WITH {SQL_EVENTS}, ct AS (SELECT count(*) FILTER ({tp}) AS tp, count(*) FILTER ({fp}) AS fp, count(*) FILTER ({fn}) AS fn FROM xx WHERE {where}) SELECT tp, fp, fn, {_PRF} FROM ct"
+
+
+_XX = """, xx AS (SELECT *, lower(trim(coalesce(gsub, ''))) AS gs_, lower(trim(coalesce(psub, ''))) AS ps_,
+  CASE WHEN len(gcnt) > 0 THEN lower(gcnt[1].text) || chr(1) || upper(gcnt[1].type) ELSE '' END AS gc_,
+  CASE WHEN len(pcnt) > 0 THEN lower(pcnt[1].text) || chr(1) || upper(pcnt[1].type) ELSE '' END AS pc_,
+  list_sort(list_distinct(list_transform(gpart, lambda x: lower(x.text) || chr(1) || upper(x.position)))) AS gp_,
+  list_sort(list_distinct(list_transform(ppart, lambda x: lower(x.text) || chr(1) || upper(x.position)))) AS pp_ FROM ev), ct AS"""
+
+
+def _with(sql):
+    return sql.replace(", ct AS", _XX, 1)
+
+
+_DETECT = _with(_confusion("g AND p", "p AND NOT g", "g AND NOT p"))
+_SUBJ = ("gs_ <> '' AND gs_ = ps_", "ps_ <> '' AND gs_ <> ps_", "gs_ <> '' AND ps_ = ''")
+_COUNT = ("gc_ <> '' AND gc_ = pc_", "pc_ <> '' AND gc_ <> pc_", "gc_ <> '' AND pc_ = ''")
+_FULL = "gs_ = ps_ AND gp_ = pp_ AND gc_ = pc_"
+
+
+@query(_DETECT)
+def event_detection(spark, sf_dir):
+    rows = synth.segments(spark, sf_dir)
+    flag = lambda labels: F.when(events.has_event(labels), F.lit(1))
+    return metrics.detection(rows.select(flag(F.col("gold")).alias("gold_event"), flag(bio.repair(F.col("pred"))).alias("pred_event")))
+
+
+@query(_with(_confusion(*_SUBJ, "g")))
+def subject_f1(spark, sf_dir):
+    return metrics.subject_f1(_events(spark, sf_dir))
+
+
+@query(_with(_confusion("gs_ <> '' AND gs_ = ps_", "ps_ <> '' AND gs_ <> ps_", "gs_ <> '' AND gs_ <> ps_", "g")))
+def subject_f1_both_ways(spark, sf_dir):
+    return metrics.subject_f1(_events(spark, sf_dir), mismatch="both")
+
+
+@query(_with(_confusion(*_COUNT, "g")))
+def counting_f1(spark, sf_dir):
+    return metrics.counting_f1(_events(spark, sf_dir))
+
+
+_EACH = """ee AS (SELECT CASE WHEN len(gp_) = 0 AND len(pp_) = 0 THEN 1.0 ELSE coalesce(len(list_intersect(gp_, pp_)) / nullif(len(pp_), 0), 0) END AS pr,
+  CASE WHEN len(gp_) = 0 AND len(pp_) = 0 THEN 1.0 ELSE coalesce(len(list_intersect(gp_, pp_)) / nullif(len(gp_), 0), 0) END AS re FROM xx WHERE g)"""
+
+
+@query(f"WITH {SQL_EVENTS}" + _XX.replace(", ct AS", ", ") + _EACH + " SELECT round(coalesce(avg(pr), 0), 6) AS precision, round(coalesce(avg(re), 0), 6) AS recall, round(coalesce(avg(coalesce(2 * pr * re / nullif(pr + re, 0), 0)), 0), 6) AS f1, count(*) AS segments FROM ee")
+def participant_f1(spark, sf_dir):
+    return metrics.participant_f1(_events(spark, sf_dir))
+
+
+@query(_with(_confusion(f"g AND p AND {_FULL}", "p AND NOT g", f"g AND NOT (p AND {_FULL})")))
+def complete_event(spark, sf_dir):
+    return metrics.complete_f1(_events(spark, sf_dir))
+
+
+@query(f"WITH {SQL_EVENTS}" + _XX.replace(", ct AS", "") + " SELECT CASE WHEN NOT g THEN CASE WHEN p THEN 'false_positive' ELSE 'true_negative' END WHEN NOT p THEN 'missed' WHEN gs_ <> ps_ THEN 'subject' WHEN gp_ <> pp_ THEN 'participants' WHEN gc_ <> pc_ THEN 'counting' ELSE 'true_positive' END AS verdict, count(*) AS n FROM xx GROUP BY 1")
+def complete_event_failures(spark, sf_dir):
+    return metrics.complete_failures(_events(spark, sf_dir))
+
+
+def _f1(tp, fp, fn, where="true"):
+    t, a, b = (f"count(*) FILTER (({where}) AND ({c}))" for c in (tp, fp, fn))
+    return f"round(coalesce(2 * {t} / nullif(2 * {t} + {a} + {b}, 0), 0), 6)"
+
+
+@query(
+    f"WITH {SQL_EVENTS}" + _XX.replace(", ct AS", ", ") + _EACH + f""" SELECT count(*) AS num_examples, count(*) FILTER (g) AS gold_events, count(*) FILTER (p) AS pred_events,
+  {_f1("g AND p", "p AND NOT g", "g AND NOT p")} AS event_detection_f1, {_f1(*_SUBJ, "g")} AS subject_f1, {_f1(*_COUNT, "g")} AS counting_f1,
+  {_f1(f"g AND p AND {_FULL}", "p AND NOT g", f"g AND NOT (p AND {_FULL})")} AS complete_event_f1,
+  (SELECT round(coalesce(avg(coalesce(2 * pr * re / nullif(pr + re, 0), 0)), 0), 6) FROM ee) AS participant_vote_f1 FROM xx"""
+)
+def event_summary(spark, sf_dir):
+    return metrics.event_summary(_events(spark, sf_dir))
+
+
+# soft overlap
+
+
+
+def _jac(a, b):
+    x, y = (f"list_distinct(list_filter(regexp_split_to_array(lower(trim(coalesce({c}, ''))), '\\s+'), lambda t_: t_ <> ''))" for c in (a, b))
+    both = f"len(list_intersect({x}, {y}))"
+    return f"CASE WHEN len({x}) = 0 AND len({y}) = 0 THEN 1.0 ELSE coalesce({both} / nullif(len({x}) + len({y}) - {both}, 0), 0) END"
+
+
+@query(f"SELECT a.conv_id, a.turn, round({_jac('a.text', 'b.text')}, 6) AS overlap FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
+def token_jaccard(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    after = c.select(F.col("conv_id").alias("__conv"), (F.col("turn") - 1).alias("__turn"), F.col("text").alias("__text"))
+    both = c.join(after, (F.col("conv_id") == F.col("__conv")) & (F.col("turn") == F.col("__turn")))
+    return both.select("conv_id", "turn", r6(T.jaccard(F.col("text"), F.col("__text"))).alias("overlap"))
+
+
+_SOFT = f"""WITH {SQL_EVENTS},
+pm AS (SELECT seg, i, max({_jac("y.text", "x.text")}) AS best FROM
+  (SELECT seg, unnest(gpart) AS x, generate_subscripts(gpart, 1) AS i, ppart FROM ev WHERE g AND p) a, LATERAL (SELECT unnest(a.ppart) AS y) b WHERE y.position = x.position GROUP BY seg, i),
+pv AS (SELECT seg, count(*) AS n FROM pm WHERE best >= 0.5 GROUP BY seg),
+sc AS (SELECT ev.seg, g, p,
+  CASE WHEN g <> p THEN 0.0 WHEN NOT g THEN 1.0 WHEN coalesce(gsub, '') = '' OR coalesce(psub, '') = '' THEN 0.0 ELSE {_jac("psub", "gsub")} END AS subject,
+  CASE WHEN g <> p THEN 0.0 WHEN NOT g THEN 1.0 ELSE {_jac("pvot[1]", "gvot[1]")} END AS voting_expression,
+  CASE WHEN g <> p THEN 0.0 WHEN NOT g THEN 1.0 WHEN len(gcnt) = 0 OR len(pcnt) = 0 OR gcnt[1].type <> pcnt[1].type THEN 0.0 ELSE {_jac("pcnt[1].text", "gcnt[1].text")} END AS counting,
+  CASE WHEN g <> p THEN 0.0 WHEN NOT g THEN 1.0 WHEN len(gpart) = 0 THEN 0.0 ELSE coalesce(pv.n, 0) / len(gpart) END AS participants,
+  coalesce(gsub, '') <> '' AS hs, len(gcnt) > 0 AS hc, len(gpart) > 0 AS hp FROM ev LEFT JOIN pv USING (seg)),
+so AS (SELECT *, CASE WHEN g <> p THEN 0.0 WHEN NOT g THEN 1.0 ELSE coalesce((subject + voting_expression + counting + participants) /
+  nullif(CAST(hs OR subject > 0 AS INT) + CAST(hc OR counting > 0 AS INT) + CAST(hp OR participants > 0 AS INT) + CAST(voting_expression > 0 AS INT), 0), 0) END AS overall FROM sc)"""
+
+
+@query(_SOFT + " SELECT seg, round(subject, 6) AS subject, round(voting_expression, 6) AS voting_expression, round(counting, 6) AS counting, round(participants, 6) AS participants, round(overall, 6) AS overall FROM so WHERE g OR p")
+def soft_event(spark, sf_dir):
+    rows = metrics.soft(_events(spark, sf_dir).filter("gold_event IS NOT NULL OR pred_event IS NOT NULL"))
+    return rows.select("seg", *[r6(c).alias(c) for c in ("subject", "voting_expression", "counting", "participants", "overall")])
+
+
+@query(
+    _SOFT + """, c AS (SELECT count(*) FILTER (overall >= 0.95) AS correct, count(*) FILTER (overall >= 0.5 AND overall < 0.95) AS partial,
+  count(*) FILTER (overall < 0.5 AND g AND NOT p) AS missed, count(*) FILTER (overall < 0.5 AND p AND NOT g) AS spurious, count(*) FILTER (g) AS ng, count(*) FILTER (p) AS np, count(*) AS n FROM so)
+SELECT correct, partial, missed, spurious, n - correct - partial AS incorrect, round(coalesce(correct / nullif(np, 0), 0), 6) AS precision, round(coalesce(correct / nullif(ng, 0), 0), 6) AS recall,
+  round(coalesce(2 * correct / nullif(np + ng, 0), 0), 6) AS f1 FROM c"""
+)
+def soft_metrics(spark, sf_dir):
+    return metrics.soft_metrics(_events(spark, sf_dir))
+
+
+# windows and alignment
+
+_TK = r"tk AS (SELECT doc_id, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r]+'), lambda x: x <> '') AS ts FROM documents)"
+_WIN = f"""WITH {_TK}, nn AS (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n, ts FROM tk),
+ww AS (SELECT doc_id, n, ts, unnest(range(CASE WHEN n = 0 THEN 0 WHEN n <= 459 THEN 1 ELSE least(101, CAST(ceil((n - 459) / 409.0) AS BIGINT) + 1) END)) AS k FROM nn),
+wi AS (SELECT doc_id, n, k AS window_idx, k * 409 AS start_pos, least(n, k * 409 + 459) AS end_pos, ts FROM ww)"""
+
+
+def _docs(spark, sf_dir):
+    return synth.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+
+
+@query(_WIN + " SELECT doc_id, window_idx, start_pos, end_pos, ts[start_pos + 1] AS first_token FROM wi")
+def windows_cut(spark, sf_dir):
+    rows = windows.windowed(_docs(spark, sf_dir))
+    return rows.select("doc_id", *[F.col(a).cast("long").alias(b) for a, b in (("window_idx", "window_idx"), ("start", "start_pos"), ("end", "end_pos"))], F.try_element_at("tokens", F.lit(1)).alias("first_token"))
+
+
+@query(_WIN + ", c AS (SELECT doc_id, count(*) AS w FROM wi GROUP BY doc_id) SELECT count(*) AS examples, CAST(sum(w) AS BIGINT) AS windows, count(*) FILTER (w = 1) AS single, count(*) FILTER (w > 1) AS multiple, max(w) AS most, round(avg(w), 6) AS mean FROM c")
+def window_stats(spark, sf_dir):
+    n = F.size(windows.uniform_windows(F.size("tokens"))).cast("long")
+    rows = _docs(spark, sf_dir).select(n.alias("w")).filter("w > 0")
+    return rows.agg(F.count(F.lit(1)).alias("examples"), F.sum("w").alias("windows"), F.count_if(F.col("w") == 1).alias("single"), F.count_if(F.col("w") > 1).alias("multiple"), F.max("w").alias("most"), r6(F.avg("w")).alias("mean"))
+
+
+@query(_WIN + ", m AS (SELECT doc_id, n, unnest(range(n)) AS p FROM nn), o AS (SELECT doc_id, p, CASE WHEN p < 459 THEN 0 ELSE (p - 459) // 409 + 1 END AS k FROM m) SELECT doc_id, string_agg(CASE WHEN k > 100 THEN 'O' ELSE 'L' || ((doc_id + k * 3 + p) % 5) END, ' ' ORDER BY p) AS labels FROM o GROUP BY doc_id")
+def window_merge(spark, sf_dir):
+    docs = _docs(spark, sf_dir).filter(F.size("tokens") > 0).withColumn("n", F.size("tokens"))
+    w = windows.windowed(docs)
+    labels = F.transform("tokens", lambda _, i: F.concat(F.lit("L"), ((F.col("doc_id") + F.col("window_idx") * 3 + F.col("start") + i) % 5).cast("string")))
+    pieces = w.select("doc_id", "n", "window_idx", "start", labels.alias("labels"))
+    return windows.merge(pieces, "doc_id", F.col("n"), "labels").select("doc_id", F.array_join("labels", " ").alias("labels"))
+
+
+@query(f"WITH {_TK} SELECT doc_id, array_to_string(list_resize(list_transform(ts, lambda x: CAST(length(x) AS BIGINT)), 64, CAST(0 AS BIGINT)), ' ') AS ids, array_to_string(list_resize(list_transform(ts, lambda x: 1), 64, 0), ' ') AS mask FROM tk")
+def pad_features(spark, sf_dir):
+    rows = _docs(spark, sf_dir)
+    sizes, ones = F.transform("tokens", lambda t: F.length(t)), F.transform("tokens", lambda t: F.lit(1))
+    return rows.select("doc_id", F.array_join(T.pad(sizes, 64, F.lit(0)), " ").alias("ids"), F.array_join(T.pad(ones, 64, F.lit(0)), " ").alias("mask"))
+
+
+@query(f"WITH {SQL_TOKENS} SELECT seg, string_agg(gold || ':' || length(token) || ':' || ((length(token) + 3) // 4), ' ' ORDER BY p) AS aligned FROM lab GROUP BY seg")
+def subword_alignment(spark, sf_dir):
+    """Tokens cut into subwords of four characters, aligned, and reduced to first subwords again."""
+    rows = synth.segments(spark, sf_dir)
+    pieces = F.transform("tokens", lambda t: F.transform(F.sequence(F.lit(0), F.floor((F.length(t) - 1) / 4).cast("int")), lambda k: F.length(t) * 10000 + k))
+    ids = F.map_from_arrays(F.array(*[F.lit(x) for x in _LABELS]), F.array(*[F.lit(k) for k in range(len(_LABELS))]))
+    rows = rows.select("seg", windows.align(pieces, F.col("gold"), ids, 100_000, 101, 102).alias("f"))
+    names = F.array(*[F.lit(x) for x in _LABELS])
+
+    def shown(f):
+        firsts = windows.first_subwords(f, f["token"])
+        return F.transform(firsts, lambda x: F.concat_ws(":", F.element_at(names, x["label"] + 1), F.floor(x["input_id"] / 10000).cast("string"), F.size(F.filter(f["token"], lambda t: t == x["token"])).cast("string")))
+
+    return rows.select("seg", F.array_join(T.let(F.col("f"), shown), " ").alias("aligned"))
+
+
+_LABELS = ["O", *sorted(f"{b}-{t}" for b in "BI" for t in synth.TYPES)]
+
+
+@query(f"WITH {SQL_TOKENS} SELECT seg, string_agg(CAST(length(token) AS VARCHAR), ' ' ORDER BY p) FILTER (p % 3 = 0) AS firsts FROM lab GROUP BY seg")
+def first_subtoken(spark, sf_dir):
+    rows = synth.segments(spark, sf_dir)
+    words = F.transform("tokens", lambda _, i: F.floor(i / 3).cast("int"))
+    return rows.select("seg", F.array_join(windows.first_subwords(F.transform("tokens", lambda t: F.length(t)), words), " ").alias("firsts"))
+
+
+
+
+@query(
+    r"""WITH RECURSIVE t0 AS (SELECT conv_id, turn, lower(text) AS low, list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '') AS ts FROM conversations),
+w AS (SELECT conv_id, turn, 0 AS i, CAST(1 AS BIGINT) AS cur, CAST(NULL AS BIGINT) AS st FROM t0
+  UNION ALL SELECT w.conv_id, w.turn, i + 1, CASE WHEN f > 0 THEN cur + f - 1 + length(tok) ELSE cur END, CASE WHEN f > 0 THEN cur + f - 2 END
+  FROM w JOIN LATERAL (SELECT t0.ts[i + 1] AS tok, instr(substr(t0.low, cur), lower(t0.ts[i + 1])) AS f, len(t0.ts) AS n FROM t0 WHERE t0.conv_id = w.conv_id AND t0.turn = w.turn) q ON i < n)
+SELECT conv_id, turn, string_agg(CASE WHEN st % 7 <= 2 OR (st % 7 >= 5) THEN 'L' || CASE WHEN st % 7 <= 3 THEN st // 7 ELSE st // 7 + 1 END ELSE 'O' END, ' ' ORDER BY i) AS labels
+FROM w WHERE i > 0 GROUP BY conv_id, turn"""
+)
+def offset_align(spark, sf_dir):
+    """Tokens of each turn located in it and labelled by predicted words that begin at every seventh character."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", T.tokens(F.col("text")).alias("tokens"))
+    spots = F.sequence(F.lit(0), F.floor(F.length("text") / 7).cast("int") + 1)
+    preds = F.transform(spots, lambda k: F.struct(F.concat(F.lit("L"), k.cast("string")).alias("label"), (k * 7).alias("start"), (k * 7 + 3).alias("end")))
+    rows = c.filter(F.size("tokens") > 0).withColumn("starts", align.offsets(F.col("text"), F.col("tokens")))
+    return rows.select("conv_id", "turn", F.array_join(align.labels_by_offset(F.col("starts"), preds), " ").alias("labels"))
+
+
+# cleaning and validation
+
+
+@query(r"SELECT doc_id, md5(CASE WHEN regexp_full_match(c, '\s*') THEN '' ELSE c END) AS digest FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[\x{F000}-\x{F8FF}]', '•', 'g'), '[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}]', '', 'g') AS c FROM documents)")
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(T.clean(F.col("text")), "UTF-8")).alias("digest"))
+
+
+@query(rf"WITH {_TK} SELECT doc_id, CAST(len(list_filter(ts, lambda x: regexp_matches(x, '[\x{{00}}-\x{{08}}\x{{0B}}\x{{0C}}\x{{0E}}-\x{{1F}}\x{{7F}}-\x{{9F}}\x{{E000}}-\x{{F8FF}}]'))) AS BIGINT) AS problems, CAST(len(ts) AS BIGINT) AS tokens FROM tk")
+def problem_tokens(spark, sf_dir):
+    rows = _docs(spark, sf_dir)
+    return rows.select("doc_id", F.size(F.filter("tokens", T.is_problematic)).cast("long").alias("problems"), F.size("tokens").cast("long").alias("tokens"))
+
+
+@query(r"SELECT conv_id, turn, lower(regexp_replace(trim(text, E' \t\n\r'), '\s+', ' ', 'g')) AS text FROM conversations")
+def normal_text(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normal(F.col("text")).alias("text"))
+
+
+@query(f"WITH {SQL_TOKENS}, c AS (SELECT seg, count(*) AS n FROM lab GROUP BY seg) SELECT CASE WHEN seg % 7 = 0 THEN 'missing field' WHEN seg % 7 = 1 THEN 'length mismatch' WHEN seg % 7 = 2 THEN 'empty' ELSE 'valid' END AS reason, count(*) AS n FROM c GROUP BY 1")
+def validate_records(spark, sf_dir):
+    rows = synth.segments(spark, sf_dir)
+    k = F.col("seg") % 7
+    empty = F.array().cast("array<string>")
+    labels = F.when(k == 1, F.concat(F.col("gold"), F.array(F.lit("O")))).when(k == 2, empty).when(k != 0, F.col("gold"))
+    rows = bio.validate(rows.select(F.when(k == 2, empty).otherwise(F.col("tokens")).alias("tokens"), labels.alias("labels")))
+    return rows.groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SQL_TOKENS}, v AS (SELECT label, row_number() OVER (ORDER BY label <> 'O', label) - 1 AS id FROM (SELECT DISTINCT gold AS label FROM lab)) SELECT seg, string_agg(CAST(coalesce(v.id, 0) AS VARCHAR), ' ' ORDER BY p) AS ids FROM lab LEFT JOIN v ON lab.pred = v.label GROUP BY seg")
+def label_ids(spark, sf_dir):
+    """Predicted labels as ids; labels that are not in the vocabulary become O."""
+    rows = synth.segments(spark, sf_dir)
+    vocab = stats.label_vocabulary(rows, "gold").agg(F.map_from_entries(F.collect_list(F.struct("label", "label_id"))).alias("__v"))
+    rows = rows.join(F.broadcast(vocab))  # one row: the labels of the scheme
+    return rows.select("seg", F.array_join(T.ids(F.col("pred"), F.col("__v"), 0), " ").alias("ids"))
+
+
+# vocabularies and statistics
+
+
+@query(f"WITH {SQL_TOKENS} SELECT label, CAST(row_number() OVER (ORDER BY label <> 'O', label) - 1 AS BIGINT) AS label_id FROM (SELECT DISTINCT pred AS label FROM lab)")
+def label_vocab(spark, sf_dir):
+    return stats.label_vocabulary(synth.segments(spark, sf_dir), "pred")
+
+
+@query(f"WITH {SQL_TOKENS}, c AS (SELECT gold AS label, count(*) AS n FROM lab GROUP BY 1) SELECT label, round(CASE WHEN label = 'O' THEN 0.01 ELSE sum(n) OVER () / (count(*) OVER () * n) END, 6) AS weight FROM c")
+def class_weights(spark, sf_dir):
+    return stats.class_weights(synth.segments(spark, sf_dir), "gold")
+
+
+@query(f"WITH {SQL_TOKENS}, c AS (SELECT gold AS label, count(*) AS n FROM lab GROUP BY 1) SELECT label, n, round(100 * n / sum(n) OVER (), 6) AS percent FROM c")
+def label_distribution(spark, sf_dir):
+    return stats.label_distribution(synth.segments(spark, sf_dir), "gold")
+
+
+_WD = f"WITH {_TK}, wd AS (SELECT doc_id, unnest(ts) AS word, generate_subscripts(ts, 1) - 1 AS pos FROM tk)"
+_VOCAB = _WD + ", c AS (SELECT lower(word) AS word, count(*) AS n, min(doc_id * 1000000 + pos) AS f FROM wd GROUP BY 1), tp AS (SELECT *, row_number() OVER (ORDER BY n DESC, f) AS k FROM c), v AS (SELECT word, n, CAST(k + 1 AS BIGINT) AS word_id FROM tp WHERE k <= 4998 AND n >= 2)"
+
+
+@query(_VOCAB + " SELECT * FROM v")
+def word_vocab(spark, sf_dir):
+    return stats.word_vocabulary(_words(spark, sf_dir), 5000)
+
+
+@query(_VOCAB + " SELECT CAST(sum(c.n) AS BIGINT) AS words, CAST(coalesce(sum(c.n) FILTER (v.word IS NULL), 0) AS BIGINT) AS misses, round(100 * coalesce(sum(c.n) FILTER (v.word IS NOT NULL), 0) / sum(c.n), 6) AS hit_rate FROM c LEFT JOIN v USING (word)")
+def oov_rate(spark, sf_dir):
+    words = _words(spark, sf_dir)
+    return stats.oov(words, stats.word_vocabulary(words, 5000))
+
+
+@query(_WD + " SELECT char, CAST(row_number() OVER (ORDER BY char) + 1 AS BIGINT) AS char_id FROM (SELECT DISTINCT unnest(string_split(lower(word), '')) AS char FROM wd) WHERE char <> ''")
+def char_vocab(spark, sf_dir):
+    return stats.char_vocabulary(_words(spark, sf_dir))
+
+
+@query(f"WITH {_TK} SELECT lang AS grp, count(*) AS examples, CAST(sum(len(ts)) AS BIGINT) AS tokens, CAST(sum((len(ts) + 31) // 32) AS BIGINT) AS entities, CAST(min(len(ts)) AS BIGINT) AS min_tokens, CAST(max(len(ts)) AS BIGINT) AS max_tokens, round(avg(len(ts)), 6) AS avg_tokens FROM tk JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY lang")
+def corpus_stats(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("grp"), F.size(T.tokens(F.col("text"))).alias("n_tokens"))
+    return stats.corpus_stats(docs.withColumn("n_spans", F.floor((F.col("n_tokens") + 31) / 32)))
+
+
+@query(f"WITH {SQL_EVENTS}, c AS (SELECT coalesce(len(participants), 0) AS voters FROM sg LEFT JOIN ge USING (seg)) SELECT CAST(voters AS BIGINT) AS voters, count(*) AS segments FROM c GROUP BY 1")
+def voter_histogram(spark, sf_dir):
+    rows = synth.segments(spark, sf_dir)
+    n = F.size(F.filter(bio.spans(F.col("gold")), lambda s: s["type"].startswith("VOTER-"))).cast("long")
+    return rows.groupBy(n.alias("voters")).agg(F.count(F.lit(1)).alias("segments"))
+
+
+@query(f"WITH {SQL_TOKENS}, w AS (SELECT gold AS label, lower(token) AS feature, CAST(count(*) AS DOUBLE) AS weight FROM lab GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY abs(weight) DESC, feature) AS rank FROM w) SELECT label, feature, weight, rank FROM k WHERE rank <= 50")
+def topk_weights(spark, sf_dir):
+    rows = synth.segments(spark, sf_dir).select(F.inline(F.arrays_zip("gold", "tokens")))
+    w = rows.groupBy(F.col("gold").alias("label"), F.lower("tokens").alias("feature")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return stats.top_weights(w).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    """WITH h AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, value AS score FROM events),
+b AS (SELECT *, max(score) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM h),
+c AS (SELECT *, m IS NULL OR score > m AS better FROM b), d AS (SELECT *, epoch - max(CASE WHEN better THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS waited FROM c),
+s AS (SELECT run, min(epoch) FILTER (waited >= 3) AS stop_epoch FROM d GROUP BY run)
+SELECT d.run, round(max(score), 6) AS best_score, max(epoch) FILTER (better) AS best_epoch, max(stop_epoch) AS stop_epoch FROM d JOIN s USING (run) WHERE stop_epoch IS NULL OR epoch <= stop_epoch GROUP BY d.run"""
+)
+def early_stop(spark, sf_dir):
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events")
+    epoch = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    out = stats.best_epochs(e.select(F.col("user_id").alias("run"), epoch.alias("epoch"), F.col("value").alias("score")))
+    return out.withColumn("best_score", r6("best_score"))
+
+
+# token features
+
+
+@query(_WD + r", s AS (SELECT regexp_replace(regexp_replace(regexp_replace(word, '\p{Ll}', 'x', 'g'), '\p{Lu}', 'X', 'g'), '\p{Nd}', '9', 'g') AS shape FROM wd) SELECT shape, count(*) AS n FROM s GROUP BY 1")
+def word_shape(spark, sf_dir):
+    return _words(spark, sf_dir).groupBy(T.shape(F.col("word")).alias("shape")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_WD + r""" SELECT doc_id, CAST(sum(length(regexp_replace(word, '[^\p{Lu}]', '', 'g'))) AS BIGINT) AS num_uppercase, CAST(sum(length(regexp_replace(word, '[^\p{Ll}]', '', 'g'))) AS BIGINT) AS num_lowercase,
+  CAST(sum(length(regexp_replace(word, '[^\p{Nd}]', '', 'g'))) AS BIGINT) AS num_digits, CAST(sum(length(regexp_replace(word, '[^!-/:-@\[-`{-~]', '', 'g'))) AS BIGINT) AS num_punct,
+  count(*) FILTER (contains(word, '-')) AS has_hyphen, count(*) FILTER (contains(word, '''')) AS has_apostrophe, count(*) FILTER (regexp_matches(lower(word), '[áàâãéêíóôõúç]')) AS has_accent,
+  count(*) FILTER (regexp_matches(word, '^\p{Lu}')) AS starts_with_upper, count(*) FILTER (regexp_matches(word, '[!-/:-@\[-`{-~]$')) AS ends_with_punct FROM wd GROUP BY doc_id""")
+def char_features(spark, sf_dir):
+    c = T.character_features(F.col("word"))
+    sums = [(F.sum(x) if n.startswith("num") else F.count_if(x)).cast("long").alias(n) for n, x in c.items()]
+    return _words(spark, sf_dir).groupBy("doc_id").agg(*sums)
+
+
+@query(_WD + " SELECT CASE WHEN length(word) >= 3 THEN lower(word)[1:3] END AS prefix_3, CASE WHEN length(word) >= 2 THEN right(lower(word), 2) END AS suffix_2, count(*) AS n FROM wd GROUP BY 1, 2")
+def affixes(spark, sf_dir):
+    a = T.affixes(F.col("word"))
+    return _words(spark, sf_dir).groupBy(a["prefix_3"].alias("prefix_3"), a["suffix_2"].alias("suffix_2")).agg(F.count(F.lit(1)).alias("n"))
+
+
+
+
+@query(_WD + " SELECT doc_id, " + ", ".join(f"count(*) FILTER (lower(word) IN ({', '.join(repr(w) for w in v)})) AS is_{k}" for k, v in LEXICON.items()) + ", count(*) FILTER (lower(word) LIKE '%tion') AS ends_with_tion, count(*) FILTER (lower(word) IN (" + ", ".join(repr(w) for v in LEXICON.values() for w in v) + ")) AS is_any FROM wd GROUP BY doc_id")
+def lexicon_flags(spark, sf_dir):
+    flags = T.lexicon_flags(F.col("word"), LEXICON, ("tion",), "is_any")
+    return _words(spark, sf_dir).groupBy("doc_id").agg(*[F.count_if(c).alias(n) for n, c in flags.items()])
+
+
+@query(_WD + r""" SELECT doc_id, count(*) FILTER (regexp_matches(word, '\p{Lu}') AND NOT regexp_matches(word, '\p{Ll}')) AS is_upper, count(*) FILTER (regexp_full_match(word, '\p{Nd}+')) AS is_digit,
+  count(*) FILTER (regexp_full_match(word, '\p{L}+')) AS is_alpha, CAST(sum(length(word)) AS BIGINT) AS word_length, count(*) FILTER (regexp_full_match(word, '[!-/:-@\[-`{-~]*')) AS is_punct FROM wd GROUP BY doc_id""")
+def word_flags(spark, sf_dir):
+    f = T.word_flags(F.col("word")) | T.linguistic(F.col("word"))
+    return _words(spark, sf_dir).groupBy("doc_id").agg(*[F.count_if(f[n]).alias(n) for n in ("is_upper", "is_digit", "is_alpha", "is_punct")], F.sum(f["word_length"]).alias("word_length"))
+
+
+@query(
+    f"WITH {SQL_TOKENS}, x AS (SELECT seg, p, lower(token) AS w, coalesce(lower(lag(token) OVER v), '<PAD>') AS before, coalesce(lower(lead(token, 2) OVER v), '<PAD>') AS after2, lower(lag(token) OVER v) || '_' || lower(token) AS bigram, lower(token) || '_' || lower(lead(token) OVER v) || '_' || lower(lead(token, 2) OVER v) AS trigram, (p = 0)::INT AS f, round(p / count(*) OVER (PARTITION BY seg), 6) AS rel FROM lab WINDOW v AS (PARTITION BY seg ORDER BY p)) "
+    "SELECT seg, md5(string_agg(concat_ws('/', w, before, after2, coalesce(bigram, ''), coalesce(trigram, '')), ' ' ORDER BY p)) AS digest, CAST(sum(f) AS BIGINT) AS firsts, round(sum(rel), 6) AS positions FROM x GROUP BY seg"
+)
+def context_features(spark, sf_dir):
+    rows = features.featurise(synth.segments(spark, sf_dir), "seg")
+    each = F.concat_ws("/", "word_lower", F.col("`ctx-1_word`"), F.col("`ctx+2_word`"), F.coalesce("bigram_prev", F.lit("")), F.coalesce("trigram_next", F.lit("")))
+    rows = rows.select("seg", "pos", each.alias("x"), F.col("is_first").cast("int").alias("f"), r6("relative_position").alias("rel"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]), " ")
+    return rows.groupBy("seg").agg(F.md5(F.encode(lines, "UTF-8")).alias("digest"), F.sum("f").alias("firsts"), r6(F.sum("rel")).alias("positions"))
+
+
+# extraction by an outside model
+
+_EXAMPLES = [("  An example.  ", extract.example_json(False, None)), ("x" * 450, extract.example_json(True, {"subject": "s"}))]
+
+
+@query(
+    "SELECT item_id, 'Say what was decided.' || chr(10) || chr(10) || chr(10) || '# Examples' || chr(10) || chr(10) || chr(10) || '## Example 1' || chr(10) || chr(10) || 'Input: An example.' || chr(10) || chr(10) || 'Output: {\"has_voting_event\": false, \"event\": null}' || chr(10) || chr(10) || chr(10) || '## Example 2' || chr(10) || chr(10) || 'Input: ' || repeat('x', 400) || '...' || chr(10) || chr(10) || 'Output: {\"has_voting_event\": true, \"event\": {\"subject\": \"s\"}}' || chr(10) || chr(10) || chr(10) || chr(10) || '# Your Task' || chr(10) || chr(10) || 'Extract the voting event from the following text and return ONLY the JSON object:' || chr(10) || chr(10) || chr(10) || 'Input: ' || text || chr(10) || chr(10) || chr(10) || 'Output:' AS prompt FROM benchmark"
+)
+def prompt_build(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", extract.prompt(F.col("text"), "Say what was decided.", _EXAMPLES).alias("prompt"))
+
+
+@query("SELECT doc_id, quality = 1 AS has_voting_event, CASE WHEN toxic = 1 THEN 'invalid response structure' END AS error FROM (SELECT doc_id, CASE WHEN toxic = 1 THEN 0 ELSE quality END AS quality, toxic FROM labels)")
+def reply_parse(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels")
+    reply = F.when(F.col("toxic") == 1, "no JSON {").when(F.col("quality") == 1, F.lit('{"has_voting_event": true, "event": {"subject": "s"}}')).otherwise(F.lit('{"has_voting_event": false}'))
+    got = rows.select("doc_id", extract.parse_reply(reply).alias("r"))
+    return got.select("doc_id", "r.has_voting_event", "r.error")
+
+
+@query("WITH e AS (SELECT event_id, user_id % 4 AS k, value FROM events) SELECT event_id, CASE k WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' END AS subject, CAST(CASE WHEN k IN (1, 2) THEN 1 ELSE 0 END AS BIGINT) AS expressions, CAST(CASE WHEN k = 2 THEN 1 ELSE 0 END AS BIGINT) AS counts FROM e")
+def legacy_events(spark, sf_dir):
+    """Older shapes of events (lists, scalars, single objects) brought into the present one."""
+    k = F.col("user_id") % 4
+    raw = F.when(k == 0, '{"subject": "a"}').when(k == 1, '{"subjects": ["b", "x"], "voting_expression": "v"}').when(k == 2, '{"subject": "c", "voting_expressions": ["v"], "counting": {"text": "t", "type": "Majority"}}').otherwise("{}")
+    got = table(spark, sf_dir, "events").select("event_id", extract.normal_event(F.parse_json(raw)).alias("e"))
+    return got.select("event_id", "e.subject", F.size("e.voting_expressions").cast("long").alias("expressions"), F.size("e.counting").cast("long").alias("counts"))
+
+
+@query("SELECT user_id, count(*) FILTER (event_id % 3 = 0) AS quota FROM events GROUP BY user_id")
+def quota_errors(spark, sf_dir):
+    error = F.when(F.col("event_id") % 3 == 0, "Error 429: Quota exceeded").when(F.col("event_id") % 3 == 1, "bad JSON")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(extract.is_quota_error(error)).alias("quota"))
+
+
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS best FROM embeddings")
+def argmax_decode(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", scoring.argmax(F.col("embedding")).alias("best"))
+
+
+@query()
+def viterbi(spark, sf_dir):
+    """Labels of all segments by a tagger with fixed weights for a few words; rows only, as decoding is no SQL."""
+    tagger = scoring.Tagger(["O", "B-VOTING", "I-VOTING"])
+    import numpy as np
+
+    tagger.weights = {"w=the": np.array([0.0, 2.0, 0.0]), "s=ion": np.array([0.0, 0.0, 1.5]), "u=True": np.array([0.0, 0.5, 0.0])}
+    tagger.transition[1, 2] = tagger.transition[2, 2] = 1.0
+    tagger.transition[0, 2] = -5.0
+    rows = scoring.score("tagger", synth.segments(spark, sf_dir).select("seg", "tokens"), tagger=tagger)
+    return rows.select("seg", F.array_join("pred_labels", " ").alias("labels"))
+
+
+@query("SELECT item_id, length(text) % 2 = 0 AS has_voting_event FROM benchmark")
+def outside_calls(spark, sf_dir):
+    """Every benchmark text through a client that stands in for an outside model."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("prompt"))
+    got = extract.call(rows, lambda text: '{"has_voting_event": %s}' % ("true" if len(text) % 2 == 0 else "false"))
+    return got.select("item_id", extract.parse_reply(F.col("reply"))["has_voting_event"].alias("has_voting_event"))
