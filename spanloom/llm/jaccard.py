@@ -243,33 +243,48 @@ def _sift(num: int, den: int):
 
 
 def _across(num: int, den: int):
-    """Pairs of different components within dealt parts of groups, by sizes and sketches; part a against part b."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    """Pairs of different components within dealt parts of groups, by sizes and sketches; part i against part j.
 
-    def run(pdf):
-        how = bands(num, den)
-        pdf = pdf.sort_values("id")
-        ids, comp, n = (pdf[c].to_numpy() for c in ("id", "comp", "n"))
-        left, right = pdf["side"].to_numpy() != 1, pdf["side"].to_numpy() != 0
-        sketches = [np.frombuffer(x, np.uint8) for x in pdf["sketch"]]
+    The rows come sorted by group and part, so one group's part is held at a time: at most a few CHUNK rows.
+    """
+
+    def pairs(how: Bands, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        if (comp == comp[0]).all():
+            return
         size = min(map(len, sketches))
         bits = np.stack([fold(x, size) for x in sketches]).view(np.uint64)
-        us, vs = [], []
-        rights = np.flatnonzero(right)
-        for i in np.flatnonzero(left):
-            j = rights[rights > i] if left[rights].all() and right.all() else rights
+        within, rights = bool((side == 2).all()), np.flatnonzero(side != 0)
+        for i in np.flatnonzero(side != 1).tolist():
+            j = rights[rights > i] if within else rights
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             j = j[(comp[j] != comp[i]) & (small * how.den >= large * how.num)]
-            if len(j):
-                gap = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
-                j = j[gap <= (how.den - how.num) * (n[i] + n[j]) // (how.den + how.num)]
-                for k in j:
-                    if _near(how, int(n[i]), sketches[i], int(n[k]), sketches[k]):
-                        us.append(int(ids[i]))
-                        vs.append(int(ids[k]))
-        import pandas as pd
+            gap = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
+            for k in j[gap <= (how.den - how.num) * (n[i] + n[j]) // (how.den + how.num)].tolist():
+                if _near(how, int(n[i]), sketches[i], int(n[k]), sketches[k]):
+                    yield min(ids[i], ids[k]), max(ids[i], ids[k])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        how, held, last = bands(num, den), [], None
+
+        def done() -> set[tuple[int, int]]:
+            cols = list(zip(*held, strict=True))
+            return set(pairs(how, *(np.array(c, np.int64) for c in cols[:4]), list(cols[4])))
 
-        return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)}, columns=schema.names)
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            keys = zip(*(batch.column(c).to_pylist() for c in ("grp", "i", "j")), strict=True)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("id", "comp", "n", "side")), batch.column("sketch"), strict=True)
+            for key, (*row, sketch) in zip(keys, rows, strict=True):
+                if key != last and held:
+                    found |= done()
+                    held.clear()
+                last = key
+                held.append((*row, np.frombuffer(sketch.as_buffer(), np.uint8)))
+            out = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        if held:
+            out = sorted(done())
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     return run
 
@@ -349,7 +364,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     mine = F.pmod(F.xxhash64("rep"), parts).cast("int")
     cell = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(p, mine).alias("i"), F.greatest(p, mine).alias("j"), F.when(p == mine, 2).when(mine < p, 0).otherwise(1).alias("side")))
     cells = open_.select("grp", F.col("rep").alias("id"), "n", "comp", "sketch", F.explode(cell).alias("c")).select("*", "c.*").drop("c")
-    more = cells.groupBy("grp", "i", "j").applyInPandas(_across(num, den), "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    dealt = cells.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    more = dealt.mapInArrow(_across(num, den), "u long, v long")
     more = stored(more.distinct(), "near-more")
     if not more.isEmpty():
         links = links.union(_links(more, docs, width, num, den, "near-two"))
