@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,38 +58,43 @@ def tile(text: np.ndarray, item: np.ndarray, least: int) -> int:
     """
     free_t, free_i = np.ones(len(text), bool), np.ones(len(item), bool)
     length, marked = len(item), 0
-    while True:
+    while length >= least and free_i.any():
         found = []
-        if length <= min(len(text), len(item)):
-            at = {}
+        at: dict[int, list[int]] = {}
+        if length <= len(text):
             for j, h in enumerate(hashing.shingles(item, length).tolist()):
                 if free_i[j : j + length].all():
                     at.setdefault(h, []).append(j)
-            if at:
-                runs = hashing.shingles(text, length)
-                for i in np.flatnonzero(np.isin(runs, np.array(list(at), U))).tolist():
-                    if not free_t[i : i + length].all():
-                        continue
-                    for j in at[int(runs[i])]:
-                        if i and j and free_t[i - 1] and free_i[j - 1] and text[i - 1] == item[j - 1]:
-                            continue  # part of a longer match that begins earlier
-                        k = length
-                        while i + k < len(text) and j + k < len(item) and free_t[i + k] and free_i[j + k] and text[i + k] == item[j + k]:
-                            k += 1
-                        found.append((k, i, j))
-        again = False
-        for k, i, j in sorted(found, key=lambda x: (-x[0], x[2], x[1])):
-            if free_t[i : i + k].all() and free_i[j : j + k].all():
+        if at:
+            runs = hashing.shingles(text, length)
+            for i in np.flatnonzero(np.isin(runs, np.array(list(at), U))).tolist():
+                if not free_t[i : i + length].all():
+                    continue
+                for j in at[int(runs[i])]:
+                    if i and j and free_t[i - 1] and free_i[j - 1] and text[i - 1] == item[j - 1]:
+                        continue  # part of a longer match that begins earlier
+                    k = length
+                    while i + k < len(text) and j + k < len(item) and free_t[i + k] and free_i[j + k] and text[i + k] == item[j + k]:
+                        k += 1
+                    found.append((-k, j, i))
+        heapq.heapify(found)
+        while found:
+            k, j, i = heapq.heappop(found)
+            k = -k
+            free = free_t[i : i + k] & free_i[j : j + k]
+            if free.all():
                 free_t[i : i + k] = False
                 free_i[j : j + k] = False
                 marked += k
-            elif (free_t[i : i + k] & free_i[j : j + k]).any():
-                again = True  # what is left of an occluded match may still be long enough
-        if again and found:
-            continue
-        if length <= least or not free_i.any():
-            return marked
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], free.view(np.int8), [0]))))
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if b - a >= length:  # what is left of an occluded match waits for its turn
+                    heapq.heappush(found, (a - b, j + a, i + a))
+        if length == least:
+            break
         length = max(length // 2, least)
+    return marked
 
 
 def leaks_of(column: pa.Array, items: Items, threshold: float) -> Iterator[list[tuple[int, int, float]]]:
