@@ -24,6 +24,8 @@ from spanloom.llm.shared import ship, stored
 
 #: Block keys that one bucket should hold; the number of buckets follows from the shingles of the corpus.
 BUCKET = 1_000_000
+#: Bytes of the sketches that go with the members of groups; what they can't tell apart, whole sketches do.
+MINI = 128
 #: Members of a group that are compared with as many others in one task.
 CHUNK = 1024
 #: Documents whose keys one task remembers, so as not to send those of copies again.
@@ -98,6 +100,11 @@ def parity_sketch(x: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def narrow(sketch: bytes) -> bytes:
+    s = np.frombuffer(sketch, np.uint8)
+    return fold(s, min(len(s), MINI)).tobytes()
+
+
 def fold(sketch: np.ndarray, size: int) -> np.ndarray:
     """A sketch made narrower: bits that coincide are added."""
     return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
@@ -112,7 +119,7 @@ def prints(x: np.ndarray) -> tuple[int, int]:
 
 
 def _describe(width: int, sketched: bool):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.binary()), ("mini", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,16 +130,17 @@ def _describe(width: int, sketched: bool):
                 a.append(f[0])
                 b.append(f[1])
                 s.append(parity_sketch(x) if sketched and len(x) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.binary())], schema=schema)
+            mini = [narrow(x) if x else b"" for x in s]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (n, a, b)), pa.array(s, pa.binary()), pa.array(mini, pa.binary())], schema=schema)
 
     return run
 
 
 def describe(docs: DataFrame, width: int = 5, sketched: bool = True) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (hashes of the shingle set) and a parity sketch of each row of docs."""
+    """doc_id, n_shingles, f1, f2 (hashes of the shingle set), a parity sketch and a narrow one of each row of docs."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_describe(width, sketched), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary")
+    return rows.mapInArrow(_describe(width, sketched), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary, mini binary")
 
 
 def _deal(width: int, num: int, den: int, buckets: int):
@@ -149,7 +157,8 @@ def _deal(width: int, num: int, den: int, buckets: int):
             owners.clear()
             bucket = (((keys >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            keys, own = keys[order], own[order]
+            # the upper bits of a key choose its bucket, the lower ones tell keys apart in it
+            keys, own = keys[order].astype(np.uint32), own[order]
             at = np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = np.flatnonzero(at[1:] > at[:-1])
             return pa.RecordBatch.from_arrays(
@@ -192,7 +201,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got.setdefault(bucket, []).append((keys, sets))
     while got:
         _, parts = got.popitem()
-        keys = np.concatenate([np.frombuffer(k, U) for k, _ in parts])
+        keys = np.concatenate([np.frombuffer(k, np.uint32) for k, _ in parts])
         sets = np.concatenate([np.frombuffer(s, np.int64) for _, s in parts])
         del parts
         order = np.argsort(keys)
@@ -260,7 +269,7 @@ def _across(num: int, den: int):
             j = j[(comp[j] != comp[i]) & (small * how.den >= large * how.num)]
             gap = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
             for k in j[gap <= (how.den - how.num) * (n[i] + n[j]) // (how.den + how.num)].tolist():
-                if _near(how, int(n[i]), sketches[i], int(n[k]), sketches[k]):
+                if _near(how, int(n[i]), sketches[i], int(n[k]), sketches[k]):  # as wide as both are
                     yield min(ids[i], ids[k]), max(ids[i], ids[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +282,7 @@ def _across(num: int, den: int):
         for batch in batches:
             found: set[tuple[int, int]] = set()
             keys = zip(*(batch.column(c).to_pylist() for c in ("grp", "i", "j")), strict=True)
-            rows = zip(*(batch.column(c).to_pylist() for c in ("id", "comp", "n", "side")), batch.column("sketch"), strict=True)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("id", "comp", "n", "side")), batch.column("mini"), strict=True)
             for key, (*row, sketch) in zip(keys, rows, strict=True):
                 if key != last and held:
                     found |= done()
@@ -339,34 +348,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     spark = docs.sparkSession
     sets = stored(describe(docs, width), "near-sets")
     first = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "f1", "f2")
-    reps = stored(first.agg(F.min("doc_id").alias("rep"), F.max("sketch").alias("sketch")), "near-reps")
+    reps = stored(first.agg(F.min("doc_id").alias("rep"), F.max("sketch").alias("sketch"), F.max("mini").alias("mini")), "near-reps")
     total = reps.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * BUCKET)) + 1
     text = docs.filter("doc_id IS NOT NULL").select(F.col("text").cast("string"))
     dealt = text.mapInArrow(_deal(width, num, den, buckets), "bucket int, keys binary, sets binary")
     found = stored(dealt.repartition(buckets, "bucket").mapInArrow(_match, "a long, b long, grp long"), "near-found")
 
+    def sifted(pairs: DataFrame, tag: str) -> DataFrame:
+        fit = pairs.filter("u <> v").filter(F.least("n", "m") * den >= F.greatest("n", "m") * num)
+        return stored(fit.select("u", "v", "n", "s", "m", "t").mapInArrow(_sift(num, den), "u long, v long"), tag)
+
     def described(name: str, id_: str, n: str, s: str) -> DataFrame:
         return reps.select(F.col("f1").alias(name), F.col("rep").alias(id_), F.col("n_shingles").alias(n), F.col("sketch").alias(s))
 
     star = found.filter("grp IS NULL").select("a", "b").distinct()
-    star = star.join(described("a", "u", "n", "s"), "a").join(described("b", "v", "m", "t"), "b").filter("u <> v").filter(F.least("n", "m") * den >= F.greatest("n", "m") * num)
-    star = stored(star.select("u", "v", "n", "s", "m", "t").mapInArrow(_sift(num, den), "u long, v long"), "near-star")
+    star = star.join(described("a", "u", "n", "s"), "a").join(described("b", "v", "m", "t"), "b")
+    star = sifted(star, "near-star")
     links = _links(star, docs, width, num, den, "near-one")
     comps = stored(components(links), "near-comps")
 
     groups = found.filter("grp IS NOT NULL").select("grp", F.col("b").alias("f1")).distinct()
-    groups = groups.join(reps.select("f1", "rep", F.col("n_shingles").alias("n"), "sketch"), "f1")
+    groups = groups.join(reps.select("f1", "rep", F.col("n_shingles").alias("n"), "mini"), "f1")
     groups = groups.join(comps, groups["rep"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component", "f1")
     mixed = groups.groupBy("grp").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi"), F.count(F.lit(1)).alias("__n")).filter("__lo < __hi")
     open_ = groups.join(mixed.select("grp", "__n"), "grp")
     parts = F.ceil(F.col("__n") / CHUNK).cast("int")
     mine = F.pmod(F.xxhash64("rep"), parts).cast("int")
     cell = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(p, mine).alias("i"), F.greatest(p, mine).alias("j"), F.when(p == mine, 2).when(mine < p, 0).otherwise(1).alias("side")))
-    cells = open_.select("grp", F.col("rep").alias("id"), "n", "comp", "sketch", F.explode(cell).alias("c")).select("*", "c.*").drop("c")
+    cells = open_.select("grp", F.col("rep").alias("id"), "n", "comp", "mini", F.explode(cell).alias("c")).select("*", "c.*").drop("c")
     dealt = cells.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     more = dealt.mapInArrow(_across(num, den), "u long, v long")
-    more = stored(more.distinct(), "near-more")
+    full = lambda id_, n, s: reps.select(F.col("rep").alias(id_), F.col("n_shingles").alias(n), F.col("sketch").alias(s))
+    more = sifted(more.distinct().join(full("u", "n", "s"), "u").join(full("v", "m", "t"), "v"), "near-more")
     if not more.isEmpty():
         links = links.union(_links(more, docs, width, num, den, "near-two"))
         comps = stored(components(links), "near-comps")
@@ -385,7 +399,8 @@ def first_of_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     that costs a sort only where doc_ids repeat.
     """
     groups = stored(near_duplicates(docs, width, num, den), "near-groups")
-    late = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("__late")).distinct()
+    # the list grows with the corpus, so it is joined by a shuffle at every size and never sent to all tasks
+    late = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("__late")).distinct().hint("merge")
     out = docs.join(late, docs["doc_id"] == late["__late"], "left_anti")
     repeats = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if repeats.isEmpty():

@@ -16,7 +16,7 @@ from spanloom.llm.hashing import U, mix
 from spanloom.llm.shared import least, ship
 
 #: Most labelled documents of each label that a model is fitted on: those with the least hash.
-SAMPLE = 6000
+SAMPLE = 4000
 
 
 @dataclass(frozen=True)
@@ -102,8 +102,10 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), sample:
 
     got = chosen.mapInArrow(listed, "id long, rank long, label double, ids binary, vals binary").toPandas()
     got = got.sort_values(["rank", "label", "id", "ids"])
-    rows = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32).astype(float), x) for i, v, x in zip(got["ids"], got["vals"], got["label"], strict=True)]
-    if got["label"].nunique() < 2:
+    one_label = got["label"].nunique() < 2
+    rows = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), x) for i, v, x in zip(got["ids"], got["vals"], got["label"], strict=True)]
+    del got
+    if one_label:
         weights = np.zeros((1 << how.bits) + 1)
         weights[-1] = 0.0 if not rows else 4.0 * (2 * rows[0][2] - 1)
         return weights
