@@ -7,7 +7,6 @@ next stage's docs. All but the last return the columns of docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spanloom.llm import decontam, jaccard, mixing, quality, sharding
 from spanloom.llm.shared import stored, table
@@ -16,7 +15,7 @@ from spanloom.llm.shared import stored, table
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labels of the documents, gives 0.7 or more."""
     weights = quality.fit(docs, table(spark, sf_dir, "labels").filter(~quality.held_out("doc_id", 4, 2)))
-    return quality.score(docs.select(F.struct(*docs.columns).alias("row"), "text"), weights, keep=["row"]).filter("predicted = 1").select("row.*")
+    return quality.keep_good(docs, weights)
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -158,14 +158,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least: int = 5) -> DataFrame:
     """The rows of docs that leak no item, with their columns; what counts as a leak is said at leaks()."""
-    names, schema = docs.columns, docs.schema
+    at, schema = docs.columns.index("text"), docs.schema
     for held in _parts(benchmark, least):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                *columns, text = batch.columns
-                clean = pa.array([not x for x in leaks_of(text, held.value, threshold)], pa.bool_())
-                yield pa.RecordBatch.from_arrays(columns, names=names).filter(clean)
+                yield batch.filter(pa.array([not x for x in leaks_of(batch.column(at), held.value, threshold)], pa.bool_()))
 
-        docs = docs.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")).mapInArrow(run, schema)
+        docs = docs.mapInArrow(run, schema)
     return docs

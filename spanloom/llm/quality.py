@@ -112,6 +112,10 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), sample:
     return ftrl(rows, how)
 
 
+def _scores(text: pa.Array, w: np.ndarray, how: Settings) -> np.ndarray:
+    return np.array([sigmoid(w[i] @ v) for i, v in features(text, how)], float)
+
+
 def score(docs: DataFrame, weights: np.ndarray, how: Settings = Settings(), threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from `threshold` on), which replace columns of the same names.
 
@@ -122,20 +126,34 @@ def score(docs: DataFrame, weights: np.ndarray, how: Settings = Settings(), thre
     ship(spark)
     held = spark.sparkContext.broadcast(weights.astype(np.float32))
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    rest = docs.select(*kept, F.col("text").cast("string").alias("__text"))
-    names = [*kept, "score", "predicted"]
+    rest = docs.select(*kept) if "text" in kept else docs.select(*kept, "text")
+    at, names = rest.columns.index("text"), [*kept, "score", "predicted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = held.value.astype(float)
         for batch in batches:
-            *columns, text = batch.columns
-            s = np.array([sigmoid(w[i] @ v) for i, v in features(text, how)], float)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=names)
+            s = _scores(batch.column(at), w, how)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=names)
 
-    schema = StructType([*rest.schema.fields[:-1], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    schema = StructType([*rest.schema.fields[: len(kept)], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
     return rest.mapInArrow(run, schema)
 
 
+def keep_good(docs: DataFrame, weights: np.ndarray, how: Settings = Settings(), threshold: float = 0.7) -> DataFrame:
+    """The rows of docs with a score of `threshold` or more, with their columns."""
+    spark = docs.sparkSession
+    ship(spark)
+    held = spark.sparkContext.broadcast(weights.astype(np.float32))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = held.value.astype(float)
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(at), w, how) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id, mod: int, rest: int):
     """Whether crc32(doc_id as text) leaves `rest`; null doc_ids are never held out."""
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % mod == rest, F.lit(False))
