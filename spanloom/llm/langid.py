@@ -142,13 +142,14 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE) -> tuple[list[str], np
     """The languages of docs (text, lang) and their piece probabilities.
 
     A model is fitted on the words of at most `sample` documents of each language, those with the least hash of
-    the text, and on at most SAMPLE_WORDS distinct words of them, the most frequent. Null texts and languages
+    text and doc_id, and on at most SAMPLE_WORDS distinct words of them, the most frequent. Null texts and languages
     are left out.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    chosen = least(rows, "lang", F.col("text"), sample).select("lang", "text")
+    ids = [F.col("doc_id")] if "doc_id" in docs.columns else []
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), *ids).filter("lang IS NOT NULL AND text IS NOT NULL")
+    chosen = least(rows, "lang", ["text", *(["doc_id"] if "doc_id" in rows.columns else [])], sample).select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

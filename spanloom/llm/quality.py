@@ -25,7 +25,7 @@ class Settings:
 
     bits: int = 18
     grams: int = 2
-    alpha: float = 0.3
+    alpha: float = 0.6
     beta: float = 1.0
     l1: float = 0.02
     l2: float = 0.02
@@ -69,7 +69,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, float]], how: Settings) -> np.
         return np.where(np.abs(z[i]) > how.l1, w, 0.0)
 
     ones = sum(label for *_, label in rows)
-    odds = np.sqrt(max(ones, 1) / max(len(rows) - ones, 1))  # the rarer label counts more, by the root of its rarity
+    odds = (max(ones, 1) / max(len(rows) - ones, 1)) ** 0.25  # the rarer label counts more, by the fourth root of its rarity
     for _ in range(how.epochs):
         for ids, values, label in rows:
             w = weight(ids)
@@ -89,10 +89,10 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), sample:
     spark = docs.sparkSession
     ship(spark)
     marks = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__label")).filter("__id IS NOT NULL AND __label IN (0, 1)")
-    marks = least(marks, "__label", F.col("__id"), sample)
+    marks = least(marks, "__label", ["__id"], sample)
     text = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    chosen = text.join(F.broadcast(marks), text["doc_id"] == marks["__id"]).select("__id", "__rank", "__label", "text")
-    schema = pa.schema([("id", pa.int64()), ("rank", pa.int64()), ("label", pa.float64()), ("ids", pa.binary()), ("vals", pa.binary())])
+    chosen = text.join(F.broadcast(marks), text["doc_id"] == marks["__id"]).select("__id", "__h", "__label", "text")
+    schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("label", pa.float64()), ("ids", pa.binary()), ("vals", pa.binary())])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,8 +100,8 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), sample:
             cols = [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int64()), batch.column(2).cast(pa.float64())]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([i.astype(np.int32).tobytes() for i, _ in f], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in f], pa.binary())], schema=schema)
 
-    got = chosen.mapInArrow(listed, "id long, rank long, label double, ids binary, vals binary").toPandas()
-    got = got.sort_values(["rank", "label", "id", "ids"])
+    got = chosen.mapInArrow(listed, "id long, h long, label double, ids binary, vals binary").toPandas()
+    got = got.sort_values(["h", "label", "id", "ids"])
     one_label = got["label"].nunique() < 2
     rows = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), x) for i, v, x in zip(got["ids"], got["vals"], got["label"], strict=True)]
     del got

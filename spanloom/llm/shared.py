@@ -9,9 +9,11 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Most groups whose table is broadcast.
+SMALL = 10_000
 _shipped: set[str] = set()
 
 
@@ -72,15 +74,22 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def least(rows: DataFrame, group: str, key: Column, most: int) -> DataFrame:
-    """Of each group the `most` rows with the least hash of key, for a bounded sample that depends on the rows alone.
+def least(rows: DataFrame, group: str, keys: list[str], most: int) -> DataFrame:
+    """Of each group at most `most` rows, those with the least hash of their keys, with the hash as `__h`.
 
-    Groups are counted first; rows whose hash is beyond about twice the wanted share are left out before the one
-    that ranks, so what meets in a task is bounded however large a group is.
+    Only group and hash are ranked, and of those only about twice the wanted share, by a count of each group; the
+    rows themselves are not shuffled but held against their group's last hash. The tables of groups are broadcast
+    up to SMALL groups. Rows whose hash is that of the first row left out are left out too.
     """
-    counts = rows.groupBy(F.col(group).alias("__group")).agg(F.count(F.lit(1)).alias("__size"))
-    h = F.xxhash64(key, F.lit(11))
-    share = F.pmod(h, F.lit(1 << 40)) / float(1 << 40)
-    near = rows.join(counts, F.col(group) == F.col("__group")).filter(share * F.col("__size") < 2 * most + 100)
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(h, key))
-    return near.withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("__group", "__size")
+    h = F.xxhash64(*keys, F.lit(11))
+    narrow = rows.select(F.col(group).alias("__group"), h.alias("__h"))
+    counts = stored(narrow.groupBy("__group").agg(F.count(F.lit(1)).alias("__size")), "sample-sizes")
+    small = F.broadcast if counts.count() <= SMALL else (lambda x: x)
+    share = F.pmod("__h", F.lit(1 << 40)) / float(1 << 40)
+    near = narrow.join(small(counts), "__group").filter(share * F.col("__size") < 2 * most + 100)
+    order = F.pmod("__h", F.lit(1 << 40))
+    first = near.withColumn("__o", order).withColumn("__rank", F.row_number().over(Window.partitionBy("__group").orderBy("__o")))
+    cuts = first.filter(F.col("__rank") <= most + 1).groupBy("__group").agg(F.count(F.lit(1)).alias("__n"), F.max("__o").alias("__last"))
+    cuts = stored(cuts, "sample-cuts")
+    joined = rows.withColumn("__h", F.pmod(h, F.lit(1 << 40))).join(small(cuts), F.col(group) == F.col("__group"))
+    return joined.filter((F.col("__n") <= most) | (F.col("__h") < F.col("__last"))).drop("__group", "__n", "__last")
