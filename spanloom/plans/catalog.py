@@ -422,9 +422,9 @@ def validate_records(spark, sf_dir):
 def label_ids(spark, sf_dir):
     """Predicted labels as ids; labels that are not in the vocabulary become O."""
     rows = synth.segments(spark, sf_dir)
-    vocab = stats.label_vocabulary(rows, "gold").agg(F.map_from_entries(F.collect_list(F.struct("label", "label_id"))).alias("__v"))
-    rows = rows.join(F.broadcast(vocab))  # one row: the labels of the scheme
-    return rows.select("seg", F.array_join(T.ids(F.col("pred"), F.col("__v"), 0), " ").alias("ids"))
+    vocab = stats.label_vocabulary(rows, "gold").agg(F.map_from_entries(F.collect_list(F.struct("label", "label_id"))))
+    rows = rows.select("seg", "pred", vocab.scalar().alias("v"))  # the labels of the scheme, one value
+    return rows.select("seg", F.array_join(T.ids(F.col("pred"), F.col("v"), 0), " ").alias("ids"))
 
 
 # vocabularies and statistics
