@@ -70,7 +70,7 @@ def components(links: DataFrame, local: int = LOCAL) -> DataFrame:
             heads = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(heads)
         seen = state
-        parts = edges.repartition(-(-state[0] // local), "u").mapInArrow(_forest, "u long, v long").filter("u <> v")
+        parts = edges.repartition(-(-state[0] // local)).mapInArrow(_forest, "u long, v long").filter("u <> v")
         after = stored(_small(_large(parts)), "links")
         discard(edges)
         edges = after
