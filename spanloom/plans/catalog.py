@@ -344,6 +344,20 @@ def pad_features(spark, sf_dir):
     return rows.select("doc_id", F.array_join(T.pad(sizes, 64, F.lit(0)), " ").alias("ids"), F.array_join(T.pad(ones, 64, F.lit(0)), " ").alias("mask"))
 
 
+@query(
+    f"""WITH {_TK}, nn AS (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n, ts FROM tk),
+ww AS (SELECT doc_id, ts, unnest(range(CASE WHEN n = 0 THEN 0 WHEN n <= 459 THEN 1 ELSE CAST(ceil((n - 459) / 409.0) AS BIGINT) + 1 END)) AS k FROM nn),
+wt AS (SELECT doc_id, CAST(k AS BIGINT) AS window_idx, ts[k * 409 + 1 : k * 409 + 459] AS ts FROM ww)
+SELECT doc_id, window_idx, array_to_string(list_resize(list_transform(ts, lambda x: CAST(length(x) AS BIGINT)), 512, CAST(0 AS BIGINT)), ' ') AS ids, array_to_string(list_resize(list_transform(ts, lambda x: 1), 512, 0), ' ') AS mask FROM wt"""
+)
+def pad_windows(spark, sf_dir):
+    """Every token of every document: the windows, each padded to 512. pad_features shows the first 64 tokens only."""
+    rows = windows.windowed(_docs(spark, sf_dir))
+    sizes, ones = F.transform("tokens", lambda t: F.length(t)), F.transform("tokens", lambda t: F.lit(1))
+    ids, mask = (F.array_join(T.pad(x, 512, F.lit(0)), " ") for x in (sizes, ones))
+    return rows.select("doc_id", F.col("window_idx").cast("long").alias("window_idx"), ids.alias("ids"), mask.alias("mask"))
+
+
 @query(f"WITH {SQL_TOKENS} SELECT seg, string_agg(gold || ':' || length(token) || ':' || ((length(token) + 3) // 4), ' ' ORDER BY p) AS aligned FROM lab GROUP BY seg")
 def subword_alignment(spark, sf_dir):
     """Tokens cut into subwords of four characters, aligned, and reduced to first subwords again."""
