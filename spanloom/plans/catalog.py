@@ -474,6 +474,21 @@ def oov_rate(spark, sf_dir):
     return stats.oov(words, stats.word_vocabulary(words, 5000))
 
 
+# the vocabulary at the operator's own size; the two above are bounded to a tenth of it, as their SQL is
+_VOCAB_WHOLE = _VOCAB + ", vw AS (SELECT word, n, CAST(k + 1 AS BIGINT) AS word_id FROM tp WHERE k <= 49998 AND n >= 2)"
+
+
+@query(_VOCAB_WHOLE + " SELECT * FROM vw")
+def word_vocab_whole(spark, sf_dir):
+    return stats.word_vocabulary(_words(spark, sf_dir))
+
+
+@query(_VOCAB_WHOLE + " SELECT CAST(sum(c.n) AS BIGINT) AS words, CAST(coalesce(sum(c.n) FILTER (vw.word IS NULL), 0) AS BIGINT) AS misses, round(100 * coalesce(sum(c.n) FILTER (vw.word IS NOT NULL), 0) / sum(c.n), 6) AS hit_rate FROM c LEFT JOIN vw USING (word)")
+def oov_rate_whole(spark, sf_dir):
+    words = _words(spark, sf_dir)
+    return stats.oov(words, stats.word_vocabulary(words))
+
+
 @query(_WD + " SELECT char, CAST(row_number() OVER (ORDER BY char) + 1 AS BIGINT) AS char_id FROM (SELECT DISTINCT unnest(string_split(lower(word), '')) AS char FROM wd) WHERE char <> ''")
 def char_vocab(spark, sf_dir):
     return stats.char_vocabulary(_words(spark, sf_dir))
