@@ -19,9 +19,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id; of rows with one doc_id, one row.
+    """Of each group of near-duplicates the document with the smallest doc_id; of equal rows with one doc_id, one row.
 
-    Documents without doc_id or words stay.
+    Documents without doc_id or words stay. Different texts of one doc_id are documents of their own.
     """
     return jaccard.first_of_groups(docs)
 

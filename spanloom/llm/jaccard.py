@@ -395,16 +395,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 def first_of_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs that are the first, by doc_id, of their group of near-duplicates, with docs' columns.
 
-    Rows with null doc_id stay. Of several rows with one doc_id the one with the least text and source stays;
-    that costs a sort only where doc_ids repeat.
+    Rows with null doc_id stay, copies among them too. Where doc_ids repeat, each text of a doc_id is a document of
+    its own: of equal rows, and of similar texts of one doc_id, the one with the least text and source stays.
     """
+    repeats = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeats.isEmpty():
+        return _first_of_texts(docs, width, num, den)
     groups = stored(near_duplicates(docs, width, num, den), "near-groups")
     # the list grows with the corpus, so it is joined by a shuffle at every size and never sent to all tasks
     late = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("__late")).distinct().hint("merge")
-    out = docs.join(late, docs["doc_id"] == late["__late"], "left_anti")
-    repeats = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if repeats.isEmpty():
-        return out
-    names = out.columns
-    number = F.row_number().over(Window.partitionBy("__id").orderBy(*[f"`{c}`" for c in ("text", "source") if c in names]))
-    return out.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.uuid())).withColumn("__n", number).filter("__n = 1").select(*names)
+    return docs.join(late, docs["doc_id"] == late["__late"], "left_anti")
+
+
+def _first_of_texts(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """first_of_groups() of documents told apart by a hash of doc_id and text."""
+    key, text = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.col("text").cast("string")
+    named = docs.filter("doc_id IS NOT NULL")
+    keyed = named.select(key.alias("doc_id"), text.alias("text"))
+    groups = stored(near_duplicates(keyed, width, num, den), "near-groups").select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    members = named.select(key.alias("__key"), F.col("doc_id").cast("long").alias("__id"), text.alias("__text")).join(groups.hint("merge"), "__key")
+    first = members.groupBy("component_id").agg(F.min(F.struct("__id", "__text", "__key")).alias("f")).select(F.col("f.__key").alias("__key"))
+    order = [f"`{c}`" for c in ("source",) if c in docs.columns] or ["__key"]
+    kept = named.withColumn("__key", key).join(first.hint("merge"), "__key", "left_semi")
+    kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy(*order))).filter("__n = 1")
+    return kept.select(*[f"`{c}`" for c in docs.columns]).union(docs.filter("doc_id IS NULL"))

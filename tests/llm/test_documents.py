@@ -325,6 +325,15 @@ def test_tiles_against_plain(text, item, least):
     assert abs(got - want) <= 2 * least and (got > 0) == (want > 0)  # ties between equal matches may fall otherwise
 
 
+def test_texts_of_one_id_are_kept_apart(spark):
+    rows = [(1, "a b c d e f g", "en", "s"), (2, "a b c d e f g", "en", "s"), (2, "h i j k l m n", "en", "s"), (3, "o p q", "en", "s"), (3, "r s t", "en", "s"), (3, "r s t", "en", "s"), (None, "r s t", "en", "s")]
+    docs = frame(spark, rows)
+    got = jaccard.first_of_groups(docs)
+    assert got.columns == docs.columns
+    want = [(1, "a b c d e f g"), (2, "h i j k l m n"), (3, "o p q"), (3, "r s t"), (None, "r s t")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_reordered_passages_leak(spark, odd, none):
     rng = random.Random(4)
     words = [f"term{k}" for k in range(2000)]
