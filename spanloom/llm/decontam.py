@@ -29,13 +29,21 @@ def _tokens(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 class Items:
-    """Benchmark items as token hashes, with the seeds (runs of `least` tokens) of all in one sorted list."""
+    """Benchmark items as token hashes, with the seeds (runs of `least` tokens) of all in one sorted list.
 
-    def __init__(self, rows: list[tuple[int, str]], least: int):
+    Items of fewer tokens are in `short`: by their number of tokens, the hash of all of them and who has it.
+    """
+
+    def __init__(self, rows: list[tuple[int | None, str]], least: int):
         self.least = least
-        rows = sorted({(i, t) for i, t in rows if i is not None and t is not None})
+        rows = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         tokens = list(_tokens(pa.array([t for _, t in rows], pa.string()))) if rows else []
         self.items = [(i, h) for (i, _), h in zip(rows, tokens, strict=True) if len(h) >= least]
+        self.short: dict[int, dict[int, list[int | None]]] = {}
+        for (i, _), h in zip(rows, tokens, strict=True):
+            if 0 < len(h) < least:
+                self.short.setdefault(len(h), {}).setdefault(int(hashing.shingles(h, len(h))[0]), []).append(i)
+        self.keys = {n: np.array(sorted(own), U) for n, own in self.short.items()}
         seeds = [hashing.shingles(h, least) for _, h in self.items]
         size = [len(s) for s in seeds]
         every = np.concatenate([np.zeros(0, U), *seeds])
@@ -98,9 +106,13 @@ def tile(text: np.ndarray, item: np.ndarray, least: int) -> int:
 
 
 def leaks_of(column: pa.Array, items: Items, threshold: float) -> Iterator[list[tuple[int, int, float]]]:
-    """For each row the items of which it has `threshold` of the tokens in tiles: item, tokens, share."""
+    """For each row the items of which it has `threshold` of the tokens in tiles, or all of a short item in a run."""
     for h in _tokens(column):
         out = []
+        for n, keys in items.keys.items():
+            if len(h) >= n:
+                runs = np.unique(hashing.shingles(h, n))
+                out += [(i, n, 1.0) for k in runs[np.isin(runs, keys)].tolist() for i in items.short[n][k]]
         if len(h) >= items.least and len(items.distinct):
             runs = hashing.shingles(h, items.least)
             at = np.minimum(np.searchsorted(items.distinct, runs), len(items.distinct) - 1)
@@ -122,11 +134,12 @@ def leaks_of(column: pa.Array, items: Items, threshold: float) -> Iterator[list[
         yield out
 
 
-def _parts(benchmark: DataFrame, least: int):
-    """The benchmark as broadcasts of bounded size."""
+def _parts(benchmark: DataFrame, least: int, unnamed: bool = False):
+    """The benchmark as broadcasts of bounded size, with the items without item_id if `unnamed`."""
     spark = benchmark.sparkSession
     ship(spark)
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    rows = rows if unnamed else rows.filter("item_id IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = 1 if size <= PART_BYTES else 2 * -(-size // PART_BYTES)
     for part in range(count):
@@ -138,8 +151,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least:
     """doc_id, item_id, matched (item tokens in tiles of `least` or more) and coverage, for coverage >= threshold.
 
     A row for each pair of a row of docs and a distinct item. Order of the tiles does not count, so reordered
-    passages are found. Items with null id or text or fewer than `least` tokens are never found, null and empty
-    texts have no leaks. Extra columns are not read. docs is read once for each part of the benchmark.
+    passages are found. Items of fewer than `least` tokens are found where all their tokens follow each other. Items
+    with null id or text or no tokens are never found, null and empty texts have no leaks. Extra columns are not read. docs is read once for each part of the benchmark.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int64()), ("coverage", pa.float64())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -157,9 +170,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least: int = 5) -> DataFrame:
-    """The rows of docs that leak no item, with their columns; what counts as a leak is said at leaks()."""
+    """The rows of docs that leak no item, with their columns; what counts as a leak is said at leaks(). Null ids count as others."""
     at, schema = docs.columns.index("text"), docs.schema
-    for held in _parts(benchmark, least):
+    for held in _parts(benchmark, least, unnamed=True):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:

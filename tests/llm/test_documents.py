@@ -357,6 +357,14 @@ def test_reordered_passages_leak(spark, odd, none):
     assert decontam.leaks(docs, bench.limit(0)).count() == 0 and decontam.decontaminate(docs, bench.limit(0)).count() == 5
 
 
+def test_short_and_unnamed_items_leak(spark):
+    rows = [(1, "x y Too, few z", "en", "s"), (2, "few too", "en", "s"), (3, "in a b c d e f g", "en", "s"), (4, "vor 你好世界 nach", "en", "s"), (5, "clean text", "en", "s"), (6, None, "en", "s"), (7, "too", "en", "s")]
+    bench = spark.createDataFrame([(1, "too few"), (2, "你好世界"), (None, "a b c d e f"), (3, "?!"), (4, None), (None, None)], "item_id long, text string")
+    docs = frame(spark, rows)
+    assert {(r.doc_id, r.item_id, r.matched, r.coverage) for r in decontam.leaks(docs, bench).collect()} == {(1, 1, 2, 1.0), (4, 2, 1, 1.0)}
+    assert sorted(r.doc_id for r in decontam.decontaminate(docs, bench).collect()) == [2, 5, 6, 7]
+
+
 def test_large_benchmarks_are_taken_in_parts(spark, monkeypatch):
     monkeypatch.setattr(decontam, "PART_BYTES", 100)
     items = [" ".join(f"i{k}t{j}" for j in range(12)) for k in range(6)]
