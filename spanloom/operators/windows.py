@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import let
 
-#: Most windows of a segment.
+#: Most windows of a segment in greedy_windows, as in the published loop.
 MOST = 101
 
 
@@ -23,7 +23,7 @@ def uniform_windows(size: Column, max_length: int = 512, overlap: int = 50) -> C
     """Windows (window_idx, start, end) of `size` tokens of one subword each, end exclusive, as an array."""
     e = budget(max_length)
     step = e - overlap
-    count = F.when(size <= e, 1).otherwise(F.least(F.lit(MOST), F.ceil((size - e) / step).cast("int") + 1))
+    count = F.when(size <= e, 1).otherwise(F.ceil((size - e) / step).cast("int") + 1)
     window = lambda k: F.struct(k.cast("int").alias("window_idx"), (k * step).cast("int").alias("start"), F.least(size, k * step + e).cast("int").alias("end"))
     return F.when(size > 0, F.transform(F.sequence(F.lit(0), count - 1), window)).otherwise(F.array().cast("array<struct<window_idx:int,start:int,end:int>>"))
 

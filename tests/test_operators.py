@@ -171,6 +171,14 @@ def test_uniform_windows(spark, n, want):
     assert [(x.start, x.end) for x in w] == want == windows.greedy_windows([1] * n, None)
 
 
+def test_windows_cover_long_texts(spark):
+    n = 100_001
+    docs = spark.range(1).select("id", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.lit("x")).alias("tokens")).withColumn("n", F.size("tokens"))
+    pieces = windows.windowed(docs).select("id", "n", "window_idx", "start", "end", F.col("tokens").alias("labels"))
+    assert pieces.agg(F.count(F.lit(1)), F.max("end")).first()[:] == (245, n)
+    assert windows.merge(pieces, "id", F.col("n"), "labels").select(F.count_if(F.array_contains("labels", "O"))).first()[0] == 0
+
+
 def test_any_tokenizer(spark):
     df = spark.createDataFrame([(1, ["aa"] * 700), (2, ["b"] * 5), (3, ["x" * 1000, "y"]), (4, None)], "id int, tokens array<string>")
     got = {r.id: [tuple(w) for w in r.windows] for r in windows.tokenizer_windows(df, lambda t: [len(x) for x in t]).collect()}
