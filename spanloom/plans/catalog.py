@@ -74,8 +74,8 @@ def bio_violations(spark, sf_dir):
 
 @query(f"WITH {SQL_FIXED} SELECT seg, p, fixed FROM fix WHERE pred <> fixed")
 def bio_repair_rows(spark, sf_dir):
-    rows = synth.segments(spark, sf_dir).select("seg", F.posexplode("pred").alias("p", "pred"))
-    return bio.repair_rows(rows, "seg", "p", "pred").filter("pred <> fixed").select("seg", F.col("p").cast("long").alias("p"), "fixed")
+    rows = synth.segments(spark, sf_dir).select(F.struct("doc_id", "seg").alias("key"), F.posexplode("pred").alias("p", "pred"))
+    return bio.repair_rows(rows, "key", "p", "pred").filter("pred <> fixed").select("key.seg", F.col("p").cast("long").alias("p"), "fixed")
 
 
 def _span_rows(rows, label, mode):
@@ -574,11 +574,11 @@ def word_flags(spark, sf_dir):
     "SELECT seg, md5(string_agg(concat_ws('/', w, before, after2, coalesce(bigram, ''), coalesce(trigram, '')), ' ' ORDER BY p)) AS digest, CAST(sum(f) AS BIGINT) AS firsts, round(sum(rel), 6) AS positions FROM x GROUP BY seg"
 )
 def context_features(spark, sf_dir):
-    rows = features.featurise(synth.segments(spark, sf_dir), "seg")
+    rows = features.featurise(synth.segments(spark, sf_dir).select(F.struct("doc_id", "seg").alias("key"), "tokens"), "key")
     each = F.concat_ws("/", "word_lower", F.col("`ctx-1_word`"), F.col("`ctx+2_word`"), F.coalesce("bigram_prev", F.lit("")), F.coalesce("trigram_next", F.lit("")))
-    rows = rows.select("seg", "pos", each.alias("x"), F.col("is_first").cast("int").alias("f"), r6("relative_position").alias("rel"))
+    rows = rows.select("key", "pos", each.alias("x"), F.col("is_first").cast("int").alias("f"), r6("relative_position").alias("rel"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]), " ")
-    return rows.groupBy("seg").agg(F.md5(F.encode(lines, "UTF-8")).alias("digest"), F.sum("f").alias("firsts"), r6(F.sum("rel")).alias("positions"))
+    return rows.groupBy("key").agg(F.md5(F.encode(lines, "UTF-8")).alias("digest"), F.sum("f").alias("firsts"), r6(F.sum("rel")).alias("positions")).select("key.seg", "digest", "firsts", "positions")
 
 
 # extraction by an outside model

@@ -59,13 +59,13 @@ def _labels(seg: Column, tokens: Column) -> tuple[Column, Column]:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seg, tokens, gold and pred."""
+    """doc_id, seg, tokens, gold and pred. seg alone repeats after texts of more than 32,000 tokens."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.tokens(F.col("text")).alias("ts"))
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("ts") - 1) / SIZE).cast("int")), lambda s: F.struct(s.alias("s"), F.slice("ts", s * SIZE + 1, SIZE).alias("tokens")))
     rows = docs.filter(F.size("ts") > 0).select("doc_id", F.explode(cut).alias("x"))
-    rows = rows.select((F.col("doc_id") * 1000 + F.col("x.s")).cast("long").alias("seg"), F.col("x.tokens").alias("tokens"))
+    rows = rows.select("doc_id", (F.col("doc_id") * 1000 + F.col("x.s")).cast("long").alias("seg"), F.col("x.tokens").alias("tokens"))
     gold, pred = _labels(F.col("seg"), F.col("tokens"))
-    return rows.select("seg", "tokens", gold.alias("gold"), pred.alias("pred"))
+    return rows.select("doc_id", "seg", "tokens", gold.alias("gold"), pred.alias("pred"))
 
 
 def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
