@@ -4,7 +4,7 @@ A document is the set of its word shingles. Each shingle flips one bit of a sket
 most as many bits as the sets differ in shingles. Sets of similarity t differ in at most (1-t)/(1+t) of their
 joint size: for each size band that gives a bound d, the sketch is split into more than d blocks, and two similar
 sets agree in one block at least. Blocks are very wide, kept as the hash of their odd bits. Documents that agree
-in a block are compared by narrow sketches, then by the sets themselves.
+in a block are compared by sketches, then by the sets themselves.
 """
 
 from __future__ import annotations
@@ -24,10 +24,8 @@ from spanloom.llm.shared import ship, stored
 
 #: Block keys that one bucket should hold; the number of buckets follows from the shingles of the corpus.
 BUCKET = 1_000_000
-#: Bytes of the sketches that go with the members of groups; what they can't tell apart, whole sketches do.
-MINI = 128
-#: Members of a group that are compared with as many others in one task.
-CHUNK = 1024
+#: Members of a cluster, and their shingles, that are compared with as many others in one task.
+CHUNK, PART = 2048, 2_000_000
 #: Documents whose keys one task remembers, so as not to send those of copies again.
 SEEN = 200_000
 
@@ -94,17 +92,12 @@ def block_keys(x: np.ndarray, how: Bands) -> np.ndarray:
 
 
 def parity_sketch(x: np.ndarray) -> bytes:
-    """A narrow sketch of about four bits a shingle; its width is a power of two, so wider ones can be folded."""
+    """A sketch of about four bits a shingle; its width is a power of two, so wider ones can be folded."""
     width = 1 << max(6, (4 * len(x) - 1).bit_length())
     odd = np.bincount((mix(x ^ U(0x2545F4914F6CDD1D)) & U(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def narrow(sketch: bytes) -> bytes:
-    s = np.frombuffer(sketch, np.uint8)
-    return fold(s, min(len(s), MINI)).tobytes()
-
-
 def fold(sketch: np.ndarray, size: int) -> np.ndarray:
     """A sketch made narrower: bits that coincide are added."""
     return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
@@ -119,7 +112,7 @@ def prints(x: np.ndarray) -> tuple[int, int]:
 
 
 def _describe(width: int, sketched: bool):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.binary()), ("mini", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,17 +123,16 @@ def _describe(width: int, sketched: bool):
                 a.append(f[0])
                 b.append(f[1])
                 s.append(parity_sketch(x) if sketched and len(x) else b"")
-            mini = [narrow(x) if x else b"" for x in s]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (n, a, b)), pa.array(s, pa.binary()), pa.array(mini, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (n, a, b)), pa.array(s, pa.binary())], schema=schema)
 
     return run
 
 
 def describe(docs: DataFrame, width: int = 5, sketched: bool = True) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (hashes of the shingle set), a parity sketch and a narrow one of each row of docs."""
+    """doc_id, n_shingles, f1, f2 (hashes of the shingle set), a parity sketch of each row of docs."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_describe(width, sketched), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary, mini binary")
+    return rows.mapInArrow(_describe(width, sketched), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary")
 
 
 def _deal(width: int, num: int, den: int, buckets: int):
@@ -251,53 +243,118 @@ def _sift(num: int, den: int):
     return run
 
 
-def _across(num: int, den: int):
-    """Pairs of different components within dealt parts of groups, by sizes and sketches; part i against part j.
+class Forest:
+    """Labels of a tile's rows that joins make equal."""
 
-    The rows come sorted by group and part, so one group's part is held at a time: at most a few CHUNK rows.
-    """
+    def __init__(self, comp: np.ndarray):
+        _, self.label = np.unique(comp, return_inverse=True)
+        self.left = int(self.label.max()) if len(comp) else 0
+
+    def join(self, i: int, j: int) -> None:
+        self.label[self.label == self.label[j]] = self.label[i]
+        self.left -= 1
 
-    def pairs(how: Bands, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, side: np.ndarray, sketches: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        if (comp == comp[0]).all():
-            return
-        size = min(map(len, sketches))
-        bits = np.stack([fold(x, size) for x in sketches]).view(np.uint64)
-        within, rights = bool((side == 2).all()), np.flatnonzero(side != 0)
-        for i in np.flatnonzero(side != 1).tolist():
-            j = rights[rights > i] if within else rights
-            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            j = j[(comp[j] != comp[i]) & (small * how.den >= large * how.num)]
-            gap = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1)
-            for k in j[gap <= (how.den - how.num) * (n[i] + n[j]) // (how.den + how.num)].tolist():
-                if _near(how, int(n[i]), sketches[i], int(n[k]), sketches[k]):  # as wide as both are
-                    yield min(ids[i], ids[k]), max(ids[i], ids[k])
+
+def tile_links(how: Bands, sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Rows (i, j) of a tile whose sets have the similarity: a forest over the components that the rows come with.
+
+    Side 0 meets side 1, side 2 meets itself; empty sets meet nothing. Sketches of about four bits a shingle come
+    first, by classes of their width: similar sets are in one class or in neighbouring ones, of which the wider is folded.
+    Only what the sketches leave, and what no join has made one component yet, is compared set by set.
+    """
+    forest = Forest(comp)
+    n = np.array([len(x) for x in sets], np.int64)
+    width = np.array([max(6, int(4 * k - 1).bit_length()) if k else 0 for k in n.tolist()])
+    bits = {}
+    for w in sorted({*width.tolist()} - {0}):
+        rows = np.flatnonzero(width == w)
+        bits[w] = rows, np.stack([np.frombuffer(parity_sketch(sets[i]), np.uint8) for i in rows.tolist()])
+    for w, (rows, own) in bits.items():
+        near = [(rows, own)]
+        if w + 1 in bits:
+            more, wide = bits[w + 1]
+            near.append((more, wide[:, : own.shape[1]] ^ wide[:, own.shape[1] :]))
+        for at, (right, sketches) in enumerate(near):
+            left_words, right_words = own.view(np.uint64), np.ascontiguousarray(sketches).view(np.uint64)
+            for k, i in enumerate(rows.tolist()):
+                if not forest.left:
+                    return
+                ok = forest.label[right] != forest.label[i]
+                ok &= side[right] + side[i] == 1 if side[i] < 2 else True
+                if not at:
+                    ok[: k + 1] = False
+                ok &= np.minimum(n[right], n[i]) * how.den >= np.maximum(n[right], n[i]) * how.num
+                j = np.flatnonzero(ok)
+                for a in range(0, len(j), 512):
+                    some = j[a : a + 512]
+                    gap = np.bitwise_count(right_words[some] ^ left_words[k]).sum(axis=1)
+                    for m in some[gap <= (how.den - how.num) * (n[i] + n[right[some]]) // (how.den + how.num)].tolist():
+                        m = int(right[m])
+                        if forest.label[m] == forest.label[i]:
+                            continue
+                        common = len(np.intersect1d(sets[i], sets[m], assume_unique=True))
+                        if how.den * common >= how.num * (n[i] + n[m] - common):
+                            forest.join(i, m)
+                            yield i, m
+
+
+def _tiles(width: int, num: int, den: int):
+    """tile_links() of each tile; the rows come sorted by tile, so one tile is held at a time."""
+    keys = ("cluster", "b1", "p1", "b2", "p2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         how, held, last = bands(num, den), [], None
 
-        def done() -> set[tuple[int, int]]:
-            cols = list(zip(*held, strict=True))
-            return set(pairs(how, *(np.array(c, np.int64) for c in cols[:4]), list(cols[4])))
+        def done() -> pa.RecordBatch:
+            ids, comp, side, text = zip(*held, strict=True)
+            held.clear()
+            sets = [x for _, x in hashing.shingle_sets(pa.array(text, pa.large_string()), width)]
+            found = [(ids[i], ids[j]) for i, j in tile_links(how, sets, np.array(comp, np.int64), np.array(side, np.int64))]
+            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["u", "v"])
 
         for batch in batches:
-            found: set[tuple[int, int]] = set()
-            keys = zip(*(batch.column(c).to_pylist() for c in ("grp", "i", "j")), strict=True)
-            rows = zip(*(batch.column(c).to_pylist() for c in ("id", "comp", "n", "side")), batch.column("mini"), strict=True)
-            for key, (*row, sketch) in zip(keys, rows, strict=True):
+            tiles = zip(*(batch.column(c).to_pylist() for c in keys), strict=True)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("id", "comp", "side", "text")), strict=True)
+            for key, row in zip(tiles, rows, strict=True):
                 if key != last and held:
-                    found |= done()
-                    held.clear()
+                    yield done()
                 last = key
-                held.append((*row, np.frombuffer(sketch.as_buffer(), np.uint8)))
-            out = sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+                held.append(row)
         if held:
-            out = sorted(done())
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+            yield done()
 
     return run
 
 
+def _tiled(members: DataFrame, num: int, den: int) -> DataFrame:
+    """members (cluster, id, n, comp) dealt into tiles: with cluster, b1, p1, b2, p2 and side, a row for each tile.
+
+    A cluster of more than CHUNK rows or PART shingles is split by sizes, so that similar sets are in one band or in
+    neighbouring ones, and by hash into parts of about that size; each part meets itself, the others of its
+    band and those of the next.
+    """
+    many = lambda rows, size: F.ceil(F.greatest(F.col(rows) / CHUNK, F.col(size) / PART)).cast("int")
+    whole = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("__rows"), F.sum("n").alias("__size"))
+    whole = whole.select(F.col("cluster").alias("__c"), (many("__rows", "__size") > 1).alias("__split"))
+    base = float(np.log(den / num * 1.01))
+    rows = members.join(whole, F.col("cluster") == F.col("__c"))
+    rows = rows.withColumn("b", F.when(F.col("__split"), F.floor(F.log(F.col("n").cast("double")) / base)).otherwise(0).cast("int")).drop("__c", "__split")
+    sizes = rows.groupBy("cluster", "b").agg(F.count(F.lit(1)).alias("__rows"), F.sum("n").alias("__size"))
+    sizes = sizes.groupBy(F.col("cluster").alias("__c")).agg(F.map_from_entries(F.collect_list(F.struct("b", many("__rows", "__size")))).alias("__parts"))
+    rows = rows.join(sizes, F.col("cluster") == F.col("__c"))
+    parts = lambda k: F.coalesce(F.try_element_at("__parts", F.col("b") + k), F.lit(0))
+    rows = rows.withColumn("p", F.pmod(F.xxhash64("id", F.lit(3)), parts(0)).cast("int"))
+    b, p = F.col("b"), F.col("p")
+    tile = lambda b1, p1, b2, p2, side: F.struct(b1.alias("b1"), p1.alias("p1"), b2.alias("b2"), p2.alias("p2"), side.alias("side"))
+    every = lambda k, make: F.when(parts(k) > 0, F.transform(F.sequence(F.lit(0), parts(k) - 1), make)).otherwise(F.array().cast("array<struct<b1:int,p1:int,b2:int,p2:int,side:int>>"))
+    tiles = F.concat(
+        every(0, lambda q: tile(b, F.least(p, q), b, F.greatest(p, q), F.when(p == q, 2).when(p < q, 0).otherwise(1))),
+        every(1, lambda q: tile(b, p, b + 1, q, F.lit(0))),
+        every(-1, lambda q: tile(b - 1, q, b, p, F.lit(1))),
+    )
+    return rows.select("cluster", "id", "comp", F.inline(tiles))
+
+
 def _verify(width: int, num: int, den: int):
     """Pairs whose sets have the similarity; the larger text of a run of pairs is hashed once."""
 
@@ -341,14 +398,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     document to the links. Equal sets are found by their hashes, so copies cost no pairs. Extra columns of docs
     are not read; an empty table gives an empty result.
 
-    Rounds: (1) in each group of equal block keys all members are compared with the smallest; (2) for groups that
-    then still span several components, members of different components are compared with each other, in parts
-    of CHUNK rows. Pairs within a component need no comparison, so the components are exact.
+    Rounds: (1) in each group of equal block keys all members are compared with the smallest; (2) groups that then
+    still span several components are joined into clusters by common members, and the members of a cluster are
+    compared with each other, each pair once however many groups it shares, in tiles of bounded size. Pairs
+    within a component need no comparison, so the components are exact. A tile returns a forest of its links, fewer
+    rows than it has members; texts without links return nothing.
     """
     spark = docs.sparkSession
     sets = stored(describe(docs, width), "near-sets")
     first = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "f1", "f2")
-    reps = stored(first.agg(F.min("doc_id").alias("rep"), F.max("sketch").alias("sketch"), F.max("mini").alias("mini")), "near-reps")
+    reps = stored(first.agg(F.min("doc_id").alias("rep"), F.max("sketch").alias("sketch")), "near-reps")
     total = reps.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (2 * BUCKET)) + 1
     text = docs.filter("doc_id IS NOT NULL").select(F.col("text").cast("string"))
@@ -369,20 +428,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     comps = stored(components(links), "near-comps")
 
     groups = found.filter("grp IS NOT NULL").select("grp", F.col("b").alias("f1")).distinct()
-    groups = groups.join(reps.select("f1", "rep", F.col("n_shingles").alias("n"), "mini"), "f1")
+    groups = groups.join(reps.select("f1", "rep", F.col("n_shingles").alias("n")), "f1")
     groups = groups.join(comps, groups["rep"] == comps["node"], "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component", "f1")
-    mixed = groups.groupBy("grp").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi"), F.count(F.lit(1)).alias("__n")).filter("__lo < __hi")
-    open_ = groups.join(mixed.select("grp", "__n"), "grp")
-    parts = F.ceil(F.col("__n") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), parts).cast("int")
-    cell = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(p, mine).alias("i"), F.greatest(p, mine).alias("j"), F.when(p == mine, 2).when(mine < p, 0).otherwise(1).alias("side")))
-    cells = open_.select("grp", F.col("rep").alias("id"), "n", "comp", "mini", F.explode(cell).alias("c")).select("*", "c.*").drop("c")
-    dealt = cells.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    more = dealt.mapInArrow(_across(num, den), "u long, v long")
-    full = lambda id_, n, s: reps.select(F.col("rep").alias(id_), F.col("n_shingles").alias(n), F.col("sketch").alias(s))
-    more = sifted(more.distinct().join(full("u", "n", "s"), "u").join(full("v", "m", "t"), "v"), "near-more")
-    if not more.isEmpty():
-        links = links.union(_links(more, docs, width, num, den, "near-two"))
+    mixed = groups.groupBy("grp").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi"), F.min("rep").alias("head")).filter("__lo < __hi")
+    open_ = stored(groups.join(mixed.select("grp", "head"), "grp").select("head", "rep", "n", "comp").distinct(), "near-open")
+    if not open_.isEmpty():
+        clusters = components(open_.select(F.col("head").alias("u"), F.col("rep").alias("v")))
+        members = open_.select("rep", "n", "comp").distinct().join(clusters, F.col("rep") == F.col("node"))
+        members = stored(members.select(F.col("component").alias("cluster"), F.col("rep").alias("id"), "n", "comp"), "near-members")
+        text = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"))
+        dealt = _tiled(members, num, den).join(text, F.col("id") == F.col("__id")).drop("__id")
+        tile = ("cluster", "b1", "p1", "b2", "p2")
+        dealt = dealt.select(*tile, "id", "comp", "side", "text").repartition(*tile).sortWithinPartitions(*tile)
+        links = links.union(stored(dealt.mapInArrow(_tiles(width, num, den), "u long, v long"), "near-two"))
         comps = stored(components(links), "near-comps")
 
     labels = reps.join(comps, reps["rep"] == comps["node"], "left").select(F.col("n_shingles").alias("__n"), F.col("f1").alias("__f1"), F.col("f2").alias("__f2"), F.coalesce("component", "rep").alias("__comp"))
@@ -393,29 +451,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
 
 def first_of_groups(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs that are the first, by doc_id, of their group of near-duplicates, with docs' columns.
+    """The first row of docs of each group of near-duplicates, with docs' columns and their values.
 
-    Rows with null doc_id stay, copies among them too. Where doc_ids repeat, each text of a doc_id is a document of
-    its own: of equal rows, and of similar texts of one doc_id, the one with the least text and source stays.
+    First is the least doc_id, null after all others, then the least hash of the text, then of the row; of rows
+    that are equal in all columns one stays. Rows are told apart by doc_id and text, so different texts of one doc_id
+    are documents of their own, and rows without doc_id are compared like others. Rows without text or words stay,
+    all of them, as do long texts and texts of one word if nothing is like them. An empty table gives an empty
+    one. Only hashes are grouped; whole rows are shuffled once, to be joined with the hashes that stay.
     """
-    repeats = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if not repeats.isEmpty():
-        return _first_of_texts(docs, width, num, den)
-    groups = stored(near_duplicates(docs, width, num, den), "near-groups")
-    # the list grows with the corpus, so it is joined by a shuffle at every size and never sent to all tasks
-    late = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("__late")).distinct().hint("merge")
-    return docs.join(late, docs["doc_id"] == late["__late"], "left_anti")
-
-
-def _first_of_texts(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """first_of_groups() of documents told apart by a hash of doc_id and text."""
-    key, text = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.col("text").cast("string")
-    named = docs.filter("doc_id IS NOT NULL")
-    keyed = named.select(key.alias("doc_id"), text.alias("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    plain = [F.col(f"`{c}`") if not any(x in kind for x in ("map<", "variant")) else F.to_json(F.struct(f"`{c}`")) for c, kind in docs.dtypes]
+    key, whole = F.xxhash64(id_, text), F.xxhash64(*plain)
+    worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.filter(worded).select(key.alias("doc_id"), text.alias("text"))
     groups = stored(near_duplicates(keyed, width, num, den), "near-groups").select(F.col("doc_id").alias("__key"), "component_id").distinct()
-    members = named.select(key.alias("__key"), F.col("doc_id").cast("long").alias("__id"), text.alias("__text")).join(groups.hint("merge"), "__key")
-    first = members.groupBy("component_id").agg(F.min(F.struct("__id", "__text", "__key")).alias("f")).select(F.col("f.__key").alias("__key"))
-    order = [f"`{c}`" for c in ("source",) if c in docs.columns] or ["__key"]
-    kept = named.withColumn("__key", key).join(first.hint("merge"), "__key", "left_semi")
-    kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy(*order))).filter("__n = 1")
-    return kept.select(*[f"`{c}`" for c in docs.columns]).union(docs.filter("doc_id IS NULL"))
+    narrow = docs.filter(worded).select(key.alias("__k"), id_.alias("__id"), whole.alias("__h")).join(groups.hint("merge"), F.col("__k") == F.col("__key"))
+    order = F.struct(F.col("__id").isNull().alias("a"), F.col("__id").alias("b"), F.col("__key").alias("c"), F.col("__h").alias("d"))
+    first = narrow.groupBy("component_id").agg(F.min(order).alias("f"))
+    first = stored(first.select(F.col("f.c").alias("__key"), F.col("f.d").alias("__h")), "near-first")
+    # the list grows with the corpus, so it is joined by a shuffle at every size and never sent to all tasks
+    rows = docs.filter(worded).select(row.alias("__row"), key.alias("__key"), whole.alias("__h")).join(first.hint("merge"), ["__key", "__h"], "left_semi")
+    one = rows.withColumn("__at", F.row_number().over(Window.partitionBy("__key", "__h").orderBy("__key"))).filter("__at = 1")
+    return one.select("__row.*").union(docs.filter(~worded))

@@ -1,14 +1,16 @@
 """Token ids in compressed binary files: an adaptive context-mixing range coder over blocks of ids.
 
-Model. After each pair of ids and after each single id the id that followed is remembered with a confidence
-(orders 2 and 1). The better one is the predicted id. Whether it is right is one binary decision, coded with a
-mixture of three adaptive probabilities (by the confidence of order 2, by that of order 1, and overall), whose
-weights follow how well each did. An id that was not predicted is coded by order 0: the frequency of its class
-(low byte) so far, then whether it is the class's last id, else its high byte. All arithmetic is exact in
-integers or plain single-precision steps, so that every machine decodes alike.
-
-Blocks. Each block of BLOCK ids starts from an empty model and has a checksum; blocks are coded side by side,
-one numpy operation for a step of all of them. A block can be decoded alone.
+Model. Order 0 is a distribution over all ids, from their counts so far, renewed at fixed steps. Orders 1 and 2
+predict the id that followed the last id, and the last two, with a confidence. What is coded is one mixture of the
+three as a distribution over ids: an id's share is weight 0 times its order-0 frequency, plus weight 1 if order 1
+predicts it, plus weight 2 if order 2 does. The weights belong to the two confidences and to whether both agree,
+and are learned on the way by the part that each order had in the ids coded so far. The mixture's sums over all lower
+ids need two comparisons, so coding an id takes one step of the range coder and no search. What is coded is exact
+in integers; weights are learned in plain double-precision steps, so that every machine decodes alike.
+
+Blocks. Each block of up to BLOCK ids starts from an empty model and has a checksum; it can be decoded alone. Its ids
+are cut into up to LANES equal lanes with a range coder each; all lanes share the model, which learns from one step of
+all lanes at a time, as a few numpy operations.
 """
 
 from __future__ import annotations
@@ -27,223 +29,191 @@ from pyspark.sql import functions as F
 from spanloom.llm.hashing import texts
 from spanloom.llm.shared import place, ship, stored
 
-#: Ids of a block, blocks coded side by side, and id bound.
-BLOCK, LANES, IDS = 4096, 2048, 1 << 16
+#: Lanes of a block, ids of a lane, ids of a block, and id bound.
+LANES, STEPS, IDS = 4096, 512, 1 << 16
+BLOCK = LANES * STEPS
+#: UTF-8 bytes of a file's texts; where cores would idle, less, to a sixteenth.
+PART = 64_000_000
 #: Words whose ids a task remembers.
 MEMORY = 2_000_000
-MAGIC, FOOT = b"SLTF0001", struct.Struct("<QQ8s")
-ONE, TWO = 2048, 4096  # places of order 1 and order 2
-STEP = 12  # what an id adds to its class's frequency; BLOCK times that, with 256, stays below 2**16
+MAGIC, FOOT, HEAD = b"SLTF0002", struct.Struct("<QQ8s"), struct.Struct("<II")
+#: Bits of the order-0 total and of the mixture's; bits of the order-2 table.
+ZERO, ALL, TWO = 20, 26, 20
+#: Steps of a lane after which order 0 is renewed, and those from which weights are learned.
+RENEW = {1, 2, 4, 8, 16, 32, *range(64, STEPS, 64)}
+LEARN = {*range(32), *range(32, STEPS, 4)}
 
-U32, U64, F4 = np.uint32, np.uint64, np.float32
-ADD = (np.arange(16)[None, :] > np.arange(17)[:, None]).astype(np.uint16) * STEP  # row 16: nothing
-ADD[16] = 0
+U32, U64 = np.uint32, np.uint64
+_sure = np.arange(8)
+#: What a prediction's confidence gains by a hit (from place 8 on) or loses by a miss, and whether it gives way.
+DELTA = np.concatenate([(_sure >> 1) - _sure, (_sure < 7).astype(int)]).astype(np.int64).astype(U32)
+OUST = np.concatenate([_sure <= 1, np.zeros(8, bool)])
 
 
 class Model:
-    """The state of some blocks side by side."""
-
-    def __init__(self, lanes: int):
-        n = self.n = lanes
-        self.row = np.arange(n)
-        self.id1, self.sure1 = np.zeros(n * ONE, np.uint16), np.zeros(n * ONE, np.uint8)
-        self.id2, self.sure2 = np.zeros(n * TWO, np.uint16), np.zeros(n * TWO, np.uint8)
-        self.at1, self.at2 = self.row * ONE, self.row * TWO
-        # hit probabilities by confidence of orders 2 and 1 with agreement, and overall; and their weights
-        self.p = [np.tile(np.repeat(np.linspace(0.1, 0.9, 8, dtype=F4), 2), n), np.tile(np.repeat(np.linspace(0.1, 0.8, 8, dtype=F4), 2), n), np.full(n, 0.3, F4)]
-        self.w = [np.full(n, x, F4) for x in (0.5, 0.3, 0.2)]
-        self.coarse = np.tile(np.arange(16, dtype=np.uint16) * 16, (n, 1))
-        self.fine = np.tile(np.arange(16, dtype=np.uint16), (n * 16, 1))
-        self.total = np.full(n, 256, U64)
-        self.last, self.same = np.zeros(n * 256, np.uint16), np.full(n, 0.3, F4)
-        self.prev1 = self.prev2 = np.zeros(n, np.int64)
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """The predicted ids, and the share of 2**16 that a hit gets."""
-        self.k1 = self.at1 + ((self.prev1 * 40503 >> 3) & (ONE - 1))
-        self.k2 = self.at2 + ((self.prev1 * 40503 + self.prev2 * 60493 >> 4) & (TWO - 1))
-        self.g1, self.g2 = self.id1[self.k1], self.id2[self.k2]
-        self.c1, self.c2 = self.sure1[self.k1], self.sure2[self.k2]
-        self.guess = np.where(self.c2 > 0, self.g2, self.g1)
-        agree = self.g1 == self.g2
-        base = self.row * 16 + agree
-        self.q = (base + self.c2 * np.int64(2), base + self.c1 * np.int64(2))
-        self.each = (self.p[0][self.q[0]], self.p[1][self.q[1]], self.p[2])
-        a, b, c = self.w
-        mixed = (a * self.each[0] + b * self.each[1] + c * self.each[2]) / (a + b + c)
-        return self.guess, (mixed * F4(65000.0)).astype(U64) + U64(200)
-
-    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        """After the decision: update probabilities, weights and memories."""
-        bit = hit.astype(F4)
-        for k, rate in ((0, F4(0.05)), (1, F4(0.05)), (2, F4(0.02))):
-            p = self.each[k]
-            like = np.abs(p - (F4(1.0) - bit))
-            self.w[k] = self.w[k] * F4(0.97) + like * F4(0.03)
-            new = p + (bit - p) * rate
-            if k < 2:
-                self.p[k][self.q[k]] = new
-            else:
-                self.p[2] = new
-        for guess, sure, known, conf, at in ((self.g1, self.c1, self.id1, self.sure1, self.k1), (self.g2, self.c2, self.id2, self.sure2, self.k2)):
-            right = guess == ids
-            fresh = np.where(right, np.minimum(sure + 1, 7), sure >> 1).astype(np.uint8)
-            replaced = ~right & (fresh == 0)
-            known[at] = np.where(replaced, ids, guess)
-            conf[at] = np.where(replaced, 1, fresh)
-        self.prev2, self.prev1 = self.prev1, ids.astype(np.int64)
-
-    def learn_class(self, ids: np.ndarray, hit: np.ndarray, g: np.ndarray, k: np.ndarray, at: np.ndarray, fine: np.ndarray, again: np.ndarray) -> None:
-        """Update order 0 for the ids that were not hits."""
-        miss = ~hit
-        self.coarse += ADD[np.where(hit, 16, g)]
-        self.fine[at] = fine + ADD[np.where(hit, 16, k)]
-        self.total += miss * U64(STEP)
-        where = self.row * 256 + (ids & 255)
-        self.last[where] = np.where(miss, ids, self.last[where])
-        self.same += np.where(miss, (again.astype(F4) - self.same) * F4(0.03), F4(0.0))
-
-    def tail(self) -> tuple[np.ndarray, np.ndarray]:
-        """The share of 2**16 for a class's last id, and that of each high byte."""
-        same = (self.same * F4(60000.0)).astype(U64) + U64(2000)
-        return same, (U64(65536) - same) // U64(256)
-
-
-class Coder:
-    """The ranges of some blocks side by side; words of 16 bits go out when a range is below 2**32."""
-
-    def __init__(self, lanes: int, size: int):
-        self.low, self.range = np.zeros(lanes, U64), np.full(lanes, (1 << 48) - 1, U64)
-        self.out, self.at, self.row = np.zeros((lanes, size), np.uint16), np.zeros(lanes, np.int64), np.arange(lanes)
-
-    def put(self, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
-        self.low += start * unit
-        self.range = size * unit
-        self.settle()
-
-    def settle(self) -> None:
-        over = np.flatnonzero(self.low >> U64(48))
-        if len(over):
-            self.low[over] &= U64((1 << 48) - 1)
-            for i in over.tolist():  # a carry goes into what is out already
-                k = int(self.at[i]) - 1
-                while self.out[i, k] == 0xFFFF:
-                    self.out[i, k] = 0
-                    k -= 1
-                self.out[i, k] += 1
-        short = np.flatnonzero(self.range < U64(1 << 32))
-        if len(short):
-            low = self.low[short]
-            self.out[short, self.at[short]] = low >> U64(32)
-            self.at[short] += 1
-            self.low[short] = (low & U64(0xFFFFFFFF)) << U64(16)
-            self.range[short] <<= U64(16)
-
-    def finish(self) -> list[bytes]:
-        for shift in (32, 16, 0):
-            self.out[self.row, self.at] = (self.low >> U64(shift)) & U64(0xFFFF)
-            self.at += 1
-        return [self.out[i, : self.at[i]].astype("<u2").tobytes() for i in range(len(self.at))]
-
-
-def encode(blocks: np.ndarray) -> list[bytes]:
-    """The code of each row of ids; all rows are of one length."""
-    n, size = blocks.shape
-    model, coder = Model(n), Coder(n, 3 * size + 8)
-    row16 = np.arange(n) * 16
-    for t in range(size):
-        ids = blocks[:, t]
-        guess, share = model.predict()
-        hit = guess == ids
-        unit = coder.range >> U64(16)
-        coder.put(np.where(hit, U64(0), share), np.where(hit, share, U64(65536) - share), unit)
-        miss = ~hit
-        low = (ids & 255).astype(np.int64)
-        g, k = low >> 4, low & 15
-        at = row16 + g
-        fine = model.fine[at]
-        begin = fine[model.row, k]
-        ends = np.where(k < 15, fine[model.row, np.minimum(k + 1, 15)], 0)
-        whole = np.where(g < 15, model.coarse[model.row, np.minimum(g + 1, 15)], model.total.astype(np.uint16)) - model.coarse[model.row, g]
-        freq = np.where(k < 15, ends, whole) - begin
-        start = model.coarse[model.row, g].astype(U64) + begin
-        unit = np.where(miss, coder.range // model.total, coder.range)
-        coder.put(np.where(miss, start, U64(0)), np.where(miss, freq.astype(U64), U64(1)), unit)
-        again = model.last[model.row * 256 + low] == ids
-        same, other = model.tail()
-        unit = np.where(miss, coder.range >> U64(16), coder.range)
-        high = (ids >> 8).astype(U64)
-        coder.put(np.where(miss & ~again, same + high * other, U64(0)), np.where(miss, np.where(again, same, other), U64(1)), unit)
-        model.learn_class(ids, hit, g, k, at, fine, again)
-        model.learn(ids, hit)
-    return coder.finish()
-
-
-def decode(codes: list[bytes], size: int) -> np.ndarray:
-    """The rows of `size` ids that were encoded."""
-    n = len(codes)
-    width = max(map(len, codes)) // 2 + 4
-    words = np.zeros((n, width), np.uint16)
-    for i, c in enumerate(codes):
-        words[i, : len(c) // 2] = np.frombuffer(c, "<u2")
-    flat, pos, row = words.ravel().astype(U64), np.arange(n) * width + 3, np.arange(n)
-    code = (words[:, 0].astype(U64) << U64(32)) | (words[:, 1].astype(U64) << U64(16)) | words[:, 2].astype(U64)
-    range_ = np.full(n, (1 << 48) - 1, U64)
-    model, out = Model(n), np.zeros((n, size), np.uint16)
-    row16 = row * 16
-
-    def settle() -> None:
-        short = np.flatnonzero(range_ < U64(1 << 32))
-        if len(short):
-            code[short] = (code[short] << U64(16)) | flat[pos[short]]
-            pos[short] += 1
-            range_[short] <<= U64(16)
-
-    for t in range(size):
-        guess, share = model.predict()
-        unit = range_ >> U64(16)
-        split = share * unit
-        hit = code < split
-        code -= np.where(hit, U64(0), split)
-        range_ = np.where(hit, split, (U64(65536) - share) * unit)
-        settle()
-        miss = ~hit
-        unit = range_ // model.total
-        goal = np.minimum(code // unit, model.total - U64(1)).astype(np.uint16)
-        g = (model.coarse <= goal[:, None]).sum(1) - 1
-        base = model.coarse[row, g]
-        at = row16 + g
-        fine = model.fine[at]
-        rest = goal - base
-        k = (fine <= rest[:, None]).sum(1) - 1
-        begin = fine[row, k]
-        whole = np.where(g < 15, model.coarse[row, np.minimum(g + 1, 15)], model.total.astype(np.uint16)) - base
-        freq = np.where(k < 15, fine[row, np.minimum(k + 1, 15)], whole) - begin
-        start = base.astype(U64) + begin
-        code -= np.where(miss, start * unit, U64(0))
-        range_ = np.where(miss, freq.astype(U64) * unit, range_)
-        settle()
-        low = g * 16 + k
-        last = model.last[row * 256 + low]
-        same, other = model.tail()
-        unit = range_ >> U64(16)
-        value = code // unit
-        again = value < same
-        high = np.minimum((value - same) // other, U64(255))
-        skip = np.where(again, U64(0), same + high * other)
-        code -= np.where(miss, skip * unit, U64(0))
-        range_ = np.where(miss, np.where(again, same, other) * unit, range_)
-        settle()
-        ids = np.where(hit, guess, np.where(again, last, (high.astype(np.int64) << 8 | low).astype(np.uint16)))
-        if hit.any():  # order 0 learns nothing from hits, but needs some row of theirs
-            low = (ids & 255).astype(np.int64)
-            g, k = low >> 4, low & 15
-            at = row16 + g
-            fine = model.fine[at]
-        model.learn_class(ids, hit, g, k, at, fine, again)
-        model.learn(ids, hit)
-        out[:, t] = ids
-    return out
+    """What all lanes of a block know: counts, predictions (id * 8 + confidence) and weights."""
+
+    def __init__(self, ids: int):
+        self.one, self.two = np.zeros(IDS, U32), np.zeros(1 << TWO, U32)
+        self.counts = np.zeros(ids, np.int64)
+        sure2, sure1 = np.divmod(np.arange(128) >> 1, 8)
+        self.seen = np.full(128, 8.0)
+        self.part1, self.part2 = 0.8 * np.minimum(sure1, 4), 0.8 * np.minimum(sure2, 4)
+        self.held: list[np.ndarray] = []
+        self.renew()
+        self.weigh()
+
+    def renew(self) -> None:
+        """Order 0 from the counts; every id keeps a share of one."""
+        n, total = len(self.counts), int(self.counts.sum())
+        spare = (1 << ZERO) - n
+        size = 1 + self.counts * spare // total if total else np.full(n, (1 << ZERO) // n)
+        self.size = size.astype(U32)
+        self.start = (np.cumsum(size) - size).astype(U32)
+        self.owner = np.repeat(np.arange(n, dtype=U32), size)
+
+    def weigh(self) -> None:
+        """Shares of the orders by confidences, as whole parts of 2**ALL; that of order 0 is a multiple of 2**ZERO."""
+        w1, w2 = self.part1 / self.seen, self.part2 / self.seen
+        most = 1 << (ALL - ZERO)
+        zero = np.where(w1 + w2 > 0, np.clip(np.rint((1 - w1 - w2) * most), 1, most), most)
+        left = (most - zero) * (1 << ZERO)
+        first = np.floor(left * np.divide(w1, w1 + w2, out=np.zeros(128), where=w1 + w2 > 0))
+        self.m0, self.m1, self.m2 = zero.astype(U32), first.astype(U32), (left - first).astype(U32)
+
+    def predict(self, p1: np.ndarray, p2: np.ndarray) -> None:
+        """Predictions of orders 1 and 2 after the last id and the one before it, and the shares of all orders."""
+        self.k1, self.k2 = p1, (p1 * U32(0x9E3779B1) + p2 * U32(0x85EBCA6B)) >> U32(32 - TWO)
+        self.e1, self.e2 = self.one.take(p1), self.two.take(self.k2)
+        self.g1, self.g2 = self.e1 >> U32(3), self.e2 >> U32(3)
+        self.c1, self.c2 = self.e1 & U32(7), self.e2 & U32(7)
+        self.q = (((self.c2 << U32(3)) | self.c1) << U32(1)) | (self.g1 == self.g2)
+        self.w0, self.w1, self.w2 = self.m0.take(self.q), self.m1.take(self.q), self.m2.take(self.q)
+
+    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of ids in the mixture."""
+        self.hit1, self.hit2 = self.g1 == x, self.g2 == x
+        self.own1, self.own2, self.own0 = self.w1 * self.hit1, self.w2 * self.hit2, self.w0 * self.size.take(x)
+        start = self.w0 * self.start.take(x) + self.w1 * (self.g1 < x) + self.w2 * (self.g2 < x)
+        return start, self.own0 + self.own1 + self.own2
+
+    def find(self, v: np.ndarray) -> np.ndarray:
+        """The ids whose intervals hold given places: an id's predicted shares come first, then its order-0 one."""
+        swap = self.g1 > self.g2
+        a, b = np.minimum(self.g1, self.g2), np.maximum(self.g1, self.g2)
+        wa, wb = np.where(swap, self.w2, self.w1), np.where(swap, self.w1, self.w2)
+        at_a = self.w0 * self.start.take(a, mode="clip")
+        at_b = self.w0 * self.start.take(b, mode="clip") + wa
+        past_a, past_b = v >= at_a + wa, v >= at_b + wb
+        x = self.owner.take((v - wa * past_a - wb * past_b) // self.w0, mode="clip")
+        x = np.where((v >= at_b) & ~past_b, b, x)
+        return np.where((v >= at_a) & ~past_a, a, x)
+
+    def learn(self, x: np.ndarray, t: int) -> None:
+        """After step t with ids x."""
+        fresh = (x << U32(3)) | U32(1)
+        for table, key, e, c, hit in ((self.one, self.k1, self.e1, self.c1, self.hit1), (self.two, self.k2, self.e2, self.c2, self.hit2)):
+            k = c + hit * U32(8)
+            table[key] = np.where(OUST.take(k), fresh, e + DELTA.take(k))
+        if t in LEARN:
+            whole = 1.0 / (self.own0 + self.own1 + self.own2)
+            self.part1 += np.bincount(self.q, self.own1 * whole, 128)
+            self.part2 += np.bincount(self.q, self.own2 * whole, 128)
+            self.seen += np.bincount(self.q, minlength=128)
+            self.weigh()
+        self.held.append(x)
+        if t + 1 in RENEW:
+            self.counts += np.bincount(np.concatenate(self.held), minlength=len(self.counts))
+            self.held.clear()
+            self.renew()
+
+
+def _lanes(n: int) -> tuple[int, int]:
+    """Lanes and steps of a block of n ids."""
+    lanes = -(-n // STEPS)
+    return lanes, -(-n // lanes)
+
+
+def encode(ids: np.ndarray) -> bytes:
+    """The code of a block of 1 to BLOCK ids."""
+    lanes, steps = _lanes(len(ids))
+    x = np.zeros(lanes * steps, U32)
+    x[: len(ids)] = ids
+    rows = np.ascontiguousarray(x.reshape(lanes, steps).T)
+    model = Model(int(x.max()) + 1)
+    low, span = np.zeros(lanes, U64), np.full(lanes, (1 << 48) - 1, U64)
+    width = steps * ALL // 16 + 8
+    out, at = np.zeros(width * lanes, U32), np.arange(lanes)
+    p1 = p2 = np.zeros(lanes, U32)
+    for t in range(steps):
+        now = rows[t]
+        model.predict(p1, p2)
+        start, size = model.interval(now)
+        unit = span >> U64(ALL)
+        low += start * unit
+        span = size * unit
+        over = np.flatnonzero(low >> U64(48))
+        if len(over):  # a carry goes into the word before, which may pass 16 bits until the end
+            out[at[over] - lanes] += U32(1)
+            low[over] &= U64((1 << 48) - 1)
+        short = np.flatnonzero(span < U64(1 << 32))
+        while len(short):
+            some = low[short]
+            out[at[short]] = some >> U64(32)
+            at[short] += lanes
+            low[short] = (some & U64(0xFFFFFFFF)) << U64(16)
+            span[short] <<= U64(16)
+            short = short[span[short] < U64(1 << 32)]
+        model.learn(now, t)
+        p2, p1 = p1, now
+    # one word tells a place in what is left, as a lane's words are followed by zeros
+    end = low + U64((1 << 32) - 1)
+    over = np.flatnonzero(end >> U64(48))
+    out[at[over] - lanes] += U32(1)
+    out[at] = (end >> U64(32)) & U64(0xFFFF)
+    used = at // lanes + 1
+    grid = out.reshape(width, lanes)
+    for k in range(width - 1, 0, -1):
+        grid[k - 1] += grid[k] >> U32(16)
+    words = grid.T.astype("<u2")[np.arange(width)[None, :] < used[:, None]]
+    return HEAD.pack(len(ids), len(model.counts)) + used.astype("<u2").tobytes() + words.tobytes()
+
+
+def decode(code: bytes) -> np.ndarray:
+    """The ids of a block."""
+    n, bound = HEAD.unpack_from(code)
+    if not 0 < n <= BLOCK or not 0 < bound <= IDS:
+        raise ValueError("no block of ids")
+    lanes, steps = _lanes(n)
+    used = np.frombuffer(code, "<u2", lanes, HEAD.size).astype(np.int64)
+    words = np.frombuffer(code, "<u2", offset=HEAD.size + 2 * lanes)
+    if len(words) != used.sum():
+        raise ValueError("a block is cut short")
+    width = max(int(used.max()), 3) + 3
+    grid = np.zeros((lanes, width), U64)
+    grid[np.arange(width)[None, :] < used[:, None]] = words
+    flat, at = grid.ravel(), np.arange(lanes) * width + 3
+    value = (grid[:, 0] << U64(32)) | (grid[:, 1] << U64(16)) | grid[:, 2]
+    span = np.full(lanes, (1 << 48) - 1, U64)
+    model, rows = Model(bound), np.zeros((steps, lanes), U32)
+    p1 = p2 = np.zeros(lanes, U32)
+    for t in range(steps):
+        model.predict(p1, p2)
+        unit = span >> U64(ALL)
+        now = model.find((value // unit).astype(U32))
+        start, size = model.interval(now)
+        value -= start * unit
+        span = size * unit
+        short = np.flatnonzero(span < U64(1 << 32))
+        while len(short):
+            value[short] = (value[short] << U64(16)) | flat.take(at[short], mode="clip")
+            at[short] += 1
+            span[short] <<= U64(16)
+            short = short[span[short] < U64(1 << 32)]
+        model.learn(now, t)
+        rows[t] = now
+        p2, p1 = p1, now
+    return rows.T.reshape(-1)[:n].astype(np.uint16)
 
 
 class Writer:
@@ -264,22 +234,18 @@ class Writer:
         self.held.append(ids)
         self.size += len(ids)
         self.tokens += len(ids)
-        if self.size >= BLOCK * LANES:
+        if self.size >= BLOCK:
             self.flush(False)
 
     def flush(self, last: bool) -> None:
         ids = np.concatenate([np.zeros(0, np.uint16), *self.held])
-        whole = len(ids) // BLOCK * BLOCK
-        parts = [ids[a : a + BLOCK * LANES] for a in range(0, whole, BLOCK * LANES)]
-        parts = [p[: len(p) // BLOCK * BLOCK].reshape(-1, BLOCK) for p in parts]
-        if last and len(ids) > whole:
-            parts.append(ids[None, whole:])
-        for p in parts:
-            for own, code in zip(p, encode(p), strict=True):
-                self.out.write(code)
-                self.blocks.append((len(code), len(own), zlib.crc32(own.astype("<u2").tobytes())))
-        self.held = [] if last else [ids[whole:]]
-        self.size = 0 if last else len(ids) - whole
+        whole = len(ids) if last else len(ids) // BLOCK * BLOCK
+        for a in range(0, whole, BLOCK):
+            own = ids[a : min(a + BLOCK, whole)]
+            code = encode(own)
+            self.out.write(code)
+            self.blocks.append((len(code), len(own), zlib.crc32(own.astype("<u2").tobytes())))
+        self.held, self.size = [ids[whole:]], len(ids) - whole
 
     def close(self) -> None:
         self.flush(True)
@@ -300,25 +266,24 @@ def read_file(uri: str) -> Iterator[tuple[list[tuple[int | None, int]], np.ndarr
         docs, blocks = table[:n], table[n:]
         at, b, d, held = len(MAGIC), 0, 0, np.zeros(0, np.uint16)
         while b < m or d < n:
-            own = blocks[b : b + LANES]
-            own = own[: int(np.argmax(own[:, 1] != own[0, 1])) or len(own)] if len(own) else own
             got = []
-            if len(own):
-                raw = f.read_at(int(own[:, 0].sum()), at)
-                cut = np.concatenate(([0], np.cumsum(own[:, 0])))
-                rows = decode([raw[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)], int(own[0, 1]))
-                for k, r in enumerate(rows):
-                    if zlib.crc32(r.astype("<u2").tobytes()) != own[k, 2]:
-                        raise ValueError(f"{uri}: block {b + k} is damaged")
-                got = [rows.ravel()]
-                at, b = at + len(raw), b + len(own)
+            if b < m:
+                length, size, check = blocks[b].tolist()
+                try:
+                    ids = decode(f.read_at(length, at))
+                except (IndexError, struct.error) as e:
+                    raise ValueError(f"{uri}: block {b} is damaged") from e
+                if len(ids) != size or zlib.crc32(ids.astype("<u2").tobytes()) != check:
+                    raise ValueError(f"{uri}: block {b} is damaged")
+                got = [ids]
+                at, b = at + length, b + 1
             held = np.concatenate([held, *got])
             ends = np.cumsum(docs[d:, 2])
             k = int(np.searchsorted(ends, len(held), "right"))
             if k:
                 yield [(None if x[1] else int(x[0]), int(x[2])) for x in docs[d : d + k]], held[: ends[k - 1]]
                 held, d = held[ends[k - 1] :], d + k
-            elif not len(own):
+            elif not got:
                 raise ValueError(f"{uri} is cut short")
 
 
@@ -358,7 +323,8 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 2) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(-(-size // PART), min(spark.sparkContext.defaultParallelism, -(-size // (PART // 16))), 1)
     ordered = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     schema = pa.schema([("part", pa.int32()), ("file", pa.string()), ("tokens", pa.int64())])
 
