@@ -255,27 +255,26 @@ class Forest:
         self.left -= 1
 
 
-def tile_links(how: Bands, sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Rows (i, j) of a tile whose sets have the similarity: a forest over the components that the rows come with.
+def tile_pairs(how: Bands, n: np.ndarray, sketches: list[np.ndarray], comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs (i, j) of a tile's rows whose sketches allow the similarity, and whose sets have it, if given.
 
-    Side 0 meets side 1, side 2 meets itself; empty sets meet nothing. Sketches of about four bits a shingle come
-    first, by classes of their width: similar sets are in one class or in neighbouring ones, of which the wider is folded.
-    Only what the sketches leave, and what no join has made one component yet, is compared set by set.
+    A forest over the components that the rows come with: no pair of what is one component already. Side 0 meets
+    side 1, side 2 meets itself; empty sets meet nothing. Sketches are held by their width: similar sets are in one
+    class of widths or in neighbouring ones, of which the wider is folded.
     """
     forest = Forest(comp)
-    n = np.array([len(x) for x in sets], np.int64)
-    width = np.array([max(6, int(4 * k - 1).bit_length()) if k else 0 for k in n.tolist()])
+    width = np.array([len(x) for x in sketches], np.int64)
     bits = {}
     for w in sorted({*width.tolist()} - {0}):
         rows = np.flatnonzero(width == w)
-        bits[w] = rows, np.stack([np.frombuffer(parity_sketch(sets[i]), np.uint8) for i in rows.tolist()])
+        bits[w] = rows, np.stack([sketches[i] for i in rows.tolist()])
     for w, (rows, own) in bits.items():
         near = [(rows, own)]
-        if w + 1 in bits:
-            more, wide = bits[w + 1]
-            near.append((more, wide[:, : own.shape[1]] ^ wide[:, own.shape[1] :]))
-        for at, (right, sketches) in enumerate(near):
-            left_words, right_words = own.view(np.uint64), np.ascontiguousarray(sketches).view(np.uint64)
+        if 2 * w in bits:
+            more, wide = bits[2 * w]
+            near.append((more, wide[:, :w] ^ wide[:, w:]))
+        for at, (right, wide) in enumerate(near):
+            left_words, right_words = own.view(np.uint64), np.ascontiguousarray(wide).view(np.uint64)
             for k, i in enumerate(rows.tolist()):
                 if not forest.left:
                     return
@@ -288,33 +287,46 @@ def tile_links(how: Bands, sets: list[np.ndarray], comp: np.ndarray, side: np.nd
                 for a in range(0, len(j), 512):
                     some = j[a : a + 512]
                     gap = np.bitwise_count(right_words[some] ^ left_words[k]).sum(axis=1)
-                    for m in some[gap <= (how.den - how.num) * (n[i] + n[right[some]]) // (how.den + how.num)].tolist():
-                        m = int(right[m])
+                    for m in right[some[gap <= (how.den - how.num) * (n[i] + n[right[some]]) // (how.den + how.num)]].tolist():
                         if forest.label[m] == forest.label[i]:
                             continue
-                        common = len(np.intersect1d(sets[i], sets[m], assume_unique=True))
-                        if how.den * common >= how.num * (n[i] + n[m] - common):
-                            forest.join(i, m)
-                            yield i, m
+                        if sets is not None:
+                            common = len(np.intersect1d(sets[i], sets[m], assume_unique=True))
+                            if how.den * common < how.num * (n[i] + n[m] - common):
+                                continue
+                        forest.join(i, m)
+                        yield i, m
+
+
+def tile_links(how: Bands, sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int]]:
+    """tile_pairs() of sets, verified."""
+    n = np.array([len(x) for x in sets], np.int64)
+    sketches = [np.frombuffer(parity_sketch(x) if len(x) else b"", np.uint8) for x in sets]
+    return tile_pairs(how, n, sketches, comp, side, sets)
+
+
+#: What tells a tile.
+TILE = ("cluster", "b1", "p1", "b2", "p2")
 
 
-def _tiles(width: int, num: int, den: int):
-    """tile_links() of each tile; the rows come sorted by tile, so one tile is held at a time."""
-    keys = ("cluster", "b1", "p1", "b2", "p2")
+def _tiles(num: int, den: int, pairs):
+    """What pairs(how, n, payload, comp, side) finds in each tile, as `name` of its rows (id or comp).
+
+    The rows come sorted by tile, so one tile is held at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         how, held, last = bands(num, den), [], None
 
         def done() -> pa.RecordBatch:
-            ids, comp, side, text = zip(*held, strict=True)
+            name, n, comp, side, payload = zip(*held, strict=True)
             held.clear()
-            sets = [x for _, x in hashing.shingle_sets(pa.array(text, pa.large_string()), width)]
-            found = [(ids[i], ids[j]) for i, j in tile_links(how, sets, np.array(comp, np.int64), np.array(side, np.int64))]
+            found = [(name[i], name[j]) for i, j in pairs(how, np.array(n, np.int64), payload, np.array(comp, np.int64), np.array(side, np.int64))]
             return pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], names=["u", "v"])
 
         for batch in batches:
-            tiles = zip(*(batch.column(c).to_pylist() for c in keys), strict=True)
-            rows = zip(*(batch.column(c).to_pylist() for c in ("id", "comp", "side", "text")), strict=True)
+            tiles = zip(*(batch.column(c).to_pylist() for c in TILE), strict=True)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("name", "n", "comp", "side", "payload")), strict=True)
             for key, row in zip(tiles, rows, strict=True):
                 if key != last and held:
                     yield done()
@@ -326,6 +338,17 @@ def _tiles(width: int, num: int, den: int):
     return run
 
 
+def _by_sketch(how, n, payload, comp, side):
+    return tile_pairs(how, n, [np.frombuffer(x, np.uint8) for x in payload], comp, side)
+
+
+def _by_text(width: int):
+    def pairs(how, n, payload, comp, side):
+        return tile_links(how, [x for _, x in hashing.shingle_sets(pa.array(payload, pa.large_string()), width)], comp, side)
+
+    return pairs
+
+
 def _tiled(members: DataFrame, num: int, den: int) -> DataFrame:
     """members (cluster, id, n, comp) dealt into tiles: with cluster, b1, p1, b2, p2 and side, a row for each tile.
 
@@ -352,7 +375,7 @@ def _tiled(members: DataFrame, num: int, den: int) -> DataFrame:
         every(1, lambda q: tile(b, p, b + 1, q, F.lit(0))),
         every(-1, lambda q: tile(b - 1, q, b, p, F.lit(1))),
     )
-    return rows.select("cluster", "id", "comp", F.inline(tiles))
+    return rows.select("cluster", "id", "n", "comp", F.inline(tiles))
 
 
 def _verify(width: int, num: int, den: int):
@@ -400,9 +423,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     Rounds: (1) in each group of equal block keys all members are compared with the smallest; (2) groups that then
     still span several components are joined into clusters by common members, and the members of a cluster are
-    compared with each other, each pair once however many groups it shares, in tiles of bounded size. Pairs
-    within a component need no comparison, so the components are exact. A tile returns a forest of its links, fewer
-    rows than it has members; texts without links return nothing.
+    compared with each other, each pair once however many groups it shares, in tiles of bounded size: by sketches,
+    which leaves the components that may be near, then those by texts. Pairs within a component need no comparison,
+    so the components are exact. A tile returns a forest of what it found, fewer rows than it has members.
     """
     spark = docs.sparkSession
     sets = stored(describe(docs, width), "near-sets")
@@ -433,14 +456,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     mixed = groups.groupBy("grp").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi"), F.min("rep").alias("head")).filter("__lo < __hi")
     open_ = stored(groups.join(mixed.select("grp", "head"), "grp").select("head", "rep", "n", "comp").distinct(), "near-open")
     if not open_.isEmpty():
+        def found_in(members: DataFrame, name: str, payload: DataFrame, pairs, tag: str) -> DataFrame:
+            rows = _tiled(members, num, den).join(payload, F.col("id") == F.col("__id"))
+            rows = rows.select(*TILE, F.col(name).alias("name"), "n", "comp", "side", "payload")
+            return stored(rows.repartition(*TILE).sortWithinPartitions(*TILE).mapInArrow(_tiles(num, den, pairs), "u long, v long"), tag)
+
         clusters = components(open_.select(F.col("head").alias("u"), F.col("rep").alias("v")))
         members = open_.select("rep", "n", "comp").distinct().join(clusters, F.col("rep") == F.col("node"))
         members = stored(members.select(F.col("component").alias("cluster"), F.col("rep").alias("id"), "n", "comp"), "near-members")
-        text = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"))
-        dealt = _tiled(members, num, den).join(text, F.col("id") == F.col("__id")).drop("__id")
-        tile = ("cluster", "b1", "p1", "b2", "p2")
-        dealt = dealt.select(*tile, "id", "comp", "side", "text").repartition(*tile).sortWithinPartitions(*tile)
-        links = links.union(stored(dealt.mapInArrow(_tiles(width, num, den), "u long, v long"), "near-two"))
+        # which components may be near, by sketches; then the members of those, by texts
+        near = found_in(members, "comp", reps.select(F.col("rep").alias("__id"), F.col("sketch").alias("payload")), _by_sketch, "near-maybe")
+        near = components(near)
+        close = stored(members.drop("cluster").join(near, F.col("comp") == F.col("node")).select(F.col("component").alias("cluster"), "id", "n", "comp"), "near-close")
+        text = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("payload"))
+        links = links.union(found_in(close, "id", text, _by_text(width), "near-two"))
         comps = stored(components(links), "near-comps")
 
     labels = reps.join(comps, reps["rep"] == comps["node"], "left").select(F.col("n_shingles").alias("__n"), F.col("f1").alias("__f1"), F.col("f2").alias("__f2"), F.coalesce("component", "rep").alias("__comp"))
