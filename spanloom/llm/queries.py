@@ -51,7 +51,7 @@ def op7_quality(spark, sf_dir):
 
 
 def op8_mixing(spark, sf_dir):
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.taken(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
