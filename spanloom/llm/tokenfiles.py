@@ -15,6 +15,8 @@ all lanes at a time, as a few numpy operations.
 
 from __future__ import annotations
 
+import itertools
+import re
 import struct
 import uuid
 import zlib
@@ -34,8 +36,8 @@ LANES, STEPS, IDS = 4096, 512, 1 << 16
 BLOCK = LANES * STEPS
 #: UTF-8 bytes of a file's texts; where cores would idle, less, to a sixteenth.
 PART = 64_000_000
-#: Words whose ids a task remembers.
-MEMORY = 2_000_000
+#: Words and pieces whose ids a task remembers.
+MEMORY = 3_000_000
 MAGIC, FOOT, HEAD = b"SLTF0002", struct.Struct("<QQ8s"), struct.Struct("<II")
 #: Bits of the order-0 total and of the mixture's; bits of the order-2 table.
 ZERO, ALL, TWO = 20, 26, 20
@@ -287,8 +289,18 @@ def read_file(uri: str) -> Iterator[tuple[list[tuple[int | None, int]], np.ndarr
                 raise ValueError(f"{uri} is cut short")
 
 
+#: ASCII letters and then signs: two pieces to the tokenizer, of which the first is read in lower case. Apostrophes may
+#: begin a piece of their own with letters, so words with them are left whole.
+PLAIN = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class Words:
-    """Ids of words between ASCII spaces, which the tokenizer never joins; each distinct word is encoded once."""
+    """Ids of words between ASCII spaces, which the tokenizer never joins; each distinct word is encoded once.
+
+    New words of letters and signs are encoded as these two pieces, which many words share. What is new goes to the
+    tokenizer in lines of words with a mark between them, a word of one id; a line in which that id occurs otherwise is
+    encoded word by word.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -297,18 +309,48 @@ class Words:
         if self.tokenizer.get_vocab_size() > IDS:
             raise ValueError("ids need to be below 2**16")
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {b"": b""}
+        ids = {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in "§¶¤~#"}
+        self.mark, self.mark_id = next(((x, i[0]) for x, i in ids.items() if len(i) == 1), (None, -1))
+
+    def look_up(self, words: list[bytes]) -> None:
+        """Encode pieces that are not known."""
+        for a in range(0, len(words), 16384):
+            lines = [words[k : k + 64] for k in range(a, min(a + 16384, len(words)), 64)]
+            if self.mark is None:
+                alone = [w for line in lines for w in line]
+            else:
+                alone, mark = [], f" {self.mark} ".encode()
+                got = self.tokenizer.encode_batch_fast([mark.join(line).decode() for line in lines], add_special_tokens=False)
+                for line, e in zip(lines, got, strict=True):
+                    ids = np.array(e.ids, "<u2")
+                    cut = np.flatnonzero(ids == self.mark_id)
+                    if len(cut) != len(line) - 1:
+                        alone += line
+                        continue
+                    raw, ends = ids.tobytes(), [*cut.tolist(), len(ids)]
+                    self.pieces.update((w, raw[2 * i : 2 * j]) for w, i, j in zip(line, [0, *(k + 1 for k in ends[:-1])], ends, strict=True))
+            if alone:
+                got = self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)
+                self.pieces.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(alone, got, strict=True))
 
     def encode(self, rows: list[list[bytes]]) -> list[bytes]:
-        new = {w for r in rows for w in r if w not in self.known}
-        if len(self.known) + len(new) > MEMORY:
-            self.known, new = {}, {w for r in rows for w in r}
+        """The ids of rows of words; each distinct word of the rows is looked up once in what the task remembers."""
+        own = set().union(*rows)
+        here = {w: ids for w, ids in zip(own, map(self.known.get, own), strict=True) if ids is not None}
+        new = own - here.keys()
+        if len(self.known) + len(self.pieces) + 2 * len(new) > MEMORY:
+            self.known, self.pieces, here, new = {}, {b"": b""}, {}, own
         if new:
-            ordered = list(new)
-            for a in range(0, len(ordered), 4096):
-                some = ordered[a : a + 4096]
-                got = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-                self.known.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(some, got, strict=True))
-        return [b"".join(map(self.known.__getitem__, r)) for r in rows]
+            plain = [(w, m[1].lower(), m[2]) for w in new if (m := PLAIN.fullmatch(w))]
+            odd = new.difference([x[0] for x in plain])
+            pieces = self.pieces
+            self.look_up(list({x for x in itertools.chain(odd, (x[1] for x in plain), (x[2] for x in plain)) if x not in pieces}))
+            fresh = {w: pieces[a] + pieces[b] for w, a, b in plain}
+            fresh.update((w, pieces[w]) for w in odd)
+            self.known.update(fresh)
+            here.update(fresh)
+        return [b"".join(map(here.__getitem__, r)) for r in rows]
 
 
 _words: dict[str, Words] = {}
@@ -339,8 +381,8 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 2) -> DataFrame:
         for batch in batches:
             data, bounds = texts(batch.column(1))
             raw = memoryview(data)
-            for a in range(0, batch.num_rows, 256):
-                some = range(a, min(a + 256, batch.num_rows))
+            for a in range(0, batch.num_rows, 512):
+                some = range(a, min(a + 512, batch.num_rows))
                 ids = words.encode([bytes(raw[bounds[i] : bounds[i + 1]]).split() for i in some])
                 for i, x in zip(some, ids, strict=True):
                     writer = writer or Writer(folder)

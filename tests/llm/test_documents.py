@@ -125,20 +125,50 @@ def test_mixing_against_plain(spark):
             rows.append((i, " ".join(["w"] * rng.randint(0, 60)), "en", s))
             i += 1
     docs = frame(spark, rows)
+    keys = {r.doc_id: r.k for r in docs.selectExpr("doc_id", "xxhash64(doc_id, text) AS k").collect()}
     got = mixing.mix(docs).collect()
-    size, taken = defaultdict(int), defaultdict(int)
-    for r in got:
-        size[r.source] += r["size"]
-        taken[r.source] += r.taken
-        assert r.taken % max(r["size"], 1) == 0 and r.taken <= 3 * r["size"]
+    size = defaultdict(int)
+    for i, t, _, s in rows:
+        size[s] += len(t.split())
     want = plain_targets(size)
+    want_taken = plain_taken([(i, keys[i], s, len(t.split())) for i, t, _, s in rows], size, want)
+    assert len(got) == len(rows)
     for r in got:
         assert r.source_size == size[r.source] and abs(r.target - want[r.source]) < 1e-6
+        assert r.taken == want_taken[r.doc_id] <= 3 * r["size"]
+        assert abs(r.copies * r["size"] - r.taken) <= r["size"] / 2
     for s in size:
-        assert abs(taken[s] - want[s]) <= 60
+        assert sum(r.taken for r in got if r.source == s) == round(want[s])
     assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in mixing.mix(docs.repartition(3)).collect())
+    assert sorted((r.doc_id, r.taken, r.copies) for r in got) == sorted((r.doc_id, r.taken, r.copies) for r in mixing.taken(docs).collect())
+    assert got[0].asDict().keys() == {*docs.columns, "source_size", "target", "copies"}
     copies = mixing.mixed_rows(docs)
-    assert copies.columns == docs.columns and copies.count() == sum(r.copies for r in got)
+    assert copies.schema == docs.schema and copies.count() == sum(r.copies for r in got)
+
+
+def plain_taken(rows, sizes, target):
+    """Words that each document gives: sources read in the order of their keys, again and again, up to the budget."""
+    out = {}
+    for source in sizes:
+        left = round(target[source])
+        own = sorted((k, i, n) for i, k, s, n in rows if s == source)
+        out |= {i: 0 for _, i, _ in own}
+        while left > 0:
+            for _, i, n in own:
+                out[i] += min(n, left)
+                left -= min(n, left)
+    return out
+
+
+def test_equal_rows_are_mixed_one_by_one(spark):
+    rows = [(1, "five words are in it", "en", "a")] * 2000 + [(k, "x " * 100, "en", "b") for k in range(100)] + [(None, "w w w", "en", None)] * 500
+    docs = frame(spark, rows)
+    got = mixing.mix(docs).collect()
+    target = {r.source: r.target for r in got}
+    for s in target:
+        assert sum(r.taken for r in got if r.source == s) == round(target[s])
+        assert abs(sum(r.copies * r["size"] for r in got if r.source == s) - target[s]) <= max(r["size"] for r in got if r.source == s)
+    assert len({r.taken for r in got if r.source == "a"}) > 1  # some of the equal rows, not all or none
 
 
 def test_mixing_of_odd_rows(odd, none):
@@ -530,6 +560,17 @@ def test_token_files(spark, odd, none, tmp_path):
     assert tokenfiles.read(tokenfiles.write(none, path, tmp_path.as_uri())).count() == 0
 
 
+def test_words_as_the_tokenizer_takes_them():
+    """Words by pieces and in lines give the ids of whole texts, signs, cases, apostrophes and the mark included."""
+    words = tokenfiles.Words(vocabulary("word_bpe_49k.json"))
+    assert words.mark is not None
+    rng, parts = random.Random(8), ["it", "'s", "IT'S", "don't", "WORD", "...", "$$$", "a1b2", "42", "é", "e\u0301", "\u0301", "§", "¶", "¤", "~", "#", "<|endoftext|>", "<|", "|>", "ß", "ΑΣ", "İ", "ﬁ", "名", "''", "'", "_", "-", "`", "’s", "\x85", "\u2028", "\ufeff", "\x00", "\U0001f600"]
+    texts = [" ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    got = words.encode([t.encode().split() for t in texts])
+    for t, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
 def test_damaged_token_files_are_found(tmp_path):
     w = tokenfiles.Writer(tmp_path.as_uri())
     w.add(1, np.arange(500, dtype=np.uint16))
