@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from spanloom.llm import hashing
 from spanloom.llm.hashing import U, mix
-from spanloom.llm.shared import least, ship
+from spanloom.llm.shared import least, ship, stored
 
-#: Most labelled documents of each label that a model is fitted on: those with the least hash.
-SAMPLE = 4000
+#: Most labelled documents of each label that a model is fitted on, those with the least hash, and most of their features.
+SAMPLE, FEATURES = 4000, 8_000_000
 
 
 @dataclass(frozen=True)
@@ -79,12 +80,14 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, float]], how: Settings) -> np.
     return weight(np.arange(len(z)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), sample: int = SAMPLE) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), sample: int = SAMPLE, most: int = FEATURES) -> np.ndarray:
     """Weights learned from at most `sample` documents of each label (`text` of docs, `quality` of labels by doc_id).
 
-    The sample is bounded, so its feature lists fit the driver; only they are sent there. The rows of a label
-    are those whose doc_id has the least hash. Rows with null text,
-    doc_id or label are left out; without rows, or with one label only, all weights but the bias are 0.
+    The rows of a label are those whose doc_id has the least hash, as many as have `most` features (distinct
+    n-grams) together; a doc_id with many rows gives no more of them either. So what is sent to the driver has a
+    bound of 8 bytes a feature, 128 MB by default, whatever the size of documents and labels. The rows with null text, doc_id
+    or label are left out; empty texts count; equal rows count each. Without rows, or with one label only, all weights
+    but the bias are 0.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -92,24 +95,33 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), sample:
     marks = least(marks, "__label", ["__id"], sample)
     text = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     chosen = text.join(F.broadcast(marks), text["doc_id"] == marks["__id"]).select("__id", "__h", "__label", "text")
-    schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("label", pa.float64()), ("ids", pa.binary()), ("vals", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("label", pa.float64()), ("n", pa.int64()), ("print", pa.int64()), ("ids", pa.binary()), ("vals", pa.binary())])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = list(features(batch.column(3), how))
+            f = [(i.astype(np.int32), v.astype(np.float32)) for i, v in features(batch.column(3), how)]
             cols = [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int64()), batch.column(2).cast(pa.float64())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([i.astype(np.int32).tobytes() for i, _ in f], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in f], pa.binary())], schema=schema)
-
-    got = chosen.mapInArrow(listed, "id long, h long, label double, ids binary, vals binary").toPandas()
-    got = got.sort_values(["h", "label", "id", "ids"])
+            marks = [pa.array([len(i) for i, _ in f], pa.int64()), pa.array([zlib.crc32(v.tobytes(), zlib.crc32(i.tobytes())) for i, v in f], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, *marks, *(pa.array([x[k].tobytes() for x in f], pa.binary()) for k in (0, 1))], schema=schema)
+
+    rows = stored(chosen.mapInArrow(listed, "id long, h long, label double, n long, print long, ids binary, vals binary"), "quality-features")
+    # bounded in rows and features on narrow columns, before any list goes to the driver; equal rows are told apart by number
+    near = rows.select("label", "h", "id", "print", "n").groupBy("label", "h", "id", "print").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    order = Window.partitionBy("label").orderBy("h", "id", "print").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.least(F.lit(sample) - F.coalesce(F.sum("c").over(order), F.lit(0)), F.floor((F.lit(most) - F.coalesce(F.sum(F.col("c") * F.col("n")).over(order), F.lit(0))) / F.col("n")))
+    near = near.withColumn("k", F.least("c", room)).filter("k > 0").select("label", "h", "id", "print", "k")
+    kept = rows.join(F.broadcast(near), ["label", "h", "id", "print"])
+    kept = kept.groupBy("label", "h", "id", "print", "k").agg(F.any_value("ids").alias("ids"), F.any_value("vals").alias("vals"))
+    got = kept.toPandas().sort_values(["h", "label", "id", "print"])
     one_label = got["label"].nunique() < 2
-    rows = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), x) for i, v, x in zip(got["ids"], got["vals"], got["label"], strict=True)]
+    read = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), x, k) for i, v, x, k in zip(got["ids"], got["vals"], got["label"], got["k"], strict=True)]
     del got
+    data = [(i, v, x) for i, v, x, k in read for _ in range(k)]
     if one_label:
         weights = np.zeros((1 << how.bits) + 1)
-        weights[-1] = 0.0 if not rows else 4.0 * (2 * rows[0][2] - 1)
+        weights[-1] = 0.0 if not data else 4.0 * (2 * data[0][2] - 1)
         return weights
-    return ftrl(rows, how)
+    return ftrl(data, how)
 
 
 def _scores(text: pa.Array, w: np.ndarray, how: Settings) -> np.ndarray:
@@ -120,7 +132,8 @@ def score(docs: DataFrame, weights: np.ndarray, how: Settings = Settings(), thre
     """docs with score (0 to 1) and predicted (1 from `threshold` on), which replace columns of the same names.
 
     keep names the columns of docs to return, all by default. A null or empty text has the score of the bias
-    alone. The weights are broadcast: 2**bits + 1 numbers.
+    alone; long texts are read whole, in pieces; equal texts have equal scores; an empty table gives an empty one. The
+    weights are broadcast: 2**bits + 1 numbers.
     """
     spark = docs.sparkSession
     ship(spark)
