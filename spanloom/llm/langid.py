@@ -15,10 +15,10 @@ from spanloom.llm import hashing
 from spanloom.llm.decontam import LETTERS
 from spanloom.llm.shared import least, ship
 
-#: Most documents of a language, and most distinct words of them, that a model is fitted on.
-SAMPLE, SAMPLE_WORDS = 2000, 150_000
-#: Longest piece, and longest run of a word that is segmented at once, in bytes; longer words are taken in runs.
-PIECE, RUN = 12, 48
+#: Most documents of a language that a model is fitted on, most distinct words of all of them, and most languages.
+SAMPLE, SAMPLE_WORDS, LANGUAGES = 2000, 1_000_000, 200
+#: Bytes up to which a word is summed at once, with the space before it, and of the runs that longer ones are summed in.
+WHOLE, RUN = 40, 16
 #: Words whose scores a task remembers. Others are scored again when they come again.
 MEMORY = 1_500_000
 
@@ -35,7 +35,8 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         every = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_byte(i) and not model.is_unknown(i)}
         words = {p.replace("▁", " ").encode() for p in every if p == p.lower() and p.count("▁") == p.startswith("▁") and p.replace("▁", "").isalnum()}
-        pieces = sorted({w for w in words if len(w) <= PIECE} | {bytes([b]) for b in range(256)})
+        pieces = sorted(words | {bytes([b]) for b in range(256)})
+        self.longest = max(map(len, pieces))
         self.count = len(pieces)
         used = sorted({b for p in pieces if len(p) > 1 for b in p})
         self.code = np.zeros(256, np.int16)  # bytes that are in no longer piece share code 0
@@ -64,7 +65,7 @@ def _steps(pieces: Pieces, b: np.ndarray, size: np.ndarray) -> Iterator[tuple[in
         rows = np.flatnonzero(size > s)
         yield s, s + 1, rows, pieces.single[b[rows, s]]
         state = pieces.next[1, pieces.code[b[rows, s]]]
-        for e in range(s + 1, min(s + PIECE, b.shape[1])):
+        for e in range(s + 1, min(s + pieces.longest, b.shape[1])):
             live = (state > 0) & (size[rows] > e)
             rows, state = rows[live], state[live]
             if not len(rows):
@@ -91,31 +92,53 @@ def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width), size
 
 
-def runs(word: bytes) -> list[bytes]:
-    word = b" " + word
-    return [word[i : i + RUN] for i in range(0, len(word), RUN)]
+def _long(pieces: Pieces, prob: np.ndarray, word: bytes) -> np.ndarray:
+    """Log probability of one long word in each language, the sum over all its segmentations.
+
+    The forward sums of the last places before a cut, as many as the longest piece has bytes, tell all that comes after. So
+    each run of the word is a linear map from those before it to those at its end: the maps of many runs are taken side
+    by side, from one unit sum for each place, and then applied in order.
+    """
+    deep, langs = pieces.longest, prob.shape[1]
+    cuts = list(range(0, len(word), RUN))
+    state, scale = np.zeros((deep, langs)), np.zeros(langs)
+    state[-1] = 1.0  # state[i]: the forward sum deep - 1 - i places before the cut
+    filled = b"\0" * (deep - 1) + word
+    for a in range(0, len(cuts), 256):
+        some = cuts[a : a + 256]
+        parts = [filled[c : c + deep - 1 + RUN] for c in some]
+        b, size = padded(parts)
+        grid = np.zeros((len(parts), b.shape[1] + 1, deep, langs))
+        grid[:, np.arange(deep), np.arange(deep)] = 1.0
+        for s, e, rows, ids in _steps(pieces, b, size):
+            if e >= deep:
+                grid[rows, e] += grid[rows, s] * prob[ids][:, None, :]
+        for k, n in enumerate(size.tolist()):
+            state = np.einsum("oil,il->ol", grid[k, n - deep + 1 : n + 1], state)
+            top = state.max(axis=0)
+            state, scale = state / top, scale + np.log(top)
+    return np.log(state[-1]) + scale
 
 
 def scores(pieces: Pieces, prob: np.ndarray, words: list[bytes]) -> np.ndarray:
-    """Log probability of each word in each language."""
-    parts, owner = [], []
-    for k, w in enumerate(words):
-        for part in runs(w):
-            parts.append(part)
-            owner.append(k)
-    out, order = np.zeros((len(words), prob.shape[1])), np.argsort([len(p) for p in parts], kind="stable")
-    owner = np.array(owner)
+    """Log probability of each word in each language, summed over all segmentations."""
+    words = [b" " + w for w in words]
+    out = np.zeros((len(words), prob.shape[1]))
+    size = np.array([len(w) for w in words], np.int64)
+    order = np.flatnonzero(size <= WHOLE)
+    order = order[np.argsort(size[order], kind="stable")]
     for a in range(0, len(order), 8192):
         own = order[a : a + 8192]
-        b, size = padded([parts[i] for i in own])
-        alpha = forward(pieces, prob, b, size)
-        np.add.at(out, owner[own], np.log(alpha[np.arange(len(own)), size]))
+        b, n = padded([words[i] for i in own])
+        out[own] = np.log(forward(pieces, prob, b, n)[np.arange(len(own)), n])
+    for i in np.flatnonzero(size > WHOLE).tolist():
+        out[i] = _long(pieces, prob, words[i])
     return out
 
 
 def fit_one(pieces: Pieces, words: list[bytes], counts: np.ndarray, rounds: int = 4, smooth: float = 0.05) -> np.ndarray:
-    """Piece probabilities of one language by expectation maximisation over all segmentations."""
-    parts = [(p, c) for w, c in zip(words, counts.tolist(), strict=True) for p in runs(w)]
+    """Piece probabilities of one language by expectation maximisation over all segmentations of words up to WHOLE bytes."""
+    parts = [(b" " + w, c) for w, c in zip(words, counts.tolist(), strict=True) if len(w) < WHOLE]
     parts.sort(key=lambda x: len(x[0]))
     batches = [(padded([p for p, _ in parts[a : a + 8192]]), np.array([c for _, c in parts[a : a + 8192]], float)) for a in range(0, len(parts), 8192)]
     prob = np.full((pieces.count, 1), 1.0 / pieces.count)
@@ -138,17 +161,21 @@ def _spelled(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
     return hashing.spans(pc.utf8_lower(column), LETTERS, hashing.SAME)
 
 
-def fit(docs: DataFrame, path: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, path: str, sample: int = SAMPLE, most_words: int = SAMPLE_WORDS, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
     """The languages of docs (text, lang) and their piece probabilities.
 
     A model is fitted on the words of at most `sample` documents of each language, those with the least hash of
-    text and doc_id, and on at most SAMPLE_WORDS distinct words of them, the most frequent. Null texts and languages
-    are left out.
+    text and doc_id, and on the most frequent of their distinct words, an equal share of `most_words` for each language;
+    so the words that reach the driver are bounded however many languages there are. Of more than `languages` values
+    of lang the most frequent are learned. Words of WHOLE bytes or more are not learned from. Null texts and languages are left
+    out, as are long texts' words only by these bounds; equal rows count each; an empty table learns no language.
     """
     spark = docs.sparkSession
     ship(spark)
     ids = [F.col("doc_id")] if "doc_id" in docs.columns else []
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), *ids).filter("lang IS NOT NULL AND text IS NOT NULL")
+    known = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    rows = rows.filter(F.col("lang").isin(known))
     chosen = least(rows, "lang", ["text", *(["doc_id"] if "doc_id" in rows.columns else [])], sample).select("lang", "text")
     schema = pa.schema([("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
 
@@ -165,7 +192,7 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE) -> tuple[list[str], np
 
     counts = chosen.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     most = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    words = counts.withColumn("__r", F.row_number().over(most)).filter(F.col("__r") <= SAMPLE_WORDS).select("lang", "word", "n").toPandas()
+    words = counts.withColumn("__r", F.row_number().over(most)).filter(F.col("__r") <= max(most_words // max(len(known), 1), 1)).select("lang", "word", "n").toPandas()
     pieces, langs, probs = Pieces(path), sorted(words["lang"].unique()), []
     for lang in langs:
         own = words[words["lang"] == lang].sort_values("word")
@@ -178,7 +205,8 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, path: str, keep
 
     Both replace columns of the same names; keep names the columns of docs to return, all by default. A text that
     is null or has no letter is `und` with score 0, as is every text if no language was learned. Ties go to the
-    first language by code point.
+    first language by code point. Long texts and words are read whole; equal texts get equal results; an empty table
+    gives an empty one.
     """
     spark = docs.sparkSession
     ship(spark)

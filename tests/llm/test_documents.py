@@ -202,6 +202,80 @@ def test_quality_learns_and_scores_everything(spark, odd, none):
     assert (one[:-1] == 0).all() and one[-1] > 0
 
 
+def test_sample_is_bounded_in_rows_and_features(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"good words {k}") for k in range(3000)] + [(2, "bad ### words")] * 50 + [(k, "some more ###") for k in range(3, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k == 1)) for k in range(1, 60)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "ftrl", lambda data, how: seen.append(data) or np.zeros(3))
+    quality.fit(docs, labels, sample=40)
+    quality.fit(docs, labels, sample=40, most=100)
+    quality.fit(docs, labels, sample=400)
+    for data, rows, most in zip(seen, (40, 40, 400), (10**9, 100, 10**9), strict=True):
+        for label in (0, 1):
+            own = [len(i) for i, _, x in data if x == label]
+            assert 0 < len(own) <= rows and sum(own) <= most
+    assert len([0 for *_, x in seen[2] if x == 0]) == 107  # equal rows count each
+
+
+def plain_ftrl(rows, how):
+    """Follow the regularised leader, one weight at a time."""
+    from collections import defaultdict
+    from math import exp, sqrt
+
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= how.l1:
+            return 0.0
+        return -(z[i] - (how.l1 if z[i] > 0 else -how.l1)) / ((how.beta + sqrt(n[i])) / how.alpha + how.l2)
+
+    ones = sum(x for *_, x in rows)
+    odds = (max(ones, 1) / max(len(rows) - ones, 1)) ** 0.25
+    for _ in range(how.epochs):
+        for ids, vals, label in rows:
+            w = {i: weight(i) for i in ids}
+            p = 1 / (1 + exp(-sum(w[i] * v for i, v in zip(ids, vals, strict=True))))
+            for i, v in zip(ids, vals, strict=True):
+                g = (p - label) * v * (1.0 if label else odds)
+                z[i] += g - (sqrt(n[i] + g * g) - sqrt(n[i])) / how.alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_training_against_plain():
+    rng = np.random.default_rng(4)
+    how = quality.Settings(bits=6)
+    rows = []
+    for _ in range(80):
+        ids = np.append(np.sort(rng.choice(64, 9, replace=False)), 64)
+        rows.append((ids, np.append(rng.random(9), 1.0), float(ids[0] < 5)))
+    got, want = quality.ftrl(rows, how), plain_ftrl([(i.tolist(), v.tolist(), x) for i, v, x in rows], how)
+    assert np.allclose(got, [want.get(i, 0.0) for i in range(65)]) and (got != 0).sum() > 10
+
+
+def test_scores_against_plain(spark):
+    """Hashed n-grams of a text, listed word by word."""
+    import re
+
+    how = quality.Settings(bits=18)
+    text = "The cat, THE cat sat!! 42 cats"
+    tokens = re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+|[^A-Za-z0-9\s\x80-\U0010ffff]+", text)
+    low, shape = [t.lower() for t in tokens], [re.sub("[a-z0-9]", "a", re.sub("[A-Z]", "A", t)) for t in tokens]
+    grams = [("w", x) for x in low] + [("s", x) for x in shape] + [("w", *x) for x in itertools.pairwise(low)] + [("s", *x) for x in itertools.pairwise(shape)] + [("=", a == b) for a, b in itertools.pairwise(low)]
+    count = defaultdict(int)
+    for g in grams:
+        count[g] += 1
+    ids, values = next(quality.features(pa.array([text]), how))
+    assert len(ids) == len(count) + 1 and ids[-1] == 1 << 18 and values[-1] == 1.0
+    norm = sum(count.values()) ** 0.5
+    assert np.allclose(sorted(values[:-1]), sorted(c**0.5 / norm for c in count.values()))
+    w = np.random.default_rng(5).normal(size=(1 << 18) + 1)
+    docs = spark.createDataFrame([(1, text, 7.0, 9), (2, None, 7.0, 9)], "doc_id long, text string, score double, predicted int")
+    got = {r.doc_id: r for r in quality.score(docs, w).collect()}
+    assert abs(got[1].score - 1 / (1 + np.exp(-(w.astype(np.float32)[ids] * values).sum()))) < 1e-6
+    assert all(r.predicted == int(r.score >= 0.7) for r in got.values()) and abs(got[2].score - 1 / (1 + np.exp(-w[-1]))) < 1e-6
+
+
 # near-duplicates
 
 
@@ -467,6 +541,63 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(alpha[0, len(word)], total(0)) and len(known) > len(word) + 3
 
 
+def test_long_words_sum_all_segmentations(monkeypatch):
+    pieces = langid.Pieces(vocabulary("piece_bpe_32k.model"))
+    rng = np.random.default_rng(2)
+    prob = rng.random((pieces.count, 3)) * 0.6
+    words = [b"configurationsandinternationalization" * k for k in (1, 2, 5)] + ["straßeñandú名字".encode() * 9, b"q" * 200, bytes(rng.integers(97, 123, 300).astype(np.uint8))]
+    assert pieces.longest > 12
+    got = langid.scores(pieces, prob, words)
+    for w, s in zip(words, got, strict=True):
+        b, n = langid.padded([b" " + w])
+        assert np.allclose(s, np.log(langid.forward(pieces, prob, b, n)[0, n[0]]))
+    monkeypatch.setattr(langid, "WHOLE", 5)  # short words by runs too
+    short = [b"configurations", b"the", b"mannen", b"x"]
+    runs = langid.scores(pieces, prob, short)
+    monkeypatch.setattr(langid, "WHOLE", 40)
+    assert np.allclose(runs, langid.scores(pieces, prob, short))
+
+
+def test_fit_and_prediction_against_plain(spark):
+    """Two rounds of EM and the scores of texts, by listing every segmentation."""
+    pieces = langid.Pieces(vocabulary("piece_bpe_32k.model"))
+    listed = {}
+
+    def cuts(w):
+        b, n = langid.padded([w])
+        edges = {(s, e): int(i[0]) for s, e, _, i in langid._steps(pieces, b, n)}
+
+        def all_(s):
+            return [[]] if s == len(w) else [[edges[s, e], *t] for e in range(s + 1, len(w) + 1) if (s, e) in edges for t in all_(e)]
+
+        return all_(0)
+
+    words, counts = [b"the", b"then", b"than", b"ante"], np.array([3, 1, 2, 5])
+    prob = np.full(pieces.count, 1 / pieces.count)
+    for _ in range(2):
+        want = np.full(pieces.count, 0.05)
+        for w, c in zip(words, counts, strict=True):
+            every = [(x, np.prod(prob[x])) for x in listed.setdefault(w, cuts(b" " + w))]
+            total = sum(p for _, p in every)
+            for x, p in every:
+                np.add.at(want, x, c * p / total)
+        prob = want / want.sum()
+    assert np.allclose(langid.fit_one(pieces, words, counts, rounds=2), prob)
+    two = np.stack([prob, np.full(pieces.count, 1 / pieces.count)], axis=1)
+    docs = spark.createDataFrame([(1, "The then, ante!", "aa", 0.1), (2, "zzz", "bb", 0.2)], "doc_id long, text string, lang_pred string, score double")
+    got = langid.predict(docs, ["aa", "bb"], two, vocabulary("piece_bpe_32k.model")).orderBy("doc_id").collect()
+    for r, ws in zip(got, ([b"the", b"then", b"ante"], [b"zzz"]), strict=True):
+        log = np.array([sum(np.log(sum(np.prod(two[x, k]) for x in cuts(b" " + w))) for w in ws) for k in (0, 1)])
+        assert r.lang_pred == ["aa", "bb"][int(log.argmax())] and abs(r.score - 1 / np.exp(log - log.max()).sum()) < 1e-9
+
+
+def test_languages_are_bounded(spark):
+    path = vocabulary("piece_bpe_32k.model")
+    docs = spark.createDataFrame([(k, "some words here", f"l{k % 7}") for k in range(40)], "doc_id long, text string, lang string")
+    langs, prob = langid.fit(docs, path, most_words=10, languages=5)
+    assert langs == ["l0", "l1", "l2", "l3", "l4"] and prob.shape[1] == 5
+
+
 def test_languages(spark, odd, none):
     rng = random.Random(6)
     lex = {"aa": ["ka", "lo", "mi", "nu"], "bb": ["stra", "pfe", "schu", "kno"]}
