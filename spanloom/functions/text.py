@@ -145,6 +145,17 @@ def pad(values: Column, size: int, filler: Column) -> Column:
     return F.slice(F.concat(values, F.array_repeat(filler, size)), 1, size)
 
 
+def char_ids(words: Column, vocabulary: Column, size: int = 20, unknown: int = 1, filler: int = 0) -> Column:
+    """The ids of the first `size` lower-case characters of each word, filled up at the end."""
+    chars = lambda w: F.filter(F.split(F.lower(w), ""), lambda c: c != "")
+    return F.transform(words, lambda w: pad(ids(chars(w), vocabulary, unknown), size, F.lit(filler)))
+
+
+def clamp(labels: Column, count: int, ignored: int = -100) -> Column:
+    """Label ids within 0 and count - 1; the ignored id becomes 0."""
+    return F.transform(labels, lambda x: F.when(x == ignored, 0).otherwise(F.greatest(F.lit(0), F.least(x, F.lit(count - 1)))))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Overlap of the word sets of two texts after normal(); 1 where both have none, 0 where one has none."""
 

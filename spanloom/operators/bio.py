@@ -23,14 +23,26 @@ def repair(labels: Column, scheme: str = "BIO") -> Column:
     """
     if scheme != "BIO":
         return labels
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("O").alias("last"))
+    return let(labels, _repair)
 
-    def step(acc: Column, x: Column) -> Column:
-        inside = x.startswith("I-") & ((acc["last"] == x) | (acc["last"] == F.concat(F.lit("B-"), F.substr(x, F.lit(3)))))
-        keep = F.when(x.startswith("B-") | x.startswith("O-") | inside, x).otherwise("O")
-        return F.struct(F.array_append(acc["out"], keep).alias("out"), keep.alias("last"))
 
-    return F.aggregate(labels, start, step, lambda acc: acc["out"])
+def _repair(labels: Column) -> Column:
+    """Runs of one tag and those that continue it stay or go as a whole, by their first label: no array grows label by label."""
+
+    def begins(x: Column, i: Column) -> Column:
+        before = F.get(labels, i - 1)
+        goes_on = x.startswith("I-") & ((before == x) | (before == F.concat(F.lit("B-"), F.substr(x, F.lit(3)))))
+        return F.when(~F.coalesce(goes_on & (i > 0), F.lit(False)), i)
+
+    def runs(starts: Column) -> Column:
+        def run(s: Column, k: Column) -> Column:
+            size = F.coalesce(F.get(starts, k + 1), F.size(labels)) - s
+            keep = F.coalesce(F.get(labels, s).startswith("B-") | F.get(labels, s).startswith("O-"), F.lit(False))
+            return F.when(keep, F.slice(labels, s + 1, size)).otherwise(F.array_repeat(F.lit("O"), size))
+
+        return F.flatten(F.transform(starts, run))
+
+    return let(F.filter(F.transform(labels, begins), lambda i: i.isNotNull()), runs)
 
 
 def violations(labels: Column) -> Column:

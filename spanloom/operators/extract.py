@@ -11,7 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-QUOTA = "quota|rate limit|429|resource exhausted"
+#: What an error of a used-up quota says, in lower case.
+QUOTA = ("quota", "rate limit", "rate_limit_exceeded", "resource_exhausted", "resource has been exhausted", "429")
+#: Headings and the task of a prompt.
+EXAMPLES, TASK = "# Examples", "# Your Task"
+ASK = "Extract the voting event from the following text and return ONLY the JSON object:"
+ASK_LONG = "Given the input text below, extract the voting event and return ONLY the JSON object as specified."
 #: The shape of an example's output; older forms of its fields are read too.
 EXAMPLE = "text string, has_voting_event boolean, event struct<subject:string,participants:array<struct<text:string,position:string>>,counting:array<struct<text:string,type:string>>,voting_expressions:array<string>>"
 REPLY = "struct<has_voting_event:boolean,event:string>"
@@ -33,17 +38,25 @@ def cut(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
 
 
+def shown(source: str, most: int, always: bool = False) -> str:
+    """The start of an example's text, with dots where it was cut, or always."""
+    text = source.strip()
+    return text[:most] + ("..." if always or len(text) > most else "")
+
+
 def prompt(text: Column, instructions: str, examples: list[tuple[str, str]] = (), use: int = 5, most: int = 400) -> Column:
     """Instructions, the first `use` examples (text, output JSON) with their texts cut, then the text itself."""
-    parts = [instructions]
-    if examples:
-        parts.append("\n\n# Examples\n")
-        for k, (source, output) in enumerate(examples[:use], 1):
-            source = source.strip()
-            source = source[:most] + "..." if len(source) > most else source
-            parts += [f"\n## Example {k}\n", f"Input: {source}\n", f"Output: {output}\n"]
-    parts += ["\n\n# Your Task\n", "Extract the voting event from the following text and return ONLY the JSON object:\n\n"]
-    return F.concat(F.lit("\n".join(parts) + "\nInput: "), text, F.lit("\n\n\nOutput:"))
+    block = "\n\n## Example {k}\n\nInput: {text}\n\nOutput: {output}\n"
+    blocks = "".join(block.format(k=k, text=shown(x, most), output=y) for k, (x, y) in enumerate(examples[:use], 1))
+    told = f"\n\n\n{EXAMPLES}\n{blocks}" if examples else ""
+    return F.concat(F.lit(f"{instructions}{told}\n\n\n{TASK}\n\n{ASK}\n\n\nInput: "), text, F.lit("\n\n\nOutput:"))
+
+
+def example_prompt(instructions: str, examples: list[tuple[str, str]], use: int = 10, most: int = 500) -> str:
+    """The other form: instructions and examples with outputs as code blocks, the text to follow."""
+    block = "\n\n## Example {k}\n\n\n**Input:**\n{text}\n\n\n**Output:**\n```json\n{output}\n```\n"
+    blocks = "".join(block.format(k=k, text=shown(x, most, True), output=y) for k, (x, y) in enumerate(examples[:use], 1))
+    return f"{instructions}\n\n\n{EXAMPLES}\n{blocks}\n\n\n{TASK}\n\n{ASK_LONG}\n"
 
 
 def parse_reply(reply: Column) -> Column:
@@ -63,7 +76,8 @@ def parse_reply(reply: Column) -> Column:
 
 
 def is_quota_error(error: Column) -> Column:
-    return F.coalesce(F.lower(error).rlike(QUOTA), F.lit(False))
+    low = F.lower(error)
+    return F.coalesce(F.greatest(*[F.contains(low, F.lit(mark)) for mark in QUOTA]), F.lit(False))
 
 
 def call(rows: DataFrame, client: Callable[[str], str], prompt: str = "prompt", retries: int = 3, wait: float = 60.0, pause: float = 0.0) -> DataFrame:
@@ -72,8 +86,6 @@ def call(rows: DataFrame, client: Callable[[str], str], prompt: str = "prompt",
     A row whose calls fail has an error and no reply; none raises. The number of partitions of rows is the
     number of calls at a time.
     """
-    import re
-
     names = rows.columns
     at = names.index(prompt)
 
@@ -88,7 +100,7 @@ def call(rows: DataFrame, client: Callable[[str], str], prompt: str = "prompt",
                         break
                     except Exception as e:
                         error = str(e)
-                        if attempt == retries or not re.search(QUOTA, error.lower()):
+                        if attempt == retries or not any(mark in error.lower() for mark in QUOTA):
                             break
                         time.sleep(wait)
                 replies.append(reply)

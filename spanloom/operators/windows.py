@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions import text as T
 from spanloom.functions.text import let
 
 #: Most windows of a segment in greedy_windows, as in the published loop.
@@ -41,40 +43,35 @@ def windowed(rows: DataFrame, tokens: str = "tokens", max_length: int = 512, ove
     return rows.select(*[c for c in rows.columns if c != tokens], F.inline(slices))
 
 
-def greedy_windows(cost: list[int], labels: list[str] | None, max_length: int = 512, overlap: int = 50) -> list[tuple[int, int]]:
-    """Windows of tokens with given subword costs.
+def greedy_windows(cost: list[int], labels: list[str] | None, max_length: int = 512, overlap: int = 50, most: int | None = MOST) -> list[tuple[int, int]]:
+    """Windows of tokens with given subword costs; at most `most` of a segment, or all with None.
 
-    A window starts at half the budget, grows by ten tokens while it fits, shrinks by a tenth where it does not,
-    and, short of the end, is cut after the last O of its final 19 tokens. A token that alone is too long is skipped.
+    A window starts at half the budget, grows by ten tokens while the budget is not used up and ten more fit, and
+    shrinks by a tenth, 50 times at most, while it does not fit. A window of more than `overlap` tokens that does not
+    reach the end is cut after the last O of its final 19 tokens. A token that alone is too long is skipped.
     """
     limit, n = budget(max_length), len(cost)
-    total = [0]
-    for c in cost:
-        total.append(total[-1] + c)
+    total = [0, *itertools.accumulate(cost)]
     if total[-1] <= limit:
         return [(0, n)] if n else []
     out, at = [], 0
-    while at < n and len(out) < MOST:
+    while at < n and (most is None or len(out) < most):
+        used = lambda e, a=at: total[e] - total[a]
         end = min(at + limit // 2, n)
-        fits = lambda e, a=at: total[e] - total[a] <= limit
-        if fits(end):
-            while end < n and fits(min(end + 10, n)):
-                end = min(end + 10, n)
-            while end < n and fits(end + 1):
-                end += 1
-        else:
-            for _ in range(50):
-                if fits(end) or end - at <= 1:
-                    break
-                end = at + max(1, int((end - at) * 0.9))
-            if not fits(end):
+        while used(end) < limit and end < n and used(min(end + 10, n)) <= limit:
+            end = min(end + 10, n)
+        for _ in range(50):
+            if used(end) <= limit or end - at == 1:
+                break
+            end = at + max(1, int((end - at) * 0.9))
+        if used(end) > limit:
+            end = at + 1
+            if used(end) > limit:
                 at += 1
                 continue
-        if end < n and labels is not None:
-            for k in range(end - 1, max(at, end - 20), -1):
-                if labels[k] == "O":
-                    end = k + 1
-                    break
+        if end < n and end - at > overlap and labels is not None:
+            last = (k + 1 for k in range(end - 1, max(at, end - 20), -1) if labels[k] == "O")
+            end = next(last, end)
         out.append((at, end))
         if end >= n:
             break
@@ -82,7 +79,7 @@ def greedy_windows(cost: list[int], labels: list[str] | None, max_length: int =
     return out
 
 
-def tokenizer_windows(rows: DataFrame, cost: Callable[[list[str]], list[int]], tokens: str = "tokens", labels: str | None = None, max_length: int = 512, overlap: int = 50) -> DataFrame:
+def tokenizer_windows(rows: DataFrame, cost: Callable[[list[str]], list[int]], tokens: str = "tokens", labels: str | None = None, max_length: int = 512, overlap: int = 50, most: int | None = MOST) -> DataFrame:
     """windows of each row for any tokenizer: cost gives the subwords of each token. Adds `windows`; no shuffle."""
     names = rows.columns
     at, lab = names.index(tokens), names.index(labels) if labels else None
@@ -92,7 +89,7 @@ def tokenizer_windows(rows: DataFrame, cost: Callable[[list[str]], list[int]], t
         for batch in batches:
             t = batch.column(at).to_pylist()
             own = batch.column(lab).to_pylist() if lab is not None else [None] * len(t)
-            found = [[{"start": a, "end": b} for a, b in greedy_windows(cost(x or []), y, max_length, overlap)] for x, y in zip(t, own, strict=True)]
+            found = [[{"start": a, "end": b} for a, b in greedy_windows(cost(x or []), y, max_length, overlap, most)] for x, y in zip(t, own, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*names, "windows"])
 
     schema = rows.withColumn("windows", F.lit(None).cast("array<struct<start:int,end:int>>")).schema
@@ -103,12 +100,68 @@ def merge(pieces: DataFrame, key: str, size: Column, label: str = "label", fille
     """One label array for each key from window predictions (key, size, window_idx, start, labels).
 
     A position belongs to the first window that covers it; positions that none covers get the filler. Windows of
-    a key are gathered by one shuffle on it.
+    a key are gathered by one shuffle on it; each then gives the slice of its labels that no earlier one covers, for which
+    a window may not start before the one before it, as none does.
     """
     w = pieces.groupBy(key, size.alias("__size")).agg(F.array_sort(F.collect_list(F.struct("window_idx", "start", "labels"))).alias("__w"))
-    place = lambda p: F.coalesce(F.try_element_at(F.filter(F.transform("__w", lambda x: F.when((x["start"] <= p) & (p < x["start"] + F.size(x["labels"])), F.try_element_at(x["labels"], (p - x["start"] + 1).cast("int")))), lambda v: v.isNotNull()), F.lit(1)), F.lit(filler))
-    spots = F.when(F.col("__size") > 0, F.sequence(F.lit(0), F.col("__size") - 1)).otherwise(F.array().cast("array<int>"))
-    return w.select(key, F.transform(spots, place).alias(label))
+    ends = F.transform("__w", lambda x: x["start"] + F.size(x["labels"]))
+
+    def slices(b: Column) -> Column:
+        def own(x: Column, k: Column) -> Column:
+            before = F.coalesce(F.array_max(F.slice(b["ends"], F.lit(1), k)), F.lit(0))
+            first = F.greatest(before, x["start"])
+            gap = F.array_repeat(F.lit(filler), F.greatest(F.lit(0), x["start"] - before))
+            return F.concat(gap, F.slice(x["labels"], first - x["start"] + 1, F.greatest(F.lit(0), x["start"] + F.size(x["labels"]) - first)))
+
+        return F.flatten(F.transform(b["w"], own))
+
+    whole = T.pad(let(F.struct(F.col("__w").alias("w"), ends.alias("ends")), slices), F.col("__size"), F.lit(filler))
+    return w.select(key, F.when(F.col("__size") > 0, whole).otherwise(F.array().cast("array<string>")).alias(label))
+
+
+def named_windows(rows: DataFrame, key: str = "id", **how) -> DataFrame:
+    """windowed() with the ids of segments of several windows followed by _w and the window's number."""
+    cut = rows.withColumn("__many", F.size(uniform_windows(F.size(how.get("tokens", "tokens")), how.get("max_length", 512), how.get("overlap", 50))) > 1)
+    out = windowed(cut, **how)
+    name = F.when(F.col("__many"), F.concat(F.col(key).cast("string"), F.lit("_w"), F.col("window_idx").cast("string"))).otherwise(F.col(key).cast("string"))
+    return out.withColumn("window_id", name).drop("__many")
+
+
+def worded(tokens: Column) -> Column:
+    """The tokens that are not blank once cleaned, as (pos, token) with their place in the whole list."""
+    placed = F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), T.clean(t).alias("token")))
+    return F.filter(placed, lambda x: F.coalesce(~x["token"].rlike(T.BLANK), F.lit(False)))
+
+
+def scatter(size: Column, places: Column, labels: Column, filler: str = "O") -> Column:
+    """labels at their places (ascending) of a list of `size`, the filler at all others. Surplus labels are dropped."""
+
+    def filled(b: Column) -> Column:
+        def piece(p: Column, k: Column) -> Column:
+            before = F.when(k == 0, -1).otherwise(F.get(b["p"], k - 1))
+            return F.concat(F.array_repeat(F.lit(filler), p - before - 1), F.array(F.coalesce(F.get(b["l"], k), F.lit(filler))))
+
+        return F.flatten(F.transform(b["p"], piece))
+
+    return T.pad(let(F.struct(places.alias("p"), labels.alias("l")), filled), size, F.lit(filler))
+
+
+def predict(rows: DataFrame, score: Callable[[DataFrame], DataFrame], key: str, tokens: str = "tokens", label: str = "labels", max_length: int = 512, overlap: int = 50) -> DataFrame:
+    """key and label: the labels that a scorer gives the tokens of each row, window by window.
+
+    score takes rows with `tokens` and returns them with `pred_labels`. It sees the tokens of a window that are not blank;
+    its labels go back to the tokens' own places, blank tokens get O, as do tokens it gives none. Windows are
+    merged by the first that covers a place. Rows without tokens have no labels.
+    """
+    n = F.coalesce(F.size(tokens), F.lit(0))
+    base = rows.select(F.col(key).alias("__key"), n.alias("__n"), F.col(tokens).alias("__tokens"))
+    cut = windowed(base.filter("__n > 0"), "__tokens", max_length, overlap)
+    cut = cut.withColumn("__own", worded(F.col("__tokens"))).withColumn("__at", F.transform("__own", lambda x: x["pos"]))
+    seen = cut.select("__key", "__n", "window_idx", "start", F.size("__tokens").alias("__size"), "__at", F.transform("__own", lambda x: x["token"]).alias("tokens"))
+    scored = score(seen)
+    pieces = scored.select("__key", "__n", "window_idx", "start", scatter(F.col("__size"), F.col("__at"), F.col("pred_labels")).alias("labels"))
+    merged = merge(pieces, "__key", F.col("__n"), label).select(F.col("__key").alias(key), label)
+    return merged.union(base.filter("__n <= 0").select("__key", F.array().cast("array<string>")))
 
 
 def align(subwords: Column, labels: Column, ids: Column, max_length: int, cls_id: int, sep_id: int, unknown: int = 100) -> Column:

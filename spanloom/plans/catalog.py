@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import align, bio, events, extract, features, metrics, scoring, stats, windows
+from spanloom.operators import align, bio, events, extract, features, metrics, pairing, scoring, stats, windows
 from spanloom.plans import synth
 from spanloom.plans.synth import SQL_EVENTS, SQL_FIXED, SQL_TOKENS, sql_spans, table
+from spanloom.sources import files
 
 _QUERIES: dict = {}
 _SQL: dict = {}
@@ -640,3 +641,173 @@ def outside_calls(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("prompt"))
     got = extract.call(rows, lambda text: '{"has_voting_event": %s}' % ("true" if len(text) % 2 == 0 else "false"))
     return got.select("item_id", extract.parse_reply(F.col("reply"))["has_voting_event"].alias("has_voting_event"))
+
+
+# predictions and gold by id
+
+_SIDES = "CASE WHEN seg % 10 = 3 THEN 0 WHEN seg % 50 = 1 THEN 2 ELSE 1 END AS n_pred, CASE WHEN seg % 10 = 7 THEN 0 ELSE 1 END AS n_gold"
+
+
+def _two_sides(rows):
+    """Rows of both sides: a tenth of the segments has no prediction, another no gold, some predictions come twice."""
+    seg = F.col("seg")
+    pred = pairing.union(rows.filter(seg % 10 != 3), rows.filter(seg % 50 == 1))
+    return pred.select("seg", "tokens", F.col("fixed").alias("labels")), rows.filter(seg % 10 != 7).select("seg", "tokens", F.col("gold").alias("labels"))
+
+
+@query(f"WITH {SQL_TOKENS}, sg AS (SELECT DISTINCT seg FROM lab), nn AS (SELECT seg, {_SIDES} FROM sg) SELECT n_pred, n_gold, count(*) AS n FROM nn WHERE n_pred <> 1 OR n_gold <> 1 GROUP BY 1, 2")
+def id_differences(spark, sf_dir):
+    """Ids that predictions or gold lack or have more than once."""
+    got = pairing.differences(*_two_sides(synth.repaired(spark, sf_dir)), key="seg")
+    return got.groupBy("n_pred", "n_gold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SQL_TOKENS}, sg AS (SELECT DISTINCT seg FROM lab), nn AS (SELECT seg, {_SIDES} FROM sg) SELECT n_pred > 0 AS predicted, n_gold > 0 AS labelled, CAST(sum(greatest(n_pred, 1) * greatest(n_gold, 1)) AS BIGINT) AS n FROM nn WHERE n_pred + n_gold > 0 GROUP BY 1, 2")
+def paired_full(spark, sf_dir):
+    """Full join of predictions and gold: which sides each pair has."""
+    both = pairing.pair(*_two_sides(synth.repaired(spark, sf_dir)), key="seg", how="full")
+    return both.groupBy(F.col("pred").isNotNull().alias("predicted"), F.col("gold").isNotNull().alias("labelled")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_with(_confusion("g AND p", "p AND NOT g", "g AND NOT p")).replace("FROM ev)", f"FROM (SELECT ev.*, {_SIDES} FROM ev) ev JOIN range(1, 3) k ON k.range <= n_pred WHERE n_gold > 0)"))
+def paired_detection(spark, sf_dir):
+    """Detection over the pairs of an inner join by id, whatever the order and the gaps of both sides."""
+    flag = lambda side: F.when(events.has_event(F.col(f"{side}.labels")), F.lit(1)).alias(f"{side}_event")
+    return metrics.detection(pairing.pair(*_two_sides(synth.repaired(spark, sf_dir)), key="seg").select(flag("pred"), flag("gold")))
+
+
+@query(f"WITH {SQL_FIXED} SELECT count(*) AS tokens, round(avg(CAST(gold = fixed AS INT)), 6) AS accuracy FROM fix")
+def paired_strict(spark, sf_dir):
+    """Token accuracy over a join that fails unless both sides have the same ids, once each."""
+    rows = synth.repaired(spark, sf_dir)
+    both = pairing.pair(rows.select("seg", "fixed"), rows.select("seg", "gold"), key="seg", how="strict")
+    return metrics.token_accuracy(both.select("pred.fixed", "gold.gold"), "gold", "fixed")
+
+
+@query(f"WITH {SQL_EVENTS} SELECT seg, psub AS subject, CAST(len(ppart) AS BIGINT) AS voters FROM ev WHERE p AND seg % 10 <> 3")
+def constructed_by_id(spark, sf_dir):
+    """Events from examples and predicted labels that are held apart, joined by id."""
+    rows = synth.repaired(spark, sf_dir)
+    both = pairing.pair(rows.filter("seg % 10 <> 3").select("seg", F.col("fixed").alias("labels")), rows.select("seg", "tokens"), key="seg")
+    built = both.select("seg", events.construct(F.col("gold.tokens"), F.col("pred.labels"), RULES).alias("e")).filter("e IS NOT NULL")
+    return built.select("seg", "e.subject", F.size("e.participants").cast("long").alias("voters"))
+
+
+@query(f"WITH {SQL_TOKENS} SELECT label, CAST(row_number() OVER (ORDER BY label <> 'O', label) - 1 AS BIGINT) AS label_id FROM (SELECT DISTINCT gold AS label FROM lab WHERE seg % 3 <> 1 UNION SELECT DISTINCT pred FROM lab WHERE seg % 3 = 1)")
+def split_vocabulary(spark, sf_dir):
+    """The label vocabulary of three splits together."""
+    rows = synth.segments(spark, sf_dir)
+    splits = [rows.filter(F.col("seg") % 3 == k).select("seg", F.col("pred" if k == 1 else "gold").alias("labels")) for k in range(3)]
+    return stats.label_vocabulary(pairing.union(*splits), "labels")
+
+
+@query(f"WITH {SQL_FIXED} SELECT CAST(seg AS VARCHAR) AS id, string_agg(fixed, ' ' ORDER BY p) AS labels FROM fix WHERE seg % 10 <> 9 GROUP BY seg")
+def json_segments(spark, sf_dir):
+    """Segments written as JSON lines, a tenth of them without labels, and read back valid and repaired."""
+    rows = synth.segments(spark, sf_dir)
+    place = files.scratch(spark, "segments")
+    out = rows.select(F.col("seg").cast("string").alias("id"), F.lit("").alias("text"), "tokens", F.when(F.col("seg") % 10 != 9, F.col("pred")).alias("labels"), F.lit("m").alias("municipality"))
+    files.write_json(out, place)
+    return files.segments(spark, place).select("id", F.array_join("labels", " ").alias("labels"))
+
+
+# windows of any tokenizer, and predictions over them
+
+_CUT = r"""(CASE WHEN len_ > 50 AND at_ + len_ < n THEN coalesce(list_max(list_filter(range(greatest(0, len_ - 20) + 1, len_), lambda i: (at_ + i) % 9 = 0)) + 1, len_) ELSE len_ END)"""
+
+
+@query(
+    rf"""WITH RECURSIVE {_TK}, sh(s0, i, s) AS (SELECT k, 0, k FROM range(1, 230) r(k) UNION ALL SELECT s0, i + 1, greatest(1, CAST(floor(s * CAST(0.9 AS DOUBLE)) AS BIGINT)) FROM sh WHERE i < 50 AND s > 1),
+c0 AS (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n, list_transform(ts, lambda x: (length(x) + 3) // 4) AS c FROM tk WHERE len(ts) > 0),
+pp AS (SELECT doc_id, n, list(CAST(t AS BIGINT) ORDER BY k) AS P FROM (SELECT doc_id, n, k, sum(CASE WHEN k = 0 THEN 0 ELSE c[k] END) OVER (PARTITION BY doc_id ORDER BY k) AS t FROM c0, LATERAL (SELECT unnest(range(0, n + 1)) AS k) u) GROUP BY doc_id, n),
+w(doc_id, at_, len_, done, k) AS (
+  SELECT doc_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), false, 0 FROM pp WHERE P[n + 1] > 459
+  UNION ALL
+  SELECT doc_id, nat, fin, fin > 0 AND nat + fin >= n, k + CAST(fin > 0 AS INT) FROM (
+    SELECT doc_id, n, k, nat, CASE WHEN big THEN 0 ELSE fit END AS len0, CASE WHEN big THEN 0 ELSE {_CUT.replace("len_", "fit").replace("at_", "nat")} END AS fin FROM (
+      SELECT *, fit = 1 AND P[nat + 2] - P[nat + 1] > 459 AS big FROM (
+        SELECT *, CASE WHEN P[nat + s0 + 1] - P[nat + 1] <= 459
+            THEN list_max(list_transform(range(0, 47), lambda j: CASE WHEN P[least(nat + s0 + 10 * j, n) + 1] - P[nat + 1] <= 459 THEN least(nat + s0 + 10 * j, n) - nat ELSE 0 END))
+            ELSE coalesce((SELECT max(s) FROM sh WHERE sh.s0 = q.s0 AND q.P[q.nat + sh.s + 1] - q.P[q.nat + 1] <= 459), 1) END AS fit
+        FROM (SELECT *, least(229, n - nat) AS s0 FROM (SELECT w.doc_id, w.k, pp.n, pp.P, w.at_ + CASE WHEN w.k = 0 AND w.len_ = 0 AND w.at_ = 0 THEN 0 WHEN w.len_ = 0 THEN 1 ELSE greatest(w.len_ - 50, 1) END AS nat FROM w JOIN pp USING (doc_id) WHERE NOT done AND w.k <= 100)
+          WHERE nat < n) q))))
+SELECT doc_id, CAST(at_ AS BIGINT) AS start_pos, CAST(at_ + len_ AS BIGINT) AS end_pos FROM w WHERE len_ > 0
+UNION ALL SELECT doc_id, 0, n FROM pp WHERE P[n + 1] <= 459"""
+)
+def windows_greedy(spark, sf_dir):
+    """Windows for a tokenizer of one subword for each four characters; every ninth token is outside."""
+    rows = _docs(spark, sf_dir).withColumn("labels", F.transform("tokens", lambda _, i: F.when(i % 9 == 0, "O").otherwise("I-X")))
+    got = windows.tokenizer_windows(rows, lambda ts: [(len(t) + 3) // 4 for t in ts], labels="labels")
+    return got.select("doc_id", F.inline("windows")).select("doc_id", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"))
+
+
+_WIN_ALL = f"""WITH {_TK}, nn AS (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n, ts FROM tk),
+ww AS (SELECT doc_id, n, ts, unnest(range(CASE WHEN n = 0 THEN 0 WHEN n <= 459 THEN 1 ELSE CAST(ceil((n - 459) / 409.0) AS BIGINT) + 1 END)) AS k FROM nn)"""
+
+
+@query(_WIN_ALL + " SELECT CASE WHEN n > 459 THEN doc_id || '_w' || k ELSE CAST(doc_id AS VARCHAR) END AS window_id, CAST(len(ts[k * 409 + 1 : k * 409 + 459]) AS BIGINT) AS tokens FROM ww")
+def window_ids(spark, sf_dir):
+    rows = windows.named_windows(_docs(spark, sf_dir), "doc_id")
+    return rows.select("window_id", F.size("tokens").cast("long").alias("tokens"))
+
+
+@query(
+    f"""WITH {_TK}, m AS (SELECT doc_id, ts, unnest(range(len(ts))) AS p FROM tk)
+SELECT doc_id, string_agg(CASE WHEN p % 11 = 5 THEN 'O' ELSE 'L' || ((length(ts[p + 1]) + (CASE WHEN p < 459 THEN 0 ELSE (p - 459) // 409 + 1 END)) % 5) END, ' ' ORDER BY p) AS labels FROM m GROUP BY doc_id"""
+)
+def window_predict(spark, sf_dir):
+    """Long texts with blank tokens, scored window by window: each label comes back to its token's own place."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.transform("tokens", lambda t, i: F.when(i % 11 == 5, "\u0001").otherwise(t)).alias("tokens"))
+    label = lambda w: F.transform("tokens", lambda t: F.concat(F.lit("L"), ((F.length(t) + w) % 5).cast("string")))
+    got = windows.predict(docs.filter(F.size("tokens") > 0), lambda rows: rows.withColumn("pred_labels", label(F.col("window_idx"))), "doc_id")
+    return got.select("doc_id", F.array_join("labels", " ").alias("labels"))
+
+
+@query(
+    f"""WITH {_TK}, m AS (SELECT doc_id, ts, unnest(range(len(ts))) AS p FROM tk)
+SELECT doc_id, string_agg(p || ':' || ts[p + 1], ' ' ORDER BY p) AS words FROM m WHERE p % 11 <> 5 GROUP BY doc_id"""
+)
+def aligned_words(spark, sf_dir):
+    """Tokens that are blank once cleaned go, the others keep their places."""
+    dirty = F.transform("tokens", lambda t, i: F.when(i % 11 == 5, "\u0001").when(i % 11 == 7, F.concat(t, F.lit("\u0002"))).otherwise(t))
+    rows = _docs(spark, sf_dir).select("doc_id", windows.worded(dirty).alias("w")).filter(F.size("w") > 0)
+    return rows.select("doc_id", F.array_join(F.transform("w", lambda x: F.concat_ws(":", x["pos"].cast("string"), x["token"])), " ").alias("words"))
+
+
+@query(f"WITH {SQL_TOKENS}, x AS (SELECT seg, p, CASE WHEN p % 5 = 0 THEN -100 ELSE length(token) * 7 % 40 - 10 END AS v FROM lab) SELECT seg, string_agg(CASE WHEN v = -100 THEN 0 ELSE greatest(0, least(16, v)) END, ' ' ORDER BY p) AS ids FROM x GROUP BY seg")
+def clamped_labels(spark, sf_dir):
+    rows = synth.segments(spark, sf_dir)
+    raw = F.transform("tokens", lambda t, i: F.when(i % 5 == 0, -100).otherwise(F.length(t) * 7 % 40 - 10))
+    return rows.select("seg", F.array_join(T.clamp(raw, 17), " ").alias("ids"))
+
+
+@query(
+    r"""WITH t0 AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ 	
+]+'), lambda x: x <> '') AS ts FROM conversations)
+SELECT conv_id, turn, array_to_string(list_transform(ts, lambda w: array_to_string(list_resize(list_transform(string_split(lower(w)[1:20], ''), lambda c: CASE WHEN c BETWEEN 'a' AND 'z' THEN CAST(unicode(c) - 95 AS BIGINT) ELSE 1 END), 20, CAST(0 AS BIGINT)), ' ')), '/') AS ids FROM t0"""
+)
+def char_id_rows(spark, sf_dir):
+    """Characters of words as ids, 20 a word."""
+    vocab = F.create_map(*[x for k in range(26) for x in (F.lit(chr(97 + k)), F.lit(k + 2))])
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tokens(F.col("text")).alias("ts"))
+    got = T.char_ids(F.col("ts"), vocab)
+    return rows.select("conv_id", "turn", F.array_join(F.transform(got, lambda w: F.array_join(w, " ")), "/").alias("ids"))
+
+
+_MARKS = ("Quota used up", "rate limit", "RATE_LIMIT_EXCEEDED", "code RESOURCE_EXHAUSTED", "Resource has been exhausted (e.g. check quota)", "HTTP 429", "resource exhausted", "rate-limit", "bad JSON")
+
+
+@query("SELECT event_id, event_id % 9 < 6 AS again FROM events")
+def quota_marks(spark, sf_dir):
+    """Each sign of a used-up quota, and three errors that are none."""
+    error = F.element_at(F.array(*map(F.lit, _MARKS)), (F.col("event_id") % 9 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", extract.is_quota_error(error).alias("again"))
+
+
+@query(
+    "SELECT item_id, 'Say what was decided.' || repeat(chr(10), 3) || '# Examples' || chr(10) || repeat(chr(10), 2) || '## Example 1' || repeat(chr(10), 3) || '**Input:**' || chr(10) || 'An example....' || repeat(chr(10), 3) || '**Output:**' || chr(10) || '```json' || chr(10) || '{}' || chr(10) || '```' || chr(10)"
+    " || repeat(chr(10), 3) || '# Your Task' || repeat(chr(10), 2) || 'Given the input text below, extract the voting event and return ONLY the JSON object as specified.' || chr(10) || text AS prompt FROM benchmark"
+)
+def prompt_examples(spark, sf_dir):
+    told = extract.example_prompt("Say what was decided.", [("  An example.  ", "{}")])
+    return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit(told), "text").alias("prompt"))

@@ -15,6 +15,8 @@ from spanloom.operators import bio
 
 TYPES = ("VOTING", "SUBJECT", "VOTER-FAVOR", "COUNTING-UNANIMITY", "VOTER-ABSTENTION", "COUNTING-MAJORITY", "VOTER-AGAINST", "VOTER-ABSENT")
 SIZE = 32
+#: Segments that a document can have: texts of 33 million tokens.
+MOST = 1 << 20
 _LIST = "[" + ", ".join(f"'{t}'" for t in TYPES) + "]"
 
 
@@ -36,8 +38,8 @@ def _labels(seg: Column, tokens: Column) -> tuple[Column, Column]:
     def parts(p: Column):
         p = p.cast("long")
         b, o = F.floor(p / 8).cast("long"), p % 8
-        t = F.floor(((seg * 4 + b) * 48271 % 2147483647) / 7).cast("long") % 12
-        r = F.floor(((seg * 32 + p) * 69621 % 2147483647) / 11).cast("long") % 29
+        t = F.floor(((seg % 2147483647 * 4 + b) * 48271 % 2147483647) / 7).cast("long") % 12
+        r = F.floor(((seg % 2147483647 * 32 + p) * 69621 % 2147483647) / 11).cast("long") % 29
         return b, o, t, r
 
     def gold(_: Column, p: Column) -> Column:
@@ -59,11 +61,11 @@ def _labels(seg: Column, tokens: Column) -> tuple[Column, Column]:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, seg, tokens, gold and pred. seg alone repeats after texts of more than 32,000 tokens."""
+    """doc_id, seg, tokens, gold and pred. seg is a document's number times MOST, plus the segment's own."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.tokens(F.col("text")).alias("ts"))
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("ts") - 1) / SIZE).cast("int")), lambda s: F.struct(s.alias("s"), F.slice("ts", s * SIZE + 1, SIZE).alias("tokens")))
     rows = docs.filter(F.size("ts") > 0).select("doc_id", F.explode(cut).alias("x"))
-    rows = rows.select("doc_id", (F.col("doc_id") * 1000 + F.col("x.s")).cast("long").alias("seg"), F.col("x.tokens").alias("tokens"))
+    rows = rows.select("doc_id", (F.col("doc_id") * MOST + F.col("x.s")).cast("long").alias("seg"), F.col("x.tokens").alias("tokens"))
     gold, pred = _labels(F.col("seg"), F.col("tokens"))
     return rows.select("doc_id", "seg", "tokens", gold.alias("gold"), pred.alias("pred"))
 
@@ -76,9 +78,9 @@ def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_TOKENS = f"""
 tk AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda x: x <> '') AS ts FROM documents),
 wd AS (SELECT doc_id, unnest(ts) AS token, generate_subscripts(ts, 1) - 1 AS pos FROM tk),
-aa AS (SELECT doc_id * 1000 + pos // 32 AS seg, CAST(pos % 32 AS BIGINT) AS p, token FROM wd),
-bb AS (SELECT *, p // 8 AS b, p % 8 AS o, ((seg * 4 + p // 8) * 48271 % 2147483647) // 7 % 12 AS t,
-         ((seg * 32 + p) * 69621 % 2147483647) // 11 % 29 AS r FROM aa),
+aa AS (SELECT doc_id * {MOST} + pos // 32 AS seg, CAST(pos % 32 AS BIGINT) AS p, token FROM wd),
+bb AS (SELECT *, p // 8 AS b, p % 8 AS o, ((seg % 2147483647 * 4 + p // 8) * 48271 % 2147483647) // 7 % 12 AS t,
+         ((seg % 2147483647 * 32 + p) * 69621 % 2147483647) // 11 % 29 AS r FROM aa),
 gg AS (SELECT *, CASE WHEN t >= 8 OR o >= 1 + (seg + b) % 4 THEN 'O' WHEN o = 0 THEN 'B-' || ({_LIST})[t + 1] ELSE 'I-' || ({_LIST})[t + 1] END AS gold FROM bb),
 lab AS (SELECT seg, p, token, gold, CASE WHEN r = 0 THEN 'O' WHEN r = 1 THEN 'I-' || ({_LIST})[(t + 1) % 8 + 1] WHEN r = 2 THEN 'BAD'
          WHEN r = 3 AND o >= 5 THEN 'B-' || ({_LIST})[(seg + b) % 8 + 1] ELSE gold END AS pred FROM gg)"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +27,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir), deleted with the session.
+
+    A session on one machine that names none gets a temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = Path(tempfile.mkdtemp(prefix="spanloom-")).as_uri()
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, on any file system that Spark writes to."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def json_rows(spark: SparkSession, path: str, schema: str, strict: bool = False, array: bool = False) -> DataFrame:
     """Records of a JSON lines file, or of a file that is one array.
 
@@ -118,3 +145,41 @@ def config(path: str) -> dict:
         return float(x) if isinstance(x, str) and re.fullmatch(r"[+-]?\d+(\.\d*)?[eE][+-]?\d+", x) else x
 
     return numbers(yaml.safe_load(Path(path).read_text())) or {}
+
+
+def config_path(root: str, name: str, kind: str = "main_experiment") -> Path:
+    """The place of a named run configuration."""
+    return Path(root) / "configs" / kind / f"{name}.yaml"
+
+
+def extraction_config(instructions: str, examples: str | None = None, use: int = 10, language: str = "pt") -> dict:
+    """Instructions and the first examples of a JSON file; without the file there are none."""
+    listed = json.loads(Path(examples).read_text()) if examples and Path(examples).exists() else []
+    return {"system_prompt": instructions, "examples": listed[:use], "output_format": "json", "language": language}
+
+
+def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
+    """A vocabulary (word and word_id, or char and char_id, or label and label_id) as Parquet."""
+    vocabulary.write.mode("overwrite").parquet(path)
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """A stored vocabulary; it fails if ids repeat."""
+    rows = spark.read.parquet(path)
+    key = next(c for c in rows.columns if c.endswith("_id"))
+    count, distinct = rows.agg(F.count(key), F.countDistinct(key)).first()
+    if count != distinct:
+        raise ValueError(f"{path}: {key} repeats")
+    return rows
+
+
+def write_extraction(results: DataFrame, metrics: DataFrame, folder: str, model: str, timestamp: str) -> None:
+    """Results of an outside model as JSON lines, their metrics (one row of soft_metrics) as JSON, and a summary in Markdown."""
+    spark = results.sparkSession
+    write_json(results, f"{folder}/predictions_events.jsonl")
+    got = metrics.first().asDict()
+    meta = {"model": model, "timestamp": timestamp, "total_documents": results.count(), "evaluation_method": "event_extraction"}
+    write_text(spark, f"{folder}/evaluation_results_events.json", json.dumps({"metadata": meta, "event_level_metrics": got}, indent=2))
+    lines = [f"| {k} | {v:.4f} |" if isinstance(v, float) else f"| {k} | {v} |" for k, v in got.items()]
+    summary = [f"# Events extracted by {model}", "", f"{meta['total_documents']} documents, {timestamp}", "", "| metric | value |", "|---|---|", *lines, ""]
+    write_text(spark, f"{folder}/evaluation_summary_events.md", "\n".join(summary))

@@ -350,3 +350,131 @@ def test_streams_give_the_same_events(spark, tmp_path):
     q.awaitTermination()
     got = spark.sql("SELECT * FROM seen").collect()
     assert len(got) == 3 and all(r.event.outcome == "Approved" and r.event.subject == "ponto" for r in got)
+
+
+# joins by id, windows of any tokenizer, predictions, sinks
+
+
+def test_pairs_by_id(spark):
+    from spanloom.operators import pairing
+
+    schema = "id string, x int, pred int"
+    pred = spark.createDataFrame([("a", 1, 0), ("b", 2, 0), ("b", 3, 0), (None, 4, 0), ("d", 5, 0)], schema)
+    gold = spark.createDataFrame([("d", 50, 0), ("c", 30, 0), ("b", 20, 0), (None, 40, 0)], schema)
+    rows = lambda df: sorted(((r.id, r.pred and r.pred.x, r.gold and r.gold.x) for r in df.collect()), key=str)
+    assert rows(pairing.pair(pred, gold)) == [("b", 2, 20), ("b", 3, 20), ("d", 5, 50)]
+    full = rows(pairing.pair(pred, gold, how="full"))
+    assert full == sorted([("a", 1, None), ("b", 2, 20), ("b", 3, 20), ("c", None, 30), ("d", 5, 50), (None, 4, None), (None, None, 40)], key=str)
+    assert sorted(tuple(r) for r in pairing.differences(pred, gold).collect()) == [("a", 1, 0), ("b", 2, 1), ("c", 0, 1)]
+    one = pred.filter("id IN ('a', 'd')")
+    assert rows(pairing.pair(one, one, how="strict")) == [("a", 1, 1), ("d", 5, 5)]
+    for left, right in ((pred.filter("id = 'b'"), gold.filter("id = 'b'")), (one, gold.filter("id = 'd'")), (gold.filter("id = 'd'"), one)):
+        with pytest.raises(Exception, match="differ at id"):
+            pairing.pair(left, right, how="strict").collect()
+    assert pairing.pair(pred.limit(0), gold.limit(0), how="strict").count() == 0
+    with pytest.raises(ValueError):
+        pairing.pair(pred, gold, how="left")
+    assert sorted(r.y or 0 for r in pairing.union(pred, gold.withColumn("y", F.lit(1))).collect()) == [0] * 5 + [1] * 4
+
+
+def plain_windows(cost, labels, limit=459, overlap=50):
+    """The rule step by step, on lists of tokens' costs."""
+    if not cost or sum(cost) <= limit:
+        return [(0, len(cost))] if cost else []
+    out, at = [], 0
+    while at < len(cost):
+        size = min(limit // 2, len(cost) - at)
+        while sum(cost[at : at + size]) < limit and at + size < len(cost):
+            wider = min(size + 10, len(cost) - at)
+            if sum(cost[at : at + wider]) > limit:
+                break
+            size = wider
+        tries = 0
+        while sum(cost[at : at + size]) > limit and size > 1 and tries < 50:
+            size, tries = max(1, int(size * 0.9)), tries + 1
+        if sum(cost[at : at + size]) > limit:
+            size = 1
+        if sum(cost[at : at + size]) > limit:
+            at += 1
+            continue
+        if at + size < len(cost) and size > overlap:
+            tail = [i for i in range(max(0, size - 20) + 1, size) if labels[at + i] == "O"]
+            size = tail[-1] + 1 if tail else size
+        out.append((at, at + size))
+        if at + size >= len(cost) or len(out) > 100:
+            break
+        at += max(size - overlap, 1)
+    return out
+
+
+def test_greedy_windows_against_plain():
+    rng = random.Random(11)
+    for k in range(400):
+        n = rng.choice([1, 30, 200, 230, 459, 460, 600, 1500])
+        cost = [rng.choice([[1], [1, 2, 3], [1, 1, 1, 400], [0, 1, 2], [500, 1], [3, 9, 40]][k % 6]) for _ in range(n)]
+        labels = [rng.choice(["O", "B-X", "I-X"] if k % 2 else ["B-X"] * 30 + ["O"]) for _ in range(n)]
+        assert windows.greedy_windows(cost, labels) == plain_windows(cost, labels)
+    assert len(windows.greedy_windows([1] * 60_000, None)) == 101
+    assert windows.greedy_windows([1] * 60_000, None, most=None)[-1][1] == 60_000
+
+
+def test_repair_of_nulls_and_long_labels(spark):
+    tags = [None, "B-X", "I-X", None, "I-X", "O"]
+    df = spark.createDataFrame([(tags,), ([],), (["B-X"] + ["I-X"] * 5000,), (None,)], "t array<string>")
+    got = [r.r for r in df.select(bio.repair(F.col("t")).alias("r")).collect()]
+    assert got[0] == ["O", "B-X", "I-X", "O", "O", "O"] and got[1] == [] and got[2] == ["B-X"] + ["I-X"] * 5000 and got[3] is None
+
+
+def test_predictions_of_windows_keep_their_places(spark):
+    tokens = [f"t{k}" if k % 7 else " " for k in range(1000)]
+    df = spark.createDataFrame([(1, tokens), (2, []), (3, ["a"]), (4, None), (5, [" ", "\u0001"])], "id int, tokens array<string>")
+    short = lambda rows: rows.withColumn("pred_labels", F.slice(F.transform("tokens", lambda t: F.concat(F.lit("L"), t)), 1, F.greatest(F.lit(0), F.size("tokens") - 1)))
+    whole = lambda rows: rows.withColumn("pred_labels", F.transform("tokens", lambda t: F.concat(F.lit("L"), t)))
+    got = {r.id: r.labels for r in windows.predict(df, whole, "id").collect()}
+    assert got == {1: ["O" if t == " " else "L" + t for t in tokens], 2: [], 3: ["La"], 4: [], 5: ["O", "O"]}
+    got = {r.id: r.labels for r in windows.predict(df, short, "id").collect()}  # a scorer that forgets the last label
+    assert got[3] == ["O"] and len(got[1]) == 1000 and got[1][-1] == "O" and got[1][:400] == ["O" if t == " " else "L" + t for t in tokens[:400]]
+
+
+def test_window_names(spark):
+    df = spark.createDataFrame([("a", ["x"] * 500), ("b", ["x"])], "id string, tokens array<string>")
+    assert sorted(r.window_id for r in windows.named_windows(df).collect()) == ["a_w0", "a_w1", "b"]
+
+
+def test_prompts_of_both_forms(spark):
+    one = spark.range(1).select(extract.prompt(F.lit("T"), "S", [("  a  ", "{}"), ("b" * 9, "{}")], most=5).alias("p")).first().p
+    parts = ["S", "\n\n# Examples\n", "\n## Example 1\n", "Input: a\n", "Output: {}\n", "\n## Example 2\n", "Input: bbbbb...\n", "Output: {}\n", "\n\n# Your Task\n", "Extract the voting event from the following text and return ONLY the JSON object:\n\n"]
+    assert one == "\n".join(parts) + "\nInput: T\n\n\nOutput:"
+    assert spark.range(1).select(extract.prompt(F.lit("T"), "S").alias("p")).first().p == "\n".join(["S", *parts[-2:]]) + "\nInput: T\n\n\nOutput:"
+    other = extract.example_prompt("S", [("a", "{}")])
+    assert "Input:**\na...\n" in other and other.endswith("as specified.\n")
+
+
+def test_characters_and_clamps(spark):
+    vocab = F.create_map(F.lit("a"), F.lit(2), F.lit("b"), F.lit(3))
+    df = spark.createDataFrame([(["aBc", "", "ab" * 20], [-100, -5, 3, 99])], "w array<string>, l array<int>")
+    r = df.select(T.char_ids(F.col("w"), vocab, 4).alias("c"), T.clamp(F.col("l"), 9).alias("l")).first()
+    assert r.c == [[2, 3, 1, 0], [0] * 4, [2, 3, 2, 3]] and r.l == [0, 0, 3, 8]
+
+
+def test_evaluation_from_files_and_sinks(spark, tmp_path):
+    from spanloom.plans import evaluate
+
+    rows = [{"id": "1", "tokens": ["approved", "by", "all"], "pred_labels": ["B-VOTING", "O", "B-SUBJECT"], "gold_labels": ["B-VOTING", "O", "O"]}, {"id": "2", "tokens": ["x"], "pred_labels": ["O"]}]
+    (tmp_path / "p.json").write_text(json.dumps(rows))
+    got = evaluate.evaluate(spark, str(tmp_path / "p.json"), str(tmp_path / "out")).first()
+    assert got.metadata.num_examples == 2 and got.entity_level_metrics.precision == 0.5 and got.event_level_metrics.event_detection_f1 == 1.0
+    assert json.loads(next((tmp_path / "out").glob("*.json")).read_text())["entity_level_metrics"]["recall"] == 1.0
+    assert evaluate.evaluate(spark, str(tmp_path / "p.json"), include_events=False).first().event_level_metrics.subject_f1 is None
+    results = spark.createDataFrame([("1", True), ("2", False)], "id string, has_voting_event boolean")
+    files.write_extraction(results, spark.range(1).selectExpr("0.5D AS precision", "3 AS correct"), str(tmp_path / "llm"), "stub", "now")
+    assert json.loads((tmp_path / "llm/evaluation_results_events.json").read_text())["metadata"]["total_documents"] == 2
+    assert "| precision | 0.5000 |" in (tmp_path / "llm/evaluation_summary_events.md").read_text()
+    assert spark.read.json(str(tmp_path / "llm/predictions_events.jsonl")).count() == 2
+    vocab = spark.createDataFrame([("a", 2), ("b", 3)], "word string, word_id long")
+    files.write_vocabulary(vocab, str(tmp_path / "v"))
+    assert files.read_vocabulary(spark, str(tmp_path / "v")).count() == 2
+    files.write_vocabulary(vocab.union(vocab), str(tmp_path / "v2"))
+    with pytest.raises(ValueError):
+        files.read_vocabulary(spark, str(tmp_path / "v2"))
+    assert files.extraction_config("S", str(tmp_path / "none.json"))["examples"] == [] and str(files.config_path("/r", "crf")) == "/r/configs/main_experiment/crf.yaml"
