@@ -26,6 +26,8 @@ from spanloom.llm.shared import ship, stored
 BUCKET = 1_000_000
 #: Members of a cluster, and their shingles, that are compared with as many others in one task.
 CHUNK, PART = 2048, 2_000_000
+#: Most doc_ids of a list that is broadcast: 8 MB.
+IDS = 1_000_000
 #: Documents whose keys one task remembers, so as not to send those of copies again.
 SEEN = 200_000
 
@@ -402,11 +404,17 @@ def _verify(width: int, num: int, den: int):
     return run
 
 
+def _texts(docs: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
+    """id and text of the documents in ids (__id), stored. A list of up to IDS is broadcast, so that no other text moves."""
+    ids = stored(ids.distinct(), f"{tag}-ids")
+    few = F.broadcast(ids) if ids.count() <= IDS else ids.hint("merge")
+    text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return stored(text.join(few, F.col("id") == F.col("__id"), "left_semi"), f"{tag}-texts")
+
+
 def _links(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, tag: str) -> DataFrame:
     """The pairs (u, v) of doc_ids whose texts' sets have the similarity."""
-    ids = pairs.select(F.col("u").alias("__id")).union(pairs.select("v")).distinct()
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    text = stored(text.join(ids, text["id"] == ids["__id"], "left_semi"), f"{tag}-texts")
+    text = _texts(docs, pairs.select(F.col("u").alias("__id")).union(pairs.select("v")), tag)
     both = pairs.join(text.select(F.col("id").alias("u"), F.col("text").alias("s")), "u")
     both = both.join(text.select(F.col("id").alias("v"), F.col("text").alias("t")), "v").select("u", "v", "s", "t")
     return stored(both.mapInArrow(_verify(width, num, den), "u long, v long").distinct(), f"{tag}-links")
@@ -468,7 +476,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         near = found_in(members, "comp", reps.select(F.col("rep").alias("__id"), F.col("sketch").alias("payload")), _by_sketch, "near-maybe")
         near = components(near)
         close = stored(members.drop("cluster").join(near, F.col("comp") == F.col("node")).select(F.col("component").alias("cluster"), "id", "n", "comp"), "near-close")
-        text = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("payload"))
+        text = _texts(docs, close.select(F.col("id").alias("__id")), "near-two").select(F.col("id").alias("__id"), F.col("text").alias("payload"))
         links = links.union(found_in(close, "id", text, _by_text(width), "near-two"))
         comps = stored(components(links), "near-comps")
 
