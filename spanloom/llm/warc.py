@@ -21,6 +21,8 @@ from spanloom.llm.shared import place, ship, stored
 
 #: Uncompressed bytes after which a frame is closed, and compressed bytes after which a bundle is.
 FRAME, BUNDLE = 1 << 20, 1 << 28
+#: Most digests or page_ids of a list that is broadcast: some 20 MB.
+FEW = 200_000
 #: Payloads below this size are always stored in full.
 REVISIT_BYTES = 1000
 #: Fixed values of the seekable format: magic numbers of the skippable frame and of its footer.
@@ -31,21 +33,37 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 INDEX = "page_id long, record_id string, bundle string, frame int, at long, length long"
 
 
-def record_name(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+#: WARC-Date of records whose pages have no time of their own.
+EPOCH = "1970-01-01T00:00:00Z"
+
+
+def record_name(page_id: int | None, twin: int = 0) -> str:
+    """A record's URI; records of a repeated or null page_id have a number, `twin`."""
+    return f"<urn:page:{'' if page_id is None else page_id}{f':{twin}' if twin else ''}>"
 
 
 def page_of(name: str) -> int | None:
-    digits = name.removeprefix("<urn:page:").removesuffix(">")
+    digits = name.removeprefix("<urn:page:").removesuffix(">").partition(":")[0]
     return int(digits) if digits else None
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, kind: str, refers_to: int | None) -> bytes:
+def written(head: dict[str, str], block: bytes) -> bytes:
+    lines = [b"WARC/1.1", *(f"{k}: {v}".encode() for k, v in head.items()), f"Content-Length: {len(block)}".encode()]
+    return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def bundle_info(name: str) -> bytes:
+    """The record that a bundle begins with."""
+    head = {"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:bundle:{name}>", "WARC-Date": EPOCH, "WARC-Filename": name, "Content-Type": "application/warc-fields"}
+    return written(head, b"software: spanloom\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, kind: str, refers_to: int | None, twin: int = 0, date: str = EPOCH) -> bytes:
     """One WARC record; a revisit has no payload but the size and digest of it."""
-    block = HTTP + (payload if kind == "response" else b"")
     head = {
         "WARC-Type": kind,
-        "WARC-Record-ID": record_name(page_id),
+        "WARC-Record-ID": record_name(page_id, twin),
+        "WARC-Date": date,
         "WARC-Target-URI": " ".join((url or "").split()),
         "WARC-Payload-Digest": f"sha1:{digest}",
         "X-Payload-Length": str(size),
@@ -53,8 +71,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, si
     }
     if kind == "revisit":
         head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_name(refers_to)}
-    lines = [b"WARC/1.1", *(f"{k}: {v}".encode() for k, v in head.items()), f"Content-Length: {len(block)}".encode()]
-    return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return written(head, HTTP + (payload if kind == "response" else b""))
 
 
 def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
@@ -68,7 +85,8 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     block = data[start : start + size]
     if len(block) < size or data[start + size : start + size + 4] != b"\r\n\r\n":
         raise ValueError("a record is cut short")
-    return head, block[block.index(b"\r\n\r\n") + 4 :], start + size + 4
+    payload = block if head["WARC-Type"] == "warcinfo" else block[block.index(b"\r\n\r\n") + 4 :]
+    return head, payload, start + size + 4
 
 
 class Bundle:
@@ -77,13 +95,15 @@ class Bundle:
     def __init__(self, folder: str):
         import zstandard
 
-        self.uri = f"{folder}/{uuid.uuid4().hex}.warc.zst"
+        name = f"{uuid.uuid4().hex}.warc.zst"
+        self.uri = f"{folder}/{name}"
         system, path = fs.FileSystem.from_uri(self.uri)
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
         self.out, self.pack = system.open_output_stream(path, compression=None), zstandard.ZstdCompressor(level=3)
         self.frames: list[tuple[int, int, int]] = []
         self.held: list[bytes] = []
         self.size = self.written = 0
+        self.add(bundle_info(name))
 
     def add(self, data: bytes) -> tuple[int, int]:
         """The frame and the place in it that a record got."""
@@ -156,27 +176,45 @@ def decide(pages: DataFrame) -> DataFrame:
     Of equal payloads of REVISIT_BYTES or more, the one with the largest page_id is the response and the others
     revisit it; all else are responses. Rows that share the largest page_id and the payload are all responses;
     null page_ids come before all others, and equal payloads that have null ids only are all responses. Null html
-    is an empty payload. Digests are summed before the shuffle; only those of several rows are joined, and what
-    is not a candidate is spread over the join's tasks.
+    is an empty payload. Digests are summed before the shuffle; only those of several rows are joined: by a broadcast of
+    up to FEW of them, so that no payload moves, else by a shuffle in which what is no candidate is spread over all tasks.
     """
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     many = rows.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("__last"))
-    many = many.filter("n > 1 AND __last IS NOT NULL").select(F.col("payload_digest").alias("__key"), "__last")
+    many = stored(many.filter("n > 1 AND __last IS NOT NULL").select(F.col("payload_digest").alias("__key"), "__last"), "warc-twins")
     key = F.when(F.col("payload_bytes") >= REVISIT_BYTES, F.col("payload_digest")).otherwise(F.concat(F.lit("#"), F.xxhash64("page_id", "url").cast("string")))
     rows = rows.withColumn("__own", key)
-    out = rows.join(many, rows["__own"] == many["__key"], "left").drop("__own", "__key")
+    few = F.broadcast(many) if many.count() <= FEW else many
+    out = rows.join(few, F.col("__own") == F.col("__key"), "left").drop("__own", "__key")
     again = F.col("__last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__last"))
     out = out.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("__last")))
     return out.withColumn("payload", F.when(~again, F.col("payload")).otherwise(F.lit(b""))).drop("__last")
 
 
+def numbered(decided: DataFrame, pages: DataFrame) -> DataFrame:
+    """decided with `twin`: 0 for a page_id's only record, else a number that none of its other records has.
+
+    Only page_ids that repeat are numbered, by a join of their narrow list: a record's number is a hash of its place
+    in the read (task and row), so that no task has to see all records of a page_id.
+    """
+    again = pages.select(F.col("page_id").cast("long").alias("page_id")).filter("page_id IS NOT NULL").groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = stored(again.select(F.col("page_id").alias("__page")), "warc-repeats")
+    count, place = again.count(), F.monotonically_increasing_id() + 1
+    if not count:
+        return decided.withColumn("twin", F.when(F.col("page_id").isNull(), place).otherwise(0).cast("long"))
+    out = decided.join(F.broadcast(again) if count <= FEW else again, F.col("page_id") == F.col("__page"), "left")
+    return out.withColumn("twin", F.when(F.col("__page").isNotNull() | F.col("page_id").isNull(), place).otherwise(0).cast("long")).drop("__page")
+
+
 def archive(pages: DataFrame, folder: str) -> DataFrame:
     """Write a record of each page into bundles in a shared folder; returns their index, written there too.
 
     Index: page_id, record_id, bundle (its URI), frame, at (bytes from the frame's start), length. A repeated
-    page_id has several entries. Extra columns of pages are not read; an empty table gives no bundle.
+    page_id has several entries, and each of its records a number in its name; what a revisit refers to is the page_id,
+    without number. A long page is one frame; null html is an empty payload, null
+    url an empty address. Extra columns of pages are not read; an empty table gives no bundle.
     """
     spark = pages.sparkSession
     ship(spark)
@@ -186,13 +224,14 @@ def archive(pages: DataFrame, folder: str) -> DataFrame:
         bundle = None
         for batch in batches:
             rows = []
-            page, url, payload, digest, size, kind, refers = batch.columns
+            page, url, payload, digest, size, kind, refers, twin = batch.columns
             for i in range(batch.num_rows):
                 if bundle is None:
                     bundle = Bundle(folder)
                 page_id = page[i].as_py()
-                data = record(page_id, url[i].as_py(), payload[i].as_py(), digest[i].as_py(), size[i].as_py(), kind[i].as_py(), refers[i].as_py())
-                rows.append((page_id, record_name(page_id), bundle.uri, *bundle.add(data), len(data)))
+                n = twin[i].as_py()
+                data = record(page_id, url[i].as_py(), payload[i].as_py(), digest[i].as_py(), size[i].as_py(), kind[i].as_py(), refers[i].as_py(), n)
+                rows.append((page_id, record_name(page_id, n), bundle.uri, *bundle.add(data), len(data)))
                 if bundle.written >= BUNDLE:
                     bundle.close()
                     bundle = None
@@ -200,7 +239,7 @@ def archive(pages: DataFrame, folder: str) -> DataFrame:
         if bundle is not None:
             bundle.close()
 
-    decided = decide(pages).select("page_id", "url", "payload", "payload_digest", "payload_bytes", "record_type", "refers_to")
+    decided = numbered(decide(pages), pages).select("page_id", "url", "payload", "payload_digest", "payload_bytes", "record_type", "refers_to", "twin")
     return stored(decided.mapInArrow(run, INDEX), "warc-index")
 
 
@@ -222,6 +261,8 @@ def read_back(index: DataFrame) -> DataFrame:
                     data, at, rows = reader.frame(k), 0, []
                     while at < len(data):
                         head, payload, at = parse(data, at)
+                        if head["WARC-Type"] == "warcinfo":
+                            continue
                         digest, size, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"]), head["WARC-Type"]
                         if kind == "response" and (len(payload), hashlib.sha1(payload).hexdigest()) != (size, digest):
                             raise ValueError(f"{uri}: {head['WARC-Record-ID']} does not fit its digest")

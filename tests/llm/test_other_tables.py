@@ -49,7 +49,7 @@ def test_warc_round_trip(spark, pages, tmp_path):
     assert got == sorted(want, key=str)
     for e in index.collect():
         head, payload = warc.fetch(e.bundle, e.frame, e["at"])
-        assert head["WARC-Record-ID"] == e.record_id == warc.record_name(e.page_id)
+        assert head["WARC-Record-ID"] == e.record_id and warc.page_of(e.record_id) == e.page_id
         assert head["WARC-Type"] == "revisit" or hashlib.sha1(payload).hexdigest() == head["WARC-Payload-Digest"][5:]
     assert warc.read_back(warc.archive(df.limit(0), tmp_path.as_uri())).count() == 0
 
@@ -87,6 +87,31 @@ def test_sql_agrees(spark, name):
     assert Counter(map(tuple, df.select(*rel.columns).collect())) == Counter(rel.fetchall())
 
 
+def test_every_record_has_a_date_and_an_id_of_its_own(spark, tmp_path):
+    rows = [(1, "u", "x" * 2000), (1, "u", "x" * 2000), (1, "v", "y"), (2, "u", "x" * 2000), (None, "u", "x" * 2000), (None, None, None), (3, "w", "z" * 1500)]
+    pages = spark.createDataFrame([(*r, "bundle", 5) for r in rows], "page_id long, url string, html string, bundle string, twin int")
+    index = warc.archive(pages, tmp_path.as_uri())
+    entries = index.collect()
+    assert len(entries) == len(rows) == len({e.record_id for e in entries})
+    names = set()
+    for uri in {e.bundle for e in entries}:
+        reader = warc.Reader(uri)
+        for k in range(len(reader.frames)):
+            data, at = reader.frame(k), 0
+            while at < len(data):
+                first = at == 0 and k == 0
+                head, _, at = warc.parse(data, at)
+                assert head["WARC-Date"].endswith("Z") and (head["WARC-Type"] == "warcinfo") == first
+                assert head["WARC-Record-ID"] not in names
+                names.add(head["WARC-Record-ID"])
+    for e in entries:
+        head, _ = warc.fetch(e.bundle, e.frame, e.at)
+        assert head["WARC-Record-ID"] == e.record_id and warc.page_of(e.record_id) == e.page_id
+    got = sorted((r.page_id is None, r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.read_back(index).collect())
+    x = (2000, "revisit", 2)
+    assert got == sorted([(False, 1, *x), (False, 1, *x), (False, 1, 1, "response", 0), (False, 2, 2000, "response", 0), (True, 0, *x), (True, 0, 0, "response", 0), (False, 3, 1500, "response", 0)])
+
+
 # vectors
 
 
