@@ -4,21 +4,30 @@ Unit vectors of cosine c have squared distance 2 - 2c. After a fixed rotation th
 blocks, each with a share of that distance in proportion to its dimensions: a pair within the whole distance is
 within the share of one block at least. Each block is range-joined under its share; pairs found in any block are
 verified in double precision.
+
+The range join of a block has two levels. Vectors are dealt to cells by the nearest of some pivots of their label; a cell
+knows the middle and the reach of its vectors in each block, so that two cells whose blocks are all further apart than their shares
+have no pair and are not brought together. Within a task vectors are cut into small runs that are near in some block, with the
+same bound; what is left is measured block by block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.components import components
 from spanloom.llm.shared import ship, stored
 
-#: Vectors of a group that meet as many others in one task, and dimensions of a block.
-CHUNK, BLOCK = 2048, 8
+#: Vectors of a part that meet as many others in one task, of a run within it, and dimensions of a block.
+CHUNK, RUN, BLOCK = 2048, 64, 8
+#: Most pivots of all labels, which are broadcast: 4 MB at 128 dimensions.
+PIVOTS = 4096
 #: What single precision may add to a block's squared distance.
 SLACK = 1e-4
 
@@ -30,17 +39,78 @@ def rotation(dims: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def blocks(dims: int) -> list[tuple[int, int]]:
+    return [(a, min(a + BLOCK, dims)) for a in range(0, dims, BLOCK)]
+
+
 def candidates(x: np.ndarray, y: np.ndarray, reach: float) -> np.ndarray:
     """Which pairs of rotated unit vectors (single precision) are within the share of some block."""
     near = np.zeros((len(x), len(y)), bool)
     dims = x.shape[1]
-    for a in range(0, dims, BLOCK):
-        u, v = x[:, a : a + BLOCK], y[:, a : a + BLOCK]
+    for a, b in blocks(dims):
+        u, v = x[:, a:b], y[:, a:b]
         limit = reach * u.shape[1] / dims + SLACK
         near |= (u * u).sum(1)[:, None] + (v * v).sum(1) - 2 * (u @ v.T) <= limit
     return near
 
 
+def balls(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The middle of some rotated vectors, and their reach from it in each block."""
+    middle = x.mean(axis=0)
+    gap = (x - middle) ** 2
+    return middle, np.sqrt(np.array([gap[:, a:b].sum(1).max() for a, b in blocks(x.shape[1])]))
+
+
+def apart(m: np.ndarray, r: np.ndarray, n: np.ndarray, s: np.ndarray, reach: float) -> np.ndarray:
+    """Whether balls (m, r) and each of (n, s) can have no pair: no block within its share, or too far in all blocks together."""
+    dims = len(m)
+    cuts = blocks(dims)
+    gap = np.stack([np.sqrt(((n[:, a:b] - m[a:b]) ** 2).sum(1)) for a, b in cuts], axis=1)
+    gap = np.maximum(gap - r - s, 0) ** 2
+    share = np.array([reach * (b - a) / dims for a, b in cuts]) + SLACK
+    return (gap > share).all(axis=1) | (gap.sum(axis=1) > reach + SLACK)
+
+
+def ordered(x: np.ndarray) -> list[np.ndarray]:
+    """Row numbers in runs of up to RUN, halved again and again along the direction in which a run is longest."""
+    out, open_ = [], [np.arange(len(x))]
+    while open_:
+        own = open_.pop()
+        if len(own) <= RUN:
+            out.append(own)
+            continue
+        some = x[own]
+        far = some[((some - some.mean(axis=0)) ** 2).sum(1).argmax()]
+        other = some[((some - far) ** 2).sum(1).argmax()]
+        order = own[np.argsort(some @ (far - other), kind="stable")]
+        half = len(order) // 2
+        open_ += [order[half:], order[:half]]
+    return out
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray | None, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of x and of y (or of x, each pair once) that are within the share of some block, run by run."""
+    left = ordered(x)
+    right = ordered(y) if y is not None else left
+    z = y if y is not None else x
+    ends = [balls(z[own]) for own in right]
+    middles, reaches = np.stack([m for m, _ in ends]), np.stack([r for _, r in ends])
+    for k, own in enumerate(left):
+        open_ = ~apart(*balls(x[own]), middles, reaches, reach)
+        if y is None:
+            open_[:k] = False
+        others = np.flatnonzero(open_)
+        for a in range(0, len(others), 32):
+            rows = np.concatenate([right[j] for j in others[a : a + 32]])
+            i, j = np.nonzero(candidates(x[own], z[rows], reach))
+            i, j = own[i], rows[j]
+            if y is None:  # pairs of one run are found from both ends
+                mine = np.isin(j, own)
+                keep = ~mine | (i < j)
+                i, j = i[keep], j[keep]
+            yield i, j
+
+
 def _find(parent: list[int], i: int) -> int:
     while parent[i] != i:
         parent[i] = parent[parent[i]]
@@ -55,18 +125,15 @@ def _tile(cosine: float):
         import pandas as pd
 
         raw = np.stack([np.asarray(e, float) for e in pdf["embedding"]])
+        raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1))[1][:, None])  # by powers of two, so that squares stay in range
         ids, w, side = pdf["rep"].to_numpy(), pdf["w"].to_numpy(), pdf["side"].to_numpy()
         norm = np.sqrt((raw * raw).sum(1))
         turned = ((raw / norm[:, None]) @ rotation(raw.shape[1])).astype(np.float32)
         within = bool((side == 2).all())
         left, right = (np.arange(len(ids)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         links, parent, forest = np.zeros(len(ids), np.int64), list(range(len(ids))), []
-        for a in range(0, len(left), 256):
-            rows = left[a : a + 256]
-            i, j = np.nonzero(candidates(turned[rows], turned[right], 2 - 2 * cosine))
-            i, j = rows[i], right[j]
-            if within:
-                i, j = i[i < j], j[i < j]
+        for i, j in near_pairs(turned[left], None if within else turned[right], 2 - 2 * cosine) if len(left) and len(right) else ():
+            i, j = left[i], right[j]
             for k in range(0, len(i), 65536):
                 p, q = i[k : k + 65536], j[k : k + 65536]
                 ok = (raw[p] * raw[q]).sum(1) / (norm[p] * norm[q]) >= cosine
@@ -91,6 +158,98 @@ def _tile(cosine: float):
     return run
 
 
+def _cells(reps: DataFrame, sizes: DataFrame) -> DataFrame:
+    """reps with `cell`, the nearest of their label's pivots, -1 for labels of few vectors, and turned unit vectors.
+
+    A label has a pivot for each CHUNK of its vectors, those with the least hash, at most PIVOTS of all labels together.
+    """
+    total = sizes.filter(F.col("__n") > CHUNK).agg(F.sum("__n")).first()[0] or 0
+    each = max(CHUNK, -(-total // PIVOTS))
+    rank = F.row_number().over(Window.partitionBy("label", "dims").orderBy(F.xxhash64("rep", F.lit(5)), "rep"))
+    # a pivot is drawn with twice the chance, then counted, so that only about as many rows are ranked as are kept
+    drawn = reps.join(sizes.filter(F.col("__n") > CHUNK), ["label", "dims"]).filter(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(each)) < 2)
+    chosen = drawn.withColumn("__rank", rank).filter(F.col("__rank") <= F.ceil(F.col("__n") / each)).select("label", "dims", "embedding").limit(2 * PIVOTS).collect()
+    pivots: dict = {}
+    for label, dims, e in chosen:
+        pivots.setdefault((label, dims), []).append(e)
+    held = reps.sparkSession.sparkContext.broadcast({k: unit(np.array(v, float)) for k, v in pivots.items()})
+    names = reps.columns
+    schema = reps.withColumn("cell", F.lit(0)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = np.full(batch.num_rows, -1, np.int32)
+            keys = list(zip(batch.column(names.index("label")).to_pylist(), batch.column(names.index("dims")).to_pylist(), strict=True))
+            for key in {*keys} & held.value.keys():
+                rows = [k for k, x in enumerate(keys) if x == key]
+                x = unit(batch.column(names.index("embedding")).take(pa.array(rows)).flatten().to_numpy().astype(float).reshape(len(rows), -1))
+                cell[rows] = (x @ held.value[key].T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*names, "cell"])
+
+    return reps.mapInArrow(run, schema)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _open_parts(cosine: float):
+    """The pairs of a label's parts whose balls can hold a pair; a part's ball is one row."""
+
+    def run(pdf):
+        import pandas as pd
+
+        reach = 2 - 2 * cosine
+        part = pdf["part"].to_numpy()
+        middle, radius = np.stack(pdf["middle"]), np.stack(pdf["radius"])
+        out = []
+        for k in range(len(part)):
+            near = np.flatnonzero(~apart(middle[k], radius[k], middle[k:], radius[k:], reach)) + k
+            for j in near.tolist():
+                out.append((min(part[k], part[j]), max(part[k], part[j])))
+        return pd.DataFrame({"label": pdf["label"].iloc[0], "dims": pdf["dims"].iloc[0], "i": [a for a, _ in out], "j": [b for _, b in out]}).astype({"i": "int64", "j": "int64"})
+
+    return run
+
+
+def _ball(pdf):
+    """The ball of one part."""
+    import pandas as pd
+
+    x = unit(np.stack([np.asarray(e, float) for e in pdf["embedding"]]))
+    middle, radius = balls(x @ rotation(x.shape[1]))
+    return pd.DataFrame({"label": [pdf["label"].iloc[0]], "dims": [pdf["dims"].iloc[0]], "part": [pdf["part"].iloc[0]], "middle": [middle.tolist()], "radius": [radius.tolist()]})
+
+
+def tiles(parted: DataFrame, cosine: float) -> DataFrame:
+    """label, dims, i and j: the pairs of parts to be compared, of parted (label, dims, part, embedding)."""
+    label = parted.schema["label"].dataType.simpleString()
+    ball = parted.groupBy("label", "dims", "part").applyInPandas(_ball, f"label {label}, dims int, part long, middle array<double>, radius array<double>")
+    return ball.groupBy("label", "dims").applyInPandas(_open_parts(cosine), f"label {label}, dims int, i long, j long")
+
+
+def parted(reps: DataFrame) -> DataFrame:
+    """reps with `part`: cells of labels, cut by hash where they hold more than CHUNK."""
+    sizes = stored(reps.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("__n")), "vec-sizes")
+    rows = stored(_cells(reps, sizes), "vec-celled")
+    cells = rows.groupBy("label", "dims", "cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("long").alias("__parts"))
+    rows = rows.join(cells, ["label", "dims", "cell"])
+    part = (F.col("cell").cast("long") + 1) * (1 << 32) + F.pmod(F.xxhash64("rep", F.lit(7)), F.col("__parts"))
+    return rows.withColumn("part", part).drop("cell", "__parts")
+
+
+def _dealt(reps: DataFrame, cosine: float) -> DataFrame:
+    """label, dims, rep, w, embedding, i, j and side: a row of reps for each tile that it is in."""
+    rows = stored(parted(reps), "vec-parts")
+    open_ = stored(tiles(rows, cosine), "vec-tiles")
+    left = open_.select(F.col("label").alias("__l"), F.col("dims").alias("__d"), F.col("i").alias("__p"), "i", "j", F.when(F.col("i") == F.col("j"), 2).otherwise(0).alias("side"))
+    right = open_.filter("i <> j").select(F.col("label").alias("__l"), F.col("dims").alias("__d"), F.col("j").alias("__p"), "i", "j", F.lit(1).alias("side"))
+    both = left.unionByName(right)
+    out = rows.join(both, (F.col("label") == F.col("__l")) & (F.col("dims") == F.col("__d")) & (F.col("part") == F.col("__p")))
+    return out.select("label", "dims", "rep", "w", "embedding", "i", "j", "side")
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, embedding, label).
 
@@ -100,23 +259,21 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     (null for a null vec_id). Repeated rows are vectors of their own that link with each other. Extra columns are
     not read; an empty table gives an empty result.
 
-    Equal vectors of a label are compared once, with their number as weight. A label's distinct vectors are dealt
-    into parts of about CHUNK, and each pair of parts is a task of bounded size, so a large label is many tasks;
-    what they return is a count for each vector and at most a forest of the links.
+    Equal vectors of a label are compared once, with their number as weight. A label's distinct vectors are dealt to cells
+    by the nearest of its pivots, and large cells into parts of about CHUNK; each pair of parts whose balls can
+    hold a pair is a task of bounded size, so a large label is many tasks. What they return is a count for each vector and at
+    most a forest of the links. Vectors of no structure leave all pairs of parts open: the work then grows with the
+    square of a label's distinct vectors.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), "label")
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), "label")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(fine & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
     reps = rows.filter("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w"))
     reps = stored(reps.withColumn("dims", F.size("embedding")), "vec-reps")
-    sizes = reps.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("__n"))
-    dealt = reps.join(sizes, ["label", "dims"])
-    parts = F.ceil(F.col("__n") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("rep", F.lit(7)), parts).cast("int")
-    cell = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(p, mine).alias("i"), F.greatest(p, mine).alias("j"), F.when(p == mine, 2).when(mine < p, 0).otherwise(1).alias("side")))
-    cells = dealt.select("label", "dims", "rep", "w", "embedding", F.explode(cell).alias("c")).select("label", "dims", "rep", "w", "embedding", "c.*")
+    cells = stored(_dealt(reps, cosine), "vec-cells")
     found = stored(cells.groupBy("label", "dims", "i", "j").applyInPandas(_tile(cosine), "u long, v long, n long"), "vec-found")
     comps = components(found.filter("v IS NOT NULL").select("u", "v"))
     counts = found.filter("v IS NULL").groupBy("u").agg(F.sum("n").alias("__links"))
