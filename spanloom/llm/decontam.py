@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import hashing
 from spanloom.llm.hashing import U
-from spanloom.llm.shared import ship
+from spanloom.llm.shared import ship, stored
 
-#: UTF-8 bytes of benchmark text that are broadcast at once; a larger benchmark is taken in parts of about half of it.
+#: UTF-8 bytes of benchmark text up to which it is broadcast; the seeds of a larger one are joined by a shuffle.
 PART_BYTES = 16_000_000
+#: Log2 of the bits that tell which seeds of documents are worth a shuffle: 16 MB, whatever the benchmark's size.
+SIEVE = 27
 #: Tokens: runs of letters and digits in lower case; all else separates.
 LETTERS = np.where(hashing.TOKENS == 1, 1, 0).astype(np.uint8)
 BASE = U(0xB492B66FBE98F273)
@@ -134,17 +136,74 @@ def leaks_of(column: pa.Array, items: Items, threshold: float) -> Iterator[list[
         yield out
 
 
-def _parts(benchmark: DataFrame, least: int, unnamed: bool = False):
-    """The benchmark as broadcasts of bounded size, with the items without item_id if `unnamed`."""
-    spark = benchmark.sparkSession
-    ship(spark)
+def _items(benchmark: DataFrame, unnamed: bool) -> tuple[DataFrame, bool]:
+    """item_id and text of the benchmark, items without item_id only if `unnamed`, and whether it is small."""
+    ship(benchmark.sparkSession)
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     rows = rows if unnamed else rows.filter("item_id IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = 1 if size <= PART_BYTES else 2 * -(-size // PART_BYTES)
-    for part in range(count):
-        own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == part) if count > 1 else rows
-        yield spark.sparkContext.broadcast(Items([tuple(r) for r in own.collect()], least))
+    return rows, size <= PART_BYTES
+
+
+def _held(rows: DataFrame, least: int):
+    return rows.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in rows.collect()], least))
+
+
+def _seeds(least: int, items: bool, sieve=None):
+    """key and seed: the distinct runs of `least` tokens of each text, or of fewer for short items.
+
+    A run's hash has its length in it. Documents give runs of all lengths up to `least`, but only those that the sieve holds.
+    """
+    schema = pa.schema([("key", pa.int64()), ("seed", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if sieve is None else np.frombuffer(sieve.value, np.uint8)
+        for batch in batches:
+            keys, seeds = [], []
+            for key, h in zip(batch.column(0).to_pylist(), _tokens(batch.column(1)), strict=True):
+                lengths = ([min(len(h), least)] if len(h) else []) if items else range(1, min(len(h), least) + 1)
+                own = [np.unique(hashing.mix(hashing.shingles(h, n) + U(n))) for n in lengths]
+                own = np.concatenate([np.zeros(0, U), *own])
+                if bits is not None:
+                    at = own >> U(64 - SIEVE)
+                    own = own[(bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1]
+                keys.append(np.full(len(own), key, np.int64))
+                seeds.append(own.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (keys, seeds)], schema=schema)
+
+    return run
+
+
+def _sieve(seeds: DataFrame):
+    """A bit for the leading SIEVE bits of each seed, as bytes; its size does not depend on the seeds."""
+    at = seeds.select(F.shiftrightunsigned("seed", 64 - SIEVE).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 AS int)))").alias("b")).toPandas()
+    bits = np.zeros(1 << (SIEVE - 6), np.int64)
+    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    return seeds.sparkSession.sparkContext.broadcast(bits.astype("<i8").tobytes())
+
+
+def _by_seeds(docs: DataFrame, items: DataFrame, threshold: float, least: int) -> DataFrame:
+    """key, item_id, matched and coverage of the leaks of docs (key, text): both sides' seeds are joined by a shuffle,
+    then the texts of the pairs that share one are tiled."""
+    ikey = F.xxhash64("item_id", "text")
+    items = stored(items.filter("text IS NOT NULL").distinct().select(ikey.alias("ikey"), "item_id", "text"), "leak-items")
+    iseeds = stored(items.select("ikey", "text").mapInArrow(_seeds(least, True), "key long, seed long").withColumnRenamed("key", "ikey"), "leak-seeds")
+    dseeds = docs.mapInArrow(_seeds(least, False, _sieve(iseeds)), "key long, seed long")
+    pairs = stored(dseeds.join(iseeds, "seed").select("key", "ikey").distinct(), "leak-pairs")
+    text = docs.join(pairs.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    both = pairs.join(text.withColumnRenamed("text", "t"), "key").join(items, "ikey").select("key", "t", "item_id", "text")
+    schema = pa.schema([("key", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int64()), ("coverage", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for k in range(batch.num_rows):
+                own = Items([(batch.column(2)[k].as_py(), batch.column(3)[k].as_py())], least)
+                found += [(batch.column(0)[k].as_py(), *x) for x in next(leaks_of(batch.column(1).slice(k, 1), own, threshold))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    return stored(both.mapInArrow(run, "key long, item_id long, matched long, coverage double"), "leak-found")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least: int = 5) -> DataFrame:
@@ -152,31 +211,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least:
 
     A row for each pair of a row of docs and a distinct item. Order of the tiles does not count, so reordered
     passages are found. Items of fewer than `least` tokens are found where all their tokens follow each other. Items
-    with null id or text or no tokens are never found, null and empty texts have no leaks. Extra columns are not read. docs is read once for each part of the benchmark.
+    with null id or text or no tokens are never found, null and empty texts have no leaks, long texts are read whole, and
+    empty tables give none. Extra columns are not read. A benchmark of up to PART_BYTES is broadcast as a table of seeds; the
+    seeds of a larger one are joined with those of the documents by a shuffle, after a sieve of fixed size.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int64()), ("coverage", pa.float64())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out = None
-    for held in _parts(benchmark, least):
+    items, small = _items(benchmark, False)
+    if not small:
+        keyed = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+        found = _by_seeds(keyed.select("key", "text"), items, threshold, least)
+        return keyed.select("key", "doc_id").join(found, "key").select("doc_id", "item_id", "matched", "coverage")
+    held = _held(items, least)
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [(i, *x) for i, own in zip(batch.column(0).to_pylist(), leaks_of(batch.column(1), held.value, threshold), strict=True) for x in own]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], f.type) for k, f in enumerate(schema)], schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *x) for i, own in zip(batch.column(0).to_pylist(), leaks_of(batch.column(1), held.value, threshold), strict=True) for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], f.type) for k, f in enumerate(schema)], schema=schema)
 
-        part = rows.mapInArrow(run, "doc_id long, item_id long, matched long, coverage double")
-        out = part if out is None else out.union(part)
-    return out
+    return rows.mapInArrow(run, "doc_id long, item_id long, matched long, coverage double")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least: int = 5) -> DataFrame:
     """The rows of docs that leak no item, with their columns; what counts as a leak is said at leaks(). Null ids count as others."""
     at, schema = docs.columns.index("text"), docs.schema
-    for held in _parts(benchmark, least, unnamed=True):
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not x for x in leaks_of(batch.column(at), held.value, threshold)], pa.bool_()))
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    items, small = _items(benchmark, True)
+    if not small:
+        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+        found = _by_seeds(docs.select(F.xxhash64(text).alias("key"), text.alias("text")), items, threshold, least)
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+        return docs.select(row, F.xxhash64(text).alias("key")).join(found.select("key").distinct(), "key", "left_anti").select("__row.*")
+    held = _held(items, least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not x for x in leaks_of(batch.column(at), held.value, threshold)], pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
