@@ -119,7 +119,7 @@ def plain_vectors(rows, cosine=0.93):
     fine = {}
     for k, (i, e, label) in enumerate(rows):
         if i is not None and label is not None and e and all(x is not None and np.isfinite(x) for x in e) and any(e):
-            fine[k] = np.array(e, np.float32).astype(float)
+            fine[k] = np.array(e, float)
     parent = {r[0]: r[0] for r in rows if r[0] is not None}
     links = Counter()
 
@@ -160,6 +160,52 @@ def test_vectors_against_plain(spark, monkeypatch):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_doubles_are_compared_as_doubles(spark):
+    """Pairs a hair to either side of the threshold: single precision could not tell them."""
+    rows, want = [], {}
+    for k in range(200):
+        c = 0.93 + (2e-9 if k % 2 else -2e-9)
+        rows += [(2 * k, [1.0, 0.0, 0.0], k), (2 * k + 1, [c, float(np.sqrt(1 - c * c)), 0.0], k)]
+        want[2 * k] = want[2 * k + 1] = k % 2
+    rows += [(1000, [1e200, 1e-200, 0.0], 500), (1001, [1e-200, 0.0, 0.0], 500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df).collect()}
+    assert got == {**want, 1000: 1, 1001: 1}
+
+
+def test_near_pairs_are_all_found():
+    """Runs and parts that the bounds leave out hold no pair; those of clustered vectors are mostly left out."""
+    rng = np.random.default_rng(5)
+    middles = rng.standard_normal((40, 32))
+    x = np.repeat(middles, 30, axis=0) + rng.standard_normal((1200, 32)) * rng.choice([0.05, 0.3], (1200, 1))
+    x = embeddings.unit(x) @ embeddings.rotation(32)
+    order = rng.permutation(1200)
+    y, z = x[order[:700]], x[order[700:]]
+    reach = 2 - 2 * 0.93
+    whole = {(i, j) for i, j in zip(*np.nonzero(y @ z.T >= 0.93), strict=True)}
+    pairs = [(i, j) for a, b in embeddings.near_pairs(y.astype(np.float32), z.astype(np.float32), reach) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert whole and whole <= set(pairs) and len(set(pairs)) == len(pairs)
+    inner = [(i, j) for a, b in embeddings.near_pairs(y.astype(np.float32), None, reach) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    want = {(min(i, j), max(i, j)) for i, j in zip(*np.nonzero(np.triu(y @ y.T >= 0.93, 1)), strict=True)}
+    seen = [(min(p), max(p)) for p in inner]
+    assert want <= set(seen) and len(seen) == len(set(seen)) and all(i != j for i, j in seen)
+
+
+def test_tiles_of_a_large_label(spark, monkeypatch):
+    """Parts of a clustered label by pivots: most pairs of parts are left out, no link is lost."""
+    monkeypatch.setattr(embeddings, "CHUNK", 40)
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.standard_normal((20, 16)), 60, axis=0) + rng.standard_normal((1200, 16)) * 0.08
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    reps = df.selectExpr("vec_id AS rep", "embedding", "label", "1L AS w", "16 AS dims")
+    parts = embeddings.parted(reps)
+    count = parts.select("part").distinct().count()
+    assert count >= 30 and embeddings.tiles(parts, 0.93).count() < count * (count + 1) / 4
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_vectors(df).collect()), key=str)
+    assert got == plain_vectors(rows)
+
+
 def test_some_block_is_near():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((300, 64))
