@@ -63,7 +63,7 @@ def _piece(b: np.ndarray, breaks: np.ndarray, classes: np.ndarray, fold: np.ndar
     starts, ends = starts[words], ends[words]
     up, down = _power(len(b) + 1)
     sums = np.zeros(len(b) + 1, U)
-    np.cumsum((fold[b].astype(U) + U(1)) * up[: len(b)], out=sums[1:])
+    np.cumsum(((b if fold is SAME else fold[b]).astype(U) + U(1)) * up[: len(b)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
     return mix(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93)), starts, ends
 

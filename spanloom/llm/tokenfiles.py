@@ -15,7 +15,6 @@ all lanes at a time, as a few numpy operations.
 
 from __future__ import annotations
 
-import itertools
 import re
 import struct
 import uuid
@@ -28,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.hashing import texts
+from spanloom.llm import hashing
 from spanloom.llm.shared import place, ship, stored
 
 #: Lanes of a block, ids of a lane, ids of a block, and id bound.
@@ -36,20 +35,19 @@ LANES, STEPS, IDS = 4096, 512, 1 << 16
 BLOCK = LANES * STEPS
 #: UTF-8 bytes of a file's texts; where cores would idle, less, to a sixteenth.
 PART = 64_000_000
-#: Words and pieces whose ids a task remembers.
-MEMORY = 3_000_000
+#: Words whose ids a task remembers (of pieces half as many), and log2 of the slots of their table.
+MEMORY, SLOTS = 2_000_000, 22
 MAGIC, FOOT, HEAD = b"SLTF0002", struct.Struct("<QQ8s"), struct.Struct("<II")
 #: Bits of the order-0 total and of the mixture's; bits of the order-2 table.
-ZERO, ALL, TWO = 20, 26, 20
+ZERO, ALL, TWO = 20, 26, 18
 #: Steps of a lane after which order 0 is renewed, and those from which weights are learned.
-RENEW = {1, 2, 4, 8, 16, 32, *range(64, STEPS, 64)}
-LEARN = {*range(32), *range(32, STEPS, 4)}
+RENEW = {1, 2, 4, 8, 16, 32, 64, *range(128, STEPS, 128)}
+LEARN = {*range(32), *range(32, STEPS, 16)}
 
 U32, U64 = np.uint32, np.uint64
 _sure = np.arange(8)
-#: What a prediction's confidence gains by a hit (from place 8 on) or loses by a miss, and whether it gives way.
+#: What a prediction's confidence gains by a hit (from place 8 on) or loses by a miss; below place 2 it gives way.
 DELTA = np.concatenate([(_sure >> 1) - _sure, (_sure < 7).astype(int)]).astype(np.int64).astype(U32)
-OUST = np.concatenate([_sure <= 1, np.zeros(8, bool)])
 
 
 class Model:
@@ -72,7 +70,7 @@ class Model:
         size = 1 + self.counts * spare // total if total else np.full(n, (1 << ZERO) // n)
         self.size = size.astype(U32)
         self.start = (np.cumsum(size) - size).astype(U32)
-        self.owner = np.repeat(np.arange(n, dtype=U32), size)
+        self.owner = np.repeat(np.arange(n, dtype=np.uint16), size)
 
     def weigh(self) -> None:
         """Shares of the orders by confidences, as whole parts of 2**ALL; that of order 0 is a multiple of 2**ZERO."""
@@ -85,38 +83,45 @@ class Model:
 
     def predict(self, p1: np.ndarray, p2: np.ndarray) -> None:
         """Predictions of orders 1 and 2 after the last id and the one before it, and the shares of all orders."""
-        self.k1, self.k2 = p1, (p1 * U32(0x9E3779B1) + p2 * U32(0x85EBCA6B)) >> U32(32 - TWO)
-        self.e1, self.e2 = self.one.take(p1), self.two.take(self.k2)
+        self.k1 = p1.astype(np.int64)
+        self.k2 = ((p1 * U32(0x9E3779B1) + p2 * U32(0x85EBCA6B)) >> U32(32 - TWO)).astype(np.int64)
+        self.e1, self.e2 = self.one.take(self.k1, mode="clip"), self.two.take(self.k2, mode="clip")
         self.g1, self.g2 = self.e1 >> U32(3), self.e2 >> U32(3)
         self.c1, self.c2 = self.e1 & U32(7), self.e2 & U32(7)
-        self.q = (((self.c2 << U32(3)) | self.c1) << U32(1)) | (self.g1 == self.g2)
-        self.w0, self.w1, self.w2 = self.m0.take(self.q), self.m1.take(self.q), self.m2.take(self.q)
+        self.q = ((((self.c2 << U32(3)) | self.c1) << U32(1)) | (self.g1 == self.g2)).astype(np.int64)
+        self.w0, self.w1, self.w2 = (m.take(self.q, mode="clip") for m in (self.m0, self.m1, self.m2))
 
     def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of ids in the mixture."""
+        at = x.astype(np.int64)
         self.hit1, self.hit2 = self.g1 == x, self.g2 == x
-        self.own1, self.own2, self.own0 = self.w1 * self.hit1, self.w2 * self.hit2, self.w0 * self.size.take(x)
-        start = self.w0 * self.start.take(x) + self.w1 * (self.g1 < x) + self.w2 * (self.g2 < x)
+        self.own1, self.own2, self.own0 = self.w1 * self.hit1, self.w2 * self.hit2, self.w0 * self.size.take(at)
+        start = self.w0 * self.start.take(at) + self.w1 * (self.g1 < x) + self.w2 * (self.g2 < x)
         return start, self.own0 + self.own1 + self.own2
 
     def find(self, v: np.ndarray) -> np.ndarray:
         """The ids whose intervals hold given places: an id's predicted shares come first, then its order-0 one."""
         swap = self.g1 > self.g2
         a, b = np.minimum(self.g1, self.g2), np.maximum(self.g1, self.g2)
-        wa, wb = np.where(swap, self.w2, self.w1), np.where(swap, self.w1, self.w2)
+        wa, wb = self.w1.copy(), self.w2.copy()
+        np.copyto(wa, self.w2, where=swap)
+        np.copyto(wb, self.w1, where=swap)
         at_a = self.w0 * self.start.take(a, mode="clip")
         at_b = self.w0 * self.start.take(b, mode="clip") + wa
         past_a, past_b = v >= at_a + wa, v >= at_b + wb
-        x = self.owner.take((v - wa * past_a - wb * past_b) // self.w0, mode="clip")
-        x = np.where((v >= at_b) & ~past_b, b, x)
-        return np.where((v >= at_a) & ~past_a, a, x)
+        x = self.owner.take(((v - wa * past_a - wb * past_b) // self.w0).astype(np.int64), mode="clip").astype(U32)
+        np.copyto(x, b, where=(v >= at_b) & ~past_b)
+        np.copyto(x, a, where=(v >= at_a) & ~past_a)
+        return x
 
     def learn(self, x: np.ndarray, t: int) -> None:
         """After step t with ids x."""
         fresh = (x << U32(3)) | U32(1)
         for table, key, e, c, hit in ((self.one, self.k1, self.e1, self.c1, self.hit1), (self.two, self.k2, self.e2, self.c2, self.hit2)):
-            k = c + hit * U32(8)
-            table[key] = np.where(OUST.take(k), fresh, e + DELTA.take(k))
+            k = c + (hit.view(np.uint8) << np.uint8(3))
+            new = e + DELTA.take(k)
+            np.copyto(new, fresh, where=k < U32(2))
+            table[key] = new
         if t in LEARN:
             whole = 1.0 / (self.own0 + self.own1 + self.own2)
             self.part1 += np.bincount(self.q, self.own1 * whole, 128)
@@ -297,7 +302,8 @@ PLAIN = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
 class Words:
     """Ids of words between ASCII spaces, which the tokenizer never joins; each distinct word is encoded once.
 
-    New words of letters and signs are encoded as these two pieces, which many words share. What is new goes to the
+    Words are known by their hashes, in a table of open addresses that a whole batch is looked up in at once. New words of
+    letters and signs are encoded as these two pieces, which many words share. What is new goes to the
     tokenizer in lines of words with a mark between them, a word of one id; a line in which that id occurs otherwise is
     encoded word by word.
     """
@@ -308,13 +314,56 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > IDS:
             raise ValueError("ids need to be below 2**16")
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {b"": b""}
         ids = {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in "§¶¤~#"}
         self.mark, self.mark_id = next(((x, i[0]) for x, i in ids.items() if len(i) == 1), (None, -1))
+        self.forget()
+
+    def forget(self) -> None:
+        self.pieces: dict[bytes, bytes] = {b"": b""}
+        self.keys, self.place = np.zeros(1 << SLOTS, U64), np.zeros(1 << SLOTS, np.int32)
+        self.first, self.size, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
+        self.pool, self.used = np.zeros(4096, np.uint16), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of words by their hashes, -1 for new ones."""
+        out, left = np.full(len(h), -1, np.int64), np.arange(len(h))
+        slot = (h >> U64(64 - SLOTS)).astype(np.int64)
+        while len(left):
+            here = self.keys.take(slot)
+            hit = here == h.take(left)
+            out[left[hit]] = self.place.take(slot[hit])
+            on = ~hit & (here != 0)
+            left, slot = left[on], (slot[on] + 1) & ((1 << SLOTS) - 1)
+        return out
+
+    def learn(self, h: np.ndarray, ids: list[bytes]) -> None:
+        """Enter new words, distinct hashes, with their ids."""
+        size = np.array([len(x) for x in ids], np.int64) // 2
+        count, used = self.count + len(h), self.used + int(size.sum())
+        if count > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros(count, np.int64)]) for x in (self.first, self.size))
+        if used > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(used, np.uint16)])
+        self.pool[self.used : used] = np.frombuffer(b"".join(ids), "<u2")
+        self.size[self.count : count] = size
+        self.first[self.count : count] = self.used + np.cumsum(size) - size
+        left, slot = np.arange(len(h)), (h >> U64(64 - SLOTS)).astype(np.int64)
+        while len(left):
+            free = self.keys.take(slot) == 0
+            self.keys[slot[free]] = h[left[free]]  # of several words for one slot the last is in
+            done = free & (self.keys.take(slot) == h[left])
+            self.place[slot[done]] = self.count + left[done]
+            left, slot = left[~done], (slot[~done] + 1) & ((1 << SLOTS) - 1)
+        self.count, self.used = count, used
 
     def look_up(self, words: list[bytes]) -> None:
-        """Encode pieces that are not known."""
+        """Encode pieces that are not known; runs of lower-case ASCII letters are one piece to the tokenizer's model."""
+        letters = [w for w in words if w.isalpha() and w.islower() and w.isascii()]
+        model = self.tokenizer.model
+        for w in letters:
+            ids = [t.id for t in model.tokenize(w.decode())]
+            self.pieces[w] = struct.pack(f"<{len(ids)}H", *ids)
+        words = [w for w in words if w not in self.pieces]
         for a in range(0, len(words), 16384):
             lines = [words[k : k + 64] for k in range(a, min(a + 16384, len(words)), 64)]
             if self.mark is None:
@@ -334,23 +383,45 @@ class Words:
                 got = self.tokenizer.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)
                 self.pieces.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(alone, got, strict=True))
 
-    def encode(self, rows: list[list[bytes]]) -> list[bytes]:
-        """The ids of rows of words; each distinct word of the rows is looked up once in what the task remembers."""
-        own = set().union(*rows)
-        here = {w: ids for w, ids in zip(own, map(self.known.get, own), strict=True) if ids is not None}
-        new = own - here.keys()
-        if len(self.known) + len(self.pieces) + 2 * len(new) > MEMORY:
-            self.known, self.pieces, here, new = {}, {b"": b""}, {}, own
-        if new:
-            plain = [(w, m[1].lower(), m[2]) for w in new if (m := PLAIN.fullmatch(w))]
-            odd = new.difference([x[0] for x in plain])
-            pieces = self.pieces
-            self.look_up(list({x for x in itertools.chain(odd, (x[1] for x in plain), (x[2] for x in plain)) if x not in pieces}))
-            fresh = {w: pieces[a] + pieces[b] for w, a, b in plain}
-            fresh.update((w, pieces[w]) for w in odd)
-            self.known.update(fresh)
-            here.update(fresh)
-        return [b"".join(map(here.__getitem__, r)) for r in rows]
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column, in order."""
+        held: list[np.ndarray] = []
+        at = 0
+        for row, data, h, starts, ends, bounds in hashing.spans(column, hashing.WORDS, hashing.SAME):
+            while at < row:  # what was held was a whole row, or a long row's last part
+                yield np.concatenate(held) if len(held) != 1 else held[0]
+                held, at = [], at + 1
+            h = np.maximum(h, U64(1))
+            number = self.find(h)
+            new = np.flatnonzero(number < 0)
+            if len(new):
+                own, first = np.unique(h[new], return_index=True)
+                if len(self.pieces) > MEMORY // 2:
+                    self.pieces = {b"": b""}
+                if self.count + len(own) > MEMORY:
+                    self.forget()
+                    own, first = np.unique(h, return_index=True)
+                    new = np.arange(len(h))
+                raw, places = data.tobytes(), new[first]
+                self.learn(own, self.spell([raw[i:j] for i, j in zip(starts[places].tolist(), ends[places].tolist(), strict=True)]))
+                number[new] = self.find(h[new])
+            size = self.size.take(number)
+            total = np.concatenate(([0], np.cumsum(size)))
+            ids = self.pool.take(np.repeat(self.first.take(number) - total[:-1], size) + np.arange(total[-1]))
+            cut = total[bounds].tolist()
+            held.append(ids[cut[0] : cut[1]])
+            for i, j in zip(cut[1:-1], cut[2:], strict=True):
+                yield np.concatenate(held) if len(held) != 1 else held[0]
+                held, at = [ids[i:j]], at + 1
+        if held:
+            yield np.concatenate(held) if len(held) != 1 else held[0]
+
+    def spell(self, words: list[bytes]) -> list[bytes]:
+        """The ids of new words."""
+        parts = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(w)) else (w, b"") for w in words]
+        pieces = self.pieces
+        self.look_up(list({x for own in parts for x in own if x not in pieces}))
+        return [pieces[a] + pieces[b] for a, b in parts]
 
 
 _words: dict[str, Words] = {}
@@ -377,16 +448,12 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 2) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = _words.setdefault(path, Words(path)) if path not in _words else _words[path]
-        writer, tail = None, struct.pack("<H", end)
+        writer = None
+        tail = np.array([end], np.uint16)
         for batch in batches:
-            data, bounds = texts(batch.column(1))
-            raw = memoryview(data)
-            for a in range(0, batch.num_rows, 512):
-                some = range(a, min(a + 512, batch.num_rows))
-                ids = words.encode([bytes(raw[bounds[i] : bounds[i + 1]]).split() for i in some])
-                for i, x in zip(some, ids, strict=True):
-                    writer = writer or Writer(folder)
-                    writer.add(batch.column(0)[i].as_py(), np.frombuffer(x + tail, "<u2"))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1)), strict=True):
+                writer = writer or Writer(folder)
+                writer.add(doc_id, np.concatenate([ids, tail]))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([writer.uri]), pa.array([writer.tokens], pa.int64())], schema=schema)
