@@ -721,9 +721,22 @@ def test_words_as_the_tokenizer_takes_them():
     assert words.mark is not None
     rng, parts = random.Random(8), ["it", "'s", "IT'S", "don't", "WORD", "...", "$$$", "a1b2", "42", "é", "e\u0301", "\u0301", "§", "¶", "¤", "~", "#", "<|endoftext|>", "<|", "|>", "ß", "ΑΣ", "İ", "ﬁ", "名", "''", "'", "_", "-", "`", "’s", "\x85", "\u2028", "\ufeff", "\x00", "\U0001f600"]
     texts = [" ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
-    got = words.encode([t.encode().split() for t in texts])
+    long = " ".join(texts) * 40  # in several parts
+    texts = [None, *texts[:1500], "", long, "", *texts[1500:], long, "x"]
+    got = list(words.encode(pa.array(texts[:2000]))) + list(words.encode(pa.array(texts[2000:])))
     for t, ids in zip(texts, got, strict=True):
-        assert np.frombuffer(ids, "<u2").tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids, t
+        t = t or ""
+        assert ids.tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_words_that_are_forgotten_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "MEMORY", 50)
+    monkeypatch.setattr(tokenfiles, "SLOTS", 7)
+    words = tokenfiles.Words(vocabulary("word_bpe_49k.json"))
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(400)}" for _ in range(30)) for _ in range(60)]
+    got = [list(words.encode(pa.array([t])))[0] for t in texts]
+    assert all(ids.tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids for t, ids in zip(texts, got, strict=True))
 
 
 def test_damaged_token_files_are_found(tmp_path):
