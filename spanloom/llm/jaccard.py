@@ -427,7 +427,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     smallest doc_id reachable by links, itself included. Documents with null or wordless text have no shingles,
     documents with null doc_id no component (null); both link with nothing. Rows with equal doc_id are one
     document to the links. Equal sets are found by their hashes, so copies cost no pairs. Extra columns of docs
-    are not read; an empty table gives an empty result.
+    are not read; long texts are read whole, in pieces; an empty table gives an empty result.
 
     Rounds: (1) in each group of equal block keys all members are compared with the smallest; (2) groups that then
     still span several components are joined into clusters by common members, and the members of a cluster are

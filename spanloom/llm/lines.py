@@ -48,7 +48,7 @@ def dedup_lines(pages: DataFrame, ratio: float = 0.5, min_pages: int = 3, salts:
 
     Returns page_id, host, n_lines, n_kept and text (the lines that stay, in their order, joined by newlines).
     Pages without a host form a site of their own, named ''. A null or empty page has no lines and text ''.
-    Repeated rows count as pages each. Extra columns are not read. A site with few pages keeps all its lines, as
+    Repeated rows count as pages each; long pages are read whole; an empty table gives an empty one. Extra columns are not read. A site with few pages keeps all its lines, as
     a line must be on `min_pages` pages. Only the lists of sites that have boilerplate are joined; each is
     copied for `salts` parts of the site's pages, so that a large site does not meet in one task.
     """

@@ -58,7 +58,9 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """Documents over `shards` equal shards by doc_id, and the shard that each would have with one more.
 
     Returns doc_id, size (UTF-8 bytes of the text plus 16; 16 for a null text), text_crc32 (0 for a null text),
-    law, shard, slot and grown_shard. The law is `key`. Other columns of docs are not read.
+    law, shard, slot and grown_shard. The law is `key`. Other columns of docs are not read. Long texts count in full and
+    are hashed whole; equal texts, and rows equal in all, get different slots; a null doc_id is a key like any other; an
+    empty table gives an empty one.
     """
     text = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
     rows = docs.select(

@@ -431,7 +431,8 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 2) -> DataFrame:
     """Write the ids of all documents in ascending order of doc_id (null first); returns part, file, tokens.
 
     The table of files is written to the shared folder. A null text is empty; each document ends with `end`.
-    Repeated doc_ids are in the order of their texts. Extra columns of docs are not read.
+    Repeated doc_ids are in the order of their texts' hashes, equal rows follow each other. Long texts are encoded whole, in
+    pieces between words. Extra columns of docs are not read; an empty table gives no file.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -462,7 +463,11 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 2) -> DataFrame:
 
 
 def read(files: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document, from the files."""
+    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document, from the files.
+
+    A row for each written row, null and repeated doc_ids included; an empty text has its end id alone. A damaged or cut
+    block fails the query. Without files there are no rows.
+    """
     spark = files.sparkSession
     ship(spark)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

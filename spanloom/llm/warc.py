@@ -246,7 +246,8 @@ def archive(pages: DataFrame, folder: str) -> DataFrame:
 def read_back(index: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every record of the index's bundles.
 
-    Size and digest of a response are taken from its payload, which must agree with its header.
+    Size and digest of a response are taken from its payload, which must agree with its header, or the query fails. A row for
+    each record, repeated and null page_ids included; empty payloads have size 0; an empty index gives no rows.
     """
     spark = index.sparkSession
     ship(spark)
