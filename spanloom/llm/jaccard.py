@@ -351,6 +351,17 @@ def _by_text(width: int):
     return pairs
 
 
+def _parts(rows: str, size: str):
+    """Parts of about CHUNK rows and PART shingles."""
+    return F.ceil(F.greatest(F.col(rows) / CHUNK, F.col(size) / PART)).cast("int")
+
+
+def _sizes(members: DataFrame) -> DataFrame:
+    """Whether each cluster (__c) needs more than one part (__split)."""
+    whole = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("__rows"), F.sum("n").alias("__size"))
+    return whole.select(F.col("cluster").alias("__c"), (_parts("__rows", "__size") > 1).alias("__split"))
+
+
 def _tiled(members: DataFrame, num: int, den: int) -> DataFrame:
     """members (cluster, id, n, comp) dealt into tiles: with cluster, b1, p1, b2, p2 and side, a row for each tile.
 
@@ -358,14 +369,11 @@ def _tiled(members: DataFrame, num: int, den: int) -> DataFrame:
     neighbouring ones, and by hash into parts of about that size; each part meets itself, the others of its
     band and those of the next.
     """
-    many = lambda rows, size: F.ceil(F.greatest(F.col(rows) / CHUNK, F.col(size) / PART)).cast("int")
-    whole = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("__rows"), F.sum("n").alias("__size"))
-    whole = whole.select(F.col("cluster").alias("__c"), (many("__rows", "__size") > 1).alias("__split"))
     base = float(np.log(den / num * 1.01))
-    rows = members.join(whole, F.col("cluster") == F.col("__c"))
+    rows = members.join(_sizes(members), F.col("cluster") == F.col("__c"))
     rows = rows.withColumn("b", F.when(F.col("__split"), F.floor(F.log(F.col("n").cast("double")) / base)).otherwise(0).cast("int")).drop("__c", "__split")
     sizes = rows.groupBy("cluster", "b").agg(F.count(F.lit(1)).alias("__rows"), F.sum("n").alias("__size"))
-    sizes = sizes.groupBy(F.col("cluster").alias("__c")).agg(F.map_from_entries(F.collect_list(F.struct("b", many("__rows", "__size")))).alias("__parts"))
+    sizes = sizes.groupBy(F.col("cluster").alias("__c")).agg(F.map_from_entries(F.collect_list(F.struct("b", _parts("__rows", "__size")))).alias("__parts"))
     rows = rows.join(sizes, F.col("cluster") == F.col("__c"))
     parts = lambda k: F.coalesce(F.try_element_at("__parts", F.col("b") + k), F.lit(0))
     rows = rows.withColumn("p", F.pmod(F.xxhash64("id", F.lit(3)), parts(0)).cast("int"))
@@ -431,7 +439,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     Rounds: (1) in each group of equal block keys all members are compared with the smallest; (2) groups that then
     still span several components are joined into clusters by common members, and the members of a cluster are
-    compared with each other, each pair once however many groups it shares, in tiles of bounded size: by sketches,
+    compared with each other, each pair once however many groups it shares, in tiles of bounded size (clusters over
+    that size: the groups of each least member instead, so that the rows compared are at most those of the groups): by sketches,
     which leaves the components that may be near, then those by texts. Pairs within a component need no comparison,
     so the components are exact. A tile returns a forest of what it found, fewer rows than it has members.
     """
@@ -472,10 +481,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         clusters = components(open_.select(F.col("head").alias("u"), F.col("rep").alias("v")))
         members = open_.select("rep", "n", "comp").distinct().join(clusters, F.col("rep") == F.col("node"))
         members = stored(members.select(F.col("component").alias("cluster"), F.col("rep").alias("id"), "n", "comp"), "near-members")
+        # common passages tie most open groups of a large corpus into one cluster: one that needs several parts is taken by the
+        # heads of its groups instead, which any two texts of a group have in common
+        sized = members.join(_sizes(members), F.col("cluster") == F.col("__c"))
+        large = sized.filter("__split").select(F.col("id").alias("__id"))
+        by_head = open_.join(large, F.col("rep") == F.col("__id")).select(F.col("head").alias("cluster"), F.col("rep").alias("id"), "n", "comp").distinct()
+        members = stored(sized.filter(~F.col("__split")).select("cluster", "id", "n", "comp").union(by_head), "near-families")
         # which components may be near, by sketches; then the members of those, by texts
         near = found_in(members, "comp", reps.select(F.col("rep").alias("__id"), F.col("sketch").alias("payload")), _by_sketch, "near-maybe")
         near = components(near)
-        close = stored(members.drop("cluster").join(near, F.col("comp") == F.col("node")).select(F.col("component").alias("cluster"), "id", "n", "comp"), "near-close")
+        close = stored(members.drop("cluster").distinct().join(near, F.col("comp") == F.col("node")).select(F.col("component").alias("cluster"), "id", "n", "comp"), "near-close")
         text = _texts(docs, close.select(F.col("id").alias("__id")), "near-two").select(F.col("id").alias("__id"), F.col("text").alias("payload"))
         links = links.union(found_in(close, "id", text, _by_text(width), "near-two"))
         comps = stored(components(links), "near-comps")

@@ -346,6 +346,26 @@ def test_near_duplicates_in_two_rounds(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_groups(rows)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_large_clusters_are_compared_by_heads(spark, monkeypatch, seed):
+    """Common passages tie many texts into one cluster, larger than a part: no link is lost."""
+    monkeypatch.setattr(jaccard, "CHUNK", 8)
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(2000)]
+    passages = [rng.choices(words, k=80) for _ in range(4)]
+    rows = []
+    for i in range(90):
+        own = rng.choices(words, k=rng.choice([15, 30]))
+        t = own + rng.choice(passages) + (rng.choice(passages) if rng.random() < 0.5 else [])
+        if rows and rng.random() < 0.4:
+            t = rng.choice(rows)[1].split()
+            for _ in range(rng.choice([1, 2, 4])):
+                t[rng.randrange(len(t))] = rng.choice(words)
+        rows.append((i, " ".join(t)))
+    got = jaccard.near_duplicates(frame(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_groups(rows)
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows, docs = odd
     got = jaccard.near_duplicates(docs).collect()
