@@ -1,4 +1,4 @@
-"""Taggers: a linear-chain decoder in numpy, its training, and a registry of scorers."""
+"""Taggers: a linear-chain decoder over batches, a perceptron, and a registry of scorers."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,19 +30,24 @@ def score(name: str, rows: DataFrame, **options) -> DataFrame:
     return SCORERS[name](rows, **options)
 
 
+def paths(emission: np.ndarray, transition: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The best path of labels of each of some segments of one size; ties go to the lower label."""
+    many, size, labels = emission.shape
+    best, back = start + emission[:, 0], np.zeros((many, size, labels), np.int16)
+    for t in range(1, size):
+        steps = best[:, :, None] + transition
+        back[:, t] = steps.argmax(1)
+        best = steps.max(1) + emission[:, t]
+    out = np.empty((many, size), np.int64)
+    out[:, -1] = best.argmax(1)
+    for t in range(size - 1, 0, -1):
+        out[:, t - 1] = back[np.arange(many), t, out[:, t]]
+    return out
+
+
 def viterbi(emission: np.ndarray, transition: np.ndarray, start: np.ndarray) -> list[int]:
-    """The best path of labels; ties go to the lower label."""
-    if not len(emission):
-        return []
-    best, back = start + emission[0], []
-    for e in emission[1:]:
-        paths = best[:, None] + transition
-        back.append(paths.argmax(0))
-        best = paths.max(0) + e
-    at = [int(best.argmax())]
-    for b in reversed(back):
-        at.append(int(b[at[-1]]))
-    return at[::-1]
+    """The best path of labels of one segment."""
+    return paths(emission[None], transition, start)[0].tolist() if len(emission) else []
 
 
 def argmax(scores: Column) -> Column:
@@ -49,7 +55,69 @@ def argmax(scores: Column) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
-class Tagger:
+def features(word: str, place: str) -> list[str]:
+    """The features that a word gives to its own token, or to the one after (`before` it stands) or ahead of it."""
+    low = word.lower()
+    if place == "here":
+        return [f"w={low}", f"s={low[-3:]}", f"p={low[:3]}", f"u={word[:1].isupper()}"]
+    return [f"{place[0]}={low}"]
+
+
+class Words:
+    """The tokens of a batch of segments: each distinct word once, and by number at every token."""
+
+    def __init__(self, column: pa.Array):
+        coded = pc.fill_null(column.flatten().cast(pa.string()), "").dictionary_encode()
+        self.sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.words = coded.dictionary.to_pylist()
+        self.here = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def of(self, place: str) -> list[str]:
+        """The words of a place, that of an edge last."""
+        return self.words + {"here": [], "before": ["<s>"], "after": ["</s>"]}[place]
+
+    def places(self) -> Iterator[tuple[str, np.ndarray]]:
+        """Each place, and for every token the number of the word there."""
+        full = self.sizes > 0
+        first, last = self.starts[full], (self.starts + self.sizes)[full] - 1
+        before, after = np.roll(self.here, 1), np.roll(self.here, -1)
+        before[first] = after[last] = len(self.words)
+        return iter((("here", self.here), ("before", before), ("after", after)))
+
+
+class Model:
+    """What has labels, weights of label pairs and of first labels, and rows(): the weights that words give at a place."""
+
+    labels: list[str]
+    transition: np.ndarray
+    start: np.ndarray
+
+    def rows(self, words: list[str], place: str) -> np.ndarray:
+        raise NotImplementedError
+
+    def emission(self, words: Words) -> np.ndarray:
+        """(token, label) scores of a batch; each distinct word is looked up once."""
+        out = np.zeros((len(words.here), len(self.labels)))
+        if len(out):
+            for place, at in words.places():
+                out += self.rows(words.of(place), place)[at]
+        return out
+
+    def predict_all(self, words: Words) -> np.ndarray:
+        """The label numbers of all tokens of a batch, segments of one size decoded together."""
+        emission, out = self.emission(words), np.zeros(len(words.here), np.int64)
+        order = np.argsort(words.sizes, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(words.sizes[order])) + 1):
+            size = int(words.sizes[group[0]]) if len(group) else 0
+            together = max(1, (1 << 16) // max(1, size))
+            for k in range(0, len(group) if size else 0, together):
+                spots = words.starts[group[k : k + together]][:, None] + np.arange(size)
+                out[spots] = paths(emission[spots], self.transition, self.start)
+        return out
+
+
+class Tagger(Model):
     """Weights of token features and label pairs, learned by the averaged perceptron; features are words around."""
 
     def __init__(self, labels: list[str]):
@@ -60,21 +128,16 @@ class Tagger:
 
     @staticmethod
     def features(tokens: list[str], i: int) -> list[str]:
-        w = tokens[i].lower()
-        before = tokens[i - 1].lower() if i else "<s>"
-        after = tokens[i + 1].lower() if i + 1 < len(tokens) else "</s>"
-        return [f"w={w}", f"s={w[-3:]}", f"p={w[:3]}", f"b={before}", f"a={after}", f"u={tokens[i][:1].isupper()}"]
-
-    def emission(self, tokens: list[str]) -> np.ndarray:
-        out = np.zeros((len(tokens), len(self.labels)))
-        for i in range(len(tokens)):
-            for f in self.features(tokens, i):
-                if f in self.weights:
-                    out[i] += self.weights[f]
-        return out
+        before = tokens[i - 1] if i else "<s>"
+        after = tokens[i + 1] if i + 1 < len(tokens) else "</s>"
+        return features(tokens[i], "here") + features(before, "before") + features(after, "after")
+
+    def rows(self, words: list[str], place: str) -> np.ndarray:
+        none = np.zeros(len(self.labels))
+        return np.array([sum((self.weights.get(f, none) for f in features(w, place)), none) for w in words])
 
     def predict(self, tokens: list[str]) -> list[str]:
-        return [self.labels[k] for k in viterbi(self.emission(tokens), self.transition, self.start)]
+        return [self.labels[k] for k in self.predict_all(Words(pa.array([tokens], pa.list_(pa.string()))))]
 
     def train(self, data: list[tuple[list[str], list[str]]], epochs: int = 5) -> Tagger:
         ids, step = {x: k for k, x in enumerate(self.labels)}, 1
@@ -83,7 +146,7 @@ class Tagger:
         for _ in range(epochs):
             for tokens, gold in data:
                 want = [ids[x] for x in gold]
-                got = viterbi(self.emission(tokens), self.transition, self.start)
+                got = self.predict_all(Words(pa.array([tokens], pa.list_(pa.string())))).tolist()
                 if got != want:
                     for i, (g, w) in enumerate(zip(got, want, strict=True)):
                         if g != w:
@@ -135,23 +198,31 @@ def load(spark, path: str) -> Tagger:
     return Tagger.of_table([tuple(r) for r in spark.read.parquet(path).select("feature", "label", "weight").collect()])
 
 
-@scorer("tagger")
-def tag(rows: DataFrame, tagger: Tagger, tokens: str = "tokens") -> DataFrame:
-    """rows with pred_labels, decoded by a tagger that is broadcast once, and repaired."""
-    held = rows.sparkSession.sparkContext.broadcast(tagger)
+def decode(rows: DataFrame, model: Model, tokens: str = "tokens") -> DataFrame:
+    """rows with pred_labels, decoded in batches by a model that is broadcast once, and repaired. Null tokens have none."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
     names = [c for c in rows.columns if c != "pred_labels"]
     at = names.index(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = pa.array(held.value.labels, pa.string())
         for batch in batches:
-            got = [held.value.predict(t or []) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.list_(pa.string()))], names=[*names, "pred_labels"])
+            words = Words(batch.column(at))
+            ends = pa.array(np.append(words.starts, len(words.here)).astype(np.int32))
+            got = pa.ListArray.from_arrays(ends, labels.take(pa.array(held.value.predict_all(words))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*names, "pred_labels"])
 
-    kept = rows.select(*names)
+    kept = rows.select(*[F.col(f"`{c}`") for c in names])
     out = kept.mapInArrow(run, kept.withColumn("pred_labels", F.lit(None).cast("array<string>")).schema)
     return out.withColumn("pred_labels", bio.repair(F.col("pred_labels")))
 
 
+@scorer("tagger")
+def tag(rows: DataFrame, tagger: Tagger, tokens: str = "tokens") -> DataFrame:
+    """rows with pred_labels of a tagger, whose size is that of the features it was trained on."""
+    return decode(rows, tagger, tokens)
+
+
 @scorer("outside")
 def outside(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     """All tokens outside: a floor for comparisons."""
