@@ -575,11 +575,19 @@ def word_flags(spark, sf_dir):
     "SELECT seg, md5(string_agg(concat_ws('/', w, before, after2, coalesce(bigram, ''), coalesce(trigram, '')), ' ' ORDER BY p)) AS digest, CAST(sum(f) AS BIGINT) AS firsts, round(sum(rel), 6) AS positions FROM x GROUP BY seg"
 )
 def context_features(spark, sf_dir):
-    rows = features.featurise(synth.segments(spark, sf_dir).select(F.struct("doc_id", "seg").alias("key"), "tokens"), "key")
-    each = F.concat_ws("/", "word_lower", F.col("`ctx-1_word`"), F.col("`ctx+2_word`"), F.coalesce("bigram_prev", F.lit("")), F.coalesce("trigram_next", F.lit("")))
-    rows = rows.select("key", "pos", each.alias("x"), F.col("is_first").cast("int").alias("f"), r6("relative_position").alias("rel"))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]), " ")
-    return rows.groupBy("key").agg(F.md5(F.encode(lines, "UTF-8")).alias("digest"), F.sum("f").alias("firsts"), r6(F.sum("rel")).alias("positions")).select("key.seg", "digest", "firsts", "positions")
+    names = ("word_lower", "ctx-1_word", "ctx+2_word", "bigram_prev", "trigram_next", "is_first", "relative_position")
+    rows = synth.segments(spark, sf_dir).select("seg", features.feature_array(only=names).alias("fs"))
+    each = lambda e: F.concat_ws("/", e["word_lower"], e["ctx-1_word"], e["ctx+2_word"], F.coalesce(e["bigram_prev"], F.lit("")), F.coalesce(e["trigram_next"], F.lit("")))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+    def digest(fs):
+        return F.struct(
+            F.md5(F.encode(F.array_join(F.transform(fs, each), " "), "UTF-8")).alias("digest"),
+            F.size(F.filter(fs, lambda e: e["is_first"])).cast("long").alias("firsts"),
+            r6(total(F.transform(fs, lambda e: r6(e["relative_position"])))).alias("positions"),
+        )
+
+    return rows.select("seg", T.let(F.col("fs"), digest).alias("d")).select("seg", "d.*")
 
 
 # extraction by an outside model
@@ -783,7 +791,8 @@ def clamped_labels(spark, sf_dir):
 
 @query(
     r"""WITH t0 AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ 	
-]+'), lambda x: x <> '') AS ts FROM conversations)
+
+]+'), lambda x: x <> '') AS ts FROM conversations)
 SELECT conv_id, turn, array_to_string(list_transform(ts, lambda w: array_to_string(list_resize(list_transform(string_split(lower(w)[1:20], ''), lambda c: CASE WHEN c BETWEEN 'a' AND 'z' THEN CAST(unicode(c) - 95 AS BIGINT) ELSE 1 END), 20, CAST(0 AS BIGINT)), ' ')), '/') AS ids FROM t0"""
 )
 def char_id_rows(spark, sf_dir):

@@ -62,9 +62,13 @@ def _labels(seg: Column, tokens: Column) -> tuple[Column, Column]:
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, seg, tokens, gold and pred. seg is a document's number times MOST, plus the segment's own."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.tokens(F.col("text")).alias("ts"))
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("ts") - 1) / SIZE).cast("int")), lambda s: F.struct(s.alias("s"), F.slice("ts", s * SIZE + 1, SIZE).alias("tokens")))
-    rows = docs.filter(F.size("ts") > 0).select("doc_id", F.explode(cut).alias("x"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def cut(ts: Column) -> Column:
+        many = F.ceil(F.size(ts) / SIZE).cast("int")
+        return F.transform(F.slice(F.sequence(F.lit(0), many), 1, many), lambda s: F.struct(s.alias("s"), F.slice(ts, s * SIZE + 1, SIZE).alias("tokens")))
+
+    rows = docs.select("doc_id", F.explode(T.let(T.tokens(F.col("text")), cut)).alias("x"))
     rows = rows.select("doc_id", (F.col("doc_id") * MOST + F.col("x.s")).cast("long").alias("seg"), F.col("x.tokens").alias("tokens"))
     gold, pred = _labels(F.col("seg"), F.col("tokens"))
     return rows.select("doc_id", "seg", "tokens", gold.alias("gold"), pred.alias("pred"))

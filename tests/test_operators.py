@@ -5,11 +5,12 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import align, bio, events, extract, features, metrics, scoring, stats, windows
+from spanloom.operators import align, bio, crf, events, extract, features, metrics, scoring, stats, windows
 from spanloom.sources import files
 from spanloom.streaming import segments as stream
 
@@ -240,6 +241,17 @@ def test_word_features(spark):
     assert [r.relative_position for r in rows][:2] == [0.0, 0.125] and rows[7].is_last
 
 
+def test_feature_array_is_the_exploded_form(spark):
+    df = spark.createDataFrame([(1, ["Câmara", "2023", "d'Água-"]), (2, ["x"]), (3, []), (4, None), (5, [None, "a"])], "id int, tokens array<string>")
+    options = {"lexicon": {"verb": ["x"]}, "titles": ["dr."], "function_words": {"article": ["a"]}}
+    rows = df.select("id", features.feature_array(**options).alias("fs"))
+    assert {r.id: r.fs for r in rows.filter("id IN (3, 4)").collect()} == {3: [], 4: None}
+    want = features.featurise(df, "id", **options)
+    assert sorted(map(repr, rows.select("id", F.inline("fs")).select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+    few = df.select(features.feature_array(only=("is_first", "ctx+1_word")).alias("fs")).select(F.inline("fs"))
+    assert few.columns == ["pos", "word", "is_first", "ctx+1_word"]
+
+
 def test_vocabularies(spark):
     words = spark.createDataFrame([(0, 0, "B"), (0, 1, "a"), (1, 0, "b"), (1, 1, "A"), (1, 2, "c")], "doc_id long, pos int, word string")
     assert [tuple(r) for r in stats.word_vocabulary(words).orderBy("word_id").collect()] == [("b", 2, 2), ("a", 2, 3)]
@@ -281,6 +293,69 @@ def test_tagger_learns_and_is_stored(spark, tmp_path):
         scoring.score("nothing", df)
 
 
+def test_taggers_score_words_in_their_places():
+    rng = np.random.default_rng(3)
+    tagger = scoring.Tagger(["O", "B-V", "I-V"])
+    segments = [["A", "b", "c"], [], None, ["b"], ["c", "c", "A", "x", None]]
+    plain = [[w or "" for w in s or []] for s in segments]
+    for f in {f for s in plain for i in range(len(s)) for f in scoring.Tagger.features(s, i)}:
+        tagger.weights[f] = rng.standard_normal(3)
+    tagger.transition, tagger.start = rng.standard_normal((3, 3)), rng.standard_normal(3)
+    words = scoring.Words(pa.array([["out"], *segments], pa.list_(pa.string()))[1:])
+    want = [[sum(tagger.weights[f] for f in scoring.Tagger.features(s, i)) for i in range(len(s))] for s in plain]
+    assert np.allclose(tagger.emission(words), [e for s in want for e in s])
+    assert tagger.predict_all(words).tolist() == [k for s in want if s for k in scoring.viterbi(np.array(s), tagger.transition, tagger.start)]
+
+
+def test_crf_likelihood_and_gradient_against_all_paths():
+    rng = np.random.default_rng(5)
+    model = crf.Crf(["O", "B-V", "I-V"], 4)
+    model.values[:] = rng.standard_normal(len(model.values))
+    segments = [["a", "b", "c", "a"], [], ["b"], ["c", "A"]]
+    words, gold = scoring.Words(pa.array(segments, pa.list_(pa.string()))), np.array([0, 1, 2, 0, 1, 1, 2])
+    emission, want, at = model.emission(words), 0.0, 0
+    for s in segments:
+        if s:
+            n, e = len(s), emission[at : at + len(s)]
+            value = lambda p: model.start[p[0]] + sum(e[i, p[i]] for i in range(n)) + sum(model.transition[a, b] for a, b in itertools.pairwise(p))  # noqa: E731,B023
+            want += np.log(sum(np.exp(value(p)) for p in itertools.product(range(3), repeat=n))) - value(gold[at : at + n])
+            at += n
+    slope = np.zeros_like(model.values)
+    assert np.isclose(crf.loss(model, words, gold, slope), want)
+    for k in range(len(slope)):
+        ahead, behind = model.values.copy(), model.values.copy()
+        ahead[k] += 1e-5
+        behind[k] -= 1e-5
+        up, down = (crf.loss(crf.Crf(model.labels, 4, x), words, gold, np.zeros_like(x)) for x in (ahead, behind))
+        assert abs((up - down) / 2e-5 - slope[k]) < 1e-5
+
+
+def test_minimise_with_a_penalty_on_size():
+    rng = np.random.default_rng(7)
+    scale, centre = rng.uniform(0.5, 4, 30), rng.normal(0, 0.5, 30)
+    got = crf.minimise(lambda x: (float((scale * (x - centre) ** 2).sum() / 2), scale * (x - centre)), np.zeros(30), 0.6, 200, tolerance=1e-14)
+    want = np.sign(centre) * np.maximum(np.abs(centre) - 0.6 / scale, 0)
+    assert np.allclose(got, want, atol=1e-5) and (got == 0).sum() == (want == 0).sum() > 0
+
+
+def test_crf_learns_and_is_stored(spark, tmp_path):
+    rng, data = random.Random(1), []
+    for k in range(60):
+        t = [rng.choice(["a", "b", "Voto", "sim", "nada"]) for _ in range(1 + k % 9)]
+        data.append((k, t, ["B-V" if w == "Voto" else "I-V" if w == "sim" and i and t[i - 1] == "Voto" else "O" for i, w in enumerate(t)]))
+    odd = [(90, None, ["O"]), (91, ["a"], None), (92, ["a", "b"], ["O"]), (93, [], []), (94, ["a"], [None])]
+    df = spark.createDataFrame([*data, *odd], "id int, tokens array<string>, gold array<string>")
+    model = crf.train(df, labels="gold", rounds=40, bits=10)
+    assert model.labels == ["O", "B-V", "I-V"] and 0 < np.count_nonzero(model.weights) < 150
+    crf.save(model, spark, str(tmp_path / "m"))
+    got = {r.id: r.pred_labels for r in scoring.score("crf", df, model=crf.load(spark, str(tmp_path / "m"))).collect()}
+    assert all(got[k] == g for k, _, g in data)
+    assert got[90] == [] and got[93] == [] and len(got[92]) == 2
+    assert not crf.train(df.filter("id > 900"), labels="gold", bits=6).values.any()
+    with pytest.raises(ValueError):
+        crf.train(spark.createDataFrame([([str(k) for k in range(300)],) * 2], "tokens array<string>, labels array<string>"))
+
+
 def test_calls_retry_quota_errors_only(spark):
     def client(text):
         if "parse" in text:
