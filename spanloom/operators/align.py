@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import let
@@ -11,7 +14,8 @@ from spanloom.functions.text import let
 def offsets(text: Column, tokens: Column) -> Column:
     """The 0-based start of each token in the text, in order and without regard to case; null where it is not found.
 
-    A token is looked for after the end of the last one that was found.
+    A token is looked for after the end of the last one that was found. For segments: the work grows with the square of
+    their length; locate() is the form for long texts.
     """
     return let(F.lower(text), lambda low: _offsets(low, tokens))
 
@@ -46,3 +50,42 @@ def labels_by_offset(starts: Column, predictions: Column, reach: int = 2) -> Col
         return F.coalesce(best["label"], F.lit("O"))
 
     return let(listed, lambda ranked: F.transform(starts, lambda s: F.when(s.isNull(), "O").otherwise(label(s, ranked))))
+
+
+def locate(rows: DataFrame, text: str = "text", tokens: str = "tokens", out: str = "starts") -> DataFrame:
+    """rows with offsets() as column `out`, in time linear in the text. A null text or null tokens have null.
+
+    Python's lower case is used, which agrees with the column form but for a few letters that grow by it.
+    """
+    names = [c for c in rows.columns if c != out]
+    x, t = names.index(text), names.index(tokens)
+
+    def starts(low: str, words: list[str | None]) -> list[int | None]:
+        found, at = [], 0
+        for w in words:
+            k = low.find(w.lower(), at) if w is not None else -1
+            found.append(k if k >= 0 else None)
+            at = k + len(w) if k >= 0 else at
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column(x).to_pylist(), batch.column(t).to_pylist(), strict=True)
+            got = [None if a is None or b is None else starts(a.lower(), b) for a, b in both]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.list_(pa.int32()))], names=[*names, out])
+
+    kept = rows.select(*[F.col(f"`{c}`") for c in names])
+    return kept.mapInArrow(run, kept.withColumn(out, F.lit(None).cast("array<int>")).schema)
+
+
+def nearest_rows(tokens: DataFrame, predictions: DataFrame, key: str = "id", reach: int = 2) -> DataFrame:
+    """tokens (key, pos, start) with `label` as labels_by_offset() gives it, for long texts: one join on key and place.
+
+    predictions has key, k (their order), label, start and end. Each meets the 2 * reach + 1 places around its start, so a
+    token finds its few neighbours by equality and no pair further apart is made; the nearest is kept before the join.
+    """
+    placed = predictions.filter((F.coalesce("start", F.lit(-1)) != -1) & (F.coalesce("end", F.lit(-1)) != -1))
+    spots = placed.select(F.col(key).alias("__key"), F.col("start").alias("__s"), "k", "label", F.explode(F.sequence(F.col("start") - reach, F.col("start") + reach)).alias("__at"))
+    nearest = spots.groupBy("__key", "__at").agg(F.min_by("label", F.struct(F.abs(F.col("__s") - F.col("__at")), "k")).alias("label"))
+    met = tokens.drop("label").join(nearest, (F.col(key) == F.col("__key")) & (F.col("start") == F.col("__at")), "left")
+    return met.withColumn("label", F.coalesce("label", F.lit("O"))).drop("__key", "__at")

@@ -6,6 +6,7 @@ import itertools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -206,3 +207,30 @@ def first_subwords(values: Column, words: Column) -> Column:
 def masked(values: Column, *masks: Column) -> Column:
     """Values where every mask is true or 1."""
     return F.transform(F.filter(F.arrays_zip(values.alias("v"), *[m.alias(f"m{k}") for k, m in enumerate(masks)]), lambda x: sum((F.when(x[f"m{k}"].cast("boolean"), 0).otherwise(1) for k in range(len(masks))), F.lit(0)) == 0), lambda x: x["v"])
+
+
+def collate(rows: DataFrame, fillers: dict[str, object], size: int = 16) -> DataFrame:
+    """rows with `batch` and `longest`, the array columns named in fillers filled up to the longest of their batch.
+
+    Batches are `size` rows of one partition in the order they lie there, without a shuffle; `batch` is unique over all.
+    Labels are filled with what the loss ignores, by their filler. Null arrays stay null.
+    """
+    schema = rows.select("*", F.lit(0).cast("long").alias("batch"), F.lit(0).alias("longest")).schema
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        arrow = pa.schema([*[first.schema.field(c) for c in names], pa.field("batch", pa.int64()), pa.field("longest", pa.int32())])
+        each = (r for b in itertools.chain([first], batches) for r in b.to_pylist())
+        number = TaskContext.get().partitionId() << 33
+        while part := list(itertools.islice(each, size)):
+            longest = max((len(r[c]) for r in part for c in fillers if r[c] is not None), default=0)
+            for r in part:
+                r |= {c: r[c] + [f] * (longest - len(r[c])) for c, f in fillers.items() if r[c] is not None}
+                r |= {"batch": number, "longest": longest}
+            yield pa.RecordBatch.from_pylist(part, schema=arrow)
+            number += 1
+
+    return rows.mapInArrow(run, schema)

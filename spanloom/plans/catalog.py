@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import align, bio, events, extract, features, metrics, pairing, scoring, stats, windows
+from spanloom.operators import align, bio, crf, events, extract, features, metrics, pairing, scoring, stats, windows
 from spanloom.plans import synth
 from spanloom.plans.synth import SQL_EVENTS, SQL_FIXED, SQL_TOKENS, sql_spans, table
 from spanloom.sources import files
@@ -643,6 +643,17 @@ def viterbi(spark, sf_dir):
     return rows.select("seg", F.array_join("pred_labels", " ").alias("labels"))
 
 
+@query()
+def crf_tagger(spark, sf_dir):
+    """Spans of long words in all benchmark texts, learned by a CRF and predicted; rows only, as training is no SQL."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("tokens"))
+    kind = lambda i: F.length(F.get("tokens", i)) >= 8
+    inside = lambda i: F.coalesce(kind(i - 1), F.lit(False))
+    rows = rows.withColumn("gold", F.transform("tokens", lambda _, i: F.when(kind(i), F.when(inside(i), "I-LONG").otherwise("B-LONG")).otherwise("O")))
+    got = scoring.score("crf", rows, model=crf.train(rows, labels="gold", rounds=20))
+    return got.select("item_id", F.array_join("gold", " ").alias("gold"), F.array_join("pred_labels", " ").alias("labels"))
+
+
 @query("SELECT item_id, length(text) % 2 = 0 AS has_voting_event FROM benchmark")
 def outside_calls(spark, sf_dir):
     """Every benchmark text through a client that stands in for an outside model."""

@@ -215,6 +215,33 @@ def test_offsets(spark):
     assert labels == ["A", "A", "O", "C", "C", "O"]
 
 
+def test_long_forms_of_offsets_and_nearest_labels(spark):
+    rng = random.Random(11)
+    data = []
+    for k in range(40):
+        words = [rng.choice(["Ele", "votou", "a", "favor", "Ação", "."]) for _ in range(rng.randrange(0, 30))]
+        data.append((k, " ".join(words), [w.upper() if rng.random() < 0.3 else rng.choice([w, "falta"]) for w in words], [(f"L{i}", rng.choice([None, -1, *range(120)]), rng.choice([None, -1, 5, 9])) for i in range(rng.randrange(12))]))
+    data += [(100, None, ["a"], []), (101, "a", None, []), (102, "", [], [])]
+    df = spark.createDataFrame(data, "id int, text string, tokens array<string>, preds array<struct<label:string,start:int,end:int>>")
+    rows = align.locate(df).withColumn("want", align.offsets(F.col("text"), F.col("tokens"))).withColumn("labels", align.labels_by_offset(F.col("starts"), F.col("preds")))
+    got = rows.collect()
+    assert all(r.starts == r.want for r in got if r.id < 100) and {r.id: r.starts for r in got if r.id >= 100} == {100: None, 101: None, 102: []}
+    tokens = rows.filter("id < 100").select("id", F.posexplode("starts").alias("pos", "start"))
+    preds = df.select("id", F.posexplode("preds").alias("k", "p")).select("id", "k", "p.*")
+    near = {(r.id, r.pos): r.label for r in align.nearest_rows(tokens, preds).collect()}
+    assert near == {(r.id, i): x for r in got if r.id < 100 for i, x in enumerate(r.labels)} and len(set(near.values())) > 5
+
+
+def test_batches_are_filled_to_their_longest(spark):
+    data = [(k, [1] * (k % 7), None if k == 5 else [2] * (k % 7)) for k in range(20)]
+    df = spark.createDataFrame(data, "id int, ids array<int>, labels array<int>").coalesce(1)
+    got = windows.collate(df, {"ids": 0, "labels": -100}, 8).orderBy("id").collect()
+    assert [r.batch for r in got] == [k // 8 for k in range(20)] and [r.longest for r in got] == [6] * 16 + [5] * 4
+    assert all(len(r.ids) == r.longest and r.ids == [1] * (r.id % 7) + [0] * (r.longest - r.id % 7) for r in got)
+    assert got[5].labels is None and got[1].labels == [2] + [-100] * 5
+    assert windows.collate(df.filter("id > 90"), {"ids": 0}).count() == 0
+
+
 # text
 
 
