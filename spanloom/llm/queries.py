@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, embeddings, jaccard, langid, lines, mixing, quality, sharding, tokenfiles, warc
+from spanloom.llm import decontam, embeddings, filters, jaccard, langid, lines, mixing, quality, sharding, tokenfiles, warc
 from spanloom.llm.shared import table
 
 
@@ -63,9 +63,13 @@ def op10_ngram_jaccard(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark, sf_dir):
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql():
-    return {"op5_line_dedup": lines.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op5_line_dedup": lines.ORACLE, "op9_warc": warc.ORACLE, "op13_filter_audit": filters.ORACLE}
