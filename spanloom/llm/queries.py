@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import decontam, embeddings, filters, jaccard, langid, lines, mixing, quality, sharding, tokenfiles, warc
+from spanloom.llm import alignment, decontam, embeddings, filters, jaccard, langid, lines, mixing, quality, sharding, tokenfiles, warc
 from spanloom.llm.shared import table
 
 
@@ -63,6 +63,10 @@ def op10_ngram_jaccard(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark, sf_dir):
+    return alignment.links(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
