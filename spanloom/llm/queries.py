@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import alignment, decontam, embeddings, filters, jaccard, langid, lines, mixing, quality, sharding, tokenfiles, warc
+from spanloom.llm import alignment, decontam, embeddings, filters, jaccard, langid, lines, mixing, quality, sharding, suffixes, tokenfiles, warc
 from spanloom.llm.shared import table
 
 
@@ -63,6 +63,11 @@ def op10_ngram_jaccard(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark, sf_dir):
+    left = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_token_alignment(spark, sf_dir):
     return alignment.links(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
