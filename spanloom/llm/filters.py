@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import hashing
-from spanloom.llm.shared import ship, stored
+from spanloom.llm.shared import SMALL, ship, stored
 
 #: The filters, in the order of their bits.
 FILTERS = "ABCDE"
@@ -77,10 +77,14 @@ def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     narrow = stored(rows.mapInArrow(run, "doc_id long, part string, mask int, print binary"), "filter-marks")
     # only texts that occur again can fail E; equal rows are told from copies by their doc_id
-    firsts = narrow.groupBy("print").agg(F.min("doc_id").alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n")
+    firsts = narrow.groupBy("print").agg(F.min("doc_id").alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
     quality = labels.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(F.col("quality") == 1).alias("__good"), F.max(F.col("toxic") == 1).alias("__toxic"))
     copy = F.coalesce((F.col("doc_id").isNull() & F.col("__first").isNotNull()) | (F.col("doc_id") > F.col("__first")), F.lit(False))
-    out = narrow.join(firsts, "print", "left").join(quality, F.col("doc_id") == F.col("__id"), "left")
+    # what very many rows share is no key of a shuffle: at most SMALL texts can be in more than a SMALL-th of all rows
+    firsts = stored(firsts, "filter-firsts")
+    often = F.broadcast(firsts.filter(F.col("__n") > -(-narrow.count() // SMALL)).drop("__n"))
+    rest = narrow.join(often, "print", "left_anti").join(firsts.drop("__n"), "print", "left")
+    out = narrow.join(often, "print").unionByName(rest).join(quality, F.col("doc_id") == F.col("__id"), "left")
     mask = F.col("mask") + F.when(copy, 1 << FILTERS.index("E")).otherwise(0)
     return out.select("part", mask.alias("mask"), F.coalesce("__good", F.lit(False)).alias("good"), F.coalesce("__toxic", F.lit(False)).alias("toxic"))
 
