@@ -136,9 +136,22 @@ def scores(pieces: Pieces, prob: np.ndarray, words: list[bytes]) -> np.ndarray:
     return out
 
 
+def cut_long(word: bytes) -> list[bytes]:
+    """A word with the space before it, in parts of up to WHOLE bytes that end with a whole letter."""
+    word, out, at = b" " + word, [], 0
+    while len(word) - at > WHOLE:
+        to = at + WHOLE
+        while to > at + WHOLE - 4 and word[to] & 0xC0 == 0x80:
+            to -= 1
+        out.append(word[at:to])
+        at = to
+    return [*out, word[at:]]
+
+
 def fit_one(pieces: Pieces, words: list[bytes], counts: np.ndarray, rounds: int = 4, smooth: float = 0.05) -> np.ndarray:
-    """Piece probabilities of one language by expectation maximisation over all segmentations of words up to WHOLE bytes."""
-    parts = [(b" " + w, c) for w, c in zip(words, counts.tolist(), strict=True) if len(w) < WHOLE]
+    """Piece probabilities of one language by expectation maximisation over all segmentations of words, or of parts of words
+    as cut_long() gives them, with the space where one stands."""
+    parts = list(zip(words, counts.tolist(), strict=True))
     parts.sort(key=lambda x: len(x[0]))
     batches = [(padded([p for p, _ in parts[a : a + 8192]]), np.array([c for _, c in parts[a : a + 8192]], float)) for a in range(0, len(parts), 8192)]
     prob = np.full((pieces.count, 1), 1.0 / pieces.count)
@@ -167,8 +180,9 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE, most_words: int = SAMP
     A model is fitted on the words of at most `sample` documents of each language, those with the least hash of
     text and doc_id, and on the most frequent of their distinct words, an equal share of `most_words` for each language;
     so the words that reach the driver are bounded however many languages there are. Of more than `languages` values
-    of lang the most frequent are learned. Words of WHOLE bytes or more are not learned from. Null texts and languages are left
-    out, as are long texts' words only by these bounds; equal rows count each; an empty table learns no language.
+    of lang the most frequent are learned. Longer words, as in scripts without spaces, are learned from in parts of up to WHOLE
+    bytes, so what the driver reads is bounded in bytes, too (40 MB by default). Null texts and languages are left
+    out; long texts are read whole; equal rows count once; an empty table learns no language.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -186,8 +200,9 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE, most_words: int = SAMP
                 raw = b.tobytes()
                 for i in range(len(bounds) - 1):
                     for k in range(bounds[i], bounds[i + 1]):
-                        key = (langs[row + i], raw[starts[k] : ends[k]])
-                        got[key] = got.get(key, 0) + 1
+                        for part in cut_long(raw[starts[k] : ends[k]]):
+                            key = (langs[row + i], part)
+                            got[key] = got.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.binary()), pa.array(list(got.values()), pa.int64())], schema=schema)
 
     counts = chosen.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))

@@ -86,27 +86,27 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), sample:
     The rows of a label are those whose doc_id has the least hash, as many as have `most` features (distinct
     n-grams) together; a doc_id with many rows gives no more of them either. So what is sent to the driver has a
     bound of 8 bytes a feature, 128 MB by default, whatever the size of documents and labels. The rows with null text, doc_id
-    or label are left out; empty texts count; equal rows count each. Without rows, or with one label only, all weights
-    but the bias are 0.
+    or label are left out; empty texts count; equal rows of docs count each, equal rows of labels are one. Without rows, or with
+    one label only, all weights but the bias are 0.
     """
     spark = docs.sparkSession
     ship(spark)
     marks = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__label")).filter("__id IS NOT NULL AND __label IN (0, 1)")
     marks = least(marks, "__label", ["__id"], sample)
     text = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    chosen = text.join(F.broadcast(marks), text["doc_id"] == marks["__id"]).select("__id", "__h", "__label", "text")
-    schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("label", pa.float64()), ("n", pa.int64()), ("print", pa.int64()), ("ids", pa.binary()), ("vals", pa.binary())])
+    chosen = text.join(F.broadcast(marks), text["doc_id"] == marks["__id"]).groupBy("__id", "__h", "__label", "text").agg(F.count(F.lit(1)).alias("__c"))
+    schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("label", pa.float64()), ("c", pa.int64()), ("n", pa.int64()), ("print", pa.int64()), ("ids", pa.binary()), ("vals", pa.binary())])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = [(i.astype(np.int32), v.astype(np.float32)) for i, v in features(batch.column(3), how)]
-            cols = [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int64()), batch.column(2).cast(pa.float64())]
+            cols = [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int64()), batch.column(2).cast(pa.float64()), batch.column(4)]
             marks = [pa.array([len(i) for i, _ in f], pa.int64()), pa.array([zlib.crc32(v.tobytes(), zlib.crc32(i.tobytes())) for i, v in f], pa.int64())]
             yield pa.RecordBatch.from_arrays([*cols, *marks, *(pa.array([x[k].tobytes() for x in f], pa.binary()) for k in (0, 1))], schema=schema)
 
-    rows = stored(chosen.mapInArrow(listed, "id long, h long, label double, n long, print long, ids binary, vals binary"), "quality-features")
+    rows = stored(chosen.mapInArrow(listed, "id long, h long, label double, c long, n long, print long, ids binary, vals binary"), "quality-features")
     # bounded in rows and features on narrow columns, before any list goes to the driver; equal rows are told apart by number
-    near = rows.select("label", "h", "id", "print", "n").groupBy("label", "h", "id", "print").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    near = rows.select("label", "h", "id", "print", "c", "n").groupBy("label", "h", "id", "print").agg(F.sum("c").alias("c"), F.max("n").alias("n"))
     order = Window.partitionBy("label").orderBy("h", "id", "print").rowsBetween(Window.unboundedPreceding, -1)
     room = F.least(F.lit(sample) - F.coalesce(F.sum("c").over(order), F.lit(0)), F.floor((F.lit(most) - F.coalesce(F.sum(F.col("c") * F.col("n")).over(order), F.lit(0))) / F.col("n")))
     near = near.withColumn("k", F.least("c", room)).filter("k > 0").select("label", "h", "id", "print", "k")

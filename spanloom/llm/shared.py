@@ -75,21 +75,20 @@ def ship(spark: SparkSession) -> None:
 
 
 def least(rows: DataFrame, group: str, keys: list[str], most: int) -> DataFrame:
-    """Of each group at most `most` rows, those with the least hash of their keys, with the hash as `__h`.
+    """Of each group the `most` distinct rows with the least hash of their keys, with the hash as `__h`.
 
-    Only group and hash are ranked, and of those only about twice the wanted share, by a count of each group; the
-    rows themselves are not shuffled but held against their group's last hash. The tables of groups are broadcast
-    up to SMALL groups. Rows whose hash is that of the first row left out are left out too.
+    rows has the columns group and keys alone, and equal rows are one. Only group and hash are ranked, and of those only about
+    twice the wanted share, by a count of each group; the rows themselves are not shuffled but held against their group's last
+    hash, and only then made distinct. The tables of groups are broadcast up to SMALL groups. Different rows of one hash (40 bits) stay
+    or go together.
     """
-    h = F.xxhash64(*keys, F.lit(11))
-    narrow = rows.select(F.col(group).alias("__group"), h.alias("__h"))
+    h = F.pmod(F.xxhash64(*keys, F.lit(11)), F.lit(1 << 40))
+    narrow = rows.select(F.col(group).alias("__group"), h.alias("__o")).distinct()
+    narrow = stored(narrow, "sample-hashes")
     counts = stored(narrow.groupBy("__group").agg(F.count(F.lit(1)).alias("__size")), "sample-sizes")
     small = F.broadcast if counts.count() <= SMALL else (lambda x: x)
-    share = F.pmod("__h", F.lit(1 << 40)) / float(1 << 40)
-    near = narrow.join(small(counts), "__group").filter(share * F.col("__size") < 2 * most + 100)
-    order = F.pmod("__h", F.lit(1 << 40))
-    first = near.withColumn("__o", order).withColumn("__rank", F.row_number().over(Window.partitionBy("__group").orderBy("__o")))
-    cuts = first.filter(F.col("__rank") <= most + 1).groupBy("__group").agg(F.count(F.lit(1)).alias("__n"), F.max("__o").alias("__last"))
-    cuts = stored(cuts, "sample-cuts")
-    joined = rows.withColumn("__h", F.pmod(h, F.lit(1 << 40))).join(small(cuts), F.col(group) == F.col("__group"))
-    return joined.filter((F.col("__n") <= most) | (F.col("__h") < F.col("__last"))).drop("__group", "__n", "__last")
+    near = narrow.join(small(counts), "__group").filter(F.col("__o") / float(1 << 40) * F.col("__size") < 2 * most + 100)
+    first = near.withColumn("__rank", F.row_number().over(Window.partitionBy("__group").orderBy("__o")))
+    cuts = stored(first.filter(F.col("__rank") <= most).groupBy("__group").agg(F.max("__o").alias("__last")), "sample-cuts")
+    joined = rows.withColumn("__h", h).join(small(cuts), F.col(group) == F.col("__group"))
+    return joined.filter(F.col("__h") <= F.col("__last")).drop("__group", "__last").dropDuplicates([group, *keys])

@@ -626,7 +626,7 @@ def test_fit_and_prediction_against_plain(spark):
             for x, p in every:
                 np.add.at(want, x, c * p / total)
         prob = want / want.sum()
-    assert np.allclose(langid.fit_one(pieces, words, counts, rounds=2), prob)
+    assert np.allclose(langid.fit_one(pieces, [b" " + w for w in words], counts, rounds=2), prob)
     two = np.stack([prob, np.full(pieces.count, 1 / pieces.count)], axis=1)
     docs = spark.createDataFrame([(1, "The then, ante!", "aa", 0.1), (2, "zzz", "bb", 0.2)], "doc_id long, text string, lang_pred string, score double")
     got = langid.predict(docs, ["aa", "bb"], two, vocabulary("piece_bpe_32k.model")).orderBy("doc_id").collect()
@@ -635,6 +635,34 @@ def test_fit_and_prediction_against_plain(spark):
         assert r.lang_pred == ["aa", "bb"][int(log.argmax())] and abs(r.score - 1 / np.exp(log - log.max()).sum()) < 1e-9
 
 
+def test_scripts_without_spaces_are_learned(spark):
+    """Texts of one word each, longer than what is summed at once, and a text that is repeated over the sample."""
+    rng = random.Random(4)
+    kanji = [chr(c) for c in range(0x4E00, 0x4F80)]
+    kana = [chr(c) for c in range(0x3042, 0x3092)]
+    say = {"zh": lambda: "".join(rng.choice(kanji) for _ in range(30)), "ja": lambda: "".join(rng.choice(kana if rng.random() < 0.6 else kanji) for _ in range(30))}
+    rows = [(i, say[g](), g) for i in range(400) for g in ("zh", "ja")]
+    path = vocabulary("piece_bpe_32k.model")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, prob = langid.fit(docs.filter("doc_id < 200"), path)
+    got = langid.predict(docs.filter("doc_id >= 200"), langs, prob, path).collect()
+    assert langs == ["ja", "zh"] and all(r.lang_pred == r.lang for r in got)
+    assert max(len(p) for p in langid.cut_long("中".encode() * 100_000)) <= langid.WHOLE
+    assert b"".join(langid.cut_long("中a".encode() * 1000)) == b" " + "中a".encode() * 1000
+    rows = [(0, "un texte bien rare", "fr")] * 2100 + [(k, f"some words {k}", "en") for k in range(1, 50)]
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), path)[0] == ["en", "fr"]
+
+
+def test_repeated_labels_change_nothing(spark):
+    rows = [(k, ("good words here " if k % 2 else "bad ### things ") * 5 + str(k)) for k in range(200)]
+    labels = [(k, k % 2) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    again = spark.createDataFrame(labels + [(7, 1)] * 4100 + [(8, 0)] * 4100, "doc_id long, quality int")
+    assert np.array_equal(quality.fit(docs, again), want)
+    assert [r.predicted for r in quality.score(docs, want).orderBy("doc_id").collect()] == [k % 2 for k in range(200)]
+
+
 def test_languages_are_bounded(spark):
     path = vocabulary("piece_bpe_32k.model")
     docs = spark.createDataFrame([(k, "some words here", f"l{k % 7}") for k in range(40)], "doc_id long, text string, lang string")
