@@ -52,12 +52,16 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def json_rows(spark: SparkSession, path: str, schema: str, strict: bool = False, array: bool = False) -> DataFrame:
-    """Records of a JSON lines file, or of a file that is one array.
+    """Records of a JSON lines file, or of a file that is one document (array).
 
-    strict: a record that is no JSON fails the query; else it is left out. A path that does not exist gives no
-    rows. Line mode is split and read in parallel; an array file is one task's work.
+    strict: a record that is no JSON fails the query; else it is left out (arrays.with_rejects() keeps it). A path that does not
+    exist gives no rows. Lines are read in parallel, as are arrays; another document is one task's work.
     """
+    from spanloom.sources import arrays
+
     kind = StructType.fromDDL(schema)
+    if array and exists(spark, path) and is_array(spark, path):
+        return arrays.array_rows(spark, path, schema, strict)
     if not exists(spark, path):
         return spark.createDataFrame([], kind)
     reader = spark.read.option("multiLine", array)
@@ -114,9 +118,10 @@ def write_json(rows: DataFrame, path: str, order: str | None = None) -> None:
 
 
 def write_array(rows: DataFrame, path: str, order: str) -> None:
-    """One JSON array in one text file, for results of bounded size."""
-    whole = rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct(order, *[c for c in rows.columns if c != order])))).alias("value"))
-    whole.coalesce(1).write.mode("overwrite").text(path)
+    """One JSON array in one text file, written row by row."""
+    from spanloom.sources import arrays
+
+    arrays.write_array(rows, path, order)
 
 
 def metrics_document(entity: DataFrame, per_type: DataFrame, summary: DataFrame, source: str, timestamp: str) -> DataFrame:
