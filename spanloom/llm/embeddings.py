@@ -7,8 +7,8 @@ verified in double precision.
 
 The range join of a block has two levels. Vectors are dealt to cells by the nearest of some pivots of their label; a cell
 knows the middle and the reach of its vectors in each block, so that two cells whose blocks are all further apart than their shares
-have no pair and are not brought together. Within a task vectors are cut into small runs that are near in some block, with the
-same bound; what is left is measured block by block.
+have no pair and are not brought together. Within a task each block has leaves of its own: its coordinates are halved again and again
+where they are widest, and only leaves whose boxes are within the block's share are measured against each other.
 """
 
 from __future__ import annotations
@@ -24,8 +24,12 @@ from pyspark.sql import functions as F
 from spanloom.llm.components import components
 from spanloom.llm.shared import ship, stored
 
-#: Vectors of a part that meet as many others in one task, of a run within it, and dimensions of a block.
-CHUNK, RUN, BLOCK = 2048, 64, 8
+#: Vectors of a part that meet as many others in one task, of a leaf of a block (a power of two), and dimensions of a block.
+CHUNK, LEAF, BLOCK = 2048, 8, 8
+#: Pairs of leaves that are measured at once, and the share of open pairs from which on a block is measured as a whole.
+AT_ONCE, OPEN = 8192, 0.4
+#: Balls of parts that meet as many others in one task.
+BALLS = 512
 #: Most pivots of all labels, which are broadcast: 4 MB at 128 dimensions.
 PIVOTS = 4096
 #: What single precision may add to a block's squared distance.
@@ -71,44 +75,95 @@ def apart(m: np.ndarray, r: np.ndarray, n: np.ndarray, s: np.ndarray, reach: flo
     return (gap > share).all(axis=1) | (gap.sum(axis=1) > reach + SLACK)
 
 
-def ordered(x: np.ndarray) -> list[np.ndarray]:
-    """Row numbers in runs of up to RUN, halved again and again along the direction in which a run is longest."""
+def leaves(x: np.ndarray) -> np.ndarray:
+    """Row numbers of points in leaves of up to LEAF, one row of the result each, filled up with -1.
+
+    Points are cut again and again in the coordinate in which they are widest, at the widest gap of the middle half.
+    """
     out, open_ = [], [np.arange(len(x))]
     while open_:
         own = open_.pop()
-        if len(own) <= RUN:
+        if len(own) <= LEAF:
             out.append(own)
             continue
         some = x[own]
-        far = some[((some - some.mean(axis=0)) ** 2).sum(1).argmax()]
-        other = some[((some - far) ** 2).sum(1).argmax()]
-        order = own[np.argsort(some @ (far - other), kind="stable")]
-        half = len(order) // 2
-        open_ += [order[half:], order[:half]]
-    return out
-
-
-def near_pairs(x: np.ndarray, y: np.ndarray | None, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of x and of y (or of x, each pair once) that are within the share of some block, run by run."""
-    left = ordered(x)
-    right = ordered(y) if y is not None else left
-    z = y if y is not None else x
-    ends = [balls(z[own]) for own in right]
-    middles, reaches = np.stack([m for m, _ in ends]), np.stack([r for _, r in ends])
-    for k, own in enumerate(left):
-        open_ = ~apart(*balls(x[own]), middles, reaches, reach)
-        if y is None:
-            open_[:k] = False
-        others = np.flatnonzero(open_)
-        for a in range(0, len(others), 32):
-            rows = np.concatenate([right[j] for j in others[a : a + 32]])
-            i, j = np.nonzero(candidates(x[own], z[rows], reach))
-            i, j = own[i], rows[j]
-            if y is None:  # pairs of one run are found from both ends
-                mine = np.isin(j, own)
-                keep = ~mine | (i < j)
-                i, j = i[keep], j[keep]
-            yield i, j
+        one = some[:, (some.max(axis=0) - some.min(axis=0)).argmax()]
+        order = np.argsort(one, kind="stable")
+        first = len(own) // 4
+        gaps = np.diff(one[order[first : len(own) - first]])
+        cut = first + 1 + int(gaps.argmax())
+        if not gaps.max() > 0:
+            cut = len(own) // 2
+        open_ += [own[order[cut:]], own[order[:cut]]]
+    rows = np.full((len(out), LEAF), -1)
+    for k, own in enumerate(out):
+        rows[k, : len(own)] = own
+    return rows
+
+
+def near_in_block(u: np.ndarray, v: np.ndarray | None, limit: float) -> tuple[np.ndarray | None, np.ndarray | None, int]:
+    """Rows of u and of v (or of u, each pair once) within the squared distance `limit`, and how many pairs were measured.
+
+    None stands for all pairs, where so many leaves are open that a product of matrices is less work.
+    """
+    left = leaves(u)
+    right, w = (left, u) if v is None else (leaves(v), v)
+
+    def boxes(rows: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some = x[rows]
+        gone = (rows < 0)[:, :, None]
+        return np.where(gone, np.inf, some).min(axis=1), np.where(gone, -np.inf, some).max(axis=1)
+
+    (lo, hi), (low, high) = boxes(left, u), boxes(right, w)
+    gap = np.zeros((len(left), len(right)), np.float32)
+    for k in range(u.shape[1]):
+        gap += np.maximum(np.maximum(lo[:, k, None] - high[None, :, k], low[None, :, k] - hi[:, k, None]), 0) ** 2
+    open_ = gap <= limit
+    if v is None:
+        open_ &= np.tri(len(left), dtype=bool)
+    if open_.sum() > OPEN * gap.size * (0.5 if v is None else 1):
+        return None, None, len(u) * len(w) if v is not None else len(u) * (len(u) - 1) // 2
+    a, b = np.nonzero(open_)
+    found, measured = [], 0
+    for k in range(0, len(a), AT_ONCE):
+        i, j = left[a[k : k + AT_ONCE]], right[b[k : k + AT_ONCE]]
+        x, y = u[i], w[j]
+        far = (x * x).sum(2)[:, :, None] + (y * y).sum(2)[:, None, :] - 2 * np.matmul(x, y.transpose(0, 2, 1))
+        real = (i >= 0)[:, :, None] & (j >= 0)[:, None, :]
+        if v is None:
+            real &= (a[k : k + AT_ONCE] != b[k : k + AT_ONCE])[:, None, None] | (i[:, :, None] > j[:, None, :])
+        measured += int(real.sum())
+        p, q, r = np.nonzero((far <= limit) & real)
+        found.append(np.stack([i[p, q], j[p, r]]))
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return pairs[0], pairs[1], measured
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray | None, reach: float, tally: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of x and of y (or of x, each pair once) that are within the share of some block, in parts.
+
+    tally gets the number of pairs measured in each block.
+    """
+    z, dims = x if y is None else y, x.shape[1]
+    near = np.zeros((len(x), len(z)), bool)
+    for a, b in blocks(dims):
+        limit = reach * (b - a) / dims + SLACK
+        u, v = np.ascontiguousarray(x[:, a:b]), None if y is None else np.ascontiguousarray(y[:, a:b])
+        i, j, measured = near_in_block(u, v, limit)
+        if i is None:
+            w = u if v is None else v
+            near |= (u * u).sum(1)[:, None] + (w * w).sum(1) - 2 * (u @ w.T) <= limit
+        else:
+            near[i, j] = True
+            if y is None:
+                near[j, i] = True
+        if tally is not None:
+            tally.append(measured)
+    if y is None:
+        near = np.triu(near, 1)
+    for a in range(0, len(x), 256):
+        i, j = np.nonzero(near[a : a + 256])
+        yield i + a, j
 
 
 def _find(parent: list[int], i: int) -> int:
@@ -195,20 +250,23 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def _open_parts(cosine: float):
-    """The pairs of a label's parts whose balls can hold a pair; a part's ball is one row."""
+    """The pairs of two groups of a label's parts, or of one, whose balls can hold a pair; a part's ball is one row."""
 
     def run(pdf):
         import pandas as pd
 
         reach = 2 - 2 * cosine
-        part = pdf["part"].to_numpy()
+        part, group = pdf["part"].to_numpy(), pdf["own"].to_numpy()
         middle, radius = np.stack(pdf["middle"]), np.stack(pdf["radius"])
+        a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
+        left, right = np.flatnonzero(group == a), np.flatnonzero(group == b)
         out = []
-        for k in range(len(part)):
-            near = np.flatnonzero(~apart(middle[k], radius[k], middle[k:], radius[k:], reach)) + k
-            for j in near.tolist():
-                out.append((min(part[k], part[j]), max(part[k], part[j])))
-        return pd.DataFrame({"label": pdf["label"].iloc[0], "dims": pdf["dims"].iloc[0], "i": [a for a, _ in out], "j": [b for _, b in out]}).astype({"i": "int64", "j": "int64"})
+        for k in left.tolist():
+            near = right[~apart(middle[k], radius[k], middle[right], radius[right], reach)]
+            if a == b:
+                near = near[part[near] >= part[k]]
+            out += [(min(part[k], p), max(part[k], p)) for p in part[near].tolist()]
+        return pd.DataFrame({"label": pdf["label"].iloc[0], "dims": pdf["dims"].iloc[0], "i": [i for i, _ in out], "j": [j for _, j in out]}).astype({"i": "int64", "j": "int64"})
 
     return run
 
@@ -223,10 +281,18 @@ def _ball(pdf):
 
 
 def tiles(parted: DataFrame, cosine: float) -> DataFrame:
-    """label, dims, i and j: the pairs of parts to be compared, of parted (label, dims, part, embedding)."""
+    """label, dims, i and j: the pairs of parts to be compared, of parted (label, dims, part, embedding).
+
+    The balls of a label are dealt to groups of about BALLS, and each pair of groups is a task's work.
+    """
     label = parted.schema["label"].dataType.simpleString()
     ball = parted.groupBy("label", "dims", "part").applyInPandas(_ball, f"label {label}, dims int, part long, middle array<double>, radius array<double>")
-    return ball.groupBy("label", "dims").applyInPandas(_open_parts(cosine), f"label {label}, dims int, i long, j long")
+    ball = stored(ball, "vec-balls")
+    many = ball.groupBy("label", "dims").agg(F.ceil(F.count(F.lit(1)) / BALLS).cast("long").alias("__groups"))
+    dealt = ball.join(many, ["label", "dims"]).withColumn("own", F.pmod(F.xxhash64("part", F.lit(9)), F.col("__groups")))
+    dealt = dealt.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__groups") - 1)))
+    dealt = dealt.select("label", "dims", "part", "middle", "radius", "own", F.least("own", "__k").alias("a"), F.greatest("own", "__k").alias("b"))
+    return dealt.groupBy("label", "dims", "a", "b").applyInPandas(_open_parts(cosine), f"label {label}, dims int, i long, j long")
 
 
 def parted(reps: DataFrame) -> DataFrame:
@@ -259,7 +325,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     (null for a null vec_id). Repeated rows are vectors of their own that link with each other. Extra columns are
     not read; an empty table gives an empty result.
 
-    Equal vectors of a label are compared once, with their number as weight. A label's distinct vectors are dealt to cells
+    Equal vectors of a label are compared once, with their number as weight; different vectors of one vec_id are compared each, and
+    are in one component only if links lead from one to the other. A label's distinct vectors are dealt to cells
     by the nearest of its pivots, and large cells into parts of about CHUNK; each pair of parts whose balls can
     hold a pair is a task of bounded size, so a large label is many tasks. What they return is a count for each vector and at
     most a forest of the links. Vectors of no structure leave all pairs of parts open: the work then grows with the
@@ -271,14 +338,18 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), "label")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(fine & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
-    reps = rows.filter("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w"))
-    reps = stored(reps.withColumn("dims", F.size("embedding")), "vec-reps")
+    named = rows.filter("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("w"))
+    named = stored(named.select("label", "embedding", "least", "w", F.size("embedding").alias("dims"), F.monotonically_increasing_id().alias("rep")), "vec-reps")
+    reps = named.drop("least")
     cells = stored(_dealt(reps, cosine), "vec-cells")
     found = stored(cells.groupBy("label", "dims", "i", "j").applyInPandas(_tile(cosine), "u long, v long, n long"), "vec-found")
     comps = components(found.filter("v IS NOT NULL").select("u", "v"))
     counts = found.filter("v IS NULL").groupBy("u").agg(F.sum("n").alias("__links"))
-    known = reps.join(counts, reps["rep"] == counts["u"], "left").join(comps, F.col("rep") == F.col("node"), "left")
-    known = known.select(F.col("label").alias("__label"), F.col("embedding").alias("__embedding"), (F.coalesce("__links", F.lit(0)) + F.col("w") - 1).alias("__links"), F.coalesce("component", "rep").alias("__comp"))
+    comps = stored(named.select("rep", "least").join(comps, F.col("rep") == F.col("node")).select("rep", "least", "component"), "vec-components")
+    first = comps.groupBy("component").agg(F.min("least").alias("__comp"))
+    comps = comps.join(first, "component").select(F.col("rep").alias("node"), "__comp")
+    known = named.join(counts, named["rep"] == counts["u"], "left").join(comps, F.col("rep") == F.col("node"), "left")
+    known = known.select(F.col("label").alias("__label"), F.col("embedding").alias("__embedding"), (F.coalesce("__links", F.lit(0)) + F.col("w") - 1).alias("__links"), F.coalesce("__comp", "least").alias("__comp"))
     out = rows.join(known, F.col("ok") & (F.col("label") == F.col("__label")) & (F.col("embedding") == F.col("__embedding")), "left")
     out = out.select("vec_id", F.coalesce("__links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("__comp", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -191,9 +191,38 @@ def test_near_pairs_are_all_found():
     assert want <= set(seen) and len(seen) == len(set(seen)) and all(i != j for i, j in seen)
 
 
+def test_different_vectors_of_one_id(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (9, [1.0, 0.0], 1), (8, [1.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(df).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (8, 1, 8, True), (9, 1, 8, False)]
+
+
+def test_leaves_hold_every_row_once():
+    rng = np.random.default_rng(2)
+    for n in (1, 7, 8, 9, 100, 333, 2048):
+        x = rng.standard_normal((n, 8)).astype(np.float32)
+        rows = embeddings.leaves(x)
+        assert sorted(rows[rows >= 0].tolist()) == list(range(n)) and rows.shape[1] == embeddings.LEAF
+    x = np.zeros((100, 8), np.float32)  # equal points
+    assert sorted(embeddings.leaves(x)[embeddings.leaves(x) >= 0].tolist()) == list(range(100))
+
+
+def test_few_pairs_of_clusters_are_measured():
+    """500 clusters: the leaves leave out more than four fifths of the pairs in each block."""
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.standard_normal((500, 64)), 4, axis=0) + 0.1 * rng.standard_normal((2000, 64))
+    x = (embeddings.unit(x) @ embeddings.rotation(64)).astype(np.float32)
+    tally: list[int] = []
+    got = {(i, j) for a, b in embeddings.near_pairs(x, None, 0.14, tally) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(x.astype(float) @ x.T >= 0.93, 1)), strict=True)}
+    assert want <= got and len(want) == 3000 and sum(tally) < 0.2 * len(tally) * 2000 * 1999 / 2
+
+
 def test_tiles_of_a_large_label(spark, monkeypatch):
     """Parts of a clustered label by pivots: most pairs of parts are left out, no link is lost."""
     monkeypatch.setattr(embeddings, "CHUNK", 40)
+    monkeypatch.setattr(embeddings, "BALLS", 10)
     rng = np.random.default_rng(6)
     x = np.repeat(rng.standard_normal((20, 16)), 60, axis=0) + rng.standard_normal((1200, 16)) * 0.08
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
