@@ -50,6 +50,13 @@ def entity_per_type(rows: DataFrame, **how) -> DataFrame:
     return by.select("type", *scores(F.col("tp"), F.col("fp"), F.col("fn")), (F.col("tp") + F.col("fn")).alias("support"))
 
 
+def entity_levels(rows: DataFrame, **how) -> DataFrame:
+    """Scores of each type and, with a null type, of all together, from one pass."""
+    hit = F.col("hit")
+    by = entity_rows(rows, **how).rollup("type").agg(F.count_if(hit == "tp").alias("tp"), F.count_if(hit == "fp").alias("fp"), F.count_if(hit == "fn").alias("fn"))
+    return by.select("type", "tp", "fp", "fn", *scores(F.col("tp"), F.col("fp"), F.col("fn")), (F.col("tp") + F.col("fn")).alias("support"))
+
+
 def token_accuracy(rows: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     same = F.size(F.filter(F.zip_with(gold, pred, lambda a, b: a == b), lambda x: x))
     total = rows.agg(F.sum(same).alias("same"), F.sum(F.size(gold)).alias("tokens"))

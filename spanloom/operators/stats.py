@@ -18,9 +18,16 @@ def label_vocabulary(rows: DataFrame, labels: str, outside_first: bool = True) -
     return rows.select(F.explode(labels).alias("label")).distinct().select("label", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("label_id"))
 
 
-def class_weights(rows: DataFrame, labels: str, weight_outside: float = 0.01) -> DataFrame:
-    """Total over labels times count; the outside label has a fixed weight."""
+def class_weights(rows: DataFrame, labels: str, weight_outside: float = 0.01, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Total over labels times count; the outside label has a fixed weight.
+
+    With a vocabulary (label) there is a row for each of its labels: those that rows do not have weigh 1, and count as labels.
+    """
     counts = label_counts(rows, labels)
+    if vocabulary is not None:
+        seen = vocabulary.select("label").distinct().join(counts.select(F.col("label").alias("__label"), "n"), F.col("label") == F.col("__label"), "left")
+        weight = ratio(F.sum("n").over(Window.partitionBy()), F.count(F.lit(1)).over(Window.partitionBy()) * F.col("n"))
+        return seen.select("label", F.round(F.when(F.col("label") == "O", F.lit(weight_outside)).when(F.col("n").isNull(), F.lit(1.0)).otherwise(weight), 6).alias("weight"))
     every = Window.partitionBy()
     weight = ratio(F.sum("n").over(every), F.count(F.lit(1)).over(every) * F.col("n"))
     return counts.select("label", F.round(F.when(F.col("label") == "O", F.lit(weight_outside)).otherwise(weight), 6).alias("weight"))
@@ -82,6 +89,25 @@ def corpus_stats(rows: DataFrame) -> DataFrame:
     )
 
 
+def levels(rows: DataFrame, dims: list[str], shares: tuple[float, ...] = (0.25, 0.5, 0.75), accuracy: int = 10_000) -> DataFrame:
+    """corpus_stats() for every combination of dims in one pass, with quantiles of n_tokens.
+
+    A dim that a row does not group by is null, and `level` has a bit set for it, the last dim's the lowest. Quantiles come from
+    sketches that tasks merge: the rank of each is off by one part in `accuracy` of the group at most.
+    """
+    n = F.col("n_tokens")
+    return rows.cube(*dims).agg(
+        F.grouping_id().alias("level"),
+        F.count(F.lit(1)).alias("examples"),
+        F.sum(n).cast("long").alias("tokens"),
+        F.sum("n_spans").cast("long").alias("entities"),
+        F.min(n).cast("long").alias("min_tokens"),
+        F.max(n).cast("long").alias("max_tokens"),
+        F.round(F.avg(n), 6).alias("avg_tokens"),
+        F.percentile_approx(n, F.array(*map(F.lit, shares)), accuracy).alias("quantiles"),
+    )
+
+
 def best_epochs(history: DataFrame, patience: int = 3) -> DataFrame:
     """For each run of history (run, epoch, score): the first best epoch and the one that training stops at.
 

@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import align, bio, crf, events, extract, features, metrics, pairing, scoring, stats, windows
+from spanloom.operators import align, bio, crf, crf_tables, events, extract, features, long, metrics, pairing, scoring, stats, windows
 from spanloom.plans import synth
 from spanloom.plans.synth import SQL_EVENTS, SQL_FIXED, SQL_TOKENS, sql_spans, table
-from spanloom.sources import files
+from spanloom.sources import arrays, files
 
 _QUERIES: dict = {}
 _SQL: dict = {}
@@ -171,6 +171,11 @@ def entity_per_type(spark, sf_dir):
     return metrics.entity_per_type(synth.segments(spark, sf_dir))
 
 
+@query(_HITS.format("type,", "GROUP BY ROLLUP (type)") + f" SELECT type, tp, fp, fn, {_PRF}, tp + fn AS support FROM ct")
+def entity_levels(spark, sf_dir):
+    return metrics.entity_levels(synth.segments(spark, sf_dir))
+
+
 @query(f"WITH {SQL_TOKENS} SELECT count(*) AS tokens, round(avg(CAST(gold = pred AS INT)), 6) AS accuracy FROM lab")
 def token_accuracy(spark, sf_dir):
     return metrics.token_accuracy(synth.segments(spark, sf_dir))
@@ -308,7 +313,7 @@ def soft_metrics(spark, sf_dir):
 
 _TK = r"tk AS (SELECT doc_id, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r]+'), lambda x: x <> '') AS ts FROM documents)"
 _WIN = f"""WITH {_TK}, nn AS (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n, ts FROM tk),
-ww AS (SELECT doc_id, n, ts, unnest(range(CASE WHEN n = 0 THEN 0 WHEN n <= 459 THEN 1 ELSE least(101, CAST(ceil((n - 459) / 409.0) AS BIGINT) + 1) END)) AS k FROM nn),
+ww AS (SELECT doc_id, n, ts, unnest(range(CASE WHEN n = 0 THEN 0 WHEN n <= 459 THEN 1 ELSE CAST(ceil((n - 459) / 409.0) AS BIGINT) + 1 END)) AS k FROM nn),
 wi AS (SELECT doc_id, n, k AS window_idx, k * 409 AS start_pos, least(n, k * 409 + 459) AS end_pos, ts FROM ww)"""
 
 
@@ -329,7 +334,7 @@ def window_stats(spark, sf_dir):
     return rows.agg(F.count(F.lit(1)).alias("examples"), F.sum("w").alias("windows"), F.count_if(F.col("w") == 1).alias("single"), F.count_if(F.col("w") > 1).alias("multiple"), F.max("w").alias("most"), r6(F.avg("w")).alias("mean"))
 
 
-@query(_WIN + ", m AS (SELECT doc_id, n, unnest(range(n)) AS p FROM nn), o AS (SELECT doc_id, p, CASE WHEN p < 459 THEN 0 ELSE (p - 459) // 409 + 1 END AS k FROM m) SELECT doc_id, string_agg(CASE WHEN k > 100 THEN 'O' ELSE 'L' || ((doc_id + k * 3 + p) % 5) END, ' ' ORDER BY p) AS labels FROM o GROUP BY doc_id")
+@query(_WIN + ", m AS (SELECT doc_id, n, unnest(range(n)) AS p FROM nn), o AS (SELECT doc_id, p, CASE WHEN p < 459 THEN 0 ELSE (p - 459) // 409 + 1 END AS k FROM m) SELECT doc_id, string_agg('L' || ((doc_id + k * 3 + p) % 5), ' ' ORDER BY p) AS labels FROM o GROUP BY doc_id")
 def window_merge(spark, sf_dir):
     docs = _docs(spark, sf_dir).filter(F.size("tokens") > 0).withColumn("n", F.size("tokens"))
     w = windows.windowed(docs)
@@ -338,21 +343,14 @@ def window_merge(spark, sf_dir):
     return windows.merge(pieces, "doc_id", F.col("n"), "labels").select("doc_id", F.array_join("labels", " ").alias("labels"))
 
 
-@query(f"WITH {_TK} SELECT doc_id, array_to_string(list_resize(list_transform(ts, lambda x: CAST(length(x) AS BIGINT)), 64, CAST(0 AS BIGINT)), ' ') AS ids, array_to_string(list_resize(list_transform(ts, lambda x: 1), 64, 0), ' ') AS mask FROM tk")
-def pad_features(spark, sf_dir):
-    rows = _docs(spark, sf_dir)
-    sizes, ones = F.transform("tokens", lambda t: F.length(t)), F.transform("tokens", lambda t: F.lit(1))
-    return rows.select("doc_id", F.array_join(T.pad(sizes, 64, F.lit(0)), " ").alias("ids"), F.array_join(T.pad(ones, 64, F.lit(0)), " ").alias("mask"))
-
-
 @query(
     f"""WITH {_TK}, nn AS (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n, ts FROM tk),
 ww AS (SELECT doc_id, ts, unnest(range(CASE WHEN n = 0 THEN 0 WHEN n <= 459 THEN 1 ELSE CAST(ceil((n - 459) / 409.0) AS BIGINT) + 1 END)) AS k FROM nn),
 wt AS (SELECT doc_id, CAST(k AS BIGINT) AS window_idx, ts[k * 409 + 1 : k * 409 + 459] AS ts FROM ww)
 SELECT doc_id, window_idx, array_to_string(list_resize(list_transform(ts, lambda x: CAST(length(x) AS BIGINT)), 512, CAST(0 AS BIGINT)), ' ') AS ids, array_to_string(list_resize(list_transform(ts, lambda x: 1), 512, 0), ' ') AS mask FROM wt"""
 )
-def pad_windows(spark, sf_dir):
-    """Every token of every document: the windows, each padded to 512. pad_features shows the first 64 tokens only."""
+def pad_features(spark, sf_dir):
+    """Every token of every document: the windows, each padded to 512."""
     rows = windows.windowed(_docs(spark, sf_dir))
     sizes, ones = F.transform("tokens", lambda t: F.length(t)), F.transform("tokens", lambda t: F.lit(1))
     ids, mask = (F.array_join(T.pad(x, 512, F.lit(0)), " ") for x in (sizes, ones))
@@ -400,7 +398,7 @@ def offset_align(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", T.tokens(F.col("text")).alias("tokens"))
     spots = F.sequence(F.lit(0), F.floor(F.length("text") / 7).cast("int") + 1)
     preds = F.transform(spots, lambda k: F.struct(F.concat(F.lit("L"), k.cast("string")).alias("label"), (k * 7).alias("start"), (k * 7 + 3).alias("end")))
-    rows = c.filter(F.size("tokens") > 0).withColumn("starts", align.offsets(F.col("text"), F.col("tokens")))
+    rows = align.locate(c.filter(F.size("tokens") > 0))
     return rows.select("conv_id", "turn", F.array_join(align.labels_by_offset(F.col("starts"), preds), " ").alias("labels"))
 
 
@@ -461,31 +459,16 @@ def label_distribution(spark, sf_dir):
 
 
 _WD = f"WITH {_TK}, wd AS (SELECT doc_id, unnest(ts) AS word, generate_subscripts(ts, 1) - 1 AS pos FROM tk)"
-_VOCAB = _WD + ", c AS (SELECT lower(word) AS word, count(*) AS n, min(doc_id * 1000000 + pos) AS f FROM wd GROUP BY 1), tp AS (SELECT *, row_number() OVER (ORDER BY n DESC, f) AS k FROM c), v AS (SELECT word, n, CAST(k + 1 AS BIGINT) AS word_id FROM tp WHERE k <= 4998 AND n >= 2)"
+_VOCAB = _WD + ", c AS (SELECT lower(word) AS word, count(*) AS n, min(doc_id * 1000000 + pos) AS f FROM wd GROUP BY 1), tp AS (SELECT *, row_number() OVER (ORDER BY n DESC, f) AS k FROM c), v AS (SELECT word, n, CAST(k + 1 AS BIGINT) AS word_id FROM tp WHERE k <= 49998 AND n >= 2)"
 
 
 @query(_VOCAB + " SELECT * FROM v")
 def word_vocab(spark, sf_dir):
-    return stats.word_vocabulary(_words(spark, sf_dir), 5000)
+    return stats.word_vocabulary(_words(spark, sf_dir))
 
 
 @query(_VOCAB + " SELECT CAST(sum(c.n) AS BIGINT) AS words, CAST(coalesce(sum(c.n) FILTER (v.word IS NULL), 0) AS BIGINT) AS misses, round(100 * coalesce(sum(c.n) FILTER (v.word IS NOT NULL), 0) / sum(c.n), 6) AS hit_rate FROM c LEFT JOIN v USING (word)")
 def oov_rate(spark, sf_dir):
-    words = _words(spark, sf_dir)
-    return stats.oov(words, stats.word_vocabulary(words, 5000))
-
-
-# the vocabulary at the operator's own size; the two above are bounded to a tenth of it, as their SQL is
-_VOCAB_WHOLE = _VOCAB + ", vw AS (SELECT word, n, CAST(k + 1 AS BIGINT) AS word_id FROM tp WHERE k <= 49998 AND n >= 2)"
-
-
-@query(_VOCAB_WHOLE + " SELECT * FROM vw")
-def word_vocab_whole(spark, sf_dir):
-    return stats.word_vocabulary(_words(spark, sf_dir))
-
-
-@query(_VOCAB_WHOLE + " SELECT CAST(sum(c.n) AS BIGINT) AS words, CAST(coalesce(sum(c.n) FILTER (vw.word IS NULL), 0) AS BIGINT) AS misses, round(100 * coalesce(sum(c.n) FILTER (vw.word IS NOT NULL), 0) / sum(c.n), 6) AS hit_rate FROM c LEFT JOIN vw USING (word)")
-def oov_rate_whole(spark, sf_dir):
     words = _words(spark, sf_dir)
     return stats.oov(words, stats.word_vocabulary(words))
 
@@ -501,6 +484,13 @@ def corpus_stats(spark, sf_dir):
     return stats.corpus_stats(docs.withColumn("n_spans", F.floor((F.col("n_tokens") + 31) / 32)))
 
 
+@query(f"WITH {_TK} SELECT lang, source, CAST(grouping(lang, source) AS BIGINT) AS level, count(*) AS examples, CAST(sum(len(ts)) AS BIGINT) AS tokens, CAST(sum((len(ts) + 31) // 32) AS BIGINT) AS entities, CAST(min(len(ts)) AS BIGINT) AS min_tokens, CAST(max(len(ts)) AS BIGINT) AS max_tokens, round(avg(len(ts)), 6) AS avg_tokens FROM tk JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id) GROUP BY CUBE (lang, source)")
+def corpus_levels(spark, sf_dir):
+    """Statistics by language, by source, by both and over all; the quantiles are sketches and not in the SQL."""
+    docs = table(spark, sf_dir, "documents").select("lang", "source", F.size(T.tokens(F.col("text"))).alias("n_tokens"))
+    return stats.levels(docs.withColumn("n_spans", F.floor((F.col("n_tokens") + 31) / 32)), ["lang", "source"]).drop("quantiles")
+
+
 @query(f"WITH {SQL_EVENTS}, c AS (SELECT coalesce(len(participants), 0) AS voters FROM sg LEFT JOIN ge USING (seg)) SELECT CAST(voters AS BIGINT) AS voters, count(*) AS segments FROM c GROUP BY 1")
 def voter_histogram(spark, sf_dir):
     rows = synth.segments(spark, sf_dir)
@@ -748,7 +738,7 @@ w(doc_id, at_, len_, done, k) AS (
         SELECT *, CASE WHEN P[nat + s0 + 1] - P[nat + 1] <= 459
             THEN list_max(list_transform(range(0, 47), lambda j: CASE WHEN P[least(nat + s0 + 10 * j, n) + 1] - P[nat + 1] <= 459 THEN least(nat + s0 + 10 * j, n) - nat ELSE 0 END))
             ELSE coalesce((SELECT max(s) FROM sh WHERE sh.s0 = q.s0 AND q.P[q.nat + sh.s + 1] - q.P[q.nat + 1] <= 459), 1) END AS fit
-        FROM (SELECT *, least(229, n - nat) AS s0 FROM (SELECT w.doc_id, w.k, pp.n, pp.P, w.at_ + CASE WHEN w.k = 0 AND w.len_ = 0 AND w.at_ = 0 THEN 0 WHEN w.len_ = 0 THEN 1 ELSE greatest(w.len_ - 50, 1) END AS nat FROM w JOIN pp USING (doc_id) WHERE NOT done AND w.k <= 100)
+        FROM (SELECT *, least(229, n - nat) AS s0 FROM (SELECT w.doc_id, w.k, pp.n, pp.P, w.at_ + CASE WHEN w.k = 0 AND w.len_ = 0 AND w.at_ = 0 THEN 0 WHEN w.len_ = 0 THEN 1 ELSE greatest(w.len_ - 50, 1) END AS nat FROM w JOIN pp USING (doc_id) WHERE NOT done)
           WHERE nat < n) q))))
 SELECT doc_id, CAST(at_ AS BIGINT) AS start_pos, CAST(at_ + len_ AS BIGINT) AS end_pos FROM w WHERE len_ > 0
 UNION ALL SELECT doc_id, 0, n FROM pp WHERE P[n + 1] <= 459"""
@@ -756,7 +746,7 @@ UNION ALL SELECT doc_id, 0, n FROM pp WHERE P[n + 1] <= 459"""
 def windows_greedy(spark, sf_dir):
     """Windows for a tokenizer of one subword for each four characters; every ninth token is outside."""
     rows = _docs(spark, sf_dir).withColumn("labels", F.transform("tokens", lambda _, i: F.when(i % 9 == 0, "O").otherwise("I-X")))
-    got = windows.tokenizer_windows(rows, lambda ts: [(len(t) + 3) // 4 for t in ts], labels="labels")
+    got = windows.tokenizer_windows(rows, lambda ts: [(len(t) + 3) // 4 for t in ts], labels="labels", most=None)
     return got.select("doc_id", F.inline("windows")).select("doc_id", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"))
 
 
@@ -831,3 +821,134 @@ def quota_marks(spark, sf_dir):
 def prompt_examples(spark, sf_dir):
     told = extract.example_prompt("Say what was decided.", [("  An example.  ", "{}")])
     return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit(told), "text").alias("prompt"))
+
+
+# texts of any length, as one row a token
+
+
+def _token_rows(spark, sf_dir):
+    """doc_id, pos, token and predicted label of every token."""
+    rows = synth.segments(spark, sf_dir).select("doc_id", ((F.col("seg") % synth.MOST) * synth.SIZE).alias("first"), F.posexplode(F.arrays_zip(F.col("tokens"), F.col("pred"))).alias("p", "x"))
+    return rows.select("doc_id", (F.col("first") + F.col("p")).alias("pos"), F.col("x.tokens").alias("token"), F.col("x.pred").alias("label"))
+
+
+_LAB_DOC = f"{SQL_TOKENS}, lad AS (SELECT seg // {synth.MOST} AS seg, seg % {synth.MOST} * {synth.SIZE} + p AS p, token, pred FROM lab)"
+
+
+def _long_spans(spark, sf_dir, mode):
+    """Blocks of 64 tokens, so that a text of a few hundred words is in many of them."""
+    got = long.spans(_token_rows(spark, sf_dir), "doc_id", "pos", "label", mode, "token", block=64)
+    return got.select("doc_id", "type", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "text")
+
+
+@query(f"WITH {_LAB_DOC}{sql_spans('ps', 'pred', 'lad')} SELECT seg AS doc_id, type, st AS start_pos, en AS end_pos, txt AS text FROM ps")
+def long_spans_strict(spark, sf_dir):
+    return _long_spans(spark, sf_dir, "strict")
+
+
+@query(f"WITH {_LAB_DOC}{sql_spans('ps', 'pred', 'lad', True)} SELECT seg AS doc_id, type, st AS start_pos, en AS end_pos, txt AS text FROM ps")
+def long_spans_lenient(spark, sf_dir):
+    return _long_spans(spark, sf_dir, "lenient")
+
+
+@query(
+    f"""WITH {_LAB_DOC}{sql_spans('ps', 'pred', 'lad')}
+SELECT seg AS doc_id, min_by(txt, st) FILTER (type = 'SUBJECT') AS subject,
+  coalesce(string_agg(txt || '@' || upper(substr(type, 7, 1)) || lower(substr(type, 8)), '|' ORDER BY st) FILTER (type LIKE 'VOTER-%'), '') AS participants,
+  coalesce(string_agg(txt || '@' || upper(substr(type, 10, 1)) || lower(substr(type, 11)), '|' ORDER BY st) FILTER (type LIKE 'COUNTING-%'), '') AS counting,
+  string_agg(txt, '|' ORDER BY st) FILTER (type = 'VOTING') AS voting FROM ps GROUP BY seg HAVING bool_or(type = 'VOTING')"""
+)
+def long_events(spark, sf_dir):
+    """One event for each document, from its token rows."""
+    rows = long.spans(_token_rows(spark, sf_dir), "doc_id", "pos", "label", token="token")
+    got = long.events(rows, "doc_id")
+    return got.select("doc_id", "subject", _joined(F.col("participants"), "position").alias("participants"), _joined(F.col("counting"), "type").alias("counting"), F.array_join("voting_expressions", "|").alias("voting"))
+
+
+def _of_sources(sql):
+    """The SQL of windows_greedy for the texts of each source, one behind the other."""
+    c0 = "c0 AS (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n, list_transform(ts, lambda x: (length(x) + 3) // 4) AS c FROM tk WHERE len(ts) > 0)"
+    whole = """one AS (SELECT coalesce(source, '') AS doc_id, CAST((length(w) + 3) // 4 AS BIGINT) AS c, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY d, i) AS i
+  FROM (SELECT tk.doc_id AS d, source, unnest(ts) AS w, generate_subscripts(ts, 1) AS i FROM tk JOIN (SELECT doc_id, source FROM documents) s ON tk.doc_id = s.doc_id) x),
+c0 AS (SELECT doc_id, count(*) AS n, list(c ORDER BY i) AS c FROM one GROUP BY doc_id)"""
+    assert c0 in sql
+    return sql.replace(c0, whole).replace("SELECT doc_id, CAST(at_", "SELECT doc_id AS source, CAST(at_").replace("UNION ALL SELECT doc_id, 0, n FROM pp WHERE", "UNION ALL SELECT doc_id AS source, 0, n FROM pp WHERE")
+
+
+@query(_of_sources(_SQL["windows_greedy"]))
+def windows_long(spark, sf_dir):
+    """Windows of the texts of each source, one behind the other in order of doc_id: some of the texts are very long."""
+    docs = synth.spread(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), T.tokens(F.col("text")).alias("tokens"))
+    first = long.before(docs.select("source", "doc_id", F.size("tokens").cast("long").alias("n")), "source", "doc_id", "n", "first").select(F.col("doc_id").alias("d"), "first")
+    rows = docs.select("source", "doc_id", F.posexplode("tokens").alias("p", "token")).join(first, F.col("doc_id") == F.col("d"))
+    rows = rows.select("source", (F.col("first") + F.col("p")).alias("pos"), F.floor((F.length("token") + 3) / 4).alias("cost"))
+    rows = rows.withColumn("label", F.when(F.col("pos") % 9 == 0, "O").otherwise("I-X"))
+    got = long.windows(rows, "source", "pos", "cost", "label")
+    return got.select("source", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
+
+
+@query(
+    r"""WITH p AS (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[ \t\n\r]+|[^ \t\n\r]+') AS ps FROM documents)),
+q AS (SELECT doc_id, x, i, CAST(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) - length(x) AS BIGINT) AS st FROM p)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS BIGINT) AS pos, st AS start_pos, CASE WHEN st % 7 <= 2 OR st % 7 >= 5 THEN 'L' || CASE WHEN st % 7 <= 3 THEN st // 7 ELSE st // 7 + 1 END ELSE 'O' END AS label
+FROM q WHERE NOT regexp_matches(x, '^[ \t\n\r]')"""
+)
+def offset_rows(spark, sf_dir):
+    """Tokens of every document located in it, and labelled by a join with words that begin at every seventh character."""
+    docs = synth.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = align.locate(docs.withColumn("tokens", T.tokens(F.col("text"))))
+    tokens = found.select("doc_id", F.posexplode("starts").alias("pos", "start"))
+    many = F.floor(F.length("text") / 7).cast("int") + 1
+    words = docs.select("doc_id", F.explode(F.sequence(F.lit(0), many)).alias("k"))
+    words = words.select("doc_id", "k", F.concat(F.lit("L"), F.col("k").cast("string")).alias("label"), (F.col("k") * 7).alias("start"), (F.col("k") * 7 + 3).alias("end"))
+    got = align.nearest_rows(tokens, words, "doc_id")
+    return got.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("start").cast("long").alias("start_pos"), "label")
+
+
+# array files, and records that are rejected
+
+
+@query(f"WITH {SQL_TOKENS} SELECT CAST(seg AS VARCHAR) AS id, string_agg(token, ' ' ORDER BY p) AS text, string_agg(pred, ' ' ORDER BY p) AS labels FROM lab GROUP BY seg")
+def array_segments(spark, sf_dir):
+    """Segments written as JSON arrays, and read back in many splits."""
+    rows = synth.segments(spark, sf_dir).select(F.col("seg").cast("string").alias("id"), F.array_join("tokens", " ").alias("text"), "tokens", F.col("pred").alias("labels"))
+    place = files.scratch(spark, "arrays")
+    arrays.write_array(rows, place, "id", spark.sparkContext.defaultParallelism)
+    return arrays.array_rows(spark, place, files.SEGMENTS, strict=True).select("id", "text", F.array_join("labels", " ").alias("labels"))
+
+
+@query(
+    f"""WITH {SQL_TOKENS}, s AS (SELECT DISTINCT seg FROM lab), r AS (SELECT CASE seg % 10 WHEN 9 THEN 'missing field' WHEN 8 THEN 'no JSON' WHEN 7 THEN 'missing id' WHEN 6 THEN 'length mismatch' WHEN 5 THEN 'empty' ELSE 'valid' END AS reason FROM s)
+SELECT reason, count(*) AS records FROM r GROUP BY reason"""
+)
+def rejected_records(spark, sf_dir):
+    """Segments written as JSON lines, half of them spoilt in five ways, and read back as valid rows and rejects."""
+    rows = synth.segments(spark, sf_dir)
+    r = F.col("seg") % 10
+    none = F.array().cast("array<string>")
+    record = F.to_json(
+        F.struct(
+            F.when(r != 7, F.col("seg").cast("string")).alias("id"),
+            F.when(r == 5, none).otherwise(F.col("tokens")).alias("tokens"),
+            F.when(r == 5, none).when(r == 6, F.concat("pred", F.array(F.lit("O")))).when(r != 9, F.col("pred")).alias("labels"),
+        )
+    )
+    place = files.scratch(spark, "records")
+    rows.select(F.when(r == 8, F.substr(record, F.lit(1), F.length(record) - 1)).otherwise(record).alias("value")).write.text(place)
+    good, rejects = arrays.with_rejects(spark, place)
+    return good.select(F.lit("valid").alias("reason")).unionByName(rejects.select("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("records"))
+
+
+@query()
+def crf_published(spark, sf_dir):
+    """Long and capitalised words of every document: a CRF on the published features, fitted on four fifths of the documents
+    and scored on the rest, by label; rows only, as training is no SQL."""
+    rows = synth.segments(spark, sf_dir).select("doc_id", "seg", "tokens")
+    kind = lambda x: F.when(F.length(x) >= 8, "LONG").when(x.rlike(r"^\p{Lu}"), "CAP")
+    inside = lambda x, i: F.coalesce(kind(F.get("tokens", i - 1)) == kind(x), F.lit(False))
+    rows = rows.withColumn("gold", F.transform("tokens", lambda x, i: F.when(kind(x).isNull(), "O").otherwise(F.concat(F.when(inside(x, i), "I-").otherwise("B-"), kind(x)))))
+    held = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 5 == 0
+    model = crf_tables.train(rows.filter(~held), "seg", labels="gold", rounds=10, numbers=0.05)
+    test = rows.filter(held)
+    got = crf_tables.tag(test, model, "seg", numbers=0.05).withColumnRenamed("seg", "s")
+    return metrics.entity_levels(test.join(got, F.col("seg") == F.col("s")), gold="gold", pred="pred_labels")
