@@ -80,6 +80,20 @@ def is_quota_error(error: Column) -> Column:
     return F.coalesce(F.greatest(*[F.contains(low, F.lit(mark)) for mark in QUOTA]), F.lit(False))
 
 
+def attempt(client: Callable[[str], str], text: str, retries: int = 3, wait: float = 60.0) -> tuple[str | None, str | None, float]:
+    """The reply, else the error, and the seconds of a call, which is made again only after quota errors."""
+    began, error = time.time(), None
+    for k in range(retries + 1):
+        try:
+            return client(text), None, time.time() - began
+        except Exception as e:
+            error = str(e)
+            if k == retries or not any(mark in error.lower() for mark in QUOTA):
+                break
+            time.sleep(wait)
+    return None, error, time.time() - began
+
+
 def call(rows: DataFrame, client: Callable[[str], str], prompt: str = "prompt", retries: int = 3, wait: float = 60.0, pause: float = 0.0) -> DataFrame:
     """rows with reply, error and seconds: client is called once for each row, again only after quota errors.
 
@@ -93,19 +107,10 @@ def call(rows: DataFrame, client: Callable[[str], str], prompt: str = "prompt",
         for batch in batches:
             replies, errors, seconds = [], [], []
             for text in batch.column(at).to_pylist():
-                began, reply, error = time.time(), None, None
-                for attempt in range(retries + 1):
-                    try:
-                        reply, error = client(text), None
-                        break
-                    except Exception as e:
-                        error = str(e)
-                        if attempt == retries or not any(mark in error.lower() for mark in QUOTA):
-                            break
-                        time.sleep(wait)
+                reply, error, took = attempt(client, text, retries, wait)
                 replies.append(reply)
                 errors.append(error)
-                seconds.append(time.time() - began)
+                seconds.append(took)
                 time.sleep(pause)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string()), pa.array(seconds, pa.float64())], names=[*names, "reply", "error", "seconds"])
 
@@ -113,5 +118,67 @@ def call(rows: DataFrame, client: Callable[[str], str], prompt: str = "prompt",
     return rows.mapInArrow(run, schema)
 
 
+def resume(rows: DataFrame, client: Callable[[str], str], log: str, key: str = "id", prompt: str = "prompt", rate: float | None = None, commit: int = 10, again: bool = False, **how) -> DataFrame:
+    """key, reply, error and seconds of each row of rows (key without repeats or nulls), of a job that can be stopped and run again.
+
+    Results are kept in the folder `log`, which driver and executors share: a task writes a file for each `commit` calls, and what
+    it has when it fails; so only a task that is killed outright loses the calls since its last file. A later run reads the log
+    and calls for rows alone that are not in it, or with `again` for those too whose last call failed. At most `rate` calls begin a
+    second over all tasks: each of the tasks that run at a time waits its share. A row whose calls fail stays, with its error.
+    """
+    spark = rows.sparkSession
+    kind = rows.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, reply string, error string, seconds double, at double"
+
+    def logged() -> DataFrame:
+        place = spark._jvm.org.apache.hadoop.fs.Path(log)
+        if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(log)
+
+    done = logged() if not again else logged().filter("error IS NULL")
+    left = rows.select(key, prompt).join(done.select(F.col(key).alias("__done")).distinct(), F.col(key) == F.col("__done"), "left_anti")
+    tasks = max(1, min(left.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
+    left = left.coalesce(tasks)
+    share = tasks / rate if rate else 0.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(log) if "://" in log or log.startswith("file:") else (fs.LocalFileSystem(), log)
+        system.create_dir(folder, recursive=True)
+        kept: list[tuple] = []
+        count, begun = 0, 0.0
+
+        def flush(ids: pa.DataType) -> None:
+            if kept:
+                columns = [pa.array([k[0] for k in kept], ids), pa.array([k[1] for k in kept], pa.string()), pa.array([k[2] for k in kept], pa.string()), pa.array([k[3] for k in kept], pa.float64()), pa.array([k[4] for k in kept], pa.float64())]
+                name = f"{folder}/{uuid.uuid4().hex}"
+                pq.write_table(pa.table(columns, names=[key, "reply", "error", "seconds", "at"]), f"{name}.tmp", filesystem=system)
+                system.move(f"{name}.tmp", f"{name}.parquet")  # a file is in the log as a whole or not at all
+                kept.clear()
+
+        for batch in batches:
+            ids = batch.column(0).type
+            try:
+                for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    time.sleep(max(0.0, begun + share - time.time()))
+                    begun = time.time()
+                    kept.append((k, *attempt(client, text, **how), begun))
+                    count += 1
+                    if len(kept) >= commit:
+                        flush(ids)
+            finally:
+                flush(ids)
+        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["n"])
+
+    left.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    last = logged().groupBy(key).agg(F.max_by(F.struct("reply", "error", "seconds"), "at").alias("r"))
+    return rows.select(F.col(key).alias("__key")).join(last, F.col("__key") == F.col(key)).select(key, "r.reply", "r.error", "r.seconds")
+
+
 def example_json(has: bool, event: dict | None) -> str:
     return json.dumps({"has_voting_event": has, "event": event if has else None}, ensure_ascii=False)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -209,6 +211,21 @@ def masked(values: Column, *masks: Column) -> Column:
     return F.transform(F.filter(F.arrays_zip(values.alias("v"), *[m.alias(f"m{k}") for k, m in enumerate(masks)]), lambda x: sum((F.when(x[f"m{k}"].cast("boolean"), 0).otherwise(1) for k in range(len(masks))), F.lit(0)) == 0), lambda x: x["v"])
 
 
+def _filled(column: pa.Array, longest: np.ndarray, filler: object) -> pa.Array:
+    """A list column whose rows are filled up to their `longest`; null rows stay null."""
+    kind = column.type
+    values, size = column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    want = np.where(null, 0, longest)
+    start = np.cumsum(size) - size
+    ends = np.concatenate(([0], np.cumsum(want)))
+    place = np.arange(ends[-1]) - np.repeat(ends[:-1], want)
+    at = np.where(place < np.repeat(size, want), np.repeat(start, want) + place, len(values))
+    both = pa.concat_arrays([values, pa.array([filler], kind.value_type)])
+    offsets = pa.array(ends.astype(np.int32), mask=np.append(null, False)) if null.any() else pa.array(ends.astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, both.take(pa.array(at)), type=pa.list_(kind.value_field))
+
+
 def collate(rows: DataFrame, fillers: dict[str, object], size: int = 16) -> DataFrame:
     """rows with `batch` and `longest`, the array columns named in fillers filled up to the longest of their batch.
 
@@ -219,18 +236,28 @@ def collate(rows: DataFrame, fillers: dict[str, object], size: int = 16) -> Data
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next(batches, None)
-        if first is None:
-            return
-        arrow = pa.schema([*[first.schema.field(c) for c in names], pa.field("batch", pa.int64()), pa.field("longest", pa.int32())])
-        each = (r for b in itertools.chain([first], batches) for r in b.to_pylist())
         number = TaskContext.get().partitionId() << 33
-        while part := list(itertools.islice(each, size)):
-            longest = max((len(r[c]) for r in part for c in fillers if r[c] is not None), default=0)
-            for r in part:
-                r |= {c: r[c] + [f] * (longest - len(r[c])) for c, f in fillers.items() if r[c] is not None}
-                r |= {"batch": number, "longest": longest}
-            yield pa.RecordBatch.from_pylist(part, schema=arrow)
-            number += 1
+
+        def whole(table: pa.Table, first: int) -> pa.RecordBatch:
+            part = table.combine_chunks().to_batches()[0]
+            which = np.arange(part.num_rows) // size
+            sizes = [pc.fill_null(pc.list_value_length(part.column(c)), 0).to_numpy(zero_copy_only=False) for c in fillers]
+            longest = np.zeros(which[-1] + 1, np.int64)
+            for x in sizes:
+                np.maximum.at(longest, which, x)
+            cols = [_filled(part.column(c), longest[which], fillers[c]) if c in fillers else part.column(c) for c in names]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(which + first), pa.array(longest[which].astype(np.int32))], names=[*names, "batch", "longest"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            full = table.num_rows // size * size
+            if full:
+                yield whole(table.slice(0, full), number)
+                number += full // size
+            held = table.slice(full).to_batches()
+        if held and (table := pa.Table.from_batches(held)).num_rows:
+            yield whole(table, number)
 
     return rows.mapInArrow(run, schema)
