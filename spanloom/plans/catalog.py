@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import align, bio, crf, crf_tables, events, extract, features, long, metrics, pairing, scoring, stats, windows
+from spanloom.operators import align, bio, crf, crf_tables, events, extract, features, long, metrics, pairing, scoring, stats, subwords, windows
 from spanloom.plans import synth
 from spanloom.plans.synth import SQL_EVENTS, SQL_FIXED, SQL_TOKENS, sql_spans, table
 from spanloom.sources import arrays, files
@@ -952,3 +952,42 @@ def crf_published(spark, sf_dir):
     test = rows.filter(held)
     got = crf_tables.tag(test, model, "seg", numbers=0.05).withColumnRenamed("seg", "s")
     return metrics.entity_levels(test.join(got, F.col("seg") == F.col("s")), gold="gold", pred="pred_labels")
+
+
+# features and weights that the queries above leave out
+
+_AFFIXES = ", ".join(f"('prefix_{n}', CASE WHEN length(word) >= {n} THEN left(lower(word), {n}) END), ('suffix_{n}', CASE WHEN length(word) >= {n} THEN right(lower(word), {n}) END)" for n in range(1, 5))
+
+
+@query(_WD + f" SELECT name, affix, count(*) AS n FROM wd, LATERAL (VALUES {_AFFIXES}) v(name, affix) WHERE affix IS NOT NULL GROUP BY 1, 2")
+def all_affixes(spark, sf_dir):
+    """Every prefix and suffix of up to four letters, counted."""
+    a = T.affixes(F.col("word"))
+    rows = _words(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), c.alias("affix")) for k, c in a.items()])).alias("x"))
+    return rows.filter("x.affix IS NOT NULL").groupBy(F.col("x.name").alias("name"), F.col("x.affix").alias("affix")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_WD + r" SELECT doc_id, count(*) FILTER (regexp_matches(word, '\p{Lu}') AND NOT regexp_matches(word, '\p{L}\p{Lu}|(^|\P{L})\p{Ll}')) AS titles FROM wd GROUP BY doc_id")
+def title_words(spark, sf_dir):
+    return _words(spark, sf_dir).groupBy("doc_id").agg(F.count_if(T.word_flags(F.col("word"))["is_title"]).alias("titles"))
+
+
+@query(
+    f"""WITH {SQL_TOKENS}, v AS (SELECT gold AS label FROM lab UNION SELECT pred FROM lab), c AS (SELECT gold AS label, count(*) AS n FROM lab GROUP BY 1), b AS (SELECT v.label, n FROM v LEFT JOIN c USING (label))
+SELECT label, round(CASE WHEN label = 'O' THEN 0.01 WHEN n IS NULL THEN 1 ELSE sum(n) OVER () / (count(*) OVER () * n) END, 6) AS weight FROM b"""
+)
+def class_weights_vocabulary(spark, sf_dir):
+    """Weights of all labels of both sides; what gold labels lack weighs 1."""
+    rows = synth.segments(spark, sf_dir)
+    known = rows.select(F.explode("gold").alias("label")).union(rows.select(F.explode("pred")))
+    return stats.class_weights(rows, "gold", vocabulary=known)
+
+
+@query()
+def subword_windows(spark, sf_dir):
+    """Windows of every document by the subwords of a public vocabulary; rows only, as its merges are no SQL."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = subwords.windowed(_docs(spark, sf_dir), path, most=None)
+    return rows.select("doc_id", F.inline("windows")).select("doc_id", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"))
