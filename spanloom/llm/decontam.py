@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,53 +59,91 @@ class Items:
         return np.unique(np.concatenate([self.owner[i:j] for i, j in zip(a, b, strict=True)]))
 
 
+def running(x: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all runs of `length` tokens, from running sums."""
+    up, down = hashing._power(len(x) + 1)
+    sums = np.zeros(len(x) + 1, U)
+    np.cumsum((x + U(1)) * up[: len(x)], out=sums[1:])
+    n = max(len(x) - length + 1, 0)
+    return hashing.mix((sums[length : length + n] - sums[:n]) * down[:n])
+
+
+def _begins(x: np.ndarray, free: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the runs of `length` unmarked tokens, their hashes, and whether an unmarked token is before them."""
+    marked = np.concatenate(([0], np.cumsum(~free)))
+    h = running(x, length)
+    at = np.flatnonzero(marked[length : length + len(h)] == marked[: len(h)])
+    return at, h[at], np.where(at > 0, free[at - 1], False)
+
+
+def _matches(text: np.ndarray, item: np.ndarray, free_t: np.ndarray, free_i: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The longest matches of at least `length` unmarked tokens: size, place in item and in text.
+
+    A pair of places begins one if the tokens before them differ or are marked. So places of a run that repeats itself
+    are not paired with each other, but only those at its edge.
+    """
+    i, hi, before_i = _begins(text, free_t, length)
+    j, hj, before_j = _begins(item, free_i, length)
+    keep = np.isin(hi, hj)
+    i, hi, before_i = i[keep], hi[keep], before_i[keep]
+    order = np.argsort(hi, kind="stable")
+    i, hi, before_i = i[order], hi[order], before_i[order]
+    prior = np.where(before_i, text[i - 1], U(0))
+    pairs = []
+    for k in range(len(j)):
+        a, b = np.searchsorted(hi, hj[k]), np.searchsorted(hi, hj[k], "right")
+        own = i[a:b]
+        if before_j[k]:
+            own = own[~(before_i[a:b] & (prior[a:b] == item[j[k] - 1]))]
+        if len(own):
+            pairs.append((np.full(len(own), j[k]), own))
+    if not pairs:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    j, i = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    size, live = np.full(len(i), length), np.arange(len(i))
+    while len(live):
+        p, q = i[live] + size[live], j[live] + size[live]
+        inside = (p < len(text)) & (q < len(item))
+        live, p, q = live[inside], p[inside], q[inside]
+        on = free_t[p] & free_i[q] & (text[p] == item[q])
+        live = live[on]
+        size[live] += 1
+    return size, j, i
+
+
 def tile(text: np.ndarray, item: np.ndarray, least: int) -> int:
-    """Tokens of item in greedy tiles with text: the longest match of unmarked tokens is marked again and again.
+    """Tokens of item in greedy tiles with text: the longest match of unmarked tokens is marked again and again, of equal ones
+    the first in item and then in text.
 
     Matches of a given length are found by running hashes over both sides; the search length halves from the
-    item's length to `least`, matches longer than it are extended in full and marked longest first.
+    item's length to `least`, matches longer than it are extended in full and marked longest first. What a tile leaves of
+    other matches waits for its turn.
     """
     free_t, free_i = np.ones(len(text), bool), np.ones(len(item), bool)
     length, marked = len(item), 0
     while length >= least and free_i.any():
-        found = []
-        at: dict[int, list[int]] = {}
-        if length <= len(text):
-            for j, h in enumerate(hashing.shingles(item, length).tolist()):
-                if free_i[j : j + length].all():
-                    at.setdefault(h, []).append(j)
-        if at:
-            runs = hashing.shingles(text, length)
-            for i in np.flatnonzero(np.isin(runs, np.array(list(at), U))).tolist():
-                if not free_t[i : i + length].all():
-                    continue
-                for j in at[int(runs[i])]:
-                    if i and j and free_t[i - 1] and free_i[j - 1] and text[i - 1] == item[j - 1]:
-                        continue  # part of a longer match that begins earlier
-                    k = length
-                    while i + k < len(text) and j + k < len(item) and free_t[i + k] and free_i[j + k] and text[i + k] == item[j + k]:
-                        k += 1
-                    found.append((-k, j, i))
-        heapq.heapify(found)
-        while found:
-            k, j, i = heapq.heappop(found)
-            k = -k
-            free = free_t[i : i + k] & free_i[j : j + k]
-            if free.all():
-                free_t[i : i + k] = False
-                free_i[j : j + k] = False
-                marked += k
-                continue
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], free.view(np.int8), [0]))))
-            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                if b - a >= length:  # what is left of an occluded match waits for its turn
-                    heapq.heappush(found, (a - b, j + a, i + a))
+        size, j, i = _matches(text, item, free_t, free_i, length)
+        while len(size):
+            best = np.flatnonzero(size == size.max())
+            best = best[j[best] == j[best].min()]
+            k, at, to = int(size[best[0]]), int(j[best[0]]), int(i[best].min())
+            free_t[to : to + k] = False
+            free_i[at : at + k] = False
+            marked += k
+            # each match loses what of it lies in the tile, on either side
+            cuts = np.stack([np.clip([to - i, to + k - i], 0, size), np.clip([at - j, at + k - j], 0, size)])
+            first = np.where(cuts[0, 0] <= cuts[1, 0], 0, 1)
+            rows = np.arange(len(size))
+            (s1, e1), (s2, e2) = cuts[first, :, rows].T, cuts[1 - first, :, rows].T
+            pieces = [(np.zeros_like(s1), s1), (e1, s2), (np.maximum(e1, e2), size)]
+            size, j, i = (np.concatenate(x) for x in zip(*[((b - a)[w], (j + a)[w], (i + a)[w]) for a, b in pieces for w in [b - a >= length]], strict=True))
         if length == least:
             break
         length = max(length // 2, least)
     return marked
 
 
+
 def leaks_of(column: pa.Array, items: Items, threshold: float) -> Iterator[list[tuple[int, int, float]]]:
     """For each row the items of which it has `threshold` of the tokens in tiles, or all of a short item in a run."""
     for h in _tokens(column):

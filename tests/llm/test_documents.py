@@ -797,3 +797,33 @@ def test_damaged_token_files_are_found(tmp_path):
     place.write_bytes(bytes(raw))
     with pytest.raises(ValueError):
         list(tokenfiles.read_file(w.uri))
+
+
+def test_tiles_of_repetitive_texts():
+    """Few different tokens, against the plain loop; very long runs of one token take their share of time only."""
+    rng = random.Random(1)
+
+    def plain(doc, item, least):
+        covered, free_d, free_i = 0, [True] * len(doc), [True] * len(item)
+        while True:
+            best = (0, 0, 0)
+            for j in range(len(item)):
+                for i in range(len(doc)):
+                    k = 0
+                    while i + k < len(doc) and j + k < len(item) and free_d[i + k] and free_i[j + k] and doc[i + k] == item[j + k]:
+                        k += 1
+                    best = max(best, (k, -j, -i))
+            k, j, i = best[0], -best[1], -best[2]
+            if k < least:
+                return covered
+            free_d[i : i + k] = [False] * k
+            free_i[j : j + k] = [False] * k
+            covered += k
+
+    h = lambda x: hashing.mix(np.array(x, np.uint64) + np.uint64(77))
+    for _ in range(150):
+        v = rng.choice([1, 2, 3, 6])
+        a, b = ([rng.randrange(v) for _ in range(rng.randrange(1, n))] for n in (40, 25))
+        assert decontam.tile(h(a), h(b), 3) == plain(a, b, 3)
+    one = np.full(1_000_000, 5, np.uint64)
+    assert decontam.tile(one, one[:1000], 5) == 1000 and decontam.tile(np.tile(h(range(7)), 100_000), np.tile(h(range(7)), 100), 5) == 700
