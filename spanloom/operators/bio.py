@@ -26,14 +26,20 @@ def repair(labels: Column, scheme: str = "BIO") -> Column:
     return let(labels, _repair)
 
 
-def _repair(labels: Column) -> Column:
-    """Runs of one tag and those that continue it stay or go as a whole, by their first label: no array grows label by label."""
+def _runs(labels: Column) -> Column:
+    """Where runs begin: every place but those that go on with I-x after B-x or I-x."""
 
     def begins(x: Column, i: Column) -> Column:
         before = F.get(labels, i - 1)
         goes_on = x.startswith("I-") & ((before == x) | (before == F.concat(F.lit("B-"), F.substr(x, F.lit(3)))))
         return F.when(~F.coalesce(goes_on & (i > 0), F.lit(False)), i)
 
+    return F.filter(F.transform(labels, begins), lambda i: i.isNotNull())
+
+
+def _repair(labels: Column) -> Column:
+    """Runs stay or go as a whole, by their first label: no array grows label by label."""
+
     def runs(starts: Column) -> Column:
         def run(s: Column, k: Column) -> Column:
             size = F.coalesce(F.get(starts, k + 1), F.size(labels)) - s
@@ -42,7 +48,7 @@ def _repair(labels: Column) -> Column:
 
         return F.flatten(F.transform(starts, run))
 
-    return let(F.filter(F.transform(labels, begins), lambda i: i.isNotNull()), runs)
+    return let(_runs(labels), runs)
 
 
 def violations(labels: Column) -> Column:
@@ -60,24 +66,18 @@ def spans(labels: Column, mode: str = "strict") -> Column:
 
 
 def _spans(labels: Column, mode: str) -> Column:
-    at = lambda i: F.get(labels, i)
-    type_of = lambda x: F.substr(x, F.lit(3))
-
-    def begins(here: Column, i: Column) -> Column:
-        if mode == "strict":
-            return here.startswith("B-")
-        before = F.coalesce(F.get(labels, i - 1), F.lit("O"))
-        follows = (before == here) | (before == F.concat(F.lit("B-"), type_of(here)))
-        return here.startswith("B-") | (here.startswith("I-") & ~follows)
-
-    def span(i: Column) -> Column:
-        more = F.concat(F.lit("I-"), type_of(at(i)))
-        rest = F.slice(labels, i + 2, F.size(labels))
-        stop = let(more, lambda m: F.array_position(F.transform(rest, lambda x: x != m), True))
-        return F.struct(type_of(at(i)).alias("type"), i.alias("start"), let(stop, lambda k: F.when(k == 0, F.size(labels)).otherwise(i + k).cast("int")).alias("end"))
-
-    starts = F.filter(F.transform(labels, lambda x, i: F.when(begins(x, i), i)), lambda i: i.isNotNull())
-    return F.transform(starts, span)
+    """A span is a run that a B- tag begins, or, if lenient, an I- tag; it ends where the next run begins."""
+
+    def found(starts: Column) -> Column:
+        def span(s: Column, k: Column) -> Column:
+            x = F.get(labels, s)
+            opens = x.startswith("B-") if mode == "strict" else x.startswith("B-") | x.startswith("I-")
+            end = F.coalesce(F.get(starts, k + 1), F.size(labels)).cast("int")
+            return F.when(opens, F.struct(F.substr(x, F.lit(3)).alias("type"), s.alias("start"), end.alias("end")))
+
+        return F.filter(F.transform(starts, span), lambda x: x.isNotNull())
+
+    return let(_runs(labels), found)
 
 
 def span_text(tokens: Column, span: Column) -> Column:

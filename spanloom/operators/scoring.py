@@ -227,3 +227,17 @@ def tag(rows: DataFrame, tagger: Tagger, tokens: str = "tokens") -> DataFrame:
 def outside(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     """All tokens outside: a floor for comparisons."""
     return rows.withColumn("pred_labels", F.transform(tokens, lambda _: F.lit("O")))
+
+
+def stored(spark, path: str) -> tuple[str, Model]:
+    """The scorer's name and the model of a table that save() of this module or of crf wrote, told by what the table holds."""
+    from spanloom.operators import crf
+
+    kind = "crf" if spark.read.parquet(path).filter("feature = 'bits'").limit(1).count() else "tagger"
+    return kind, (crf.load if kind == "crf" else load)(spark, path)
+
+
+def score_stored(rows: DataFrame, path: str, **options) -> DataFrame:
+    """score() by a stored model, whatever its kind."""
+    kind, model = stored(rows.sparkSession, path)
+    return score(kind, rows, **{"model" if kind == "crf" else "tagger": model}, **options)

@@ -130,6 +130,18 @@ def named_windows(rows: DataFrame, key: str = "id", **how) -> DataFrame:
     return out.withColumn("window_id", name).drop("__many")
 
 
+def corpus(rows: DataFrame, key: str = "id", tokens: str = "tokens", enabled: bool = True, **how) -> tuple[DataFrame, DataFrame]:
+    """named_windows() of a corpus, and one row of what it did: examples, windows, single, multiple and rate, the windows for
+    each example. Without tokens an example has no window. Switched off, each example stays one row, whatever its length."""
+    if enabled:
+        out, n = named_windows(rows, key, tokens=tokens, **how), F.size(uniform_windows(F.size(tokens), how.get("max_length", 512), how.get("overlap", 50)))
+    else:
+        out = rows.withColumn("window_idx", F.lit(0)).withColumn("start", F.lit(0)).withColumn("end", F.size(tokens)).withColumn("window_id", F.col(key).cast("string"))
+        n = F.lit(1)
+    counts = rows.select(F.coalesce(n, F.lit(0)).alias("n")).agg(F.count(F.lit(1)).alias("examples"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("windows"), F.count_if(F.col("n") == 1).alias("single"), F.count_if(F.col("n") > 1).alias("multiple"))
+    return out, counts.withColumn("rate", F.round(F.coalesce(F.try_divide(F.col("windows").cast("double"), F.col("examples").cast("double")), F.lit(0.0)), 6))
+
+
 def worded(tokens: Column) -> Column:
     """The tokens that are not blank once cleaned, as (pos, token) with their place in the whole list."""
     placed = F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), T.clean(t).alias("token")))

@@ -580,3 +580,32 @@ def test_evaluation_from_files_and_sinks(spark, tmp_path):
     with pytest.raises(ValueError):
         files.read_vocabulary(spark, str(tmp_path / "v2"))
     assert files.extraction_config("S", str(tmp_path / "none.json"))["examples"] == [] and str(files.config_path("/r", "crf")) == "/r/configs/main_experiment/crf.yaml"
+
+
+def test_scorer_follows_from_the_stored_model(spark, tmp_path):
+    rows = [(k, ["a", "b", "c"][: 1 + k % 3], ["O", "B-V", "I-V"][: 1 + k % 3]) for k in range(30)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>, labels array<string>")
+    model = crf.train(df, rounds=20, bits=8)
+    crf.save(model, spark, str(tmp_path / "c"))
+    tagger = scoring.Tagger(["O", "B-V", "I-V"]).train([(t, x) for _, t, x in rows], 8)
+    scoring.save(tagger, spark, str(tmp_path / "t"))
+    for path, name in (("c", "crf"), ("t", "tagger")):
+        assert scoring.stored(spark, str(tmp_path / path))[0] == name
+        got = scoring.score_stored(df, str(tmp_path / path))
+        assert all(r.pred_labels == r.labels for r in got.collect())
+
+
+def test_corpus_windowing_and_its_rate(spark):
+    df = spark.createDataFrame([("a", ["x"] * 1000), ("b", ["y"] * 10), ("c", [])], "id string, tokens array<string>")
+    out, counts = windows.corpus(df)
+    assert sorted(r.window_id for r in out.collect()) == ["a_w0", "a_w1", "a_w2", "b"]
+    assert tuple(counts.first()) == (3, 4, 1, 1, 1.333333)
+    out, counts = windows.corpus(df, enabled=False)
+    assert sorted((r.window_id, len(r.tokens)) for r in out.collect()) == [("a", 1000), ("b", 10), ("c", 0)] and tuple(counts.first()) == (3, 3, 3, 0, 1.0)
+
+
+def test_spans_of_a_very_long_segment(spark):
+    n = 200_000
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(i % 4 == 0, "B-X").when(i % 4 == 3, "O").otherwise("I-X")).alias("labels"))
+    got = df.select(bio.spans(F.col("labels")).alias("s")).select(F.size("s").alias("n"), F.element_at("s", -1).alias("last")).first()
+    assert (got.n, tuple(got.last)) == (n // 4, ("X", n - 4, n - 1))
