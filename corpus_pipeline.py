@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import decontam, jaccard, mixing, quality, sharding
-from spanloom.llm.shared import stored, table
+from spanloom.llm.shared import discard, stored, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, last = stored(stage(spark, docs, sf_dir), f"pipeline-{name}"), before
+        if last is not None:  # no later stage reads it
+            discard(last)
+        before = docs
     return docs
