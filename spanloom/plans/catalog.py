@@ -991,3 +991,41 @@ def subword_windows(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = subwords.windowed(_docs(spark, sf_dir), path, most=None)
     return rows.select("doc_id", F.inline("windows")).select("doc_id", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"))
+
+
+# readers and writers of events and predictions
+
+
+@query(f"WITH {SQL_EVENTS} SELECT CAST(seg AS VARCHAR) AS id, p AS has_voting_event, psub AS subject, {_EVENT.replace('array_to_string(pvot', 'array_to_string(coalesce(pvot, [])')}, CASE WHEN p THEN ({_OUTCOME.rsplit(' AS outcome', 1)[0]}) END AS outcome FROM ev")
+def array_events(spark, sf_dir):
+    """Events of all segments, null where there is none, written as JSON arrays and read back by the events reader."""
+    rows = _events(spark, sf_dir).select(F.col("seg").cast("string").alias("id"), F.col("pred_event").isNotNull().alias("has_voting_event"), F.col("pred_event").alias("event"))
+    place = files.scratch(spark, "events") + ".json"
+    arrays.write_array(rows, place, "id", spark.sparkContext.defaultParallelism)
+    e = F.col("event")
+    text = lambda x: F.coalesce(x, F.lit(""))
+    return files.events(spark, place).select(
+        "id",
+        "has_voting_event",
+        e["subject"].alias("subject"),
+        text(_joined(e["participants"], "position")).alias("participants"),
+        text(_joined(e["counting"], "type")).alias("counting"),
+        text(F.array_join(e["voting_expressions"], "|")).alias("voting"),
+        e["outcome"].alias("outcome"),
+    )
+
+
+@query(f"WITH {SQL_TOKENS}, s AS (SELECT seg, count(*) AS n, string_agg(pred, ' ' ORDER BY p) AS labels FROM lab GROUP BY seg) SELECT CAST(seg AS VARCHAR) AS id, labels, trim(repeat('O ', CAST(n AS INTEGER))) AS gold FROM s")
+def array_predictions(spark, sf_dir):
+    """Predictions without gold labels, written as a JSON array; the reader gives them gold labels that are all O."""
+    rows = synth.segments(spark, sf_dir).select(F.col("seg").cast("string").alias("id"), "tokens", F.col("pred").alias("pred_labels"))
+    place = files.scratch(spark, "predictions")
+    arrays.write_array(rows, place, "id", spark.sparkContext.defaultParallelism)
+    return files.predictions(spark, place).select("id", F.array_join("pred_labels", " ").alias("labels"), F.array_join("gold_labels", " ").alias("gold"))
+
+
+@query(f"WITH {SQL_TOKENS}, s AS (SELECT seg, string_agg(token, ' ' ORDER BY p) AS text FROM lab GROUP BY seg) SELECT seg, text FROM s ORDER BY seg LIMIT 100")
+def first_segments(spark, sf_dir):
+    """The first hundred segments, by number: a limit is what the operator is."""
+    rows = files.first_rows(synth.segments(spark, sf_dir), 100, "seg")
+    return rows.select("seg", F.array_join("tokens", " ").alias("text"))
