@@ -866,13 +866,16 @@ def long_events(spark, sf_dir):
 
 
 def _of_sources(sql):
-    """The SQL of windows_greedy for the texts of each source, one behind the other."""
-    c0 = "c0 AS (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n, list_transform(ts, lambda x: (length(x) + 3) // 4) AS c FROM tk WHERE len(ts) > 0)"
+    """The SQL of windows_greedy for the texts of each source, one behind the other, from running sums of the costs."""
+    head, rest = sql.split("c0 AS (", 1)
+    rest = rest.split("w(doc_id, at_", 1)[1]
     whole = """one AS (SELECT coalesce(source, '') AS doc_id, CAST((length(w) + 3) // 4 AS BIGINT) AS c, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY d, i) AS i
   FROM (SELECT tk.doc_id AS d, source, unnest(ts) AS w, generate_subscripts(ts, 1) AS i FROM tk JOIN (SELECT doc_id, source FROM documents) s ON tk.doc_id = s.doc_id) x),
-c0 AS (SELECT doc_id, count(*) AS n, list(c ORDER BY i) AS c FROM one GROUP BY doc_id)"""
-    assert c0 in sql
-    return sql.replace(c0, whole).replace("SELECT doc_id, CAST(at_", "SELECT doc_id AS source, CAST(at_").replace("UNION ALL SELECT doc_id, 0, n FROM pp WHERE", "UNION ALL SELECT doc_id AS source, 0, n FROM pp WHERE")
+cum AS (SELECT doc_id, i, CAST(sum(c) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS t FROM one),
+pp AS (SELECT doc_id, count(*) AS n, list_prepend(CAST(0 AS BIGINT), list(t ORDER BY i)) AS P FROM cum GROUP BY doc_id),
+"""
+    rest = rest.replace("SELECT doc_id, CAST(at_", "SELECT doc_id AS source, CAST(at_").replace("UNION ALL SELECT doc_id, 0, n FROM pp WHERE", "UNION ALL SELECT doc_id AS source, 0, n FROM pp WHERE")
+    return f"{head}{whole}w(doc_id, at_{rest}"
 
 
 @query(_of_sources(_SQL["windows_greedy"]))
