@@ -5,7 +5,6 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from spanloom.operators import extract, windows
 from spanloom.sources import vectors
@@ -95,4 +94,3 @@ def test_collate_against_plain(spark):
             fill = lambda x, f: None if x is None else x + [f] * (longest - len(x))
             assert (r.longest, r.ids, r.labels, r.deep) == (longest, fill(a, 0), fill(b, None), fill(c, []))
     assert windows.collate(df.filter("id < 0"), {"ids": 0}, 8).count() == 0
-    assert F
