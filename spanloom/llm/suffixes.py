@@ -14,6 +14,7 @@ one order, in which neighbours that share WIDTH bytes are the long matches.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from functools import reduce
@@ -32,11 +33,15 @@ from spanloom.llm.shared import discard, place, ship, stored
 #: Bytes of a match and of a seed (a power of two).
 WIDTH, SEED = 100, 32
 #: Bytes of text whose windows are taken at once.
-RUN = 1 << 21
+RUN = 1 << 17
 #: Rows of a list that is broadcast; bytes of runs that are sorted at once; runs of a seed that are sorted together.
-FEW, SORTED, HOT = 300_000, 1 << 22, 20_000
+FEW, SORTED, HOT = 100_000, 1 << 18, 5_000
+#: Runs among which equal ones are found at once, by documents as a whole.
+GATHERED = 50_000
+#: Documents that a task is handed at once.
+ROWS = 300
 #: Batches of a whole table.
-BATCHES = 4
+BATCHES = 3
 
 
 def seeds(b: np.ndarray) -> np.ndarray:
@@ -100,35 +105,42 @@ ENTRIES = "d long, lo long, n long, off int, g long, c long, first boolean"
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of a batch's documents (d, text): those that are the first of their bytes in the batch, as entries, and
-    the others, joined to longer ones, as matches already found."""
-    names = [x.split()[0] for x in ENTRIES.split(", ")]
+    """The runs of a batch's documents (d, text): those that are the first of their bytes among some documents, as entries,
+    and the others, joined to longer ones, as matches already found."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
     for batch in batches:
-        ids = batch.column(0).to_numpy()
-        d, lo, n, off, g, c = [], [], [], [], [], []
+        ids, last = batch.column(0).to_numpy(), -1
         for row, before, b, bounds in pieces(batch.column(1)):
-            own = runs_of(b, bounds)
-            k = np.searchsorted(bounds, own[0], "right") - 1
-            d.append(ids[row + k])
-            lo.append(own[0] - bounds[k] + before)
-            for held, x in zip((n, off, g, c), own[1:], strict=True):
-                held.append(x)
-        if not d:
-            continue
-        d, lo, n, off, g, c = (np.concatenate(x) for x in (d, lo, n, off, g, c))
-        order = np.lexsort((lo, d, c, g))
-        first = np.ones(len(order), bool)
-        first[order[1:]] = (g[order[1:]] != g[order[:-1]]) | (c[order[1:]] != c[order[:-1]])
-        yield pa.RecordBatch.from_arrays([*(pa.array(x[first].astype(np.int64)) for x in (d, lo, n)), pa.array(off[first].astype(np.int32)), *(pa.array(x[first].view(np.int64)) for x in (g, c)), pa.array(np.ones(int(first.sum()), bool))], names=names)
-        order = np.flatnonzero(~first)
-        order = order[np.lexsort((lo[order], d[order]))]
-        d, lo, n = d[order], lo[order], n[order]
-        start = np.ones(len(d), bool)
-        start[1:] = (d[1:] != d[:-1]) | (lo[1:] > lo[:-1] + n[:-1])
-        k = np.flatnonzero(start)
-        end = np.append(k[1:], len(d)) - 1
-        none = np.zeros(len(k), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(d[k]), pa.array(lo[k]), pa.array((lo[end] + n[end] - lo[k]) if len(k) else none), pa.array(none.astype(np.int32)), pa.array(none), pa.array(none), pa.array(np.zeros(len(k), bool))], names=names)
+            if size > GATHERED and row != last:
+                yield from _gathered(held)
+                held, size = [], 0
+                pa.default_memory_pool().release_unused()
+            lo, n, off, g, c = runs_of(b, bounds)
+            k = np.searchsorted(bounds, lo, "right") - 1
+            held.append((ids[row + k], lo - bounds[k] + before, n, off, g, c))
+            size, last = size + len(lo), row + len(bounds) - 2
+    if held:
+        yield from _gathered(held)
+
+
+def _gathered(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in ENTRIES.split(", ")]
+    d, lo, n, off, g, c = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((lo, d, c, g))
+    first = np.ones(len(order), bool)
+    first[order[1:]] = (g[order[1:]] != g[order[:-1]]) | (c[order[1:]] != c[order[:-1]])
+    yield pa.RecordBatch.from_arrays([*(pa.array(x[first].astype(np.int64)) for x in (d, lo, n)), pa.array(off[first].astype(np.int32)), *(pa.array(x[first].view(np.int64)) for x in (g, c)), pa.array(np.ones(int(first.sum()), bool))], names=names)
+    order = np.flatnonzero(~first)
+    order = order[np.lexsort((lo[order], d[order]))]
+    d, lo, n = d[order], lo[order], n[order]
+    start = np.ones(len(d), bool)
+    start[1:] = (d[1:] != d[:-1]) | (lo[1:] > lo[:-1] + n[:-1])
+    k = np.flatnonzero(start)
+    end = np.append(k[1:], len(d)) - 1
+    none = np.zeros(len(k), np.int64)
+    size = lo[end] + n[end] - lo[k] if len(k) else none
+    yield pa.RecordBatch.from_arrays([pa.array(d[k]), pa.array(lo[k]), pa.array(size), pa.array(none.astype(np.int32)), pa.array(none), pa.array(none), pa.array(np.zeros(len(k), bool))], names=names)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +156,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.repeat(bounds[:-1], size) + (where >> 16)
         end = start + (where & 255) + WIDTH - 1
         raw = memoryview(data)
-        for a in range(0, len(where), 100_000):
-            cut = [raw[i:j] for i, j in zip(start[a : a + 100_000].tolist(), end[a : a + 100_000].tolist(), strict=True)]
-            d = np.repeat(batch.column(0).to_numpy(), size)[a : a + 100_000]
+        for a in range(0, len(where), 20_000):
+            cut = [raw[i:j] for i, j in zip(start[a : a + 20_000].tolist(), end[a : a + 20_000].tolist(), strict=True)]
+            d = np.repeat(batch.column(0).to_numpy(), size)[a : a + 20_000]
             yield pa.RecordBatch.from_arrays([g.slice(a, len(cut)), pa.array(d), at.slice(a, len(cut)), old.slice(a, len(cut)), hot.slice(a, len(cut)), pa.array(cut, pa.binary())], names=names)
 
 
@@ -156,14 +168,15 @@ def suffix_order(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     wide = text.astype(U)
     for n in (1, 2, 4):
         wide = (wide[:-n] << U(8 * n)) | wide[n:]
-    words = [wide[starts + k] for k in [*range(0, WIDTH - 7, 8), *([WIDTH - 8] if WIDTH % 8 else [])]]
-    order = np.lexsort(words[::-1])
+    places = [*range(0, WIDTH - 7, 8), *([WIDTH - 8] if WIDTH % 8 else [])]
+    order = np.arange(len(starts))
+    for k in reversed(places):  # by the last eight bytes first, each sort keeping the order of the one before
+        order = order[np.argsort(wide[starts[order] + k], kind="stable")]
     equal = np.zeros(len(order), bool)
-    if len(order):
-        equal[1:] = True
-        for w in words:
-            w = w[order]
-            equal[1:] &= w[1:] == w[:-1]
+    equal[1:] = True
+    for k in places:
+        w = wide[starts[order] + k]
+        equal[1:] &= w[1:] == w[:-1]
     return order, equal
 
 
@@ -205,6 +218,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             end = len(g) - int((g == g[-1]).sum())  # the last seed may go on in the next batch
             if end:
                 yield found(rows.slice(0, end))
+                pa.default_memory_pool().release_unused()
                 held = rows.slice(end).combine_chunks().to_batches()
                 size = sum(x.nbytes for x in held)
     if held and (rows := pa.Table.from_batches(held)).num_rows:
@@ -229,6 +243,7 @@ class Family:
 
     def __init__(self, spark: SparkSession, buckets: int | None = None):
         ship(spark)
+        small_batches(spark)
         self.spark = spark
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[tuple[int, DataFrame, str]] = []
@@ -257,6 +272,9 @@ class Family:
 
         d is a number without repeats, greater than those of all batches before; texts holds the documents of those and of this one.
         """
+        # Spark drops the shuffle files and broadcast tables of earlier batches once the driver has forgotten their plans
+        gc.collect()
+        self.spark._jvm.System.gc()
         self._merge()
         rows = stored(batch.mapInArrow(_entries, ENTRIES), "suffix-entries")
         leads = rows.filter("first").select("g", "c", "d", ((F.col("lo") * 256 + F.col("off")) * 256 + F.col("n")).alias("at"))
@@ -268,25 +286,28 @@ class Family:
         several = array.groupBy("g").agg(F.min("c").alias("__a"), F.max("c").alias("__b")).filter("__a <> __b").select("g")
         shared = stored(old.select("g").union(several).distinct(), "suffix-seeds")
         same = old.select("g", "c", F.lit(True).alias("old"))
+        marked = array.join(self._few(same), ["g", "c"], "left").join(self._few(shared.withColumn("shared", F.lit(True))), "g", "left")
+        marked = stored(marked.filter("times > 1 OR old OR shared"), "suffix-marked")
         # runs of equal bytes: all but the first are matches
-        known = stored(array.join(self._few(same), ["g", "c"], "left").filter("times > 1 OR old").select("g", "c", F.col("d").alias("__d"), F.col("at").alias("__at"), "old"), "suffix-known")
+        known = marked.filter("times > 1 OR old").select("g", "c", F.col("d").alias("__d"), F.col("at").alias("__at"), "old")
         again = leads.join(self._few(known), ["g", "c"]).filter(F.coalesce("old", F.lit(False)) | (F.col("d") != F.col("__d")) | (F.col("at") != F.col("__at")))
         again = again.select("d", F.shiftright("at", 16).alias("lo"), F.col("at").bitwiseAND(255).alias("n"))
         # different runs of one seed: their suffixes are sorted
-        new = stored(array.join(self._few(shared), "g", "left_semi").join(self._few(same), ["g", "c"], "left_anti").select("g", "d", "at", F.lit(False).alias("old")), "suffix-new")
-        wanted = new.unionByName(old.join(self._few(new.select("g").distinct()), "g", "left_semi").select("g", "d", "at", F.lit(True).alias("old")))
-        wanted = stored(wanted, "suffix-wanted")
-        hot = wanted.groupBy("g").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HOT).select("g", F.lit(True).alias("hot"))
-        flagged = wanted.join(self._few(stored(hot, "suffix-hot")), "g", "left")
+        new = marked.filter("shared AND old IS NULL").select("g", "d", "at", F.lit(False).alias("old"))
+        met = old.join(new.select("g").hint("shuffle_hash"), "g", "left_semi").select("g", "d", "at", F.lit(True).alias("old"))
+        wanted = new.unionByName(met)
+        hot = stored(wanted.groupBy("g").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HOT).select("g", F.lit(True).alias("hot")), "suffix-hot")
+        any_hot = not hot.isEmpty()
+        flagged = wanted.join(self._few(hot), "g", "left") if any_hot else wanted.withColumn("hot", F.lit(False))
         lists = stored(flagged.groupBy("d").agg(F.collect_list(F.struct("g", "at", "old", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs")), "suffix-lists")
         parts = stored(reading(texts, lists).select("d", "text", "runs").mapInArrow(_cut, "g long, d long, at long, old boolean, hot boolean, b binary"), "suffix-runs")
         by_seed = parts.filter("NOT hot").select("g", "d", "at", "old", "b").repartition("g").sortWithinPartitions("g", "d", "at")
         found = by_seed.mapInArrow(_scan, "d long, lo long, n long")
         out = rows.filter("NOT first").select("d", "lo", "n").unionByName(again).unionByName(found)
-        if parts.filter("hot").limit(1).count():
+        if any_hot:
             out = out.unionByName(hot_matches(parts.filter("hot")))
         out = stored(out, "suffix-matches")
-        for x in (rows, old, shared, known, new, wanted, lists, parts):
+        for x in (rows, old, shared, marked, hot, lists, parts):
             discard(x)
         self.levels.append((1, array, name))
         return out
@@ -309,11 +330,18 @@ def hot_matches(parts: DataFrame) -> DataFrame:
     return got.select("d", "lo", F.lit(1).cast("long").alias("n"))
 
 
-def reading(texts: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """Hand tasks ROWS documents at once from here on: what they hold is texts. It stays so, as results are computed later."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    spark.conf.set(name, min(rows, ROWS) if rows > 0 else ROWS)
+
+
+def reading(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """texts joined with rows by d; with a list of up to IDS documents no other text moves."""
     if rows.count() <= IDS:
         texts = texts.join(F.broadcast(rows.select("d")), "d", "left_semi")
-    return texts.join(rows.hint("merge"), "d", how)
+    return texts.join(rows.hint("shuffle_hash"), "d")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -347,22 +375,24 @@ def matches(texts: DataFrame, batches: int = BATCHES) -> DataFrame:
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What the removal of matched windows leaves of texts."""
-    for batch in batches:
-        data, bounds = hashing.texts(batch.column(2))
-        out = []
-        for k, found in enumerate(batch.column(3).to_pylist() if batch.num_columns > 3 else [None] * batch.num_rows):
-            text = data[bounds[k] : bounds[k + 1]]
-            if not found:
-                out.append((len(text), 0, 0, text))
-                continue
-            turn = np.zeros(len(text) + 1, np.int32)
-            for x in found:
-                turn[x["lo"]] += 1
-                turn[x["lo"] + x["n"] + WIDTH - 1] -= 1
-            gone = np.cumsum(turn[:-1]) > 0
-            out.append((len(text), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), text[~gone]))
-        cols = [pa.array([x[k] for x in out], pa.int64()) for k in range(3)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols, pa.array([memoryview(np.ascontiguousarray(x[3])) for x in out], pa.binary())], names=[f.name for f in KEPT])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 250):
+            batch = whole.slice(at, 250)
+            data, bounds = hashing.texts(batch.column(2))
+            out = []
+            for k, found in enumerate(batch.column(3).to_pylist()):
+                text = data[bounds[k] : bounds[k + 1]]
+                if not found:
+                    out.append((len(text), 0, 0, text))
+                    continue
+                turn = np.zeros(len(text) + 1, np.int32)
+                for x in found:
+                    turn[x["lo"]] += 1
+                    turn[x["lo"] + x["n"] + WIDTH - 1] -= 1
+                gone = np.cumsum(turn[:-1]) > 0
+                out.append((len(text), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), text[~gone]))
+            cols = [pa.array([x[k] for x in out], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cols, pa.array([memoryview(np.ascontiguousarray(x[3])) for x in out], pa.binary())], names=[f.name for f in KEPT])
 
 
 KEPT = StructType([StructField(c, LongType()) for c in ("doc_id", "copies", "n_bytes", "n_removed", "n_spans")] + [StructField("kept", BinaryType())])
@@ -382,8 +412,10 @@ def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     lists = stored(found.groupBy("d").agg(F.collect_list(F.struct("lo", "n")).alias("found")), "suffix-found")
     if lists.count() <= IDS:
         ids = F.broadcast(lists.select("d"))
-        some, rest = texts.join(ids, "d", "left_semi").join(lists.hint("merge"), "d"), texts.join(ids, "d", "left_anti")
-        out = some.select("doc_id", "copies", "text", "found").mapInArrow(_kept, KEPT).unionByName(rest.select("doc_id", "copies", "text").mapInArrow(_kept, KEPT))
+        some, rest = texts.join(ids, "d", "left_semi").join(lists.hint("shuffle_hash"), "d"), texts.join(ids, "d", "left_anti")
+        none = F.lit(0).cast("long")
+        whole = rest.select("doc_id", "copies", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+        out = some.select("doc_id", "copies", "text", "found").mapInArrow(_kept, KEPT).unionByName(whole)
     else:
         out = texts.join(lists, "d", "left").select("doc_id", "copies", "text", "found").mapInArrow(_kept, KEPT)
     # of equal rows all but one occur earlier as they are

@@ -60,7 +60,7 @@ def test_batches(spark, texts, batches):
 def test_small_bounds(spark, texts, monkeypatch):
     rows = list(enumerate(texts))
     want = plain_removal(rows)
-    for name, value in (("RUN", 1000), ("SORTED", 500), ("FEW", 3), ("IDS", 5)):
+    for name, value in (("RUN", 1000), ("SORTED", 500), ("FEW", 3), ("IDS", 5), ("GATHERED", 50)):
         monkeypatch.setattr(suffixes, name, value)
     assert run(spark, rows, batches=3) == want
 
