@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from spanloom.llm import hashing
 from spanloom.llm.components import components
 from spanloom.llm.hashing import U, mix
-from spanloom.llm.shared import ship, stored
+from spanloom.llm.shared import ship, small_batches, stored
 
 #: Block keys that one bucket should hold; the number of buckets follows from the shingles of the corpus.
 BUCKET = 1_000_000
@@ -445,6 +445,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     so the components are exact. A tile returns a forest of what it found, fewer rows than it has members.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sets = stored(describe(docs, width), "near-sets")
     first = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "f1", "f2")
     reps = stored(first.agg(F.min("doc_id").alias("rep"), F.max("sketch").alias("sketch")), "near-reps")

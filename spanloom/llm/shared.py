@@ -74,6 +74,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def small_batches(spark: SparkSession, most: int = 1000) -> None:
+    """Hand tasks at most `most` rows at once from here on: what they hold is texts. It stays so, as results are computed later."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(name))
+    spark.conf.set(name, min(rows, most) if rows > 0 else most)
+
+
 def least(rows: DataFrame, group: str, keys: list[str], most: int) -> DataFrame:
     """Of each group the `most` distinct rows with the least hash of their keys, with the hash as `__h`.
 

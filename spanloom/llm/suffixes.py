@@ -28,7 +28,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from spanloom.llm import hashing
 from spanloom.llm.hashing import U, mix
 from spanloom.llm.jaccard import IDS
-from spanloom.llm.shared import discard, place, ship, stored
+from spanloom.llm.shared import discard, place, ship, small_batches, stored
 
 #: Bytes of a match and of a seed (a power of two).
 WIDTH, SEED = 100, 32
@@ -243,7 +243,7 @@ class Family:
 
     def __init__(self, spark: SparkSession, buckets: int | None = None):
         ship(spark)
-        small_batches(spark)
+        small_batches(spark, ROWS)
         self.spark = spark
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[tuple[int, DataFrame, str]] = []
@@ -330,13 +330,6 @@ def hot_matches(parts: DataFrame) -> DataFrame:
     return got.select("d", "lo", F.lit(1).cast("long").alias("n"))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hand tasks ROWS documents at once from here on: what they hold is texts. It stays so, as results are computed later."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = int(spark.conf.get(name))
-    spark.conf.set(name, min(rows, ROWS) if rows > 0 else ROWS)
-
-
 def reading(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """texts joined with rows by d; with a list of up to IDS documents no other text moves."""
     if rows.count() <= IDS:
