@@ -27,14 +27,14 @@ def repair(labels: Column, scheme: str = "BIO") -> Column:
 
 
 def _runs(labels: Column) -> Column:
-    """Where runs begin: every place but those that go on with I-x after B-x or I-x."""
+    """Where runs begin: every place but those that go on with I-x after B-x or I-x, or with O after O."""
 
     def begins(x: Column, i: Column) -> Column:
         before = F.get(labels, i - 1)
-        goes_on = x.startswith("I-") & ((before == x) | (before == F.concat(F.lit("B-"), F.substr(x, F.lit(3)))))
-        return F.when(~F.coalesce(goes_on & (i > 0), F.lit(False)), i)
+        goes_on = (before == x) | (before == F.concat(F.lit("B-"), F.substr(x, F.lit(3))))
+        return F.when(x == "O", F.when(before == "O", F.lit(None)).otherwise(i)).when(~x.startswith("I-"), i).when(goes_on, F.lit(None)).otherwise(i)
 
-    return F.filter(F.transform(labels, begins), lambda i: i.isNotNull())
+    return F.array_compact(F.transform(labels, begins))
 
 
 def _repair(labels: Column) -> Column:
@@ -85,18 +85,18 @@ def span_text(tokens: Column, span: Column) -> Column:
 
 
 def repair_rows(rows: DataFrame, key: str, pos: str, label: str, out: str = "fixed") -> DataFrame:
-    """repair() for long sequences held as one row a token, by one window over (key, pos).
+    """repair() for long sequences held as one row a token, by windows over (key, pos), all of one order.
 
     A run is an I- tag's stretch of equal type; it stays if it is headed by a B- tag.
     """
     w = Window.partitionBy(key).orderBy(pos)
     x, before = F.col(label), F.lag(label).over(w)
-    joins = x.startswith("I-") & before.rlike("^[BI]-") & (F.substr(before, F.lit(3)) == F.substr(x, F.lit(3)))
-    run = F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(w)
-    headed = rows.withColumn("__run", run)
-    head = F.first(label).over(Window.partitionBy(key, "__run").orderBy(pos))
-    keep = F.when(x.startswith("B-") | x.startswith("O-") | (x.startswith("I-") & head.startswith("B-")), x).otherwise("O")
-    return headed.withColumn(out, keep).drop("__run")
+    joins = x.startswith("I-") & ((before == x) | (before == F.concat(F.lit("B-"), F.substr(x, F.lit(3)))))
+    begun = F.when(~F.coalesce(joins, F.lit(False)), F.coalesce(x.startswith("B-"), F.lit(False)))
+    headed = rows.withColumn("__begun", begun)
+    head = F.last("__begun", ignorenulls=True).over(w)
+    keep = F.when(x.startswith("B-") | x.startswith("O-") | (x.startswith("I-") & head), x).otherwise("O")
+    return headed.withColumn(out, keep).drop("__begun")
 
 
 def validate(rows: DataFrame, tokens: str = "tokens", labels: str = "labels") -> DataFrame:
