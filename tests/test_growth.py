@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import bio, windows
+from spanloom.operators import align, bio, windows
 from spanloom.plans import catalog, synth
 
 SMALL = "/root/testdata/sf0.001"
@@ -57,3 +57,18 @@ def test_slices_of_a_batch(most):
     got = [s.column(0).to_pylist() for s in windows.slices(batch, 0, most)]
     assert sum(got, []) == rows
     assert all(sum(len(x or []) for x in s) <= most or len([x for x in s if x]) == 1 for s in got)
+
+
+def test_predictions_are_not_multiplied_by_their_reach(spark):
+    tokens = [(t, p, s) for t in ("a", "b", None) for p, s in enumerate([0, 3, 4094, 4095, 4096, 4099, 9000, None])]
+    words = [(t, k, s) for t in ("a", None) for k, s in [(0, 5), (1, 1), (2, 4097), (3, 4093), (4, 4097), (5, 8998), (6, 9002), (7, -1)]]
+    left = spark.createDataFrame(tokens, "id string, pos int, start int").repartition(3)
+    right = spark.createDataFrame([(t, k, f"L{k}", s, s + 1) for t, k, s in words], "id string, k int, label string, start int, end int").repartition(3)
+    got = {(r.id, r.pos): r.label for r in align.nearest_rows(left, right).collect()}
+
+    def plain(t, s):
+        near = [(abs(x - s), k) for u, k, x in words if s is not None and t is not None and u == t and x != -1 and abs(x - s) <= 2]
+        return f"L{min(near)[1]}" if near else "O"
+
+    assert got == {(t, p): plain(t, s) for t, p, s in tokens} and len(got) == len(tokens)
+    assert "sequence(" not in plan(align.nearest_rows(left, right))
