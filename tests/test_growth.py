@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.operators import align, bio, windows
+from spanloom.operators import align, bio, long, windows
 from spanloom.plans import catalog, synth
 
 SMALL = "/root/testdata/sf0.001"
@@ -72,3 +72,15 @@ def test_predictions_are_not_multiplied_by_their_reach(spark):
 
     assert got == {(t, p): plain(t, s) for t, p, s in tokens} and len(got) == len(tokens)
     assert "sequence(" not in plan(align.nearest_rows(left, right))
+
+
+def test_spans_write_runs_and_no_tokens(spark, monkeypatch):
+    texts = {1: ["I-A", "I-A", "O", "B-A", "I-A", "I-A", "I-A", "B-A"], 2: ["O", "B-A", "I-A", "I-A", "I-A", "I-B", "BAD", "I-A"], None: ["B-A", "I-A"], 3: ["O"] * 9}
+    rows = [(k, p * 3, x, f"t{p}") for k, t in texts.items() for p, x in enumerate(t)]  # places have gaps
+    df = spark.createDataFrame(rows, "id long, pos long, label string, token string").repartition(3)
+    written, plain = [], long._written
+    monkeypatch.setattr(long, "_written", lambda d, tag: written.append(plain(d, tag)) or written[-1])
+    got = {(r.id, r.type, r.start, r.end, r.text) for r in long.spans(df, "id", "pos", "label", "lenient", "token", block=6).collect()}
+    want = {(1, "A", 0, 4, "t0 t1"), (1, "A", 9, 19, "t3 t4 t5 t6"), (1, "A", 21, 22, "t7"), (2, "A", 3, 13, "t1 t2 t3 t4"), (2, "B", 15, 16, "t5"), (2, "A", 21, 22, "t7"), (None, "A", 0, 4, "t0 t1")}
+    assert got == want
+    assert len(written) == 1 and {"start", "end", "first", "last"} <= set(written[0].columns)
