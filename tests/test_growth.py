@@ -1,5 +1,7 @@
 """Work that grows no faster than the input: what plans and batches hold for it."""
 
+import json
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as T
 from spanloom.operators import align, bio, long, windows
 from spanloom.plans import catalog, synth
+from spanloom.sources import arrays
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -84,3 +87,24 @@ def test_spans_write_runs_and_no_tokens(spark, monkeypatch):
     want = {(1, "A", 0, 4, "t0 t1"), (1, "A", 9, 19, "t3 t4 t5 t6"), (1, "A", 21, 22, "t7"), (2, "A", 3, 13, "t1 t2 t3 t4"), (2, "B", 15, 16, "t5"), (2, "A", 21, 22, "t7"), (None, "A", 0, 4, "t0 t1")}
     assert got == want
     assert len(written) == 1 and {"start", "end", "first", "last"} <= set(written[0].columns)
+
+
+def test_arrays_are_written_without_a_shuffle_and_records_joined_in_place(spark, tmp_path, monkeypatch):
+    written, plain = [], arrays._written
+    monkeypatch.setattr(arrays, "_written", lambda d, tag: written.append(plain(d, tag)) or written[-1])
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", None)
+    df = spark.createDataFrame([(k, f'"}}{{[\\{k}', [{"a": k}] * (k % 3)) for k in range(300)], "k long, v string, s array<map<string,int>>").repartition(3)
+    arrays.write_array(df, str(tmp_path / "x"))
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(x) for x in sizes]
+    try:
+        spark.conf.set(sizes[0], "1000")
+        spark.conf.set(sizes[1], "1")
+        rows = arrays.records(spark, str(tmp_path / "x"))
+        got = [(r.file, r.record, r.value) for r in rows.collect()]
+    finally:
+        for x, y in zip(sizes, before, strict=True):
+            spark.conf.set(x, y)
+    assert sorted(json.loads(v)["k"] for *_, v in got) == list(range(300))
+    assert {(f, k) for f, k, _ in got} == {(f, k) for f in {f for f, *_ in got} for k in range(sum(f == x for x, *_ in got))}
+    assert len(written) == 2 and all("value" not in d.columns for d in written)
