@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
@@ -18,6 +19,8 @@ from spanloom.llm.shared import least, ship, stored
 
 #: Most labelled documents of each label that a model is fitted on, those with the least hash, and most of their features.
 SAMPLE, FEATURES = 4000, 8_000_000
+#: In so many portions the sample goes to the driver.
+PORTIONS = 16
 
 
 @dataclass(frozen=True)
@@ -80,11 +83,33 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, float]], how: Settings) -> np.
     return weight(np.arange(len(z)))
 
 
+def _views(column: pa.Array, kind: type) -> list[np.ndarray]:
+    """Each row's bytes as numbers, without a copy."""
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).tolist()
+    data = column.buffers()[2] or b""
+    return [np.frombuffer(data, kind, (b - a) // np.dtype(kind).itemsize, a) for a, b in zip(ends, ends[1:])]
+
+
+def _learned(batches: list[pa.RecordBatch], how: Settings) -> np.ndarray:
+    """The weights of the rows (h, label, id, print, k, ids, vals), k times each, in the order of the first four."""
+    if not batches:
+        return np.zeros((1 << how.bits) + 1)
+    got = pa.Table.from_batches(batches)
+    order = pc.sort_indices(got.select(["h", "label", "id", "print"]), [(c, "ascending") for c in ("h", "label", "id", "print")]).to_pylist()
+    ids, values = ([x for chunk in got[c].chunks for x in _views(chunk, kind)] for c, kind in (("ids", np.int32), ("vals", np.float32)))
+    labels, times = got["label"].to_pylist(), got["k"].to_pylist()
+    if len(set(labels)) < 2:
+        weights = np.zeros((1 << how.bits) + 1)
+        weights[-1] = 4.0 * (2 * labels[0] - 1)
+        return weights
+    return ftrl([(ids[at], values[at], labels[at]) for at in order for _ in range(times[at])], how)
+
+
 def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), sample: int = SAMPLE, most: int = FEATURES) -> np.ndarray:
     """Weights learned from at most `sample` documents of each label (`text` of docs, `quality` of labels by doc_id).
 
     The rows of a label are those whose doc_id has the least hash, as many as have `most` features (distinct
-    n-grams) together; a doc_id with many rows gives no more of them either. So what is sent to the driver has a
+    n-grams) together; a doc_id with many rows gives no more of them either. So what is sent to the driver, in PORTIONS, has a
     bound of 8 bytes a feature, 128 MB by default, whatever the size of documents and labels. The rows with null text, doc_id
     or label are left out; empty texts count; equal rows of docs count each, equal rows of labels are one. Without rows, or with
     one label only, all weights but the bias are 0.
@@ -112,16 +137,10 @@ def fit(docs: DataFrame, labels: DataFrame, how: Settings = Settings(), sample:
     near = near.withColumn("k", F.least("c", room)).filter("k > 0").select("label", "h", "id", "print", "k")
     kept = rows.join(F.broadcast(near), ["label", "h", "id", "print"])
     kept = kept.groupBy("label", "h", "id", "print", "k").agg(F.any_value("ids").alias("ids"), F.any_value("vals").alias("vals"))
-    got = kept.toPandas().sort_values(["h", "label", "id", "print"])
-    one_label = got["label"].nunique() < 2
-    read = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), x, k) for i, v, x, k in zip(got["ids"], got["vals"], got["label"], got["k"], strict=True)]
-    del got
-    data = [(i, v, x) for i, v, x, k in read for _ in range(k)]
-    if one_label:
-        weights = np.zeros((1 << how.bits) + 1)
-        weights[-1] = 0.0 if not data else 4.0 * (2 * data[0][2] - 1)
-        return weights
-    return ftrl(data, how)
+    # the lists come in portions of a few MB, so that the driver's JVM holds one of them at a time, and stay where Arrow put them
+    kept = stored(kept.withColumn("portion", F.pmod(F.xxhash64("label", "id", "print"), F.lit(PORTIONS)).cast("int")), "quality-sample")
+    batches = [b for p in range(PORTIONS) for b in kept.filter(F.col("portion") == p).select("h", "label", "id", "print", "k", "ids", "vals").toArrow().to_batches()]
+    return _learned([b for b in batches if b.num_rows], how)
 
 
 def _scores(text: pa.Array, w: np.ndarray, how: Settings) -> np.ndarray:

@@ -202,6 +202,18 @@ def test_quality_learns_and_scores_everything(spark, odd, none):
     assert (one[:-1] == 0).all() and one[-1] > 0
 
 
+def test_sample_goes_to_the_driver_in_portions(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"good words {k} " * 50 + "###" * (k % 2)) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, quality int")
+    kind, sizes, seen = type(docs), [], []
+    plain = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda df: sizes.append(got := plain(df)) or got)
+    monkeypatch.setattr(kind, "toPandas", None)
+    monkeypatch.setattr(quality, "ftrl", lambda data, how: seen.extend(data) or np.zeros(3))
+    quality.fit(docs, labels)
+    assert len(seen) == 400 == sum(t.num_rows for t in sizes) and max(t.num_rows for t in sizes) < 80
+
+
 def test_sample_is_bounded_in_rows_and_features(spark, monkeypatch):
     docs = spark.createDataFrame([(1, f"good words {k}") for k in range(3000)] + [(2, "bad ### words")] * 50 + [(k, "some more ###") for k in range(3, 60)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, int(k == 1)) for k in range(1, 60)], "doc_id long, quality int")
